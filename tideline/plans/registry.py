@@ -6,5 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import graph, network, scores, series, text
+from .views import Tables
+
+_ALL = graph.Q | scores.Q | series.Q | network.Q | text.Q
+
+
+def _query(plan: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: plan(Tables(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(plan) for name, (plan, _) in _ALL.items()}
+ORACLE_SQL: dict[str, str] = {name: oracle for name, (_, oracle) in _ALL.items() if oracle}
