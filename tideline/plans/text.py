@@ -1 +1,79 @@
-Q: dict = {}
+"""Names, texts, joins of sets, and models that SQL doesn't express, over the test tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import expr as X
+from ..operators import kernels as K
+from ..operators import matching as M
+from ..operators import scoring as S
+from ..sources import extract
+from ..streaming import status
+from . import scores
+from .views import Tables, sql
+
+# Sections of the industry classification by two-digit division.
+SECTIONS = [("A", "01", "03"), ("B", "05", "09"), ("C", "10", "33"), ("D", "35", "35"), ("E", "36", "39"), ("F", "41", "43"), ("G", "45", "47"), ("H", "49", "53")]
+_SECTIONS = ", ".join(str(s) for s in SECTIONS)
+VARIANTS = [("ring", "RNG"), ("small ring", "SRG"), ("bolt", "BLT"), ("blue bolt", "BBT"), ("widget", "WDG"), ("red", "RED")]
+_CASE = " ".join(f"WHEN contains(lower(p_name), '{n}') THEN '{s}'" for n, s in sorted(VARIANTS, key=lambda v: (-len(v[0]), v[0]), reverse=False))
+
+
+def _code_scores(t: Tables):
+    a = t["customer"].where("c_custkey % 3 <> 0").select(F.concat(F.lit(" "), F.lower("c_name")).alias("code"), F.col("c_acctbal").alias("news"))
+    b = t["customer"].where("c_custkey % 4 <> 0").select(F.col("c_name").alias("code"), F.col("c_nationkey").cast("double").alias("fundamental"))
+    return M.full_outer_scores(a, b, "code")
+
+
+def _odd(c: str):
+    """Names with other spellings in them."""
+    return F.concat(F.when(F.col("c_custkey") % 2 == 0, "M/s. ").otherwise("The "), F.col(c), F.when(F.col("c_custkey") % 3 == 0, " Pvt. Ltd.").otherwise(" & Co (India)"))
+
+
+_ODD = "concat(CASE WHEN c_custkey % 2 = 0 THEN 'M/s. ' ELSE 'The ' END, c_name, CASE WHEN c_custkey % 3 = 0 THEN ' Pvt. Ltd.' ELSE ' & Co (India)' END)"
+_WORDS = "|".join(X.LEGAL_WORDS)
+
+
+def _names(t: Tables):
+    """Part names as companies, misspelt ones, and banks."""
+    known = t["part"].select(F.concat("p_name", F.lit(" "), "p_brand", F.lit(" Limited")).alias("known"), F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("entity"))
+    asked = t["part"].where("p_partkey % 10 = 0").select(F.concat(F.initcap("p_name"), F.lit("s "), "p_brand", F.lit(" Ltd")).alias("name"))
+    banks = t["supplier"].select(F.col("s_name").alias("known"), F.concat(F.lit("b"), F.col("s_suppkey").cast("string")).alias("entity"))
+    return M.resolve(asked, "name", banks, known)
+
+
+Q: dict = {
+    "scores_full_outer": (_code_scores, """
+WITH a AS (SELECT upper(trim(' ' || lower(c_name))) AS code, c_acctbal AS news FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT upper(c_name) AS code, CAST(c_nationkey AS DOUBLE) AS fundamental FROM customer WHERE c_custkey % 4 <> 0)
+SELECT coalesce(a.code, b.code) AS code, news, fundamental FROM a FULL JOIN b ON a.code = b.code"""),
+    "unmatched_anti": (lambda t: t["customer"].join(t.lends, F.col("c_custkey") == F.col("company"), "left_anti").select("c_custkey", "c_name"), sql("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT company FROM lends)", "lends")),
+    "resume_anti": (lambda t: t["orders"].select("o_custkey").distinct().join(t["customer"].where("c_acctbal > 5000"), F.col("o_custkey") == F.col("c_custkey"), "left_anti"), "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)"),
+    "nic_range_join": (lambda t: M.code_ranges(t["part"].select("p_partkey", F.format_string("%02d00", "p_size").alias("code")), "code", t.spark.createDataFrame(SECTIONS, "section string, lo string, hi string")), f"""
+SELECT p_partkey, lpad(CAST(p_size AS VARCHAR), 2, '0') || '00' AS code, section FROM part LEFT JOIN (VALUES {_SECTIONS}) s(section, lo, hi) ON lpad(CAST(p_size AS VARCHAR), 2, '0') BETWEEN lo AND hi"""),
+    "longest_substring_join": (lambda t: t["part"].select("p_partkey", M.longest_contained(t["part"], "p_name", VARIANTS).alias("symbol")), f"SELECT p_partkey, CASE {_CASE} END AS symbol FROM part"),
+    "bank_name_join": (lambda t: M.bank_name_join(t["supplier"].select("s_suppkey", F.concat(F.lower("s_name"), F.lit(" Ltd.")).alias("x")), "x", t["supplier"].select(F.col("s_name").alias("y"), F.col("s_acctbal").alias("tier1")), "y").select("s_suppkey", "tier1"), "SELECT s_suppkey, s_acctbal AS tier1 FROM supplier"),
+    "boards_union": (lambda t: t["supplier"].select(F.col("s_name").alias("name")).union(t["customer"].select(F.when(F.col("c_custkey") % 5 != 0, F.col("c_name")))).dropna(), "SELECT s_name AS name FROM supplier UNION ALL SELECT c_name FROM customer WHERE c_custkey % 5 <> 0"),
+    "rating_union": (lambda t: t.fac.select("company", F.col("facility").alias("item")).union(t["customer"].select("c_custkey", "c_mktsegment")).groupBy("company").agg(F.count(F.lit(1)).alias("items"), F.count_distinct("item").alias("kinds")), sql("""
+SELECT company, count(*) AS items, count(DISTINCT item) AS kinds FROM (SELECT company, facility AS item FROM fac UNION ALL SELECT c_custkey, c_mktsegment FROM customer) GROUP BY company""", "fac")),
+    "norm_company": (lambda t: t["customer"].select("c_custkey", X.company_key(_odd("c_name")).alias("key")), f"""
+SELECT c_custkey, trim(regexp_replace(regexp_replace(regexp_replace(lower({_ODD}), '[&\\-–,.()/\\\\]+', ' ', 'g'), '\\b({_WORDS})\\b\\.?', ' ', 'g'), '\\s+', ' ', 'g')) AS key FROM customer"""),
+    "slugify": (lambda t: t["customer"].select("c_custkey", X.slug(_odd("c_name"), 20).alias("slug")), f"SELECT c_custkey, substr(regexp_replace(regexp_replace(lower(trim({_ODD})), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 20) AS slug FROM customer"),
+    "ascii_sanitize": (lambda t: t["documents"].select("doc_id", F.sha2(X.ascii_text(F.coalesce("text", F.lit(""))), 256).alias("sha")), """
+SELECT doc_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(coalesce(text, ''), '–', '-'), '—', '-'), '‘', ''''), '’', ''''), '“', '"'), '”', '"'), '…', '...'), '₹', 'Rs.'), chr(160), ' '), '[^\\x00-\\x7F]', '', 'g'))) AS sha FROM documents"""),
+    "scoring_texts": (lambda t: t["documents"].select("doc_id", F.substring(F.concat(F.coalesce("source", F.lit("")), F.lit(". "), F.coalesce("text", F.lit(""))), 1, 450).alias("snippet")), "SELECT doc_id, substr(coalesce(source, '') || '. ' || coalesce(text, ''), 1, 450) AS snippet FROM documents"),
+    "as_of_filter": (lambda t: t["events"].where(F.to_date("ts") <= F.lit("2024-01-10")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "SELECT event_type, count(*) AS n FROM events WHERE CAST(ts AS DATE) <= DATE '2024-01-10' GROUP BY event_type"),
+    "date_parse": (lambda t: t["orders"].select("o_orderkey", X.date(F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "MMM d, yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "d MMM yyyy"))).cast("string").alias("d")), "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS d FROM orders"),
+    "number_clean": (lambda t: t["orders"].select("o_orderkey", X.number(F.when(F.col("o_orderkey") % 7 == 0, "-").when(F.col("o_orderkey") % 7 == 1, "NA").otherwise(F.format_number(F.floor("o_totalprice"), 0))).alias("x")), "SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 1 THEN floor(o_totalprice) END AS x FROM orders"),
+    "json_props": (lambda t: t["events"].select("event_id", F.variant_get(F.parse_json("props"), "$.k", "bigint").alias("k")).where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n")), "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events WHERE json_extract(props, '$.k') IS NOT NULL GROUP BY k"),
+    "confidence_bands": (lambda t: t["events"].groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("n")).select("user_id", S.confidence(F.col("n")).alias("confidence")), "SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_type = 'error') >= 5 THEN 'high' WHEN count(*) FILTER (WHERE event_type = 'error') >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM events GROUP BY user_id"),
+    "status_queue": (lambda t: status.latest_status(t["events"].select(F.col("user_id").alias("report"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"))), "SELECT user_id AS report, arg_max(event_type, (ts, event_id)) AS status, count(*) AS changes FROM events GROUP BY user_id"),
+    "fuzzy_resolve": (_names, None),
+    "merton_dtd": (lambda t: t["supplier"].where("s_acctbal > 0").select("s_suppkey", K.merton(F.col("s_acctbal"), F.lit(0.2) + (F.col("s_suppkey") % 10) / 20, F.col("s_acctbal") * 4).alias("m")).select("s_suppkey", *[F.round(f"m.{c}", 4).alias(c) for c in ("asset_value", "asset_vol", "dtd", "default_probability")]), None),
+    "kernel_pca": (lambda t: K.boundary_stress(scores.ratios(t).select("bank", *[S.health(r, F.col(r)).alias(r) for r in scores.RATIOS]), "bank", list(scores.RATIOS), [0.2] * len(scores.RATIOS)).select("bank", F.round("boundary", 4).alias("boundary")), None),
+    "ridge_orientation": (lambda t: K.ridge_orientation(scores.ratios(t), "bank", ["totalCAR", "tier1CAR", "returnOnAssets"], "netNPAToNetAdvances").select("bank", F.round("oriented", 4).alias("oriented")), None),
+    "pca_stress": (lambda t: K.pca_stress(scores.ratios(t), "bank", list(scores.RATIOS), "netNPAToNetAdvances").select("bank", F.round("score", 4).alias("score")), None),
+    "html_links": (lambda t: t["pages"].select("page_id", F.size(F.regexp_extract_all("html", F.lit('<a href="[^"]*"'), 0)).cast("long").alias("links"), F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title")), """
+SELECT page_id, len(regexp_extract_all(html, '<a href="[^"]*"')) AS links, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages"""),
+    "html_tables": (lambda t: extract.html_tables(t["pages"], "page_id", "html"), None),
+}
