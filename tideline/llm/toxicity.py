@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Lengths of the n-grams in bytes of the lower-cased text, and the bits of a hashed feature.
-NGRAMS, FEATURE_BITS = (4, 6, 8, 10), 20
+NGRAMS, FEATURE_BITS = (4, 5, 6, 8), 20
 #: Labelled rows of each class that the classifier is trained on at most, and code points read of each: a bounded
 #: sample, in the order of a hash of the id. Scores always come from whole texts.
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
 #: Features with a weight: those whose shares in the two classes differ most clearly.
-FEATURES = 6000
-SMOOTH, L2, STEPS, RATE = 1.0, 0.3, 150, 0.05
+FEATURES = 8000
+SMOOTH, L2, STEPS, RATE = 1.0, 0.2, 150, 0.05
 THRESHOLD = 0.7
 
 
