@@ -124,3 +124,13 @@ def test_streams(spark, tmp_path):
     seen = status.new_reports(read().select(F.col("report").alias("company"), F.to_date("at").alias("rating_date"), "report", "at"))
     status.run_available(seen, str(tmp_path / "new"), str(tmp_path / "cp2")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "new")).count() == 2
+
+
+def test_exchange_match(spark):
+    from tideline.functions.metrics import metric_name
+
+    listed = spark.createDataFrame([("TATASTEEL", "Tata Steel Limited"), ("INFY", "Infosys Ltd.")], "symbol string, known string")
+    asked = spark.createDataFrame([(1, "TATA STEEL LTD-(Amalgamated)", None), (2, "Other name", "Infosys Limited"), (3, "Tata Steels Limited", None), (4, "Nothing alike", None), (5, None, None)], "k int, a string, b string")
+    got = {r.k: (r.symbol, r.match) for r in M.exchange_match(asked, "k", ["a", "b"], listed).collect()}
+    assert got == {1: ("TATASTEEL", "exact"), 2: ("INFY", "exact_b"), 3: ("TATASTEEL", "fuzzy"), 4: (None, "none"), 5: (None, "none")}
+    assert one(spark, "Gross *NPA#", "string", metric_name) == "Gross NPA" and one(spark, "odd thing", "string", metric_name) == "Odd Thing"

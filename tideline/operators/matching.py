@@ -127,3 +127,39 @@ def resolve(names: DataFrame, name: str, banks: DataFrame, companies: DataFrame,
     every = exact.unionByName(fuzzy).unionByName(short)
     one = every.groupBy("raw").agg(F.min(F.struct("pass", "entity", "kind", "confidence")).alias("m"))
     return names.join(one, names[name] == F.col("raw"), "left").select(names["*"], "m.entity", F.coalesce("m.kind", F.lit("none")).alias("kind"), F.col("m.pass").alias("passed"), F.coalesce("m.confidence", F.lit(0.0)).alias("confidence"))
+
+
+def exchange_key(x: Column) -> Column:
+    """A name for comparison with exchange lists: upper case, no bracketed status, legal forms in short."""
+    out = F.upper(F.regexp_replace(x, r"-?\([^)]*\)", ""))
+    out = F.regexp_replace(out, r"\bPRIVATE\s+LIMITED\b|\bPVT\.?\s*LTD\.?(?!\w)", "PVT LTD")
+    out = F.regexp_replace(out, r"\bLIMITED\b|\bLTD\.?(?!\w)", "LTD")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[^\w\s]", " "), r"\s+", " "))
+
+
+def exchange_match(companies: DataFrame, key: str, names: list[str], listed: DataFrame, least: int = EXCHANGE_RATIO) -> DataFrame:
+    """companies with symbol, match and confidence from an exchange list (symbol, known).
+
+    Passes go over the columns `names` in turn, exact first, then fuzzy by set_ratio of `least` or more; the best of a
+    pass counts, of equals the least symbol. Fuzzy candidates share a group of four letters. A company that no pass
+    matches has the match none and confidence 0.
+    """
+    lists = listed.select("symbol", exchange_key(F.col("known")).alias("k")).where("k <> ''").groupBy("k").agg(F.min("symbol").alias("symbol"))
+    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 3, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(4)))))
+    index = lists.withColumn("gram", grams("k"))
+    found = None
+    for fuzzy in (False, True):
+        for n, name in enumerate(names):
+            asked = companies.select(key, exchange_key(F.col(name)).alias("q")).where("q <> ''")
+            if found is not None:
+                asked = asked.join(found.select(key), key, "left_anti")
+            if fuzzy:
+                pairs = asked.withColumn("gram", grams("q")).join(index, "gram").select(key, "q", "k", "symbol").distinct()
+                hits = pairs.withColumn("r", ratios(F.col("q"), F.col("k"))["set_ratio"]).where(F.col("r") >= least)
+            else:
+                hits = asked.join(lists, F.col("q") == F.col("k")).withColumn("r", F.lit(100.0))
+            best = hits.groupBy(key).agg(F.min(F.struct((-F.col("r")).alias("less"), "symbol")).alias("m"))
+            label = ("fuzzy" if fuzzy else "exact") + (f"_{name}" if n else "")
+            some = best.select(key, "m.symbol", F.lit(label).alias("match"), F.floor(-F.col("m.less")).cast("int").alias("confidence"))
+            found = some if found is None else found.unionByName(some)
+    return companies.join(found, key, "left").withColumn("match", F.coalesce("match", F.lit("none"))).withColumn("confidence", F.coalesce("confidence", F.lit(0)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from ..functions.metrics import metric_name
 from ..operators import kernels as K
 from ..operators import matching as M
 from ..operators import scoring as S
@@ -69,6 +70,10 @@ SELECT doc_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replac
     "confidence_bands": (lambda t: t["events"].groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("n")).select("user_id", S.confidence(F.col("n")).alias("confidence")), "SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_type = 'error') >= 5 THEN 'high' WHEN count(*) FILTER (WHERE event_type = 'error') >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM events GROUP BY user_id"),
     "status_queue": (lambda t: status.latest_status(t["events"].select(F.col("user_id").alias("report"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"))), "SELECT user_id AS report, arg_max(event_type, (ts, event_id)) AS status, count(*) AS changes FROM events GROUP BY user_id"),
     "fuzzy_resolve": (_names, None),
+    "exchange_match": (lambda t: M.exchange_match(t["supplier"].select("s_suppkey", F.concat("s_name", F.lit(" Limited")).alias("name"), F.concat(F.lit("The "), "s_name").alias("other")), "s_suppkey", ["name", "other"], t["supplier"].where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").cast("string").alias("symbol"), F.concat("s_name", F.when(F.col("s_suppkey") % 2 == 0, " Ltd.").otherwise("")).alias("known"))).select("s_suppkey", "match", "confidence"), None),
+    "metric_names": (lambda t: t["part"].select("p_partkey", metric_name(F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("Net NPA as %*  of "), "p_name")).when(F.col("p_partkey") % 4 == 1, F.lit(" gross\nNPA# ")).when(F.col("p_partkey") % 4 == 2, F.concat("p_name", F.lit(" car ratio"))).otherwise(F.col("p_name"))).alias("metric")), """
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Net NPA as % to Net Advances' WHEN 1 THEN 'Gross NPA' WHEN 2 THEN 'Capital Adequacy Ratio (Basel-III)' ELSE
+  array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') END AS metric FROM part"""),
     "merton_dtd": (lambda t: t["supplier"].where("s_acctbal > 0").select("s_suppkey", K.merton(F.col("s_acctbal"), F.lit(0.2) + (F.col("s_suppkey") % 10) / 20, F.col("s_acctbal") * 4).alias("m")).select("s_suppkey", *[F.round(f"m.{c}", 4).alias(c) for c in ("asset_value", "asset_vol", "dtd", "default_probability")]), None),
     "kernel_pca": (lambda t: K.boundary_stress(scores.ratios(t).select("bank", *[S.health(r, F.col(r)).alias(r) for r in scores.RATIOS]), "bank", list(scores.RATIOS), [0.2] * len(scores.RATIOS)).select("bank", F.round("boundary", 4).alias("boundary")), None),
     "ridge_orientation": (lambda t: K.ridge_orientation(scores.ratios(t), "bank", ["totalCAR", "tier1CAR", "returnOnAssets"], "netNPAToNetAdvances").select("bank", F.round("oriented", 4).alias("oriented")), None),
