@@ -8,8 +8,9 @@ this. Those have, among themselves, a second layout of fewer, larger segments, w
 neighbourhoods of one deletion: a segment then bears one difference. Sets that even so have too few index the shingles
 of a prefix. Every pair that meets is verified on whole texts, so links are exact, and none is lost.
 
-Components need no list of all pairs. Each set is compared with the least set it meets in a subset (its pivot), and
-then with those it meets that are not yet of its component.
+Components need no list of all pairs. In each subset that sets share, they are compared with its pivot, the set that
+meets others in most subsets: the middle of a group of copies. What meets and is not yet of one component is compared
+next, first the likeliest pair of any two components, then all that are left.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .exact_dedup import filter_bits, has_bit
 
 #: Sets that one group compares with each other; subsets that more share are compared block by block.
 BLOCK = 4096
+#: Bits of a sketch for each shingle: enough that few pairs pass that aren't linked.
+SKETCH = 2
 #: Sets that a task remembers, to index copies once, and shingle sets that it keeps while it verifies.
 SEEN, KEPT = 200_000, 64
 _MASK = np.uint64(0xFF)
@@ -66,7 +69,7 @@ def layout(b: int, percent: int) -> tuple[int, int, int]:
         return m + max(0.0, 1 - total) * 3 * lo
 
     spare = min(range(33), key=expected)
-    return most, most + 1 + spare, -(-hi // 64) * 64
+    return most, most + 1 + spare, SKETCH * -(-hi // 64) * 64
 
 
 def _segments(h: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,39 +111,54 @@ def sketch(h: np.ndarray, b: int, percent: int) -> bytes:
     return np.packbits(np.bincount(at, minlength=bits) & 1).tobytes()
 
 
-_SETS = "id long, text_hash long, n long, sid long, keys array<long>, own binary, lower binary, band int"
+_SETS = "id long, text_hash long, n long, sid long, keys array<long>"
 
 
 def _sets(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: OrderedDict[int, None] = OrderedDict()
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int32()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
         for batch in batches:
             out = []
             for doc_id, text_hash, text in zip(*(batch.column(c).to_pylist() for c in ("id", "text_hash", "text")), strict=True):
                 h = shingle_hashes(text, words)
                 if not len(h):
-                    out.append((doc_id, text_hash, 0, None, None, None, None, None))
+                    out.append((doc_id, text_hash, 0, None, None))
                     continue
                 sid = int(mix(np.array([h.sum(dtype=np.uint64) ^ np.uint64(len(h))])).view(np.int64)[0])
                 b = band_of(len(h), percent)
-                keys = own = lower = None
+                keys = None
                 if sid not in seen:  # a copy of a set indexed by this task has nothing to add
                     seen[sid] = None
                     if len(seen) > SEEN:
                         seen.popitem(last=False)
                     bands = [b, b - 1] if b else [b]
                     keys = np.concatenate([index_keys(h, x, percent) for x in bands]).view(np.int64)
-                    own, lower = sketch(h, b, percent), sketch(h, b - 1, percent) if b else None
-                out.append((doc_id, text_hash, len(h), sid, keys, own, lower, b))
+                out.append((doc_id, text_hash, len(h), sid, keys))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _SETS.split(", ")])
 
     return run
 
 
+def _sketches(words: int, percent: int):
+    """(sid, n, band, own, lower): the sketches of a set in the layouts of its band and the one below."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for sid, text in zip(batch.column("sid").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                h = shingle_hashes(text, words)
+                b = band_of(len(h), percent)
+                out.append((sid, len(h), b, sketch(h, b, percent), sketch(h, b - 1, percent) if b else None))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 5, kinds, strict=True)], names=["sid", "n", "band", "own", "lower"])
+
+    return run
+
+
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key and set, those of keys that several sets share, with the least set as pivot."""
-    last_key = last_sid = pivot = None
+    """From rows sorted by key and set, those of keys that several sets share, once each."""
+    last_key = last_sid = opened = None
     told = False
     for b in batches:
         key, sid = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "sid"))
@@ -154,34 +172,46 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         starts = np.flatnonzero(~same)
         run = np.cumsum(~same)  # 0 goes on with the last batch's run
-        pivots = np.concatenate(([0 if pivot is None else pivot], sid[starts]))
+        first = np.concatenate(([0 if opened is None else opened], sid[starts]))
         shared = np.bincount(run[same], minlength=len(starts) + 1) > 0
         lead = np.concatenate(([key[0]], key[starts]))
         tell = shared.copy()
         tell[0] &= not told
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((lead[tell], key[same]))), pa.array(np.concatenate((pivots[tell], sid[same]))), pa.array(np.concatenate((pivots[tell], pivots[run[same]])))], names=["key", "sid", "pivot"])
-        pivot = pivots[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((lead[tell], key[same]))), pa.array(np.concatenate((first[tell], sid[same])))], names=["key", "sid"])
+        opened = first[-1]
         told = bool(shared[-1]) or (told and not len(starts))
 
 
-def _cross(percent: int):
-    """From rows sorted by key, lo, hi: pairs of different components whose sizes and sketches allow a link."""
+def _cross(percent: int, best: bool):
+    """From rows sorted by key, lo, hi: pairs of different components whose sizes and sketches allow a link; with best,
+    the one of any two components of a key whose sketches differ least."""
 
     def pairs(rows: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        most = layout(rows[0]["key"] & 0xFF, percent)[0]
         sid, comp, block, n = (np.array([r[c] for r in rows], np.int64) for c in ("sid", "comp", "block", "n"))
         bits = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint64).reshape(len(rows), -1)
         apart = rows[0]["lo"] != rows[0]["hi"]
+        top: dict[tuple[int, int], tuple[int, int, int]] = {}
         for k in range(len(rows) - 1):
             rest = slice(k + 1, None)
             ok = (comp[rest] != comp[k]) & (100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k]))
             if apart:
                 ok &= block[rest] != block[k]
             at = k + 1 + np.flatnonzero(ok)
-            if len(at):
-                at = at[np.bitwise_count(bits[at] ^ bits[k]).sum(1) <= most]
-            if len(at):
+            if not len(at):
+                continue
+            differ = np.bitwise_count(bits[at] ^ bits[k]).sum(1).astype(np.int64)
+            near = differ * (100 + percent) <= (100 - percent) * (n[at] + n[k])
+            at, differ = at[near], differ[near]
+            if best:
+                for d, x in zip(differ.tolist(), at.tolist(), strict=True):
+                    of = (min(comp[k], comp[x]), max(comp[k], comp[x]))
+                    if of not in top or d < top[of][0]:
+                        top[of] = (d, sid[k], sid[x])
+            elif len(at):
                 yield np.minimum(sid[at], sid[k]), np.maximum(sid[at], sid[k])
+        if top:
+            ends = np.array([x[1:] for x in top.values()], np.int64)
+            yield ends.min(1), ends.max(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, of = [], None
@@ -245,8 +275,10 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     sets = scratch.table(base.mapInArrow(_sets(words, percent), _SETS), "sets")
     rows = sets.where("keys is not null").select(F.explode("keys").alias("key"), "sid")
-    met = scratch.table(rows.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_met, "key long, sid long, pivot long"), "met")
-    full = sets.where("n > 0")
+    met = scratch.table(rows.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_met, "key long, sid long"), "met")
+    every = scratch.table(sets.drop("keys"), "every")
+    scratch.drop(sets)
+    full = every.where("n > 0")
     some = met.select("sid").distinct()
     nodes = scratch.table(full.groupBy("sid").agg(F.min(F.struct("id", "text_hash")).alias("rep"), F.max("n").alias("n")).join(some, "sid", "left_semi").select("sid", "n", "rep.id", "rep.text_hash"), "nodes")
     # the texts of one document of each set that meets another: a filter of bounded size spares shuffling the others
@@ -263,34 +295,43 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         with_b = with_a.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b")
         return scratch.table(with_b.select("a", "b", "text_a", "text_b").mapInArrow(_verified(words, percent), "a long, b long").distinct(), "links")
 
-    first = components(links(met.where("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()), scratch)
-    # keys at which different components still meet
-    labelled = scratch.table(met.join(first.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("comp")), "labelled")
-    open_ = scratch.table(labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("g")).where("x <> y").select("key", F.ceil(F.col("g") / block).cast("int").alias("blocks")), "open")
-    sketches = full.where("own is not null").groupBy("sid").agg(F.first("own").alias("own"), F.first("lower").alias("lower"), F.first("band").alias("band"), F.first("n").alias("n"))
-    dealt = (
-        labelled.join(open_, "key")
-        .withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .join(sketches, "sid")
-        .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "sid", "comp", "n", F.when(F.col("key").bitwiseAND(0xFF) == F.col("band"), F.col("own")).otherwise(F.col("lower")).alias("sketch"))
-    )
-    crossed = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_cross(percent), "a long, b long").distinct()
-    more = links(scratch.table(crossed, "crossed"))
-    label = first.select("node", F.col("label"))
-    ends = more
-    for c in ("a", "b"):
-        ends = ends.join(label.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}")), c, "left").withColumn(c, F.coalesce(f"l_{c}", c)).drop(f"l_{c}")
-    second = components(ends, scratch)
+    # the pivot of a key: of its sets the one that shares most keys
+    reach = scratch.table(met.groupBy("sid").agg(F.count(F.lit(1)).alias("reach")), "reach")
+    pivots = scratch.table(met.join(reach, "sid").groupBy("key").agg(F.max(F.struct("reach", "sid")).alias("top")).select("key", F.col("top.sid").alias("a")), "pivots")
+    star = scratch.table(met.join(pivots, "key").where("sid <> a").select("a", F.col("sid").alias("b")).distinct(), "star")
+    label = components(links(star), scratch)
+    sketches = scratch.table(texts.mapInArrow(_sketches(words, percent), "sid long, n long, band int, own binary, lower binary"), "sketches")
+    for done in (reach, pivots, star):
+        scratch.drop(done)
+
+    def crossed(best: bool) -> DataFrame:
+        """Pairs at keys where different components still meet."""
+        labelled = scratch.table(met.join(label.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("comp")), "labelled")
+        open_ = scratch.table(labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("g")).where("x <> y").select("key", F.ceil(F.col("g") / block).cast("int").alias("blocks")), "open")
+        dealt = (
+            labelled.join(open_, "key")
+            .withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .join(sketches, "sid")
+            .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "sid", "comp", "n", F.when(F.col("key").bitwiseAND(0xFF) == F.col("band"), F.col("own")).otherwise(F.col("lower")).alias("sketch"))
+        )
+        return scratch.table(dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_cross(percent, best), "a long, b long").distinct(), "crossed")
+
+    for best in (True, False):
+        ends = links(crossed(best))
+        for c in ("a", "b"):
+            ends = ends.join(label.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}")), c, "left").withColumn(c, F.coalesce(f"l_{c}", c)).drop(f"l_{c}")
+        merged = components(ends, scratch)
+        # labels of labels, and nodes that had none
+        old = label.select("node", F.col("label").alias("was")).join(merged.select(F.col("node").alias("was"), "label"), "was", "left").select("node", F.coalesce("label", "was").alias("label"))
+        label = scratch.table(old.unionByName(merged.join(label.select("node"), "node", "left_anti")), "label")
     final = (
         full.groupBy("sid").agg(F.min("id").alias("rep"))
         .join(label.withColumnRenamed("node", "sid"), "sid", "left")
-        .select("sid", "rep", F.coalesce("label", "sid").alias("node"))
-        .join(second, "node", "left")
-        .select("sid", "rep", F.coalesce("label", "node").alias("comp"))
+        .select("sid", "rep", F.coalesce("label", "sid").alias("comp"))
     )
     least = final.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of_set = scratch.table(final.join(least, "comp").select("sid", "component_id"), "of_set")
     linked = full.select("id", "n", "sid").join(of_set, "sid", "left").select("id", "n", "component_id")
-    alone = sets.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
+    alone = every.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
