@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -53,6 +54,12 @@ class Scratch:
             p = jvm.org.apache.hadoop.fs.Path(at)
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of frames that are gone: its cleaner acts when the driver collects garbage,
+        which it may not do for long while executors' disks fill."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every bit of 64-bit values (splitmix64)."""

@@ -278,6 +278,8 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     met = scratch.table(rows.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_met, "key long, sid long"), "met")
     every = scratch.table(sets.drop("keys"), "every")
     scratch.drop(sets)
+    del rows, sets
+    scratch.release()
     full = every.where("n > 0")
     some = met.select("sid").distinct()
     nodes = scratch.table(full.groupBy("sid").agg(F.min(F.struct("id", "text_hash")).alias("rep"), F.max("n").alias("n")).join(some, "sid", "left_semi").select("sid", "n", "rep.id", "rep.text_hash"), "nodes")
@@ -303,6 +305,7 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sketches = scratch.table(texts.mapInArrow(_sketches(words, percent), "sid long, n long, band int, own binary, lower binary"), "sketches")
     for done in (reach, pivots, star):
         scratch.drop(done)
+    scratch.release()
 
     def crossed(best: bool) -> DataFrame:
         """Pairs at keys where different components still meet."""
@@ -315,7 +318,10 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             .join(sketches, "sid")
             .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "sid", "comp", "n", F.when(F.col("key").bitwiseAND(0xFF) == F.col("band"), F.col("own")).otherwise(F.col("lower")).alias("sketch"))
         )
-        return scratch.table(dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_cross(percent, best), "a long, b long").distinct(), "crossed")
+        out = scratch.table(dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_cross(percent, best), "a long, b long").distinct(), "crossed")
+        for done in (labelled, open_):
+            scratch.drop(done)
+        return out
 
     for best in (True, False):
         ends = links(crossed(best))
@@ -325,6 +331,7 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         # labels of labels, and nodes that had none
         old = label.select("node", F.col("label").alias("was")).join(merged.select(F.col("node").alias("was"), "label"), "was", "left").select("node", F.coalesce("label", "was").alias("label"))
         label = scratch.table(old.unionByName(merged.join(label.select("node"), "node", "left_anti")), "label")
+        scratch.release()
     final = (
         full.groupBy("sid").agg(F.min("id").alias("rep"))
         .join(label.withColumnRenamed("node", "sid"), "sid", "left")
