@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from .merges import Merges
 
 #: Code points of a block: its distinct words are encoded once. A longer text is a block of its own.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 12_000_000
 #: Buckets of the rank map. Spark looks maps up by going through them, so they are kept short.
 BUCKETS = 1 << 15
-#: Texts in an output batch.
-OUT_ROWS = 2000
+#: Texts that are Python strings at once, and texts in an output batch.
+OUT_ROWS = 1000
 _BIG = 1 << 30
 
 
@@ -39,6 +39,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
 
 
+@functools.lru_cache(maxsize=1)
+def load_merges(path: str) -> Merges:
+    """One for each Python worker, which goes on from task to task with it."""
+    return Merges.of_ranks(load_ranks(path))
+
+
 @functools.lru_cache(maxsize=4)
 def _rank_json(path: str) -> str:
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
@@ -165,8 +171,8 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, pieces_of, block = Merges.of_ranks(load_ranks(path)), regex.compile(pattern).findall, _Block()
-        for b in batches:
+        merges, pieces_of, block = load_merges(path), regex.compile(pattern).findall, _Block()
+        for b in (x.slice(k, OUT_ROWS) for x in batches for k in range(0, x.num_rows, OUT_ROWS)):
             for doc_id, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 if block.ids and block.chars + len(text) > block_chars:
                     yield from block.encode(merges, pieces_of)

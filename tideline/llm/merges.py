@@ -90,25 +90,31 @@ class Merges:
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, none of them empty, one word after another, and how many each has."""
-        out: list = [None] * len(words)
-        by_length = defaultdict(list)
+        by_length, at, found, counts = defaultdict(list), [], [], []
         for k, w in enumerate(words):
             whole = self.whole.get(w)
             if whole is None:
                 by_length[len(w)].append(k)
             else:
-                out[k] = np.array([whole], np.int32)
+                at.append(k)
+                found.append(whole)
+        at, found, counts = [np.array(at, np.int64)], [np.array(found, np.int32)], [np.ones(len(at), np.int64)]
         for n, every in by_length.items():
             step = max(1, self.CELLS // n)
             for a in range(0, len(every), step):
-                part = every[a : a + step]
-                b = np.frombuffer(b"".join([words[k] for k in part]), np.uint8).reshape(-1, n)
+                part = np.array(every[a : a + step], np.int64)
+                b = np.frombuffer(b"".join([words[k] for k in part.tolist()]), np.uint8).reshape(-1, n)
                 t = self.single[b]
                 t[:, -1] = self.last[b[:, -1]]
 
-                def put(rows: np.ndarray, ids: np.ndarray, part: list[int] = part) -> None:
-                    for k, x in zip(rows.tolist(), ids, strict=True):
-                        out[part[k]] = x
+                def put(rows: np.ndarray, ids: np.ndarray, part: np.ndarray = part) -> None:
+                    at.append(part[rows])
+                    found.append(ids.ravel())
+                    counts.append(np.full(len(rows), ids.shape[1], np.int64))
 
                 self._fold(t, put)
-        return np.concatenate(out or [np.empty(0, np.int32)]), np.fromiter(map(len, out), np.int64, len(out))
+        at, found, counts = (np.concatenate(x) for x in (at, found, counts))
+        order = np.argsort(at)  # each word is there once
+        n = counts[order]
+        ends = np.cumsum(n)
+        return found[np.arange(len(found)) + np.repeat((np.cumsum(counts) - counts)[order] - (ends - n), n)], n
