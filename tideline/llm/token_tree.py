@@ -17,8 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _Block, load_ranks
-from .merges import Merges
+from .bpe import _Block, load_merges, load_ranks
 
 #: Chunks of a segment when a tree is built, and code points of the texts that are counted together.
 SEGMENT_CHUNKS, BLOCK_CHARS = 48, 16_000_000
@@ -99,7 +98,7 @@ def build_trees(docs: DataFrame, path: str, pattern: str, edits: Column, id_col:
     texts is encoded once, and nothing is shuffled. A null text is empty and has one empty segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, pieces_of = Merges.of_ranks(load_ranks(path)), regex.compile(pattern).findall
+        merges, pieces_of = load_merges(path), regex.compile(pattern).findall
 
         def finish(block: _Block, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lengths, counts = block.chunk_tokens(merges, pieces_of)
