@@ -62,17 +62,17 @@ def fit(texts: list[str], toxic: list[int]) -> Classifier:
     n1, n0 = int(y.sum()), int((~y).sum())
     if not n1 or not n0:
         return Classifier(np.empty(0, np.int64), np.empty(0), float(np.log((n1 + 1) / (n0 + 1))) - (3.0 if not n1 else -3.0))
-    has = [np.unique(features(t)) for t in texts]
     df = np.zeros((2, 1 << FEATURE_BITS))
-    for h, k in zip(has, y.astype(int), strict=True):
-        df[k, h] += 1
+    for t, k in zip(texts, y.astype(int), strict=True):
+        df[k, np.unique(features(t))] += 1
     ratio = np.log((df[1] + SMOOTH) / (n1 + 2 * SMOOTH)) - np.log((df[0] + SMOOTH) / (n0 + 2 * SMOOTH))
     share = (df[0] + df[1] + 1) / (n0 + n1 + 2)
     clear = np.abs(df[1] / n1 - df[0] / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
     which = np.sort(np.argsort(-clear, kind="stable")[:FEATURES])
     number = np.full(1 << FEATURE_BITS, -1, np.int32)
     number[which] = np.arange(len(which))
-    has = [x[x >= 0] for x in (number[h] for h in has)]
+    # features are made once more rather than kept: those of all texts take hundreds of MB
+    has = [np.unique(x[x >= 0]) for x in (number[features(t)] for t in texts)]
     col, row = np.concatenate(has), np.repeat(np.arange(len(has)), [len(h) for h in has])
     value, w, b = ratio[which][col], np.zeros(len(which)), float(np.log(n1 / n0))
     m, v = np.zeros(len(which) + 1), np.zeros(len(which) + 1)
