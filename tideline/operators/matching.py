@@ -144,22 +144,22 @@ def exchange_match(companies: DataFrame, key: str, names: list[str], listed: Dat
     pass counts, of equals the least symbol. Fuzzy candidates share a group of four letters. A company that no pass
     matches has the match none and confidence 0.
     """
-    lists = listed.select("symbol", exchange_key(F.col("known")).alias("k")).where("k <> ''").groupBy("k").agg(F.min("symbol").alias("symbol"))
+    lists = listed.select("symbol", exchange_key(F.col("known")).alias("_known")).where("_known <> ''").groupBy("_known").agg(F.min("symbol").alias("symbol"))
     grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 3, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(4)))))
-    index = lists.withColumn("gram", grams("k"))
+    index = lists.withColumn("_gram", grams("_known"))
     found = None
     for fuzzy in (False, True):
         for n, name in enumerate(names):
-            asked = companies.select(key, exchange_key(F.col(name)).alias("q")).where("q <> ''")
+            asked = companies.select(F.col(key).alias("_id"), exchange_key(F.col(name)).alias("_asked")).where("_asked <> ''")
             if found is not None:
-                asked = asked.join(found.select(key), key, "left_anti")
+                asked = asked.join(found.select("_id"), "_id", "left_anti")
             if fuzzy:
-                pairs = asked.withColumn("gram", grams("q")).join(index, "gram").select(key, "q", "k", "symbol").distinct()
-                hits = pairs.withColumn("r", ratios(F.col("q"), F.col("k"))["set_ratio"]).where(F.col("r") >= least)
+                pairs = asked.withColumn("_gram", grams("_asked")).join(index, "_gram").select("_id", "_asked", "_known", "symbol").distinct()
+                hits = pairs.withColumn("_ratio", ratios(F.col("_asked"), F.col("_known"))["set_ratio"]).where(F.col("_ratio") >= least)
             else:
-                hits = asked.join(lists, F.col("q") == F.col("k")).withColumn("r", F.lit(100.0))
-            best = hits.groupBy(key).agg(F.min(F.struct((-F.col("r")).alias("less"), "symbol")).alias("m"))
+                hits = asked.join(lists, F.col("_asked") == F.col("_known")).withColumn("_ratio", F.lit(100.0))
+            best = hits.groupBy("_id").agg(F.min(F.struct((-F.col("_ratio")).alias("less"), "symbol")).alias("m"))
             label = ("fuzzy" if fuzzy else "exact") + (f"_{name}" if n else "")
-            some = best.select(key, "m.symbol", F.lit(label).alias("match"), F.floor(-F.col("m.less")).cast("int").alias("confidence"))
+            some = best.select("_id", "m.symbol", F.lit(label).alias("match"), F.floor(-F.col("m.less")).cast("int").alias("confidence"))
             found = some if found is None else found.unionByName(some)
-    return companies.join(found, key, "left").withColumn("match", F.coalesce("match", F.lit("none"))).withColumn("confidence", F.coalesce("confidence", F.lit(0)))
+    return companies.join(found.withColumnRenamed("_id", key), key, "left").withColumn("match", F.coalesce("match", F.lit("none"))).withColumn("confidence", F.coalesce("confidence", F.lit(0)))
