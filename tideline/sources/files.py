@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -30,10 +30,9 @@ def promote_header(rows: DataFrame, order: str, is_header: Column, by: str | Non
     """Sheets whose header stands below other lines: array rows (cells) become maps of header and cell, from the row
     after the first that is a header. Cells beyond the header go."""
     keys = [by] if by else []
-    w = Window.partitionBy(*keys, *([] if keys else [F.lit(1)]))
-    at = F.min(F.when(is_header, F.col(order))).over(w)
-    head = F.min_by(F.when(is_header, F.col("cells")), F.when(is_header, F.col(order))).over(w)
-    marked = rows.withColumn("_at", at).withColumn("_head", head).where(F.col(order) > F.col("_at"))
+    head = rows.where(is_header).groupBy(*keys).agg(F.min(order).alias("_at"), F.min_by("cells", order).alias("_head"))
+    # without keys the header is one row
+    marked = (rows.join(head, keys) if keys else rows.join(F.broadcast(head))).where(F.col(order) > F.col("_at"))
     n = F.least(F.size("_head"), F.size("cells"))
     return marked.select(*keys, order, F.map_from_arrays(F.slice("_head", F.lit(1), n), F.slice("cells", F.lit(1), n)).alias("row"))
 
