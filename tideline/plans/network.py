@@ -93,7 +93,7 @@ def _bfs(k: int) -> str:
 _VIEWS = ("lends", "rpt", "holds")
 
 Q: dict = {
-    "channels_additive": (lambda t: channels(t).select("src", "dst", "type", F.round("weight", 6).alias("weight")), sql(_ADD.replace(_NODES, "") + "\nSELECT src, dst, type, round(weight, 6) AS weight FROM ch", *_VIEWS)),
+    "channels_additive": (lambda t: channels(t).select("src", "dst", "type", F.round("weight", 10).alias("weight")), sql(_ADD.replace(_NODES, "") + "\nSELECT src, dst, type, round(weight, 10) AS weight FROM ch", *_VIEWS)),
     "propagate_additive_k3": (lambda t: _round(P.rounds(nodes(t), channels(t), 3)), sql(_ADD + _additive(3, False) + _OUT, *_VIEWS)),
     "propagate_shock_k3": (lambda t: _round(P.rounds(nodes(t), channels(t), 3, shocks=shocks(t))), sql(_ADD + _SHOCK + _additive(3, True) + _OUT, *_VIEWS)),
     "attribution": (lambda t: P.attribution(P.rounds(nodes(t), channels(t), 1), channels(t)).select("dst", "src", "type", F.round("contribution", 6).alias("contribution")), sql(_ADD + _additive(1, False) + """

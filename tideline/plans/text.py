@@ -22,8 +22,8 @@ _CASE = " ".join(f"WHEN contains(lower(p_name), '{n}') THEN '{s}'" for n, s in s
 
 
 def _code_scores(t: Tables):
-    a = t["customer"].where("c_custkey % 3 <> 0").select(F.concat(F.lit(" "), F.lower("c_name")).alias("code"), F.col("c_acctbal").alias("news"))
-    b = t["customer"].where("c_custkey % 4 <> 0").select(F.col("c_name").alias("code"), F.col("c_nationkey").cast("double").alias("fundamental"))
+    a = t["customer"].where("c_acctbal > 0").select(F.concat(F.lit(" "), F.lower("c_name")).alias("code"), F.col("c_acctbal").alias("news"))
+    b = t["customer"].where("c_mktsegment <> 'BUILDING'").select(F.col("c_name").alias("code"), F.col("c_nationkey").cast("double").alias("fundamental"))
     return M.full_outer_scores(a, b, "code")
 
 
@@ -39,14 +39,14 @@ _WORDS = "|".join(X.LEGAL_WORDS)
 def _names(t: Tables):
     """Part names as companies, misspelt ones, and banks."""
     known = t["part"].select(F.concat("p_name", F.lit(" "), "p_brand", F.lit(" Limited")).alias("known"), F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("entity"))
-    asked = t["part"].where("p_partkey % 10 = 0").select(F.concat(F.initcap("p_name"), F.lit("s "), "p_brand", F.lit(" Ltd")).alias("name"))
+    asked = t["part"].select(F.concat(F.initcap("p_name"), F.lit("s "), "p_brand", F.lit(" Ltd")).alias("name"))
     banks = t["supplier"].select(F.col("s_name").alias("known"), F.concat(F.lit("b"), F.col("s_suppkey").cast("string")).alias("entity"))
     return M.resolve(asked, "name", banks, known)
 
 
 Q: dict = {
     "scores_full_outer": (_code_scores, """
-WITH a AS (SELECT upper(trim(' ' || lower(c_name))) AS code, c_acctbal AS news FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT upper(c_name) AS code, CAST(c_nationkey AS DOUBLE) AS fundamental FROM customer WHERE c_custkey % 4 <> 0)
+WITH a AS (SELECT upper(trim(' ' || lower(c_name))) AS code, c_acctbal AS news FROM customer WHERE c_acctbal > 0), b AS (SELECT upper(c_name) AS code, CAST(c_nationkey AS DOUBLE) AS fundamental FROM customer WHERE c_mktsegment <> 'BUILDING')
 SELECT coalesce(a.code, b.code) AS code, news, fundamental FROM a FULL JOIN b ON a.code = b.code"""),
     "unmatched_anti": (lambda t: t["customer"].join(t.lends, F.col("c_custkey") == F.col("company"), "left_anti").select("c_custkey", "c_name"), sql("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT company FROM lends)", "lends")),
     "resume_anti": (lambda t: t["orders"].select("o_custkey").distinct().join(t["customer"].where("c_acctbal > 5000"), F.col("o_custkey") == F.col("c_custkey"), "left_anti"), "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)"),
@@ -54,7 +54,7 @@ SELECT coalesce(a.code, b.code) AS code, news, fundamental FROM a FULL JOIN b ON
 SELECT p_partkey, lpad(CAST(p_size AS VARCHAR), 2, '0') || '00' AS code, section FROM part LEFT JOIN (VALUES {_SECTIONS}) s(section, lo, hi) ON lpad(CAST(p_size AS VARCHAR), 2, '0') BETWEEN lo AND hi"""),
     "longest_substring_join": (lambda t: t["part"].select("p_partkey", M.longest_contained(t["part"], "p_name", VARIANTS).alias("symbol")), f"SELECT p_partkey, CASE {_CASE} END AS symbol FROM part"),
     "bank_name_join": (lambda t: M.bank_name_join(t["supplier"].select("s_suppkey", F.concat(F.lower("s_name"), F.lit(" Ltd.")).alias("x")), "x", t["supplier"].select(F.col("s_name").alias("y"), F.col("s_acctbal").alias("tier1")), "y").select("s_suppkey", "tier1"), "SELECT s_suppkey, s_acctbal AS tier1 FROM supplier"),
-    "boards_union": (lambda t: t["supplier"].select(F.col("s_name").alias("name")).union(t["customer"].select(F.when(F.col("c_custkey") % 5 != 0, F.col("c_name")))).dropna(), "SELECT s_name AS name FROM supplier UNION ALL SELECT c_name FROM customer WHERE c_custkey % 5 <> 0"),
+    "boards_union": (lambda t: t["supplier"].select(F.col("s_name").alias("name")).union(t["customer"].select(F.when(F.col("c_acctbal") > 0, F.col("c_name")))).dropna(), "SELECT s_name AS name FROM supplier UNION ALL SELECT c_name FROM customer WHERE c_acctbal > 0"),
     "rating_union": (lambda t: t.fac.select("company", F.col("facility").alias("item")).union(t["customer"].select("c_custkey", "c_mktsegment")).groupBy("company").agg(F.count(F.lit(1)).alias("items"), F.count_distinct("item").alias("kinds")), sql("""
 SELECT company, count(*) AS items, count(DISTINCT item) AS kinds FROM (SELECT company, facility AS item FROM fac UNION ALL SELECT c_custkey, c_mktsegment FROM customer) GROUP BY company""", "fac")),
     "norm_company": (lambda t: t["customer"].select("c_custkey", X.company_key(_odd("c_name")).alias("key")), f"""
@@ -70,7 +70,7 @@ SELECT doc_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replac
     "confidence_bands": (lambda t: t["events"].groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("n")).select("user_id", S.confidence(F.col("n")).alias("confidence")), "SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_type = 'error') >= 5 THEN 'high' WHEN count(*) FILTER (WHERE event_type = 'error') >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM events GROUP BY user_id"),
     "status_queue": (lambda t: status.latest_status(t["events"].select(F.col("user_id").alias("report"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"))), "SELECT user_id AS report, arg_max(event_type, (ts, event_id)) AS status, count(*) AS changes FROM events GROUP BY user_id"),
     "fuzzy_resolve": (_names, None),
-    "exchange_match": (lambda t: M.exchange_match(t["supplier"].select("s_suppkey", F.concat("s_name", F.lit(" Limited")).alias("name"), F.concat(F.lit("The "), "s_name").alias("other")), "s_suppkey", ["name", "other"], t["supplier"].where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").cast("string").alias("symbol"), F.concat("s_name", F.when(F.col("s_suppkey") % 2 == 0, " Ltd.").otherwise("")).alias("known"))).select("s_suppkey", "match", "confidence"), None),
+    "exchange_match": (lambda t: M.exchange_match(t["supplier"].select("s_suppkey", F.concat("s_name", F.lit(" Limited")).alias("name"), F.concat(F.lit("The "), "s_name").alias("other")), "s_suppkey", ["name", "other"], t["supplier"].where("s_acctbal > 0").select(F.col("s_suppkey").cast("string").alias("symbol"), F.concat("s_name", F.when(F.col("s_suppkey") % 2 == 0, " Ltd.").otherwise("")).alias("known"))).select("s_suppkey", "match", "confidence"), None),
     "metric_names": (lambda t: t["part"].select("p_partkey", metric_name(F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("Net NPA as %*  of "), "p_name")).when(F.col("p_partkey") % 4 == 1, F.lit(" gross\nNPA# ")).when(F.col("p_partkey") % 4 == 2, F.concat("p_name", F.lit(" car ratio"))).otherwise(F.col("p_name"))).alias("metric")), """
 SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Net NPA as % to Net Advances' WHEN 1 THEN 'Gross NPA' WHEN 2 THEN 'Capital Adequacy Ratio (Basel-III)' ELSE
   array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') END AS metric FROM part"""),

@@ -10,13 +10,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Companies that each bank lends to at most.
-LENDS_PER_BANK = 20
-
-
-def ranked(df: DataFrame, by: list[str], *order, name: str = "r") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-
 
 class Tables:
     """The tables of a folder and the views on them; each is planned where it is used, and nothing is cached."""
@@ -40,9 +33,8 @@ class Tables:
 
     @cached_property
     def lends(self) -> DataFrame:
-        """LENDS_TO edges: the largest borrowers of each bank."""
-        all_ = self.fac.groupBy("bank", "company").agg(F.round(F.sum("amt"), 2).alias("amount"), F.count(F.lit(1)).alias("n"))
-        return ranked(all_, ["bank"], F.desc("amount"), "company").where(F.col("r") <= LENDS_PER_BANK).drop("r")
+        """LENDS_TO edges: every bank and company with facilities between them."""
+        return self.fac.groupBy("bank", "company").agg(F.round(F.sum("amt"), 2).alias("amount"), F.count(F.lit(1)).alias("n"))
 
     @cached_property
     def rpt(self) -> DataFrame:
@@ -72,10 +64,9 @@ class Tables:
 
     @cached_property
     def bank_rpt(self) -> DataFrame:
-        """Bank to bank: the five that share most parts with each."""
+        """Bank to bank: those that deal in the same parts."""
         a = self["lineitem"].select("l_partkey", F.col("l_suppkey").alias("a")).distinct()
-        pairs = a.join(a.withColumnRenamed("a", "b"), "l_partkey").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("parts"))
-        return ranked(pairs, ["a"], F.desc("parts"), "b").where("r <= 5").drop("r")
+        return a.join(a.withColumnRenamed("a", "b"), "l_partkey").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("parts"))
 
     @cached_property
     def industry(self) -> DataFrame:
@@ -87,8 +78,7 @@ VIEWS_SQL = {
     "fac": """SELECT l_suppkey AS bank, o_custkey AS company, p_type AS facility, floor(l_extendedprice * (1 - l_discount) + 0.5) AS amt, floor(l_extendedprice + 0.5) AS gross,
   o_orderpriority AS priority, l_returnflag AS flag, l_linestatus AS status, o_orderdate AS odate, l_orderkey, l_linenumber
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""",
-    "lends": f"""SELECT bank, company, amount, n FROM (SELECT bank, company, round(sum(amt), 2) AS amount, count(*) AS n,
-  row_number() OVER (PARTITION BY bank ORDER BY round(sum(amt), 2) DESC, company) AS r FROM fac GROUP BY bank, company) WHERE r <= {LENDS_PER_BANK}""",
+    "lends": "SELECT bank, company, round(sum(amt), 2) AS amount, count(*) AS n FROM fac GROUP BY bank, company",
     "rpt": """SELECT company, bank, round(sum(amt), 2) AS amount, round(coalesce(sum(amt) FILTER (WHERE status = 'O'), 0.0), 2) AS up, count(*) AS n
   FROM fac WHERE flag = 'R' GROUP BY company, bank""",
     "holds": """SELECT c_custkey AS owner, s_suppkey AS bank, c_mktsegment AS category, round(100 * c_acctbal / sum(c_acctbal) OVER (PARTITION BY s_suppkey), 4) AS pct
@@ -97,9 +87,8 @@ VIEWS_SQL = {
   FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey WHERE a.s_acctbal > 0""",
     "co_lends": """SELECT lender, company FROM (SELECT c_custkey AS lender, lead(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS company
   FROM customer) WHERE company IS NOT NULL""",
-    "bank_rpt": """SELECT a, b, parts FROM (SELECT a, b, parts, row_number() OVER (PARTITION BY a ORDER BY parts DESC, b) AS r FROM
-  (SELECT x.s AS a, y.s AS b, count(*) AS parts FROM (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem) x
-   JOIN (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem) y ON x.p = y.p AND x.s < y.s GROUP BY ALL)) WHERE r <= 5""",
+    "bank_rpt": """SELECT x.s AS a, y.s AS b, count(*) AS parts FROM (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem) x
+   JOIN (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem) y ON x.p = y.p AND x.s < y.s GROUP BY ALL""",
     "industry": "SELECT c_custkey AS company, c_name AS name, c_mktsegment AS industry, c_nationkey AS nation FROM customer",
 }
 _NEEDS = {"lends": ["fac"], "rpt": ["fac"]}
