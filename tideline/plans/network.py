@@ -21,7 +21,7 @@ def nodes(t: Tables):
 
 def channels(t: Tables):
     lends = t.lends.select(_id("b", "bank").alias("bank"), _id("c", "company").alias("company"), (F.col("amount") / 20000000).alias("absorption"), F.lit(None).cast("double").alias("transmittance"), F.lit(0.6).alias("lgd"), F.lit(0.9).alias("t"))
-    rpt = t.rpt.where("n >= 2").select(_id("c", "company").alias("company"), _id("b", "bank").alias("bank"), (F.col("up") / 20000000).alias("up_weight"), F.least(F.col("amount") / 5000000, F.lit(0.2)).alias("down_weight"))
+    rpt = t.rpt.select(_id("c", "company").alias("company"), _id("b", "bank").alias("bank"), (F.col("up") / 20000000).alias("up_weight"), F.least(F.col("amount") / 5000000, F.lit(0.2)).alias("down_weight"))
     holds = t.holds.select(_id("c", "owner").alias("owner"), _id("b", "bank").alias("bank"), "pct")
     return P.additive_channels(lends, rpt, holds)
 
@@ -29,8 +29,8 @@ def channels(t: Tables):
 def edges(t: Tables):
     none = F.lit(None).cast("double")
     a = t.lends.select(F.concat_ws("-", F.lit("l"), "bank", "company").alias("edge_id"), _id("b", "bank").alias("src"), _id("c", "company").alias("dst"), F.lit("LENDS_TO").alias("type"), none.alias("pct"), none.alias("up"), none.alias("down"), "amount")
-    b = t.holds.where("pct >= 2").select(F.concat_ws("-", F.lit("h"), "owner", "bank").alias("edge_id"), _id("c", "owner").alias("src"), _id("b", "bank").alias("dst"), F.lit("SHAREHOLDER_OF").alias("type"), "pct", none.alias("up"), none.alias("down"), none.alias("amount"))
-    c = t.rpt.where("n >= 2").select(F.concat_ws("-", F.lit("r"), "company", "bank").alias("edge_id"), _id("c", "company").alias("src"), _id("b", "bank").alias("dst"), F.lit("RELATED_PARTY").alias("type"), none.alias("pct"), none.alias("up"), none.alias("down"), none.alias("amount"))
+    b = t.holds.select(F.concat_ws("-", F.lit("h"), "owner", "bank").alias("edge_id"), _id("c", "owner").alias("src"), _id("b", "bank").alias("dst"), F.lit("SHAREHOLDER_OF").alias("type"), "pct", none.alias("up"), none.alias("down"), none.alias("amount"))
+    c = t.rpt.select(F.concat_ws("-", F.lit("r"), "company", "bank").alias("edge_id"), _id("c", "company").alias("src"), _id("b", "bank").alias("dst"), F.lit("RELATED_PARTY").alias("type"), none.alias("pct"), none.alias("up"), none.alias("down"), none.alias("amount"))
     return a.unionByName(b).unionByName(c)
 
 
