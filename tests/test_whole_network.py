@@ -32,3 +32,7 @@ def same(spark, db, name, sql):
 @pytest.mark.parametrize("name", ["bfs_depth3", "channels_additive", "channels_noisy_or", "degree_stats", "propagate_additive_k3", "risk_enrich"])
 def test_no_floors_of_edges(spark, db, name):
     same(spark, db, name, whole(ORACLE_SQL[name], " WHERE pct >= 2", " WHERE n >= 2"))
+
+
+def test_owners_of_any_stake(spark, db):
+    same(spark, db, "q27_owner_bank_borrower", whole(ORACLE_SQL["q27_owner_bank_borrower"], " WHERE h.pct >= 1"))

@@ -162,9 +162,9 @@ def bank_company_industry(lends: DataFrame, industry: DataFrame) -> DataFrame:
     return lends.join(industry, "company").select("bank", "company", "industry", "amount")
 
 
-def owner_bank_borrower(holds: DataFrame, lends: DataFrame, least_pct: float = 1.0) -> DataFrame:
-    """Owners with a stake of least_pct or more, their banks, and those banks' borrowers."""
-    return holds.where(F.col("pct") >= least_pct).select("owner", "bank", "pct").join(lends.select("bank", "company"), "bank").select("owner", "bank", "company", "pct")
+def owner_bank_borrower(holds: DataFrame, lends: DataFrame) -> DataFrame:
+    """Owners with a known stake of any size, their banks, and those banks' borrowers."""
+    return holds.where(F.col("pct").isNotNull()).select("owner", "bank", "pct").join(lends.select("bank", "company"), "bank").select("owner", "bank", "company", "pct")
 
 
 def circular(lends: DataFrame, holds: DataFrame) -> DataFrame:
