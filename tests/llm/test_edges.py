@@ -255,3 +255,13 @@ def test_ngram_edges(docs, none):
     assert by[1].n_shingles == by[2].n_shingles == by[3].n_shingles == 0 and by[3].component_id == 3
     assert by[4].n_shingles == 1 and by[11].n_shingles == 1 and by[None].component_id is None
     assert ngram_join.ngram_components(none).count() == 0
+
+
+def test_toxicity_learns_from_whole_texts(spark):
+    start = "all is well with the weather today. " * 600  # 21,600 code points
+    rows = [(k, start + ("what a vile wretch " if k % 3 == 0 else "what a fine friend ") * 5 + str(k), int(k % 3 == 0)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert model.score("you vile wretch") > 0.7 > 0.3 > model.score("my fine friend")
+    same = toxicity.fit([r[1] for r in rows], [r[2] for r in rows])
+    assert (model.which == same.which).all() and abs(model.score(rows[0][1]) - same.score(rows[0][1])) < 1e-6
