@@ -265,3 +265,13 @@ def test_toxicity_learns_from_whole_texts(spark):
     assert model.score("you vile wretch") > 0.7 > 0.3 > model.score("my fine friend")
     same = toxicity.fit([r[1] for r in rows], [r[2] for r in rows])
     assert (model.which == same.which).all() and abs(model.score(rows[0][1]) - same.score(rows[0][1])) < 1e-6
+
+
+def test_toxicity_bias_is_that_of_all_labels(spark):
+    rows = [(k, ("what a vile wretch" if k % 10 == 0 else "what a fine friend") + f" number {k}", int(k % 10 == 0)) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs, docs.select("doc_id", "toxic"), sample_rows=20)
+    picked = docs.groupBy("toxic").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("doc_id").alias("h"), "text"))).alias("all")).collect()
+    taken = [(x.text, r.toxic) for r in picked for x in r["all"][:20]]
+    sampled = toxicity.fit([t for t, _ in taken], [y for _, y in taken])
+    assert model.bias - sampled.bias == pytest.approx(np.log((40 / 360) / (20 / 20)), abs=1e-6)

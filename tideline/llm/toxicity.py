@@ -128,7 +128,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Classifier:
     """Trains on at most sample_rows labelled documents of each class. Rows without label or id are left out; ids that
-    are labelled twice count as toxic if either label says so; null texts count as empty.
+    are labelled twice count as toxic if either label says so; null texts count as empty. The bias is that of the classes'
+    shares among all labels, whatever the sample holds of each.
 
     Texts stay in the tasks that read them: the driver gets one row per feature, at most 2 ** FEATURE_BITS, and then the
     chosen features of each sampled row."""
@@ -159,8 +160,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array(has, pa.binary())], names=["id", "y", "has"])
 
     kind = docs.schema[id_col].dataType.simpleString()
+    # the classes are sampled at rates of their own where one has more than sample_rows
+    labelled = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shift = float(np.log(max(labelled[1] / sample_rows, 1)) - np.log(max(labelled[0] / sample_rows, 1)))
     told = rows.select("id", "y", "text").mapInArrow(chosen, f"id {kind}, y int, has binary").toArrow().sort_by([("id", "ascending"), ("has", "ascending")])
-    return learn(which, ratio, [np.frombuffer(h, "<u2").astype(np.int64) for h in told["has"].to_pylist()], told["y"].to_numpy().astype(bool))
+    model = learn(which, ratio, [np.frombuffer(h, "<u2").astype(np.int64) for h in told["has"].to_pylist()], told["y"].to_numpy().astype(bool))
+    return Classifier(model.which, model.weights, model.bias + shift)
 
 
 def toxicity_scores(docs: DataFrame, model: Classifier, text_col: str = "text", score_col: str = "score") -> DataFrame:
