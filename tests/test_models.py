@@ -134,3 +134,17 @@ def test_exchange_match(spark):
     got = {r.k: (r.symbol, r.match) for r in M.exchange_match(asked, "k", ["a", "b"], listed).collect()}
     assert got == {1: ("TATASTEEL", "exact"), 2: ("INFY", "exact_b"), 3: ("TATASTEEL", "fuzzy"), 4: (None, "none"), 5: (None, "none")}
     assert one(spark, "Gross *NPA#", "string", metric_name) == "Gross NPA" and one(spark, "odd thing", "string", metric_name) == "Odd Thing"
+
+
+def test_exchange_match_same_as_all_pairs(spark):
+    known = ["ITC Limited", "TCS Ltd", "ABCXEFG", "AB", "Tata Steel Limited", "Steel Works of Tata", "XY Z", "QRSTUVW"]
+    names = ["ITC", "TCS", "ABCDEFG", "AXB", "Steel Tata", "Z Y X", "QRSXUVW", "Tota Steal Ltd", "nothing", "A"]
+    listed = spark.createDataFrame([(f"s{k}", n) for k, n in enumerate(known)], "symbol string, known string")
+    asked = spark.createDataFrame(list(enumerate(names)), "k int, a string")
+    key = lambda df, c: [(r[0], r[1]) for r in df.select(df.columns[0], M.exchange_key(F.col(c))).collect()]
+    want = {}
+    for k, a in key(asked, "a"):
+        best = min((-M.set_ratio(a, b), s) for s, b in key(listed, "known"))
+        want[k] = best[1] if -best[0] >= M.EXCHANGE_RATIO else None
+    got = {r.k: r.symbol for r in M.exchange_match(asked, "k", ["a"], listed).collect()}
+    assert got == want and got[0] == "s0" and got[1] == "s1" and got[2] == "s2" and got[3] == "s3"

@@ -141,12 +141,15 @@ def exchange_match(companies: DataFrame, key: str, names: list[str], listed: Dat
     """companies with symbol, match and confidence from an exchange list (symbol, known).
 
     Passes go over the columns `names` in turn, exact first, then fuzzy by set_ratio of `least` or more; the best of a
-    pass counts, of equals the least symbol. Fuzzy candidates share a group of four letters. A company that no pass
-    matches has the match none and confidence 0.
+    pass counts, of equals the least symbol. Fuzzy passes compare every name with the whole list, but for pairs that have
+    no word in common and lengths too far apart for any ratio of `least`. A company that no pass matches has the match
+    none and confidence 0.
     """
     lists = listed.select("symbol", exchange_key(F.col("known")).alias("_known")).where("_known <> ''").groupBy("_known").agg(F.min("symbol").alias("symbol"))
-    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 3, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(4)))))
-    index = lists.withColumn("_gram", grams("_known"))
+    # a name's distinct words, and their length as set_ratio joins them
+    parted = lambda df, c, words, size: df.withColumn(words, F.array_distinct(F.split(c, " "))).withColumn(size, F.length(F.array_join(words, " ")))
+    index = parted(lists, "_known", "_kw", "_kn")
+    near = F.arrays_overlap("_aw", "_kw") | (200 * F.least("_an", "_kn") >= least * (F.col("_an") + F.col("_kn")))
     found = None
     for fuzzy in (False, True):
         for n, name in enumerate(names):
@@ -154,7 +157,7 @@ def exchange_match(companies: DataFrame, key: str, names: list[str], listed: Dat
             if found is not None:
                 asked = asked.join(found.select("_id"), "_id", "left_anti")
             if fuzzy:
-                pairs = asked.withColumn("_gram", grams("_asked")).join(index, "_gram").select("_id", "_asked", "_known", "symbol").distinct()
+                pairs = parted(asked, "_asked", "_aw", "_an").join(index, near).select("_id", "_asked", "_known", "symbol")
                 hits = pairs.withColumn("_ratio", ratios(F.col("_asked"), F.col("_known"))["set_ratio"]).where(F.col("_ratio") >= least)
             else:
                 hits = asked.join(lists, F.col("_asked") == F.col("_known")).withColumn("_ratio", F.lit(100.0))
