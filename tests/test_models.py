@@ -148,3 +148,33 @@ def test_exchange_match_same_as_all_pairs(spark):
         want[k] = best[1] if -best[0] >= M.EXCHANGE_RATIO else None
     got = {r.k: r.symbol for r in M.exchange_match(asked, "k", ["a"], listed).collect()}
     assert got == want and got[0] == "s0" and got[1] == "s1" and got[2] == "s2" and got[3] == "s3"
+
+
+def test_component_models_of_many_rows(spark):
+    rng = np.random.default_rng(1)
+    few = rng.normal(size=(60, 3)) @ rng.normal(size=(3, 3))
+    frame = lambda x: spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)], "k int, a double, b double, c double")
+    z = K.standardise(few)
+    first = np.linalg.svd(z, full_matrices=False)[2][0]
+    score = z @ (first * (1 if first[2] >= 0 else -1))
+    y = K.ridge(K.standardise(few[:, :2]), few[:, 2])
+    own, point = K.kernel_pca(z, (np.array([[0.2] * 3]) - few.mean(0)) / few.std(0))
+    d = np.sqrt(((own - point) ** 2).sum(1))
+    runs = [
+        (lambda df: K.pca_stress(df, "k", ["a", "b", "c"], "c"), "score", (score - score.min()) / (score.max() - score.min())),
+        (lambda df: K.ridge_orientation(df, "k", ["a", "b"], "c"), "oriented", (y - y.min()) / (y.max() - y.min())),
+        (lambda df: K.boundary_stress(df, "k", ["a", "b", "c"], [0.2] * 3), "boundary", 1 - d / d.max()),
+    ]
+    many = spark.range(K.MAX_ROWS + 1).select(F.col("id").alias("k"), *[F.rand(s).alias(c) for s, c in enumerate("abc")])
+    for k, (run, name, want) in enumerate(runs):
+        got = {r.k: r[name] for r in run(frame(few)).collect()}
+        assert [got[k] for k in range(60)] == pytest.approx(list(want), abs=1e-6)
+        if k < 2:
+            assert run(many).count() == K.MAX_ROWS + 1
+
+
+def test_kernel_components_beyond_the_landmarks(spark, monkeypatch):
+    monkeypatch.setattr(K, "MAX_ROWS", 40)
+    df = spark.range(100).select("id", *[F.rand(s).alias(c) for s, c in enumerate("abc")])
+    got = [r.boundary for r in K.boundary_stress(df, "id", ["a", "b", "c"], [0.2] * 3).collect()]
+    assert len(got) == 100 and min(got) == 0 and max(got) <= 1

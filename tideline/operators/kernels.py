@@ -1,12 +1,14 @@
 """Numeric models of banks: Merton's two equations, kernel principal components, ridge, and principal components.
 
-Merton's model is solved for many rows of a batch at once. The component models are over banks, of which there are some
-hundreds at most; each runs as one group of at most MAX_ROWS rows, and more are refused rather than collected.
+Merton's model is solved for many rows of a batch at once. Principal components and ridge come from sums over all rows
+and score rows by column expressions. Kernel components are fitted on at most MAX_ROWS rows, those with the least hashes
+of the id, and every row is projected on them in tasks; up to MAX_ROWS rows the fit is over all.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,51 +83,110 @@ def ridge(x: np.ndarray, y: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
     return y.mean() + xc @ np.linalg.solve(xc.T @ xc + alpha * np.eye(x.shape[1]), xc.T @ yc)
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    n = df.limit(MAX_ROWS + 1).count()
-    if n > MAX_ROWS:
-        raise ValueError(f"more than {MAX_ROWS} rows: a component model is over banks, not over all companies")
-    return df
+def _known(c: str, other: Column | None = None) -> Column:
+    """A number that is neither null nor NaN, or else `other`."""
+    x = F.col(c).cast("double")
+    return F.coalesce(F.when(~F.isnan(x), x), F.lit(None).cast("double") if other is None else other)
+
+
+def _standard(df: DataFrame, columns: list[str]) -> dict[str, Column]:
+    """Standardised columns of a frame without nulls, by means and deviations of all rows."""
+    m = df.agg(*[f(c).alias(f"{n}_{k}") for k, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    return {c: (F.col(c) - F.lit(m[f"m_{k}"])) / F.lit(m[f"s_{k}"] or 1.0) for k, c in enumerate(columns)}
+
+
+def _products(df: DataFrame, a: list[Column], b: list[Column]) -> np.ndarray:
+    """Sums over all rows of the products of each of a with each of b."""
+    row = df.agg(*[F.sum(x * y).alias(f"p_{i}_{j}") for i, x in enumerate(a) for j, y in enumerate(b)]).first()
+    return np.array(row, float).reshape(len(a), len(b))
+
+
+def _weighted(columns: list[Column], weights: np.ndarray) -> Column:
+    return sum((c * F.lit(float(w)) for c, w in zip(columns, weights, strict=True)), F.lit(0.0))
+
+
+def _fitted(landmarks: DataFrame, health: list[str], centre: np.ndarray, scale: np.ndarray, danger: list[float]) -> tuple[np.ndarray, ...] | None:
+    """Landmarks, row means of their kernel, its mean, components, and the danger point among them; fitted in one task of
+    at most MAX_ROWS rows."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = (pdf.sort_values("_id")[health].to_numpy(float) - centre) / scale
+        full = kernel(x, x)
+        mean, every = full.mean(0), full.mean()
+        full -= mean
+        full -= mean[:, None]
+        full += every
+        value, vector = np.linalg.eigh(full)
+        top = np.argsort(-value)[: min(COMPONENTS, len(x) - 1) or 1]
+        parts = vector[:, top] / np.sqrt(np.maximum(value[top], 1e-12))
+        point = project((np.array([danger]) - centre) / scale, x, mean, every, parts)
+        return pd.DataFrame({"model": [pickle.dumps((x, mean, every, parts, point))]})
+
+    row = landmarks.groupBy(F.lit(1).alias("_g")).applyInPandas(lambda p: run(p), "model binary").first()
+    return None if row is None else pickle.loads(row["model"])
+
+
+def kernel(a: np.ndarray, x: np.ndarray, gamma: float = GAMMA) -> np.ndarray:
+    gap = (a * a).sum(1)[:, None] + (x * x).sum(1) - 2 * a @ x.T
+    return np.exp(-gamma * np.maximum(gap, 0, out=gap))
+
+
+def project(a: np.ndarray, x: np.ndarray, mean: np.ndarray, every: float, parts: np.ndarray) -> np.ndarray:
+    """Rows of a on the components of the landmarks x."""
+    k = kernel(a, x)
+    return (k - k.mean(1)[:, None] - mean + every) @ parts
 
 
 def boundary_stress(df: DataFrame, id_col: str, health: list[str], danger: list[float]) -> DataFrame:
     """(id, distance, boundary): distance from the danger point in kernel space; boundary stress is 1 at the point and 0
     at the farthest bank."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col)
-        x = pdf[health].to_numpy(float)
-        x = np.where(np.isnan(x), 0.5, x)
-        m, s = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)
-        own, point = kernel_pca((x - m) / s, (np.array([danger]) - m) / s, min(COMPONENTS, len(x) - 1) or 1)
-        d = np.sqrt(((own - point) ** 2).sum(1))
-        return pd.DataFrame({id_col: pdf[id_col], "distance": d, "boundary": np.clip(1 - d / max(d.max(), 1e-12), 0, 1)})
-
-    kind = dict(df.dtypes)[id_col]
-    return _bounded(df.select(id_col, *health)).groupBy(F.lit(1).alias("_g")).applyInPandas(lambda p: run(p), f"{id_col} {kind}, distance double, boundary double")
+    rows = df.select(F.col(id_col).alias("_id"), *[_known(c, F.lit(0.5)).alias(c) for c in health])
+    m = rows.agg(*[F.avg(c) for c in health], *[F.stddev_pop(c) for c in health]).first()
+    empty = rows.select(F.col("_id").alias(id_col), F.lit(0.0).alias("distance"), F.lit(0.0).alias("boundary")).where("false")
+    if m[0] is None:
+        return empty
+    centre, scale = np.array(m[: len(health)], float), np.array(m[len(health) :], float)
+    scale = np.where(scale > 0, scale, 1)
+    x, mean, every, parts, point = _fitted(rows.orderBy(F.xxhash64("_id"), "_id").limit(MAX_ROWS), health, centre, scale, danger)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in range(0, len(pdf), 500):  # a kernel of 500 rows has 20 MB
+                part = pdf.iloc[k : k + 500]
+                own = project((part[health].to_numpy(float) - centre) / scale, x, mean, every, parts)
+                yield pd.DataFrame({"_id": part["_id"], "distance": np.sqrt(((own - point) ** 2).sum(1))})
+
+    far = rows.mapInPandas(run, f"_id {dict(rows.dtypes)['_id']}, distance double")
+    most = max(far.agg(F.max("distance")).first()[0], 1e-12)
+    return far.select(F.col("_id").alias(id_col), "distance", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("distance") / most)).alias("boundary"))
 
 
 def pca_stress(df: DataFrame, id_col: str, columns: list[str], orient: str) -> DataFrame:
     """(id, score): the first principal component of standardised columns, turned so that `orient` adds to it, scaled to
-    0 to 1."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col)
-        x = pdf[columns].to_numpy(float)
-        x = standardise(np.where(np.isnan(x), np.nanmedian(x, 0), x))
-        first = np.linalg.svd(x, full_matrices=False)[2][0]
-        first = first * (1 if first[columns.index(orient)] >= 0 else -1)
-        score = x @ first
-        return pd.DataFrame({id_col: pdf[id_col], "score": (score - score.min()) / max(score.max() - score.min(), 1e-12)})
-
-    kind = dict(df.dtypes)[id_col]
-    return _bounded(df.select(id_col, *columns)).groupBy(F.lit(1).alias("_g")).applyInPandas(lambda p: run(p), f"{id_col} {kind}, score double")
+    0 to 1. Missing values are the column's median."""
+    rows = df.select(F.col(id_col).alias("_id"), *[_known(c).alias(c) for c in columns])
+    n = rows.agg(F.count(F.lit(1)), *[F.count(c) for c in columns]).first()
+    if gaps := [c for c, k in zip(columns, n[1:], strict=True) if k < n[0]]:
+        middle = rows.agg(*[F.median(c) for c in gaps]).first()
+        rows = rows.select("_id", *[F.coalesce(c, F.lit(float(middle[gaps.index(c)] or 0))).alias(c) if c in gaps else F.col(c) for c in columns])
+    if not n[0]:
+        return rows.select(F.col("_id").alias(id_col), F.lit(0.0).alias("score"))
+    z = list(_standard(rows, columns).values())
+    first = np.linalg.eigh(_products(rows, z, z))[1][:, -1]
+    first = first * (1 if first[columns.index(orient)] >= 0 else -1)
+    scored = rows.select(F.col("_id").alias(id_col), _weighted(z, first).alias("score"))
+    low, high = scored.agg(F.min("score"), F.max("score")).first()
+    return scored.withColumn("score", (F.col("score") - low) / max(high - low, 1e-12))
 
 
 def ridge_orientation(df: DataFrame, id_col: str, columns: list[str], target: str) -> DataFrame:
     """(id, oriented): the target predicted from the columns, scaled to 0 to 1; rows without target are not fitted."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[target]).sort_values(id_col)
-        y = ridge(standardise(pdf[columns].fillna(0.5).to_numpy(float)), pdf[target].to_numpy(float))
-        return pd.DataFrame({id_col: pdf[id_col], "oriented": (y - y.min()) / (y.max() - y.min() + 1e-10)})
-
-    kind = dict(df.dtypes)[id_col]
-    return _bounded(df.select(id_col, *columns, target)).groupBy(F.lit(1).alias("_g")).applyInPandas(lambda p: run(p), f"{id_col} {kind}, oriented double")
+    rows = df.select(F.col(id_col).alias("_id"), *[_known(c, F.lit(0.5)).alias(c) for c in columns], _known(target).alias("_y")).where("_y is not null")
+    centre = rows.agg(F.avg("_y")).first()[0]
+    if centre is None:
+        return rows.select(F.col("_id").alias(id_col), F.lit(0.0).alias("oriented"))
+    z = list(_standard(rows, columns).values())
+    sums = _products(rows, z, [*z, F.col("_y") - F.lit(centre)])
+    weights = np.linalg.solve(sums[:, :-1] + ALPHA * np.eye(len(z)), sums[:, -1])
+    told = rows.select(F.col("_id").alias(id_col), (_weighted(z, weights) + F.lit(centre)).alias("oriented"))
+    low, high = told.agg(F.min("oriented"), F.max("oriented")).first()
+    return told.withColumn("oriented", (F.col("oriented") - low) / (high - low + 1e-10))
