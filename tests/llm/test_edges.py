@@ -275,3 +275,17 @@ def test_toxicity_bias_is_that_of_all_labels(spark):
     taken = [(x.text, r.toxic) for r in picked for x in r["all"][:20]]
     sampled = toxicity.fit([t for t, _ in taken], [y for _, y in taken])
     assert model.bias - sampled.bias == pytest.approx(np.log((40 / 360) / (20 / 20)), abs=1e-6)
+
+
+def test_packing_cuts_only_what_fits_nowhere():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        lengths = [int(x) for x in np.concatenate((rng.integers(1, 4000, 60), rng.integers(1, 60, 300)))]
+        pieces = [p for p in packing.assign(lengths) if p[2] < 4096]
+        room, left = {}, dict(enumerate(lengths))
+        for _, _, n, s, _ in pieces:
+            room[s] = room.get(s, 0) + n
+        for d, _, n, s, _ in pieces:
+            assert n == left[d] or max(room.values()) < left[d]
+            room[s] -= n
+            left[d] -= n

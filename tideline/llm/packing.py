@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import heapq
 import unicodedata
 from collections.abc import Iterator
 
@@ -88,8 +87,8 @@ def assign(lengths: list[int], limit: int = LENGTH) -> list[tuple[int, int, int,
 
     What a document has beyond whole sequences of its own is in the pool. The pool gets as many whole sequences as it
     fills, and for the remainder one of each power of two that it is the sum of, which needs no padding. Documents go
-    in descending order of length to the sequence of lowest cost that has room, or, if the lowest few have none, as
-    far as room goes to the lowest and on to the next.
+    in descending order of length to the sequence of lowest cost that has room, or, if none has, as far as room goes to
+    the lowest and on to the next.
     """
     out, seq, pool = [], 0, []
     for d, n in enumerate(lengths):
@@ -100,20 +99,17 @@ def assign(lengths: list[int], limit: int = LENGTH) -> list[tuple[int, int, int,
             pool.append((n % limit, d, n - n % limit))
     total = sum(n for n, _, _ in pool)
     rooms = [limit] * (total // limit) + [1 << b for b in range(limit.bit_length() - 1, -1, -1) if (total % limit) >> b & 1]
-    used, heap = [0] * len(rooms), [(0.0, s) for s in range(len(rooms))]
+    room, spent = np.array(rooms, np.int64), np.zeros(len(rooms))
     for n, d, start in sorted(pool, key=lambda x: (-x[0], x[1])):
         while n:
-            tried = [heapq.heappop(heap) for _ in range(min(8, len(heap)))]
-            at = next((k for k, (_, s) in enumerate(tried) if rooms[s] - used[s] >= n), 0)
-            c, s = tried.pop(at)
-            for x in tried:
-                heapq.heappush(heap, x)
-            take = min(n, rooms[s] - used[s])
-            out.append((d, start, take, seq + s, used[s]))
-            used[s] += take
+            s = int(np.where(room >= n, spent, np.inf).argmin())  # of equal costs the first
+            if room[s] < n:
+                s = int(np.where(room > 0, spent, np.inf).argmin())
+            take = min(n, int(room[s]))
+            out.append((d, start, take, seq + s, rooms[s] - int(room[s])))
+            room[s] -= take
+            spent[s] += cost(take)
             start, n = start + take, n - take
-            if used[s] < rooms[s]:
-                heapq.heappush(heap, (c + cost(take), s))
     return out
 
 
