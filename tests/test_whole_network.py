@@ -36,3 +36,8 @@ def test_no_floors_of_edges(spark, db, name):
 
 def test_owners_of_any_stake(spark, db):
     same(spark, db, "q27_owner_bank_borrower", whole(ORACLE_SQL["q27_owner_bank_borrower"], " WHERE h.pct >= 1"))
+
+
+def test_overview_of_every_bank(spark):
+    # the smallest tables have ten banks only
+    assert QUERIES["q30_overview"](spark, "/root/testdata/sf0.01").count() == 100

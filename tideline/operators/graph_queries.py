@@ -176,9 +176,9 @@ def related_lending_overlap(lends: DataFrame, rpt: DataFrame) -> DataFrame:
     return lends.select("bank", "company", "amount").join(rpt.select("bank", "company", "up"), ["bank", "company"]).select("bank", "company", F.col("amount").alias("loan_amount"), F.col("up").alias("rpt_exposure"))
 
 
-def overview(banks: DataFrame, lends: DataFrame, rpt: DataFrame, holds: DataFrame, limit: int = 50) -> DataFrame:
-    """The first banks and how many optional edges of each kind they have."""
-    out = banks.select(F.col("s_suppkey").alias("bank")).orderBy("bank").limit(limit)
+def overview(banks: DataFrame, lends: DataFrame, rpt: DataFrame, holds: DataFrame) -> DataFrame:
+    """Every bank and how many optional edges of each kind it has."""
+    out = banks.select(F.col("s_suppkey").alias("bank"))
     for name, edges in (("borrowers", lends), ("related", rpt), ("holders", holds)):
         out = out.join(edges.groupBy("bank").agg(F.count(F.lit(1)).alias(name)), "bank", "left")
     return out.select("bank", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("borrowers", "related", "holders")])
