@@ -76,9 +76,11 @@ def lends_company_side(facilities: DataFrame, tier1: DataFrame) -> DataFrame:
 
 
 def lends_merged(facilities: DataFrame) -> DataFrame:
-    """Both sides from one table of facilities, so that none counts twice; a pair with several categories is Mixed."""
+    """Both sides from one table of facilities, so that none counts twice; a pair with several known categories is
+    Mixed, one without any Unknown."""
     risk = facilities.withColumn("risk", facility_risk(F.col("facility"), F.col("bucket"))).select("bank", "company", "amt", "risk.*")
-    one = lambda c: F.when(F.count_distinct(c) > 1, "Mixed").otherwise(F.max(c)).alias(c)
+    known = lambda c: F.nullif(F.col(c), F.lit("Unknown"))
+    one = lambda c: F.when(F.min(known(c)) < F.max(known(c)), "Mixed").otherwise(F.coalesce(F.max(known(c)), F.lit("Unknown"))).alias(c)
     return risk.groupBy("bank", "company").agg(F.round(F.sum("amt"), 2).alias("total_amount"), one("lgd_category"), one("t_category"))
 
 

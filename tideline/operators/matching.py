@@ -13,7 +13,23 @@ from ..functions.expr import bank_key, company_key, let
 # Thresholds of the fuzzy passes in per cent, and the longest abbreviation.
 SET_RATIO, SORT_RATIO, GENERIC_SHARE, EXCHANGE_RATIO, ABBREVIATION = 88, 72, 60, 80, 6
 # Words that distinguish no company.
-GENERIC = ("india", "indian", "industries", "finance", "financial", "services", "enterprises", "holdings", "group", "international", "power", "energy", "capital", "bank", "infrastructure", "projects", "trust", "fund")
+GENERIC = (
+    "ltd", "limited", "pvt", "private", "llp", "llc", "inc", "incorporated",
+    "corp", "corporation", "plc", "ag", "sa", "nv", "bv",
+    "india", "indian", "international", "national", "enterprises", "enterprise",
+    "industries", "industry", "group", "holdings", "holding", "ventures",
+    "venture", "solutions", "solution", "services", "service", "systems",
+    "system", "technologies", "technology", "tech", "management",
+    "infrastructure", "global", "universal", "united",
+    "the", "and", "of", "for", "in", "at", "by",
+    "finance", "financial", "capital", "investment", "investments",
+    "trading", "traders", "trade", "commercial", "commerce",
+    "realty", "realtors", "properties", "property", "developers",
+    "associates", "associate", "co", "company",
+    "securities", "broking", "brokerage", "wealth",
+    "credit", "leasing", "insurance",
+    "asset", "assets", "fund", "funds",
+)
 
 
 def full_outer_scores(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -93,18 +109,46 @@ def ratios(a: Column, b: Column) -> Column:
     return F.pandas_udf(run, "set_ratio double, sort_ratio double")(a, b)
 
 
+def distinctive(word: Column) -> Column:
+    return (F.length(word) > 1) & ~word.isin(*GENERIC)
+
+
 def anchor(key: Column) -> Column:
     """The first word of a normalised name that distinguishes it; null where there is none."""
-    return F.get(F.filter(F.split(key, "[ -]"), lambda w: (F.length(w) > 2) & ~w.isin(*GENERIC)), F.lit(0))
+    return F.get(F.filter(F.split(key, "[ -]+"), distinctive), F.lit(0))
+
+
+def too_generic(a: Column, b: Column) -> Column:
+    """Whether two names have common words, and too many of these are generic, or either name has no other words."""
+    x, y = F.split(a, " "), F.split(b, " ")
+    none = lambda words: ~F.exists(words, distinctive)
+    return let(F.array_intersect(x, y), lambda c: (F.size(c) > 0) & (none(x) | none(y) | none(c) | (100 * F.size(F.filter(c, lambda w: ~distinctive(w))) > GENERIC_SHARE * F.size(c))))
+
+
+def _keyed(known: DataFrame) -> DataFrame:
+    """Known names by key; of entities that share one, the last by name has it."""
+    return known.select("entity", company_key(F.col("known")).alias("key")).where("key <> ''").groupBy("key").agg(F.max("entity").alias("entity"))
+
+
+def _scored(asked: DataFrame, known: DataFrame, top: int) -> DataFrame:
+    """For asked (raw, key) the `top` known names (key, entity) with the anchor inside: raw, key, other, entity, r, k."""
+    grams = known.withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("key") - 2, F.lit(1))), lambda i: F.substring(F.col("key"), i, F.lit(3))))))
+    # an anchor of two letters is found by the groups that begin with it
+    short = grams.where(F.length("gram") > 2).select("key", "entity", F.substring("gram", 1, 2).alias("gram")).unionByName(known.select("key", "entity", F.substring("key", -2, 2).alias("gram"))).distinct()
+    index = grams.unionByName(short)
+    open_ = asked.withColumn("anchor", anchor(F.col("key"))).where("anchor is not null")
+    pairs = open_.withColumn("gram", F.substring("anchor", 1, 3)).join(index.withColumnRenamed("key", "other"), "gram").where("contains(other, anchor)").select("raw", "key", "other", "entity").distinct()
+    order = Window.partitionBy("raw").orderBy(F.desc("r.set_ratio"), F.desc("r.sort_ratio"), "entity")
+    return pairs.withColumn("r", ratios(F.col("key"), F.col("other"))).withColumn("k", F.row_number().over(order)).where(F.col("k") <= top)
 
 
-def generic_share(a: Column, b: Column) -> Column:
-    """Per cent of the common words of two names that are generic."""
-    common = F.array_intersect(F.split(a, " "), F.split(b, " "))
-    return let(common, lambda c: F.coalesce(F.try_divide(100 * F.size(F.filter(c, lambda w: w.isin(*GENERIC))), F.size(c)), F.lit(0.0)))
+def candidates(resolved: DataFrame, name: str, companies: DataFrame, top: int = 3) -> DataFrame:
+    """What unresolved names of resolve() might be: (name, rank, known, entity, score), the `top` companies by set_ratio."""
+    asked = resolved.where("kind = 'none'").select(F.col(name).alias("raw")).distinct().withColumn("key", company_key(F.col("raw"))).where("key <> ''")
+    return _scored(asked, _keyed(companies), top).select(F.col("raw").alias(name), F.col("k").alias("rank"), F.col("other").alias("known"), "entity", F.col("r.set_ratio").alias("score"))
 
 
-def resolve(names: DataFrame, name: str, banks: DataFrame, companies: DataFrame, top: int = 1) -> DataFrame:
+def resolve(names: DataFrame, name: str, banks: DataFrame, companies: DataFrame) -> DataFrame:
     """names with entity, kind, passed and confidence.
 
     banks and companies are (entity, known). Passes: exact bank, exact company, fuzzy company, abbreviation of a bank. A
@@ -113,15 +157,11 @@ def resolve(names: DataFrame, name: str, banks: DataFrame, companies: DataFrame,
     three letters among the three-letter groups of known names, so only names that can be accepted are scored.
     """
     n = names.select(F.col(name).alias("raw")).distinct().withColumn("key", company_key(F.col("raw"))).where("key <> ''")
-    known = {k: df.select("entity", company_key(F.col("known")).alias("key")).where("key <> ''").groupBy("key").agg(F.max("entity").alias("entity")) for k, df in (("Bank", banks), ("Company", companies))}
+    known = {"Bank": _keyed(banks), "Company": _keyed(companies)}
     hits = [n.join(known[k], "key").select("raw", "entity", F.lit(k).alias("kind"), F.lit(p).alias("pass"), F.lit(1.0).alias("confidence")) for p, k in ((1, "Bank"), (2, "Company"))]
-    grams = known["Company"].withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("key") - 2, F.lit(1))), lambda i: F.substring(F.col("key"), i, F.lit(3))))))
     exact = hits[0].unionByName(hits[1])
-    open_ = n.join(exact.select("raw"), "raw", "left_anti").withColumn("anchor", anchor(F.col("key"))).where("anchor is not null")
-    pairs = open_.withColumn("gram", F.substring("anchor", 1, 3)).join(grams.withColumnRenamed("key", "other"), "gram").where("contains(other, anchor)").select("raw", "key", "other", "entity").distinct()
-    scored = pairs.withColumn("r", ratios(F.col("key"), F.col("other")))
-    best = scored.withColumn("k", F.row_number().over(Window.partitionBy("raw").orderBy(F.desc("r.set_ratio"), F.desc("r.sort_ratio"), "entity"))).where(F.col("k") <= top)
-    fine = (F.col("r.set_ratio") >= SET_RATIO) & (F.col("r.sort_ratio") >= SORT_RATIO) & (generic_share(F.col("key"), F.col("other")) < GENERIC_SHARE)
+    best = _scored(n.join(exact.select("raw"), "raw", "left_anti"), known["Company"], 1)
+    fine = (F.col("r.set_ratio") >= SET_RATIO) & (F.col("r.sort_ratio") >= SORT_RATIO) & ~too_generic(F.col("key"), F.col("other"))
     fuzzy = best.where(fine).select("raw", "entity", F.lit("Company").alias("kind"), F.lit(3).alias("pass"), (F.col("r.set_ratio") / 100).alias("confidence"))
     short = n.where((F.length("raw") <= ABBREVIATION) & F.col("raw").rlike("^[A-Z&]+$")).join(banks.select("entity", F.upper("known").alias("raw")), "raw").select("raw", "entity", F.lit("Bank").alias("kind"), F.lit(4).alias("pass"), F.lit(0.9).alias("confidence"))
     every = exact.unionByName(fuzzy).unionByName(short)

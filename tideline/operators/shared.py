@@ -12,6 +12,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder of spark.checkpoint.dir; a local folder is made only where none is set, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="tideline-")
         spark.sparkContext.setCheckpointDir(where)
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -73,13 +73,13 @@ UNION ALL SELECT DISTINCT 'bank', bank, 2 FROM lends WHERE bank <> 1 AND company
 SELECT x.bank AS a, y.bank AS b, count(DISTINCT x.company) AS shared FROM lends x JOIN lends y ON x.company = y.company AND x.bank < y.bank GROUP BY ALL""", "lends")),
     "q26_bank_company_industry": (lambda t: G.bank_company_industry(t.lends, t.industry), sql("SELECT bank, company, industry, amount FROM lends JOIN industry USING (company)", "lends", "industry")),
     "q27_owner_bank_borrower": (lambda t: G.owner_bank_borrower(t.holds, t.lends), sql("""
-SELECT h.owner, h.bank, l.company, h.pct FROM holds h JOIN lends l ON h.bank = l.bank WHERE h.pct >= 1""", "holds", "lends")),
+SELECT h.owner, h.bank, l.company, h.pct FROM holds h JOIN lends l ON h.bank = l.bank WHERE h.pct IS NOT NULL""", "holds", "lends")),
     "q28_circular": (lambda t: G.circular(t.lends, t.holds), sql("""
 SELECT l.company, l.bank, l.amount, h.pct FROM lends l JOIN holds h ON h.owner = l.company AND h.bank = l.bank""", "lends", "holds")),
     "q29_rpt_lending_overlap": (lambda t: G.related_lending_overlap(t.lends, t.rpt), sql("""
 SELECT l.bank, l.company, l.amount AS loan_amount, r.up AS rpt_exposure FROM lends l JOIN rpt r ON r.bank = l.bank AND r.company = l.company""", "lends", "rpt")),
     "q30_overview": (lambda t: G.overview(t["supplier"], t.lends, t.rpt, t.holds), sql("""
-, b AS (SELECT s_suppkey AS bank FROM supplier ORDER BY 1 LIMIT 50)
+, b AS (SELECT s_suppkey AS bank FROM supplier)
 SELECT bank, coalesce(any_value(x.n), 0) AS borrowers, coalesce(any_value(y.n), 0) AS related, coalesce(any_value(z.n), 0) AS holders
 FROM b LEFT JOIN (SELECT bank, count(*) AS n FROM lends GROUP BY bank) x USING (bank) LEFT JOIN (SELECT bank, count(*) AS n FROM rpt GROUP BY bank) y USING (bank)
 LEFT JOIN (SELECT bank, count(*) AS n FROM holds GROUP BY bank) z USING (bank) GROUP BY bank""", "lends", "rpt", "holds")),
@@ -98,21 +98,21 @@ _TXN = f"SELECT company, bank, priority AS relation, CAST(year(odate) AS VARCHAR
 
 
 def _facilities(t: Tables):
-    return t.fac.select("bank", "company", "amt", F.expr(_KIND).alias("facility"), F.expr(_BUCKET).alias("bucket"))
+    return t.items.select("bank", "company", "amt", F.expr(_KIND).alias("facility"), F.expr(_BUCKET).alias("bucket"))
 
 
 def _transactions(t: Tables):
     kind = F.expr("CASE flag WHEN 'R' THEN 'Loan' WHEN 'A' THEN 'Borrowing' ELSE 'Any other transaction' END")
     details = F.expr("CASE WHEN status = 'F' AND flag = 'N' THEN 'Guarantees given' WHEN status = 'O' THEN 'Interest received' ELSE 'Other' END")
-    return t.fac.select("company", "bank", F.col("priority").alias("relation"), F.year("odate").cast("string").alias("period"), F.col("gross").alias("approved"), F.col("amt").alias("outstanding"), E.direction(kind, details).alias("direction"))
+    return t.items.select("company", "bank", F.col("priority").alias("relation"), F.year("odate").cast("string").alias("period"), F.col("gross").alias("approved"), F.col("amt").alias("outstanding"), E.direction(kind, details).alias("direction"))
 
 
 def _tier1(t: Tables):
-    return t.fac.groupBy("bank").agg((F.sum("amt") * 0.1).alias("tier1"))
+    return t.items.groupBy("bank").agg((F.sum("amt") * 0.1).alias("tier1"))
 
 
 Q |= {
-    "facility_risk": (lambda t: t.fac.select("l_orderkey", "l_linenumber", E.facility_risk(F.expr(_KIND), F.expr(_BUCKET)).alias("r")).select("l_orderkey", "l_linenumber", "r.*"), sql(
+    "facility_risk": (lambda t: t.items.select("l_orderkey", "l_linenumber", E.facility_risk(F.expr(_KIND), F.expr(_BUCKET)).alias("r")).select("l_orderkey", "l_linenumber", "r.*"), sql(
         "SELECT l_orderkey, l_linenumber, lgd_category, CAST(lgd AS DOUBLE) AS lgd, t_category, CAST(t AS DOUBLE) AS t FROM (" + _RISKY.replace("SELECT bank", "SELECT l_orderkey, l_linenumber, bank") + ")", "fac")),
     "edge_lends_bank_side": (lambda t: E.lends_bank_side(_facilities(t)), sql(f"""
 , r AS ({_RISKY}), l AS (SELECT bank, company, arg_max(lgd_category, (amt, lgd_category)) AS lgd_category FROM (SELECT bank, company, lgd_category, sum(amt) AS amt FROM r GROUP BY ALL) GROUP BY ALL),
@@ -120,13 +120,13 @@ k AS (SELECT bank, company, arg_max(t_category, (amt, t_category)) AS t_category
 SELECT bank, company, round(sum(amt), 2) AS total_amount, count(*) AS facility_count, string_agg(DISTINCT facility, ',' ORDER BY facility) AS facility_types,
   round(sum(amt * lgd) / sum(amt), 6) AS lgd_multiplier, round(sum(amt * t) / sum(amt), 6) AS t_multiplier, any_value(l.lgd_category) AS lgd_category, any_value(k.t_category) AS t_category
 FROM r JOIN l USING (bank, company) JOIN k USING (bank, company) GROUP BY bank, company""", "fac")),
-    "edge_lends_company_side": (lambda t: E.lends_company_side(t.fac, _tier1(t)), sql("""
+    "edge_lends_company_side": (lambda t: E.lends_company_side(t.items, _tier1(t)), sql("""
 , p AS (SELECT bank, company, sum(amt) AS amount FROM fac GROUP BY ALL), k AS (SELECT bank, sum(amt) * 0.1 AS tier1 FROM fac GROUP BY bank)
 SELECT bank, company, round(amount, 2) AS amount, round(amount / sum(amount) OVER (PARTITION BY company), 6) AS transmittance, round(least(amount / tier1, 1.0), 6) AS absorption FROM p JOIN k USING (bank)""", "fac")),
     "edge_lends_merged": (lambda t: E.lends_merged(_facilities(t)), sql(f"""
 , r AS ({_RISKY})
-SELECT bank, company, round(sum(amt), 2) AS total_amount, CASE WHEN count(DISTINCT lgd_category) > 1 THEN 'Mixed' ELSE max(lgd_category) END AS lgd_category,
-  CASE WHEN count(DISTINCT t_category) > 1 THEN 'Mixed' ELSE max(t_category) END AS t_category FROM r GROUP BY ALL""", "fac")),
+SELECT bank, company, round(sum(amt), 2) AS total_amount, CASE WHEN count(DISTINCT nullif(lgd_category, 'Unknown')) > 1 THEN 'Mixed' ELSE coalesce(max(nullif(lgd_category, 'Unknown')), 'Unknown') END AS lgd_category,
+  CASE WHEN count(DISTINCT nullif(t_category, 'Unknown')) > 1 THEN 'Mixed' ELSE coalesce(max(nullif(t_category, 'Unknown')), 'Unknown') END AS t_category FROM r GROUP BY ALL""", "fac")),
     "edge_related_party": (lambda t: E.related_party(_transactions(t)), sql(f"""
 , t AS ({_TXN}), m AS (SELECT company, bank, arg_min(relation, (-k, relation)) AS primary_relation FROM (SELECT company, bank, relation, count(*) AS k FROM t GROUP BY ALL) GROUP BY ALL)
 SELECT company, bank, count(*) AS txn_count, round(coalesce(sum(outstanding) FILTER (WHERE direction = 'cash_in'), 0.0), 2) AS cash_in, round(coalesce(sum(outstanding) FILTER (WHERE direction = 'cash_out'), 0.0), 2) AS cash_out,
@@ -141,6 +141,6 @@ SELECT bank, sector, round(o, 2) AS outstanding, round(o / sum(o) OVER (PARTITIO
 SELECT bank, direction, count(*) AS txn_count, count(DISTINCT company) AS parties, round(sum(outstanding), 2) AS outstanding, string_agg(DISTINCT relation, ',' ORDER BY relation) AS relations FROM t GROUP BY ALL""", "fac")),
     "graph_counts": (lambda t: t.lends.select(F.lit("LENDS_TO").alias("type")).unionByName(t.rpt.select(F.lit("RELATED_PARTY").alias("type"))).unionByName(t.holds.select(F.lit("SHAREHOLDER_OF").alias("type"))).groupBy("type").agg(F.count(F.lit(1)).alias("edges")), sql("""
 SELECT type, count(*) AS edges FROM (SELECT 'LENDS_TO' AS type FROM lends UNION ALL SELECT 'RELATED_PARTY' FROM rpt UNION ALL SELECT 'SHAREHOLDER_OF' FROM holds) GROUP BY type""", "lends", "rpt", "holds")),
-    "facility_by_industry": (lambda t: t.fac.join(t.industry, "company").groupBy("bank", F.coalesce("industry", F.lit("Unknown")).alias("industry")).agg(F.round(F.sum("amt"), 2).alias("advances"), F.count_distinct("company").alias("companies")), sql("""
+    "facility_by_industry": (lambda t: t.items.join(t.industry, "company").groupBy("bank", F.coalesce("industry", F.lit("Unknown")).alias("industry")).agg(F.round(F.sum("amt"), 2).alias("advances"), F.count_distinct("company").alias("companies")), sql("""
 SELECT bank, coalesce(industry, 'Unknown') AS industry, round(sum(amt), 2) AS advances, count(DISTINCT company) AS companies FROM fac JOIN industry USING (company) GROUP BY ALL""", "fac", "industry")),
 }

@@ -41,7 +41,7 @@ def shocks(t: Tables):
 _BASE = "CASE WHEN {0} < 0 THEN 0.5 ELSE round(0.3 * (1 - least({0}, 10000.0) / 10000), 4) END"
 _NODES = f""", nodes AS MATERIALIZED (SELECT 'b' || s_suppkey AS node, {_BASE.format("s_acctbal")} AS base FROM supplier UNION ALL SELECT 'c' || c_custkey, {_BASE.format("c_acctbal")} FROM customer)"""
 _CH = """, ch0 AS (SELECT 'c' || company AS src, 'b' || bank AS dst, amount / 20000000 * 0.6 * 0.9 AS weight, 'LENDS_TO' AS type FROM lends
-  UNION ALL SELECT 'c' || company, 'b' || bank, up / 20000000, 'RELATED_UP' FROM rpt WHERE n >= 2 UNION ALL SELECT 'b' || bank, 'c' || company, least(amount / 5000000, 0.2), 'RELATED_DOWN' FROM rpt WHERE n >= 2
+  UNION ALL SELECT 'c' || company, 'b' || bank, up / 20000000, 'RELATED_UP' FROM rpt UNION ALL SELECT 'b' || bank, 'c' || company, least(amount / 5000000, 0.2), 'RELATED_DOWN' FROM rpt
   UNION ALL SELECT 'b' || bank, 'c' || owner, pct / 100, 'SHAREHOLDER_OF' FROM holds),
 ch AS MATERIALIZED (SELECT src, dst, least(weight, 1.0) AS weight, type FROM ch0 WHERE weight > 0)"""
 _SHOCK = ", sh AS (SELECT 'b' || s_suppkey AS node, 0.9 AS shock FROM supplier WHERE s_suppkey <= 3)"
@@ -69,8 +69,8 @@ def _round(df):
 _OUT = "\nSELECT node, round(base, 6) AS base, round(x, 6) AS x FROM s3"
 _ADD = _NODES + _CH
 _EDGES = """, e AS MATERIALIZED (SELECT 'l-' || bank || '-' || company AS edge_id, 'b' || bank AS src, 'c' || company AS dst, 'LENDS_TO' AS type, CAST(NULL AS DOUBLE) AS pct, amount FROM lends
-  UNION ALL SELECT 'h-' || owner || '-' || bank, 'c' || owner, 'b' || bank, 'SHAREHOLDER_OF', pct, NULL FROM holds WHERE pct >= 2
-  UNION ALL SELECT 'r-' || company || '-' || bank, 'c' || company, 'b' || bank, 'RELATED_PARTY', NULL, NULL FROM rpt WHERE n >= 2)"""
+  UNION ALL SELECT 'h-' || owner || '-' || bank, 'c' || owner, 'b' || bank, 'SHAREHOLDER_OF', pct, NULL FROM holds
+  UNION ALL SELECT 'r-' || company || '-' || bank, 'c' || company, 'b' || bank, 'RELATED_PARTY', NULL, NULL FROM rpt)"""
 _NCH = """, w AS (SELECT *, amount / sum(amount) OVER (PARTITION BY src, type) AS share FROM e),
 nch AS MATERIALIZED (SELECT dst AS src, src AS dst, edge_id, type, pct / 100 AS weight FROM w WHERE type = 'SHAREHOLDER_OF' UNION ALL SELECT src, dst, edge_id, type, pct / 100 * 0.6 FROM w WHERE type = 'SHAREHOLDER_OF'
   UNION ALL SELECT dst, src, edge_id, type, share FROM w WHERE type = 'LENDS_TO' UNION ALL SELECT src, dst, edge_id, type, least(share * 0.7, 0.6) FROM w WHERE type = 'LENDS_TO'

@@ -19,7 +19,7 @@ _STRESS = "CASE priority WHEN '1-URGENT' THEN 0.1669 WHEN '2-HIGH' THEN 0.0286 W
 def companies(t: Tables):
     """Company documents: facilities of all their items, and for even ids a long-term rating with outlook."""
     item = F.struct("l_orderkey", "l_linenumber", F.expr(_RATING).alias("rating"), F.col("amt").alias("amount"))
-    docs = t.fac.groupBy("company").agg(F.array_sort(F.collect_list(item)).alias("facilities"), F.max("odate").cast("date").alias("rating_date"), F.min("priority").alias("best"))
+    docs = t.items.groupBy("company").agg(F.array_sort(F.collect_list(item)).alias("facilities"), F.max("odate").cast("date").alias("rating_date"), F.min("priority").alias("best"))
     own = F.array(F.struct(F.regexp_replace(F.expr(_RATING.replace("priority", "best").replace("CASE flag WHEN 'R' THEN '/Issuer Not Cooperating' WHEN 'A' THEN '/Stable' ELSE '/Negative' END", "'/Stable'")), "^$", "").alias("rating"), F.when(F.col("company") % 4 == 0, "Negative").otherwise("Stable").alias("outlook")))
     return docs.withColumn("crisil_ratings", F.when(F.col("company") % 2 == 0, own)).withColumn("instruments", F.lit(None).cast("array<struct<rating:string,issue_size:double>>"))
 
@@ -84,7 +84,7 @@ Q: dict = {
 SELECT company, stress, {_BAND} AS label, CASE WHEN NOT rated THEN 'Unrated' WHEN g IN ('AA', 'A', 'BBB') THEN 'Investment Grade' ELSE 'Sub-Investment Grade' END AS tier,
   round(c1, 6) AS c1, round(c2, 6) AS c2, round(c4, 6) AS c4, round(c5, 6) AS c5, round(c8, 6) AS c8,
   'c1,c2' || CASE WHEN rated THEN ',c3' ELSE '' END || CASE WHEN c4 IS NULL THEN '' ELSE ',c4' END || ',c5,c6,c7,c8' || CASE WHEN rated THEN ',c9' ELSE '' END AS active FROM s""", "fac")),
-    "rating_pool": (lambda t: t.fac.select("l_orderkey", "l_linenumber", R.resolve(F.expr(_RATING)).alias("r")).select("l_orderkey", "l_linenumber", "r.token", "r.mult"), sql(f"""
+    "rating_pool": (lambda t: t.items.select("l_orderkey", "l_linenumber", R.resolve(F.expr(_RATING)).alias("r")).select("l_orderkey", "l_linenumber", "r.token", "r.mult"), sql(f"""
 SELECT l_orderkey, l_linenumber, {_GRADE} AS token, CAST(CASE WHEN flag = 'R' THEN 1.5 ELSE 1.0 END AS DOUBLE) AS mult FROM fac""".replace("'/Negative'", "''"), "fac")),
     "cdr_weighted_median": (lambda t: companies(t).select("company", R.weighted_median(F.col("facilities")).alias("m")).select("company", "m.score", "m.basis", "m.scored", "m.skipped", "m.total", "m.dominant"), sql(f"""
 , i AS (SELECT company, amt, {_RATING.replace("concat(", "concat(")} AS rating, least({_STRESS} * CASE WHEN flag = 'R' THEN 3.0 ELSE 1.0 END, 1.0) AS s,

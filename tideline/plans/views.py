@@ -10,57 +10,81 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.shared import cut
+
 
 class Tables:
-    """The tables of a folder and the views on them; each is planned where it is used, and nothing is cached."""
+    """The tables of a folder and the views on them; each is planned where it is used. With `kept`, the pairs of banks and
+    companies are written once to the shared folder, for plans that read several views of them."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, kept: bool = False):
+        self.spark, self.sf_dir, self.kept = spark, sf_dir, kept
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
-    def fac(self) -> DataFrame:
+    def items(self) -> DataFrame:
         """Facilities: one per line item. Amounts are whole units, so that sums don't depend on their order."""
         amt = F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) + 0.5).cast("double")
         return (
             self["lineitem"]
             .join(self["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(self["part"].select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-            .select(F.col("l_suppkey").alias("bank"), F.col("o_custkey").alias("company"), F.col("p_type").alias("facility"), amt.alias("amt"), F.floor(F.col("l_extendedprice") + 0.5).cast("double").alias("gross"), F.col("o_orderpriority").alias("priority"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("o_orderdate").alias("odate"), "l_orderkey", "l_linenumber")
+            .select(F.col("l_suppkey").alias("bank"), F.col("o_custkey").alias("company"), amt.alias("amt"), F.floor(F.col("l_extendedprice") + 0.5).cast("double").alias("gross"), F.col("o_orderpriority").alias("priority"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("o_orderdate").alias("odate"), "l_orderkey", "l_linenumber", "l_partkey")
+        )
+
+    @cached_property
+    def fac(self) -> DataFrame:
+        """Facilities with their sector."""
+        return self.items.join(self["part"].select("p_partkey", F.col("p_type").alias("facility")), F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey", "l_partkey")
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """Every bank and company with facilities between them: sums of all, and of returned items."""
+        back = F.col("flag") == "R"
+        out = self.items.groupBy("bank", "company").agg(
+            F.sum("amt").alias("amount"),
+            F.count(F.lit(1)).alias("n"),
+            F.sum(F.when(back, F.col("amt"))).alias("back"),
+            F.sum(F.when(back & (F.col("status") == "O"), F.col("amt"))).alias("up"),
+            F.count_if(back).alias("back_n"),
         )
+        return cut(out, "pairs") if self.kept else out
 
     @cached_property
     def lends(self) -> DataFrame:
-        """LENDS_TO edges: every bank and company with facilities between them."""
-        return self.fac.groupBy("bank", "company").agg(F.round(F.sum("amt"), 2).alias("amount"), F.count(F.lit(1)).alias("n"))
+        """LENDS_TO edges."""
+        return self.pairs.select("bank", "company", F.round("amount", 2).alias("amount"), "n")
 
     @cached_property
     def rpt(self) -> DataFrame:
         """RELATED_PARTY edges from company to bank: returned items; `up` is what is still open."""
-        up = F.sum(F.when(F.col("status") == "O", F.col("amt")))
-        return self.fac.where("flag = 'R'").groupBy("company", "bank").agg(F.round(F.sum("amt"), 2).alias("amount"), F.round(F.coalesce(up, F.lit(0.0)), 2).alias("up"), F.count(F.lit(1)).alias("n"))
+        return self.pairs.where("back_n > 0").select("company", "bank", F.round("back", 2).alias("amount"), F.round(F.coalesce("up", F.lit(0.0)), 2).alias("up"), F.col("back_n").alias("n"))
 
     @cached_property
     def holds(self) -> DataFrame:
-        """SHAREHOLDER_OF edges from company to bank: shares of the balances within a nation."""
-        pairs = self["customer"].where("c_acctbal > 0").join(self["supplier"], F.col("c_nationkey") == F.col("s_nationkey"))
-        pct = 100 * F.col("c_acctbal") / F.sum("c_acctbal").over(Window.partitionBy("s_suppkey"))
-        return pairs.select(F.col("c_custkey").alias("owner"), F.col("s_suppkey").alias("bank"), F.col("c_mktsegment").alias("category"), F.round(pct, 4).alias("pct"))
+        """SHAREHOLDER_OF edges from company to bank: companies of the bank's nation that deal with it, by their balances."""
+        owners = self["customer"].where("c_acctbal > 0").select(F.col("c_custkey").alias("company"), "c_nationkey", "c_acctbal", "c_mktsegment")
+        banks = self["supplier"].select(F.col("s_suppkey").alias("bank"), "s_nationkey")
+        own = self.pairs.select("bank", "company").join(owners, "company").join(banks, "bank").where("c_nationkey = s_nationkey")
+        pct = 100 * F.col("c_acctbal") / F.sum("c_acctbal").over(Window.partitionBy("bank"))
+        return own.select(F.col("company").alias("owner"), "bank", F.col("c_mktsegment").alias("category"), F.round(pct, 4).alias("pct"))
 
     @cached_property
     def bank_holds(self) -> DataFrame:
-        a, b = (self["supplier"].select(*[F.col(c).alias(f"{p}_{c}") for c in ("s_suppkey", "s_nationkey", "s_acctbal")]) for p in "ab")
-        pairs = a.where("a_s_acctbal > 0").join(b, (F.col("a_s_nationkey") == F.col("b_s_nationkey")) & (F.col("a_s_suppkey") != F.col("b_s_suppkey")))
-        pct = 100 * F.col("a_s_acctbal") / F.sum("a_s_acctbal").over(Window.partitionBy("b_s_suppkey"))
-        return pairs.select(F.col("a_s_suppkey").alias("owner"), F.col("b_s_suppkey").alias("bank"), F.round(pct, 4).alias("pct"))
+        """SHAREHOLDER_OF edges between banks of one nation that share an order."""
+        orders = self["lineitem"].select("l_orderkey", F.col("l_suppkey").alias("owner")).distinct()
+        met = orders.join(orders.withColumnRenamed("owner", "bank"), "l_orderkey").where("owner <> bank").select("owner", "bank").distinct()
+        side = lambda c: self["supplier"].select(F.col("s_suppkey").alias(c), F.col("s_nationkey").alias(f"{c}_nation"), F.col("s_acctbal").alias(f"{c}_balance"))
+        pairs = met.join(side("owner").where("owner_balance > 0"), "owner").join(side("bank"), "bank").where("owner_nation = bank_nation")
+        pct = 100 * F.col("owner_balance") / F.sum("owner_balance").over(Window.partitionBy("bank"))
+        return pairs.select("owner", "bank", F.round(pct, 4).alias("pct"))
 
     @cached_property
     def co_lends(self) -> DataFrame:
-        """Company to company: each to the next smaller balance of its nation and segment."""
-        next_ = F.lead("c_custkey").over(Window.partitionBy("c_nationkey", "c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey"))
-        return self["customer"].select(F.col("c_custkey").alias("lender"), next_.alias("company")).where("company is not null")
+        """Company to company: each to the next one, if that is of its segment."""
+        next_ = self["customer"].select(F.col("c_custkey").alias("company"), (F.col("c_custkey") - 1).alias("lender"), F.col("c_mktsegment").alias("segment"))
+        return self["customer"].select(F.col("c_custkey").alias("lender"), F.col("c_mktsegment").alias("segment")).join(next_, ["lender", "segment"]).select("lender", "company")
 
     @cached_property
     def bank_rpt(self) -> DataFrame:
@@ -81,17 +105,17 @@ VIEWS_SQL = {
     "lends": "SELECT bank, company, round(sum(amt), 2) AS amount, count(*) AS n FROM fac GROUP BY bank, company",
     "rpt": """SELECT company, bank, round(sum(amt), 2) AS amount, round(coalesce(sum(amt) FILTER (WHERE status = 'O'), 0.0), 2) AS up, count(*) AS n
   FROM fac WHERE flag = 'R' GROUP BY company, bank""",
-    "holds": """SELECT c_custkey AS owner, s_suppkey AS bank, c_mktsegment AS category, round(100 * c_acctbal / sum(c_acctbal) OVER (PARTITION BY s_suppkey), 4) AS pct
-  FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_acctbal > 0""",
+    "holds": """SELECT company AS owner, bank, c_mktsegment AS category, round(100 * c_acctbal / sum(c_acctbal) OVER (PARTITION BY bank), 4) AS pct
+  FROM lends JOIN customer ON c_custkey = company JOIN supplier ON s_suppkey = bank WHERE c_acctbal > 0 AND c_nationkey = s_nationkey""",
     "bank_holds": """SELECT a.s_suppkey AS owner, b.s_suppkey AS bank, round(100 * a.s_acctbal / sum(a.s_acctbal) OVER (PARTITION BY b.s_suppkey), 4) AS pct
-  FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey WHERE a.s_acctbal > 0""",
-    "co_lends": """SELECT lender, company FROM (SELECT c_custkey AS lender, lead(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS company
-  FROM customer) WHERE company IS NOT NULL""",
+  FROM (SELECT DISTINCT x.l_suppkey AS a, y.l_suppkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey <> y.l_suppkey)
+  JOIN supplier a ON a.s_suppkey = a JOIN supplier b ON b.s_suppkey = b AND a.s_nationkey = b.s_nationkey WHERE a.s_acctbal > 0""",
+    "co_lends": """SELECT x.c_custkey AS lender, y.c_custkey AS company FROM customer x JOIN customer y ON y.c_custkey = x.c_custkey + 1 AND x.c_mktsegment = y.c_mktsegment""",
     "bank_rpt": """SELECT x.s AS a, y.s AS b, count(*) AS parts FROM (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem) x
    JOIN (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem) y ON x.p = y.p AND x.s < y.s GROUP BY ALL""",
     "industry": "SELECT c_custkey AS company, c_name AS name, c_mktsegment AS industry, c_nationkey AS nation FROM customer",
 }
-_NEEDS = {"lends": ["fac"], "rpt": ["fac"]}
+_NEEDS = {"lends": ["fac"], "rpt": ["fac"], "holds": ["fac", "lends"]}
 
 
 def sql(body: str, *views: str) -> str:
