@@ -75,12 +75,19 @@ def test_every_linked_pair_meets(percent):
             assert differ <= len(h) + len(g) - 2 * inter
 
 
-def test_met_over_batches():
+def test_met_over_batches(monkeypatch):
     import pyarrow as pa
 
-    rows = [(1, 5), (1, 5), (1, 6), (2, 1), (3, 1), (3, 1), (4, 2), (4, 3), (4, 4), (9, 9)]
-    want = {(1, 5), (1, 6), (4, 2), (4, 3), (4, 4)}
-    for size in range(1, 11):
-        batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows[i : i + size]]), pa.array([s for _, s in rows[i : i + size]])], names=["key", "sid"]) for i in range(0, len(rows), size)]
-        out = [x for b in J._met(iter(batches)) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-        assert sorted(out) == sorted(want)
+    rows = [(1, 5), (1, 5), (1, 6), (2, 1), (3, 1), (3, 1), (4, 2), (4, 3), (4, 4), (9, 9), (257, 5), (257, 6)]
+    want = {frozenset((5, 6)), frozenset((2, 3, 4))}
+    for held in (1_000_000, 2, 1):
+        monkeypatch.setattr(J, "HELD", held)
+        for size in range(1, 13):
+            batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows[i : i + size]]), pa.array([s for _, s in rows[i : i + size]])], names=["key", "sid"]) for i in range(0, len(rows), size)]
+            groups = defaultdict(set)
+            for b in J._met(iter(batches)):
+                for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    groups[k].add(s)
+            assert {frozenset(g) for g in groups.values()} == want
+            if held == 1_000_000:
+                assert sorted(k & 0xFF for k in groups) == [1, 4]  # keys of one layout with the same sets are one group

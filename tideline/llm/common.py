@@ -17,11 +17,13 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local one is made only where none is configured."""
+    """The folder that driver and executors share. A local one is made only where none is configured and all is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         made = spark.sparkContext.getCheckpointDir()
         if not made:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tideline-"))
             made = spark.sparkContext.getCheckpointDir()
         found = made

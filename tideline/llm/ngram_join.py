@@ -8,9 +8,10 @@ this. Those have, among themselves, a second layout of fewer, larger segments, w
 neighbourhoods of one deletion: a segment then bears one difference. Sets that even so have too few index the shingles
 of a prefix. Every pair that meets is verified on whole texts, so links are exact, and none is lost.
 
-Components need no list of all pairs. In each subset that sets share, they are compared with its pivot, the set that
-meets others in most subsets: the middle of a group of copies. What meets and is not yet of one component is compared
-next, first the likeliest pair of any two components, then all that are left.
+Components need no list of all pairs. Subsets that the same sets share are one group. In each group the sets are
+compared with its pivot, the one that is in most groups: the middle of a group of copies. What meets and is not yet of
+one component is compared next, first the likeliest pair of any two components, then all that are left. Sizes and
+sketches are compared before texts are fetched.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ from .exact_dedup import filter_bits, has_bit
 BLOCK = 4096
 #: Bits of a sketch for each shingle: enough that few pairs pass that aren't linked.
 SKETCH = 2
-#: Sets that a task remembers, to index copies once, and shingle sets that it keeps while it verifies.
-SEEN, KEPT = 200_000, 64
+#: Sets that a task remembers, to index copies once; sets of one key that it holds at once; partners of a set that are
+#: verified together.
+SEEN, HELD, PART = 200_000, 1_000_000, 256
 _MASK = np.uint64(0xFF)
 
 
@@ -61,14 +63,11 @@ def layout(b: int, percent: int) -> tuple[int, int, int]:
     def expected(spare: int) -> float:
         """Index rows of a set at the band's lower end; sets with too many empty segments index their deletions too."""
         m = most + 1 + spare
-        mean = m * math.exp(-lo / m)
-        term = total = math.exp(-mean)
-        for k in range(1, spare + 1):
-            term *= mean / k
-            total += term
-        return m + max(0.0, 1 - total) * 3 * lo
-
-    spare = min(range(33), key=expected)
+        bare = math.exp(-lo / m)
+        spread = math.sqrt(max(m * bare * (1 - (1 + lo / m) * bare), 1e-9))
+        return m + 0.5 * math.erfc((spare + 0.5 - m * bare) / spread / math.sqrt(2)) * 3 * lo
+
+    spare = min(range(33 + most), key=expected)
     return most, most + 1 + spare, SKETCH * -(-hi // 64) * 64
 
 
@@ -101,7 +100,7 @@ def index_keys(h: np.ndarray, b: int, percent: int) -> np.ndarray:
         out += [_keys(sums[full], full, b, 1), _keys(sums[seg[some]] - h[some], seg[some], b, 1)]
         if np.minimum(size, 2).sum() <= most:
             out.append(_keys(h[: len(h) - -(-len(h) * percent // 100) + 1], np.zeros(1, np.int64), b, 2))
-    return np.unique(np.concatenate(out))
+    return np.concatenate(out)
 
 
 def sketch(h: np.ndarray, b: int, percent: int) -> bytes:
@@ -111,75 +110,133 @@ def sketch(h: np.ndarray, b: int, percent: int) -> bytes:
     return np.packbits(np.bincount(at, minlength=bits) & 1).tobytes()
 
 
-_SETS = "id long, text_hash long, n long, sid long, keys array<long>"
+def set_id(h: np.ndarray) -> int:
+    return int(mix(np.array([h.sum(dtype=np.uint64) ^ np.uint64(len(h))])).view(np.int64)[0])
+
+
+def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """The rows of batches, with one text a time as a Python string."""
+    for batch in batches:
+        for row in zip(*(batch.column(c) for c in columns), strict=True):
+            yield tuple(x.as_py() for x in row)
+
+
+#: Rows, or bytes of keys and sketches, that a task hands on at once.
+OUT_ROWS, OUT_BYTES = 2000, 8_000_000
+_SETS = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("band", pa.int32()), ("own", pa.binary()), ("lower", pa.binary())])
+SETS = "id long, text_hash long, n long, sid long, band int, own binary, lower binary"
 
 
 def _sets(words: int, percent: int):
+    """The set of each text: its size, number and band, and its sketches in the layouts of that band and the one below."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: OrderedDict[int, None] = OrderedDict()
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-        for batch in batches:
-            out = []
-            for doc_id, text_hash, text in zip(*(batch.column(c).to_pylist() for c in ("id", "text_hash", "text")), strict=True):
-                h = shingle_hashes(text, words)
-                if not len(h):
-                    out.append((doc_id, text_hash, 0, None, None))
-                    continue
-                sid = int(mix(np.array([h.sum(dtype=np.uint64) ^ np.uint64(len(h))])).view(np.int64)[0])
+        out, held = [], 0
+        for doc_id, text_hash, text in _rows(batches, "id", "text_hash", "text"):
+            h = shingle_hashes(text, words)
+            if len(h):
                 b = band_of(len(h), percent)
-                keys = None
-                if sid not in seen:  # a copy of a set indexed by this task has nothing to add
-                    seen[sid] = None
-                    if len(seen) > SEEN:
-                        seen.popitem(last=False)
-                    bands = [b, b - 1] if b else [b]
-                    keys = np.concatenate([index_keys(h, x, percent) for x in bands]).view(np.int64)
-                out.append((doc_id, text_hash, len(h), sid, keys))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _SETS.split(", ")])
+                out.append((doc_id, text_hash, len(h), set_id(h), b, sketch(h, b, percent), sketch(h, b - 1, percent) if b else None))
+                held += len(out[-1][5])
+            else:
+                out.append((doc_id, text_hash, 0, None, None, None, None))
+            if len(out) >= OUT_ROWS or held >= OUT_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SETS, strict=True)], schema=_SETS)
+                out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SETS, strict=True)], schema=_SETS)
 
     return run
 
 
-def _sketches(words: int, percent: int):
-    """(sid, n, band, own, lower): the sketches of a set in the layouts of its band and the one below."""
+def _index(words: int, percent: int):
+    """(key, sid): what the sets of the texts index, once for each set that the task remembers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for sid, text in zip(batch.column("sid").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                h = shingle_hashes(text, words)
-                b = band_of(len(h), percent)
-                out.append((sid, len(h), b, sketch(h, b, percent), sketch(h, b - 1, percent) if b else None))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 5, kinds, strict=True)], names=["sid", "n", "band", "own", "lower"])
+        seen: OrderedDict[int, None] = OrderedDict()
+        keys, sids, held = [], [], 0
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(sids, np.int64), [len(k) for k in keys]))], names=["key", "sid"])
+
+        for (text,) in _rows(batches, "text"):
+            h = shingle_hashes(text, words)
+            if not len(h) or (sid := set_id(h)) in seen:  # a copy of a set indexed by this task has nothing to add
+                continue
+            seen[sid] = None
+            if len(seen) > SEEN:
+                seen.popitem(last=False)
+            b = band_of(len(h), percent)
+            for x in [b, b - 1] if b else [b]:
+                keys.append(index_keys(h, x, percent))
+                sids.append(sid)
+                held += 8 * len(keys[-1])
+            if held >= OUT_BYTES:
+                yield told()
+                keys, sids, held = [], [], 0
+        if keys:
+            yield told()
 
     return run
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key and set, those of keys that several sets share, once each."""
-    last_key = last_sid = opened = None
-    told = False
+    """From rows sorted by key and set, (group, sid) for the keys that several sets share. A group's number is a hash of
+    its sets and of the layout's band, so that keys with the same sets give the same rows; groups of more than HELD
+    sets go by their key."""
+    key, sid, told = np.empty(0, np.int64), np.empty(0, np.int64), None
+
+    def rows(k: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(s)], names=["key", "sid"])
+
+    def grouped(key: np.ndarray, sid: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        n = np.diff(np.append(starts, len(key)))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(sid.view(np.uint64)), dtype=np.uint64)))
+        sums = mix(total[starts + n] - total[starts] + n.astype(np.uint64))
+        name = (sums & ~_MASK) | (key[starts].view(np.uint64) & _MASK)
+        shared = np.repeat(n > 1, n)
+        if shared.any():
+            yield rows(np.repeat(name, n)[shared].view(np.int64), sid[shared])
+
     for b in batches:
-        key, sid = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "sid"))
-        if not len(key):
-            continue
-        same = np.concatenate(([key[0] == last_key], key[1:] == key[:-1]))
-        again = same & np.concatenate(([sid[0] == last_sid], sid[1:] == sid[:-1]))
-        last_key, last_sid = key[-1], sid[-1]
-        key, sid, same = key[~again], sid[~again], same[~again]
+        k, s = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "sid"))
+        key, sid = np.concatenate((key, k)), np.concatenate((sid, s))
         if not len(key):
             continue
-        starts = np.flatnonzero(~same)
-        run = np.cumsum(~same)  # 0 goes on with the last batch's run
-        first = np.concatenate(([0 if opened is None else opened], sid[starts]))
-        shared = np.bincount(run[same], minlength=len(starts) + 1) > 0
-        lead = np.concatenate(([key[0]], key[starts]))
-        tell = shared.copy()
-        tell[0] &= not told
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((lead[tell], key[same]))), pa.array(np.concatenate((first[tell], sid[same])))], names=["key", "sid"])
-        opened = first[-1]
-        told = bool(shared[-1]) or (told and not len(starts))
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])))
+        key, sid = key[new], sid[new]
+        if told is not None:  # the key whose rows are passed on as they come; the first row here is its last one there
+            end = int(np.searchsorted(key, told, "right"))
+            if end > 1:
+                yield rows(key[1:end], sid[1:end])
+            if end == len(key):
+                key, sid = key[-1:], sid[-1:]
+                continue
+            key, sid, told = key[end:], sid[end:], None
+        last = int(np.searchsorted(key, key[-1], "left"))
+        if last:
+            yield from grouped(key[:last], sid[:last])
+            key, sid = key[last:], sid[last:]
+        if len(key) > HELD:
+            yield rows(key, sid)
+            key, sid, told = key[-1:], sid[-1:], key[-1]
+    if len(key) > 1:
+        yield from grouped(key, sid)
+
+
+def _likely(percent: int):
+    """Of rows (a, b, n_a, n_b, x, y), the pairs whose sketches x and y allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+                differ = int(np.bitwise_count(np.frombuffer(x.as_buffer(), np.uint64) ^ np.frombuffer(y.as_buffer(), np.uint64)).sum())
+                keep.append(differ * (100 + percent) <= (100 - percent) * (n + m))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def _cross(percent: int, best: bool):
@@ -233,34 +290,47 @@ def _cross(percent: int, best: bool):
 
 
 def _verified(words: int, percent: int):
-    """Of rows (a, b, text_a, text_b), the pairs that are linked."""
+    """From rows (a, part, b, text) sorted by a, part and whether b is a, which puts the text of a first: the linked pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: OrderedDict[int, np.ndarray] = OrderedDict()
+        of, p, out = None, None, []
 
-        def of(sid: int, text: str) -> np.ndarray:
-            if sid not in kept:
-                kept[sid] = shingle_hashes(text, words)
-                if len(kept) > KEPT:
-                    kept.popitem(last=False)
-            else:
-                kept.move_to_end(sid)
-            return kept[sid]
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        for batch in batches:
-            out = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                p, q = of(a, x), of(b, y)
-                both = np.concatenate((p, q))
-                both.sort()
-                inter = int((both[1:] == both[:-1]).sum())
-                if 100 * inter >= percent * (len(p) + len(q) - inter):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        for a, part, b, text in _rows(batches, "a", "part", "b", "text"):
+            q = shingle_hashes(text, words)
+            if a == b:
+                of, p = (a, part), q
+                continue
+            if of != (a, part):
+                raise ValueError("a pair came without its first text")
+            both = np.concatenate((p, q))
+            both.sort()
+            inter = int((both[1:] == both[:-1]).sum())
+            if 100 * inter >= percent * (len(p) + len(q) - inter):
+                out.append((a, b))
+                if len(out) == OUT_ROWS:
+                    yield told()
+                    out = []
+        yield told()
 
     return run
 
 
+def bitmap_of(rows: DataFrame, column: str, count: int) -> tuple[DataFrame, int]:
+    """A filter of bounded size: the bits of the hashes of a column, as rows (bucket, bitmap), and their number."""
+    bits = filter_bits(count)
+    at = F.pmod(F.xxhash64(column), F.lit(bits)) + 1
+    return rows.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap")), bits
+
+
+def in_bitmap(rows: DataFrame, column: str, bitmap: DataFrame, bits: int) -> DataFrame:
+    """The rows whose value may be in the filter, of at most 32 MB, which is broadcast."""
+    at = F.pmod(F.xxhash64(column), F.lit(bits)) + 1
+    return rows.withColumn("__at", at).join(F.broadcast(bitmap), F.bitmap_bucket_number("__at") == F.col("bucket")).where(has_bit(F.col("bitmap"), F.col("__at"))).drop("__at", "bucket", "bitmap")
+
+
 def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the least id that links reach, its own included).
 
@@ -273,58 +343,69 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    sets = scratch.table(base.mapInArrow(_sets(words, percent), _SETS), "sets")
-    rows = sets.where("keys is not null").select(F.explode("keys").alias("key"), "sid")
-    met = scratch.table(rows.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_met, "key long, sid long"), "met")
-    every = scratch.table(sets.drop("keys"), "every")
-    scratch.drop(sets)
-    del rows, sets
-    scratch.release()
+    every = scratch.table(base.mapInArrow(_sets(words, percent), SETS), "every")
     full = every.where("n > 0")
-    some = met.select("sid").distinct()
-    nodes = scratch.table(full.groupBy("sid").agg(F.min(F.struct("id", "text_hash")).alias("rep"), F.max("n").alias("n")).join(some, "sid", "left_semi").select("sid", "n", "rep.id", "rep.text_hash"), "nodes")
-    # the texts of one document of each set that meets another: a filter of bounded size spares shuffling the others
-    bits = filter_bits(nodes.count())
-    spot = F.pmod(F.xxhash64("id"), F.lit(bits)) + 1
-    bitmap = nodes.select(spot.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
-    near = base.withColumn("at", spot).join(F.broadcast(scratch.table(bitmap, "bits")), F.bitmap_bucket_number("at") == F.col("bucket")).where(has_bit(F.col("bitmap"), F.col("at"))).select(F.col("id").alias("i"), F.col("text_hash").alias("h"), "text")
-    texts = scratch.table(nodes.join(near, F.col("id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h"))).select("sid", "text").dropDuplicates(["sid"]), "texts")
+    # the index is shuffled once, from the texts, and kept nowhere: most of its keys are those of one set
+    index = base.select("text").mapInArrow(_index(words, percent), "key long, sid long")
+    met = scratch.table(index.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_met, "key long, sid long").distinct(), "met")
+    scratch.release()
+    # of each set that meets another, the least document and the sketches
+    some = scratch.table(met.select("sid").distinct(), "some")
+    bitmap, bits = bitmap_of(some, "sid", some.count())
+    found = in_bitmap(full, "sid", scratch.table(bitmap, "bits"), bits).join(some, "sid", "left_semi")
+    nodes = scratch.table(found.groupBy("sid").agg(F.min(F.struct("id", "text_hash", "n", "band", "own", "lower")).alias("of")).select("sid", "of.*"), "nodes")
+
+    no_id = F.lit(-(1 << 63))  # stands for null beside a text's hash
 
     def links(pairs: DataFrame) -> DataFrame:
-        size = lambda c: nodes.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"))
-        fit = pairs.join(size("a"), "a").join(size("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
-        with_a = fit.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a")
-        with_b = with_a.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b")
-        return scratch.table(with_b.select("a", "b", "text_a", "text_b").mapInArrow(_verified(words, percent), "a long, b long").distinct(), "links")
-
-    # the pivot of a key: of its sets the one that shares most keys
-    reach = scratch.table(met.groupBy("sid").agg(F.count(F.lit(1)).alias("reach")), "reach")
+        """Of pairs of sets, those that are linked, by sizes, then sketches, then texts. The text of a comes once for each
+        PART of its partners, that of b once for each pair."""
+        one = lambda c: nodes.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("band").alias(f"band_{c}"), F.col("own").alias(f"own_{c}"), F.col("lower").alias(f"lower_{c}"))
+        fit = pairs.join(one("a"), "a").join(one("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and abs(band_a - band_b) <= 1")
+        in_layout = lambda c, d: F.when(F.col(f"band_{c}") <= F.col(f"band_{d}"), F.col(f"own_{c}")).otherwise(F.col(f"lower_{c}"))
+        likely = scratch.table(fit.select("a", "b", "n_a", "n_b", in_layout("a", "b").alias("x"), in_layout("b", "a").alias("y")).mapInArrow(_likely(percent), "a long, b long"), "likely")
+        parts = likely.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+        tails = likely.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b")
+        heads = tails.select("a", "part", F.col("a").alias("b")).distinct()
+        wanted = scratch.table(tails.unionByName(heads).join(nodes.select(F.col("sid").alias("b"), F.coalesce("id", no_id).alias("id"), "text_hash"), "b"), "wanted")
+        bitmap, bits = bitmap_of(wanted, "id", likely.count())
+        texts = in_bitmap(base.withColumn("id", F.coalesce("id", no_id)), "id", scratch.table(bitmap, "bits"), bits).dropDuplicates(["id", "text_hash"])
+        rows = wanted.join(texts, ["id", "text_hash"]).select("a", "part", "b", "text")
+        return scratch.table(rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b") != F.col("a")).mapInArrow(_verified(words, percent), "a long, b long").distinct(), "links")
+
+    # the pivot of a group: of its sets the one that is in most groups
+    reach = met.groupBy("sid").agg(F.count(F.lit(1)).alias("reach"))
     pivots = scratch.table(met.join(reach, "sid").groupBy("key").agg(F.max(F.struct("reach", "sid")).alias("top")).select("key", F.col("top.sid").alias("a")), "pivots")
-    star = scratch.table(met.join(pivots, "key").where("sid <> a").select("a", F.col("sid").alias("b")).distinct(), "star")
-    label = components(links(star), scratch)
-    sketches = scratch.table(texts.mapInArrow(_sketches(words, percent), "sid long, n long, band int, own binary, lower binary"), "sketches")
-    for done in (reach, pivots, star):
-        scratch.drop(done)
+    rest = scratch.table(met.join(pivots, "key").where("sid <> a").select("key", "sid", "a"), "rest")
+    label = components(links(rest.select("a", F.col("sid").alias("b")).distinct()), scratch)
+    scratch.drop(pivots)
     scratch.release()
 
-    def crossed(best: bool) -> DataFrame:
-        """Pairs at keys where different components still meet."""
-        labelled = scratch.table(met.join(label.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("comp")), "labelled")
+    def crossed(best: bool) -> DataFrame | None:
+        """Pairs in groups where different components still meet. Those with the pivot have been compared."""
+        labelled = scratch.table(rest.select("key", "sid").join(label.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("comp")), "labelled")
         open_ = scratch.table(labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("g")).where("x <> y").select("key", F.ceil(F.col("g") / block).cast("int").alias("blocks")), "open")
+        if open_.isEmpty():
+            return None
         dealt = (
             labelled.join(open_, "key")
             .withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .join(sketches, "sid")
-            .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "sid", "comp", "n", F.when(F.col("key").bitwiseAND(0xFF) == F.col("band"), F.col("own")).otherwise(F.col("lower")).alias("sketch"))
+            .join(nodes.select("sid", "n", "band", "own", "lower"), "sid")
+            .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "sid", "comp", "n", F.when(F.col("key").bitwiseAND(0xFF) == F.col("band").bitwiseAND(0xFF), F.col("own")).otherwise(F.col("lower")).alias("sketch"))
         )
         out = scratch.table(dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_cross(percent, best), "a long, b long").distinct(), "crossed")
         for done in (labelled, open_):
             scratch.drop(done)
-        return out
+        return None if out.isEmpty() else out
 
     for best in (True, False):
-        ends = links(crossed(best))
+        pairs = crossed(best)
+        if pairs is None:
+            break
+        ends = links(pairs)
+        if ends.isEmpty():
+            continue
         for c in ("a", "b"):
             ends = ends.join(label.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}")), c, "left").withColumn(c, F.coalesce(f"l_{c}", c)).drop(f"l_{c}")
         merged = components(ends, scratch)
