@@ -36,13 +36,21 @@ def test_resolution(spark):
 
 def test_merton():
     e, s, d = np.array([100.0, 50.0]), np.array([0.4, 0.6]), np.array([300.0, 900.0])
-    v, a = K.solve_merton(e, s, d)
+    v, a, solved = K.solve_merton(e, s, d)
+    assert solved.all()
     d1 = (np.log(v / d) + (K.RATE + a * a / 2) * K.HORIZON) / (a * K.HORIZON**0.5)
     n1, n2 = K.normal_cdf(d1), K.normal_cdf(d1 - a * K.HORIZON**0.5)
     assert np.allclose(v * n1 - d * np.exp(-K.RATE * K.HORIZON) * n2, e, rtol=1e-4)
     assert np.allclose(n1 * v * a, s * e, rtol=1e-4)
 
 
+def test_merton_without_a_solution():
+    """What the equations can't be solved for gets the closed form, and says so."""
+    v, a, solved = K.solve_merton(np.array([100.0, 1e-6]), np.array([0.4, 0.01]), np.array([300.0, 1e9]))
+    assert solved.tolist() == [True, False]
+    assert v[1] == pytest.approx(1e9 * np.exp(-K.RATE * K.HORIZON)) and a[1] == pytest.approx(0.01 * 1e-6 / v[1])
+
+
 def test_merton_nulls(spark):
     df = spark.createDataFrame([(100.0, 0.4, 300.0), (None, 0.4, 1.0), (0.0, 0.4, 1.0)], "e double, s double, d double")
     rows = [r.m for r in df.select(K.merton(F.col("e"), F.col("s"), F.col("d")).alias("m")).collect()]

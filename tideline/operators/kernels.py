@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 # Horizon in years, riskless rate, components, kernel width, ridge penalty.
 HORIZON, RATE, COMPONENTS, GAMMA, ALPHA = 0.25, 0.065, 10, 0.0681292, 1.0
+# Fixed value: what both equations may miss, as a share of the equity.
+RESIDUAL = 0.01
 MAX_ROWS = 5000
 _erf = np.vectorize(math.erf, otypes=[float])
 
@@ -26,34 +28,59 @@ def normal_cdf(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + _erf(x / math.sqrt(2)))
 
 
-def solve_merton(equity: np.ndarray, vol: np.ndarray, debt: np.ndarray, t: float = HORIZON, r: float = RATE, steps: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """Asset value and volatility with equity as a call on assets, by a damped fixed point over all rows at once."""
-    v, s = equity + debt, vol * equity / (equity + debt)
-    for _ in range(steps):
-        d1 = (np.log(v / debt) + (r + s * s / 2) * t) / (s * math.sqrt(t))
-        n1, n2 = normal_cdf(d1), normal_cdf(d1 - s * math.sqrt(t))
-        v = 0.5 * v + 0.5 * (equity + debt * math.exp(-r * t) * n2) / np.maximum(n1, 1e-9)
-        s = 0.5 * s + 0.5 * vol * equity / (v * np.maximum(n1, 1e-9))
-    return v, s
+def solve_merton(equity: np.ndarray, vol: np.ndarray, debt: np.ndarray, t: float = HORIZON, r: float = RATE, steps: int = 60, newton: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Asset value, asset volatility and whether they solve both equations, with equity as a call on assets.
+
+    All rows go through a damped fixed point, then Newton's steps that lessen what is left. Rows for which that stays at
+    RESIDUAL of the equity or more get the closed form: equity and discounted debt, with equity's share of volatility."""
+    root, owed = math.sqrt(t), debt * math.exp(-r * t)
+
+    def gaps(v: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
+        d1 = (np.log(v / debt) + (r + s * s / 2) * t) / (s * root)
+        d2 = d1 - s * root
+        n1 = normal_cdf(d1)
+        return v * n1 - owed * normal_cdf(d2) - equity, n1 * s * v - vol * equity, d1, d2, n1
+
+    with np.errstate(all="ignore"):
+        v, s = equity + debt, vol * equity / (equity + debt)
+        for _ in range(steps):
+            _, _, _, d2, n1 = gaps(v, s)
+            v = 0.5 * v + 0.5 * (equity + owed * normal_cdf(d2)) / np.maximum(n1, 1e-9)
+            s = 0.5 * s + 0.5 * vol * equity / (v * np.maximum(n1, 1e-9))
+        for _ in range(newton):
+            f, g, d1, d2, n1 = gaps(v, s)
+            density = np.exp(-d1 * d1 / 2) / math.sqrt(2 * math.pi)
+            fv, fs, gv, gs = n1, v * density * root, density / root + n1 * s, v * (n1 - density * d2)
+            whole = fv * gs - fs * gv
+            nv, ns = v - (f * gs - g * fs) / whole, s - (g * fv - f * gv) / whole
+            nf, ng, *_ = gaps(np.where(nv > 0, nv, v), np.where(ns > 0, ns, s))
+            better = (nv > 0) & (ns > 0) & (np.abs(nf) + np.abs(ng) < np.abs(f) + np.abs(g))
+            v, s = np.where(better, nv, v), np.where(better, ns, s)
+        f, g, *_ = gaps(v, s)
+        solved = np.abs(f) + np.abs(g) < RESIDUAL * equity
+    plain = equity + owed
+    return np.where(solved, v, plain), np.where(solved, s, vol * equity / plain), solved
 
 
 def merton(equity: Column, vol: Column, debt: Column) -> Column:
-    """struct(asset_value, asset_vol, dtd, default_probability); null where an input is null or not above 0."""
-    names = ["asset_value", "asset_vol", "dtd", "default_probability"]
+    """struct(asset_value, asset_vol, dtd, default_probability, converged); null where an input is null or not above 0."""
+    names = ["asset_value", "asset_vol", "dtd", "default_probability", "converged"]
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for e, s, d in batches:
             x = np.array([e, s, d], float)
             ok = (np.isfinite(x) & (x > 0)).all(0)
-            out = np.full((4, x.shape[1]), np.nan)
+            out = np.full((5, x.shape[1]), np.nan)
             if ok.any():
-                v, a = solve_merton(*x[:, ok])
+                v, a, solved = solve_merton(*x[:, ok])
                 dtd = (np.log(v / x[2, ok]) + (RATE - a * a / 2) * HORIZON) / (a * math.sqrt(HORIZON))
-                out[:, ok] = v, a, dtd, normal_cdf(-dtd)
-            yield pd.DataFrame(dict(zip(names, out, strict=True))).astype(object).where(lambda f: f.notna(), None)
+                out[:, ok] = v, a, dtd, normal_cdf(-dtd), solved
+            frame = pd.DataFrame(dict(zip(names, out, strict=True))).astype(object).where(lambda f: f.notna(), None)
+            frame["converged"] = [None if c is None else bool(c) for c in frame["converged"]]
+            yield frame
 
     run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(run, ", ".join(f"{n} double" for n in names))(equity, vol, debt)
+    return F.pandas_udf(run, ", ".join(f"{n} double" for n in names[:4]) + ", converged boolean")(equity, vol, debt)
 
 
 def standardise(x: np.ndarray) -> np.ndarray:

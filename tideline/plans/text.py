@@ -74,7 +74,7 @@ SELECT doc_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replac
     "metric_names": (lambda t: t["part"].select("p_partkey", metric_name(F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("Net NPA as %*  of "), "p_name")).when(F.col("p_partkey") % 4 == 1, F.lit(" gross\nNPA# ")).when(F.col("p_partkey") % 4 == 2, F.concat("p_name", F.lit(" car ratio"))).otherwise(F.col("p_name"))).alias("metric")), """
 SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Net NPA as % to Net Advances' WHEN 1 THEN 'Gross NPA' WHEN 2 THEN 'Capital Adequacy Ratio (Basel-III)' ELSE
   array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') END AS metric FROM part"""),
-    "merton_dtd": (lambda t: t["supplier"].where("s_acctbal > 0").select("s_suppkey", K.merton(F.col("s_acctbal"), F.lit(0.2) + (F.col("s_suppkey") % 10) / 20, F.col("s_acctbal") * 4).alias("m")).select("s_suppkey", *[F.round(f"m.{c}", 4).alias(c) for c in ("asset_value", "asset_vol", "dtd", "default_probability")]), None),
+    "merton_dtd": (lambda t: t["supplier"].where("s_acctbal > 0").select("s_suppkey", K.merton(F.col("s_acctbal"), F.lit(0.2) + (F.col("s_suppkey") % 10) / 20, F.col("s_acctbal") * 4).alias("m")).select("s_suppkey", *[F.round(f"m.{c}", 4).alias(c) for c in ("asset_value", "asset_vol", "dtd", "default_probability")], "m.converged"), None),
     "kernel_pca": (lambda t: K.boundary_stress(scores.ratios(t).select("bank", *[S.health(r, F.col(r)).alias(r) for r in scores.RATIOS]), "bank", list(scores.RATIOS), [0.2] * len(scores.RATIOS)).select("bank", F.round("boundary", 4).alias("boundary")), None),
     "ridge_orientation": (lambda t: K.ridge_orientation(scores.ratios(t), "bank", ["totalCAR", "tier1CAR", "returnOnAssets"], "netNPAToNetAdvances").select("bank", F.round("oriented", 4).alias("oriented")), None),
     "pca_stress": (lambda t: K.pca_stress(scores.ratios(t), "bank", list(scores.RATIOS), "netNPAToNetAdvances").select("bank", F.round("score", 4).alias("score")), None),
