@@ -18,14 +18,16 @@ from tideline.llm.queries import held_out
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score below the threshold. The classifier learns from the labels of this input's documents."""
+    """Documents with a score below the threshold. The classifier learns from the labels of this input's documents. Null
+    texts are scored as empty ones; rows that share an id are scored each for itself."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
     scored = toxicity.toxicity_scores(docs, toxicity.train(docs, labels), score_col="__score")
     return scored.where(F.col("__score") < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that many of them repeat; n_chars is counted anew."""
+    """Documents without the lines that many of them repeat; n_chars is counted anew. Null texts become empty; columns
+    named n_lines or n_dropped hold those counts."""
     out = line_dedup.dedup_lines(docs)
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
@@ -34,11 +36,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document with the least id of each group that shares shingles of five words to 0.8 or more; rows without an
     id stay."""
     groups = ngram_join.ngram_components(docs, words=5, percent=80)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences; null and empty texts are their end alone, and repeated rows are packed
+    each for itself."""
     out = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
