@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections import defaultdict
 
@@ -22,8 +23,8 @@ class Merges:
     """Words of one length are the rows of an array; each step joins, in every row, the neighbours of lowest rank, the
     leftmost of equals, until no row has two neighbours that merge."""
 
-    #: Bytes of words that are folded together.
-    CELLS = 1 << 19
+    #: Bytes of words that are folded together, and of a word that is folded for itself, in time that grows with n log n.
+    CELLS, LONG = 1 << 19, 256
 
     def __init__(self, pairs: dict[int, int], ids: np.ndarray, single: np.ndarray, last: np.ndarray, whole: dict[bytes, int]):
         """pairs: left id << 32 | right id -> rank; ids: what each rank makes; single, last: the id of a byte, and of
@@ -31,6 +32,7 @@ class Merges:
         self.keys = np.array(sorted(pairs), np.int64)
         self.found = np.array([pairs[k] for k in self.keys.tolist()] + [_NONE], np.int32)
         self.ids, self.single, self.last, self.whole = ids, single, last, whole
+        self._table: dict[int, int] | None = None
 
     @classmethod
     def of_ranks(cls, ranks: dict[bytes, int]) -> Merges:
@@ -88,6 +90,30 @@ class Merges:
                 r[k, c] = self._rank(t[k, c], t[k, c + 1])
             r[:, end] = _NONE
 
+    def _fold_long(self, t: np.ndarray) -> np.ndarray:
+        """The ids of one long word: a heap of the places of neighbours that merge, by rank, then place."""
+        if self._table is None:
+            self._table = dict(zip(self.keys.tolist(), self.found[:-1].tolist(), strict=True))
+        rank, ids, n = self._table.get, t.tolist(), len(t)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        first = self._rank(t[:-1], t[1:]).astype(np.int64)
+        at = np.flatnonzero(first != _NONE)
+        heap = (first[at] << 32 | at).tolist()
+        heapq.heapify(heap)
+        while heap:
+            low, i = divmod(heapq.heappop(heap), 1 << 32)
+            j = after[i]
+            # places that have gone, or that have another neighbour since
+            if ids[i] < 0 or j == n or rank(ids[i] << 32 | ids[j]) != low:
+                continue
+            ids[i], ids[j], after[i] = int(self.ids[low]), -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and (r := rank(ids[a] << 32 | ids[b])) is not None:
+                    heapq.heappush(heap, r << 32 | a)
+        return np.array([x for x in ids if x >= 0], np.int32)
+
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, none of them empty, one word after another, and how many each has."""
         by_length, at, found, counts = defaultdict(list), [], [], []
@@ -100,6 +126,14 @@ class Merges:
                 found.append(whole)
         at, found, counts = [np.array(at, np.int64)], [np.array(found, np.int32)], [np.ones(len(at), np.int64)]
         for n, every in by_length.items():
+            if n > self.LONG:
+                for k in every:
+                    b = np.frombuffer(words[k], np.uint8)
+                    ids = self._fold_long(np.append(self.single[b[:-1]], self.last[b[-1]]))
+                    at.append(np.array([k], np.int64))
+                    found.append(ids)
+                    counts.append(np.array([len(ids)], np.int64))
+                continue
             step = max(1, self.CELLS // n)
             for a in range(0, len(every), step):
                 part = np.array(every[a : a + step], np.int64)
