@@ -78,15 +78,17 @@ def split_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byt
 
 
 def _inflated(stream) -> Iterator[bytes]:
-    """The content of a gzip file of any number of members."""
+    """The content of a gzip file of any number of members, READ bytes at a time at most."""
     z = zlib.decompressobj(31)
     while data := stream.read(READ):
         while data:
-            yield z.decompress(data)
-            data = z.unused_data
+            yield z.decompress(data, READ)
+            data = z.unconsumed_tail
             if z.eof:
+                data = z.unused_data
                 z = zlib.decompressobj(31)
-    yield z.flush()
+    while rest := z.decompress(z.unconsumed_tail, READ):
+        yield rest
 
 
 def _commit(system: fs.FileSystem, temporary: str, final: str) -> None:
