@@ -41,8 +41,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch = Scratch(spark, "exact")
     text = F.coalesce(F.col(text_col), F.lit(""))
     bits = filter_bits(docs.count(), most=most_bits)
-    # positions count from 1, as Spark's bitmap functions do
-    base = docs.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("sha"), *[(F.pmod(F.xxhash64(text, F.lit(k)), F.lit(bits)) + 1).alias(f"p{k}") for k in (1, 2)])
+    # the texts are read once; positions count from 1, as Spark's bitmap functions do
+    base = scratch.table(docs.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("sha"), *[(F.pmod(F.xxhash64(text, F.lit(k)), F.lit(bits)) + 1).alias(f"p{k}") for k in (1, 2)]), "hashes")
     bitmaps = scratch.table(repeated_bits(base, ["p1", "p2"]), "bits")
     for k in (1, 2):
         # at most most_bits / 8 bytes, whatever the input
