@@ -10,20 +10,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lengths of the n-grams in bytes of the lower-cased text, and the bits of a hashed feature.
+from .common import Scratch
+
+#: Lengths of the n-grams in characters of the lower-cased text, and the bits of a hashed feature.
 NGRAMS, FEATURE_BITS = (4, 5, 6, 8), 20
 #: Labelled rows of each class that the classifier is trained on at most: a bounded sample, in the order of a hash of the
 #: id. Their texts are read whole, as for scores.
 SAMPLE_ROWS = 4000
 #: Features with a weight: those whose shares in the two classes differ most clearly.
-FEATURES = 8000
+FEATURES = 2000
 SMOOTH, L2, STEPS, RATE = 1.0, 0.2, 150, 0.05
 THRESHOLD = 0.7
 
 
 def features(text: str | None) -> np.ndarray:
     """Hashed n-grams of a text, one for each place, A-Z lower-cased and with a space at either end."""
-    b = np.frombuffer(b" " + (text or "").encode("utf-8", "replace").lower() + b" ", np.uint8).astype(np.uint32)
+    b = np.frombuffer(f" {text or ''} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    b = b + np.uint32(32) * ((b >= 65) & (b <= 90))
     out, h = [], np.zeros(len(b), np.uint32)
     for n in range(1, max(NGRAMS) + 1):
         if len(b) < n:
@@ -128,7 +131,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Classifier:
     """Trains on at most sample_rows labelled documents of each class. Rows without label or id are left out; ids that
-    are labelled twice count as toxic if either label says so; null texts count as empty. The bias is that of the classes'
+    are labelled twice count as toxic if either label says so; of rows that share an id the least text counts; null texts
+    count as empty. The bias is that of the classes'
     shares among all labels, whatever the sample holds of each.
 
     Texts stay in the tasks that read them: the driver gets one row per feature, at most 2 ** FEATURE_BITS, and then the
@@ -138,13 +142,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for k in (0, 1):
         part = known.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
         sample = part if sample is None else sample.unionByName(part)
-    # at most 2 * sample_rows ids and labels are broadcast
+    # at most 2 * sample_rows ids and labels are broadcast; the rows found are written, as they are read three times
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "id")
-    per_class = lambda: {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    totals = per_class()
-    if sum(totals.values()) > 4 * sample_rows:  # ids that many rows share
-        rows = rows.orderBy("id", "text").limit(4 * sample_rows)
-        totals = per_class()
+    rows = Scratch(docs.sparkSession, "toxicity").table(rows.groupBy("id", "y").agg(F.min("text").alias("text")), "labelled")
+    totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         return one_class(n1, n0)
