@@ -55,8 +55,8 @@ def impute_median(df: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def winsorize(df: DataFrame, by: str, value: str, lo: float = 0.05, hi: float = 0.95) -> DataFrame:
-    """Values cut to two quantiles (linear interpolation) of their group; the quantiles are an aggregate, joined back,
-    so that no group has to fit in a task."""
+    """Values cut to two quantiles (linear interpolation) of their group; the quantiles are an aggregate, joined back. It
+    counts the distinct values of a group in one task; the rows themselves stay where they are."""
     q = df.groupBy(by).agg(F.percentile(value, F.lit(lo)).alias("_lo"), F.percentile(value, F.lit(hi)).alias("_hi"))
     return df.join(q, by).withColumn(f"{value}_cut", F.when(F.col(value).isNotNull(), F.greatest("_lo", F.least("_hi", F.col(value))))).drop("_lo", "_hi")
 
@@ -98,6 +98,18 @@ def floor_percentile(df: DataFrame, by: str, value: str, share: float) -> DataFr
     return p.where(F.col("_r") == F.least(F.floor(F.col("_n") * share), F.col("_n") - 1)).select(by, F.col(value).alias("value"))
 
 
-def top_groups_pivot(df: DataFrame, x: str, group: str, value: str, groups: list) -> DataFrame:
-    """A column per group, for groups that are given, which spares a job that lists them."""
-    return df.groupBy(x).pivot(group, groups).agg(F.round(F.sum(value), 2))
+def pivot_first(df: DataFrame, row: str, column: str, value: str, order: str) -> DataFrame:
+    """A column per value of `column`, with the first `value` by `order` of each row; a job lists the columns."""
+    return df.groupBy(row).pivot(column).agg(F.min_by(value, order))
+
+
+def top_groups_pivot(df: DataFrame, x: str, group: str, value: str, k: int = 10) -> DataFrame:
+    """Sums with a column for each of the k groups of the largest sums, of equals the first by name; one job lists them."""
+    sums = df.groupBy(group).agg(F.sum(value).alias("_sum")).where(F.col(group).isNotNull())
+    groups = [r[0] for r in sums.orderBy(F.desc("_sum"), group).limit(k).collect()]
+    return df.where(F.col(group).isin(groups)).groupBy(x).pivot(group, groups).agg(F.round(F.sum(value), 2))
+
+
+def long_form(wide: DataFrame, row: str, name: str, value: str) -> DataFrame:
+    """A pivot's cells that have a value, one a row."""
+    return wide.unpivot(row, [c for c in wide.columns if c != row], name, value).where(F.col(value).isNotNull())

@@ -79,10 +79,12 @@ SELECT bank, amount AS value FROM r WHERE r = least(floor(n * 0.85), n - 1)""",
     "status_rollup": (lambda t: t["orders"].rollup("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("long").alias("level")), """
 SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus, o_orderpriority) AS BIGINT) AS level FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)"""),
     "value_counts": (lambda t: panel(t).groupBy("x").agg(F.count(F.lit(1)).alias("n")), _PANEL + " SELECT x, count(*) AS n FROM x GROUP BY x"),
-    "pivot_metric_year": (lambda t: panel(t).groupBy("bank").pivot("year", [1996, 1997, 1998]).agg(F.max("q")).select("bank", *[F.col(str(y)).alias(f"y{y}") for y in (1996, 1997, 1998)]), _PANEL + """
-SELECT bank, max(q) FILTER (WHERE year = 1996) AS y1996, max(q) FILTER (WHERE year = 1997) AS y1997, max(q) FILTER (WHERE year = 1998) AS y1998 FROM p GROUP BY bank"""),
-    "top10_pivot": (lambda t: W.top_groups_pivot(t.lends.join(t.industry, "company"), "bank", "industry", "amount", ["AUTOMOBILE", "BUILDING", "MACHINERY"]).select("bank", *[F.col(c).alias(c.lower()) for c in ("AUTOMOBILE", "BUILDING", "MACHINERY")]), sql("""
-SELECT bank, sum(amount) FILTER (WHERE industry = 'AUTOMOBILE') AS automobile, sum(amount) FILTER (WHERE industry = 'BUILDING') AS building, sum(amount) FILTER (WHERE industry = 'MACHINERY') AS machinery FROM lends JOIN industry USING (company) GROUP BY bank""", "lends", "industry")),
+    "pivot_metric_year": (lambda t: W.long_form(W.pivot_first(t.items.select("bank", F.year("odate").alias("year"), "gross", F.struct("odate", "l_orderkey", "l_linenumber").alias("seq")), "bank", "year", "gross", "seq"), "bank", "year", "gross"), sql("""
+SELECT bank, CAST(year(odate) AS VARCHAR) AS year, arg_min(gross, (odate, l_orderkey, l_linenumber)) AS gross FROM fac GROUP BY ALL""", "fac")),
+    "top10_pivot": (lambda t: W.long_form(W.top_groups_pivot(t.items.join(t["part"].select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey"), "bank", "p_brand", "amt"), "bank", "brand", "amount"), sql("""
+, b AS (SELECT l_suppkey AS bank, p_brand AS brand, floor(l_extendedprice * (1 - l_discount) + 0.5) AS amt FROM lineitem JOIN part ON p_partkey = l_partkey),
+k AS (SELECT brand FROM b GROUP BY brand ORDER BY sum(amt) DESC, brand LIMIT 10)
+SELECT bank, brand, sum(amt) AS amount FROM b WHERE brand IN (SELECT brand FROM k) GROUP BY ALL""", "fac")),
     "dedup_first": (lambda t: W.latest(t["events"], "user_id", F.asc("ts"), F.asc("event_id")).select("user_id", "event_id"), """
 SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r = 1"""),
     "coverage_filter": (lambda t: panel(t).agg(*[F.round(F.count(c) / F.count(F.lit(1)), 6).alias(c) for c in ("n", "q", "x")]).select(*[(F.col(c) >= 0.6).alias(c) for c in ("n", "q", "x")]), _PANEL + " SELECT count(n) / count(*) >= 0.6 AS n, count(q) / count(*) >= 0.6 AS q, count(x) / count(*) >= 0.6 AS x FROM x"),
