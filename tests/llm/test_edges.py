@@ -1,11 +1,14 @@
 """Each operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
 import hashlib
+import random
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 from tideline.llm import bpe, chat, exact_dedup, fingerprints, line_dedup, ngram_join, packing, token_tree, toxicity, warc
@@ -38,6 +41,20 @@ def test_line_dedup(docs, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_of_many_lines(spark):
+    """200,000 lines in one text, half of them in five texts; rows that share an id are one document."""
+    common, own = [f"{LONG} {k}" for k in range(100_000)], [f"{LONG} no. {k}" for k in range(100_000)]
+    long = "\n".join(x for pair in zip(common, own, strict=True) for x in pair)
+    rows = [(1, long), *[(k, "\n".join(common)) for k in (2, 3, 4, 5)], (6, "\n".join(own)), (6, "\n".join(own) + "\n"), (7, "\n".join(own)), (8, "\n".join(own))]
+    began = time.time()
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("sha")).collect()
+    assert time.time() - began < 60
+    by = {r.doc_id: r for r in out}
+    assert by[1].n_lines == 200_000 and by[1].n_dropped == 100_000 and by[1].sha == hashlib.sha256("\n".join(own).encode()).hexdigest()
+    assert by[4].n_dropped == 100_000 and by[5].n_dropped == 0
+    assert not any(r.n_dropped for r in out if r.doc_id > 5)  # those lines are in four documents, 1, 6, 7 and 8
+
+
 def test_exact_dedup(docs, none):
     rows = exact_dedup.exact_groups(docs).collect()
     assert len(rows) == len(TEXTS)
@@ -131,6 +148,18 @@ def test_bpe(docs, none):
     assert bpe.encode_texts(none, BYTES, P.PATTERN).count() == 0
 
 
+def test_bpe_of_long_words(spark):
+    """Words far beyond those that are folded in arrays, as the library encodes them."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdeftion") for _ in range(n)) for n in (255, 256, 257, 1000, 5000)] + ["a" * 3000, "ab" * 700, "é" * 400]
+    merges, coder = bpe.load_merges(BYTES), tiktoken.Encoding("x", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(BYTES), special_tokens={})
+    ids, n = merges.encode([w.encode() for w in words])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [coder.encode_ordinary(w) for w in words]
+    text, began = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000)), time.time()
+    out = bpe.encode_texts(spark.createDataFrame([(1, text)], "doc_id long, text string"), BYTES, P.PATTERN).withColumn("back", bpe.decode_ids(F.col("ids"), BYTES)).first()
+    assert bytes(out.back).decode() == text and time.time() - began < 60
+
+
 def test_bpe_fold_in_spark(spark):
     import tiktoken
 
