@@ -80,5 +80,7 @@ SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Net NPA as % to Net Advances'
     "pca_stress": (lambda t: K.pca_stress(scores.ratios(t), "bank", list(scores.RATIOS), "netNPAToNetAdvances").select("bank", F.round("score", 4).alias("score")), None),
     "html_links": (lambda t: t["pages"].select("page_id", F.size(F.regexp_extract_all("html", F.lit('<a href="[^"]*"'), 0)).cast("long").alias("links"), F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title")), """
 SELECT page_id, len(regexp_extract_all(html, '<a href="[^"]*"')) AS links, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages"""),
-    "html_tables": (lambda t: extract.html_tables(t["pages"], "page_id", "html"), None),
+    # the pages have no tables, so each gets one of two rows
+    "html_tables": (lambda t: extract.html_tables(t["pages"].select("page_id", F.concat(F.lit("<table><tr><th>Id<th> Key </tr><tr><td>"), F.col("page_id").cast("string"), F.lit("</td><td><b>k</b> "), F.sha1(F.coalesce("html", F.lit("")).cast("binary")), F.lit("</td></table>"), F.coalesce("html", F.lit(""))).alias("html")), "page_id", "html").select("page_id", "table_no", "row_no", F.array_join("cells", "|").alias("cells")), """
+SELECT page_id, CAST(0 AS INTEGER) AS table_no, CAST(r AS INTEGER) AS row_no, CASE r WHEN 0 THEN 'Id|Key' ELSE page_id || '|k ' || sha1(coalesce(html, '')) END AS cells FROM pages, (VALUES (0), (1)) v(r)"""),
 }
