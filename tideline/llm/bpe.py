@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import trim
 from .merges import Merges
 
 #: Code points of a block: its distinct words are encoded once. A longer text is a block of its own.
@@ -180,6 +181,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
                 block.add(doc_id, text)
         if block.ids:
             yield from block.encode(merges, pieces_of)
+        trim()
 
     return base.mapInArrow(run, "id long, ids binary").withColumnRenamed("id", id_col)
 

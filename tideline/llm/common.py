@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -63,6 +65,17 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Gives memory that is free back to the system, at the end of a task: a worker goes on to other tasks, and what it
+    keeps is lost to the executor it belongs to."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every bit of 64-bit values (splitmix64)."""
     x = x.astype(np.uint64, copy=True)

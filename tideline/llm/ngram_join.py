@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, shingle_hashes
+from .common import Scratch, mix, shingle_hashes, trim
 from .components import components
 from .exact_dedup import filter_bits, has_bit
 
@@ -145,6 +145,7 @@ def _sets(words: int, percent: int):
                 out, held = [], 0
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SETS, strict=True)], schema=_SETS)
+        trim()
 
     return run
 
@@ -176,6 +177,7 @@ def _index(words: int, percent: int):
                 keys, sids, held = [], [], 0
         if keys:
             yield told()
+        trim()
 
     return run
 
@@ -325,10 +327,22 @@ def bitmap_of(rows: DataFrame, column: str, count: int) -> tuple[DataFrame, int]
     return rows.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap")), bits
 
 
-def in_bitmap(rows: DataFrame, column: str, bitmap: DataFrame, bits: int) -> DataFrame:
-    """The rows whose value may be in the filter, of at most 32 MB, which is broadcast."""
-    at = F.pmod(F.xxhash64(column), F.lit(bits)) + 1
-    return rows.withColumn("__at", at).join(F.broadcast(bitmap), F.bitmap_bucket_number("__at") == F.col("bucket")).where(has_bit(F.col("bitmap"), F.col("__at"))).drop("__at", "bucket", "bitmap")
+def in_bitmap(rows: DataFrame, column: str, bitmap: DataFrame, bits: int, inside: bool = True) -> DataFrame:
+    """The rows whose value may be in the filter, of at most 32 MB, which is broadcast; or those whose value is not."""
+    one = F.broadcast(bitmap.select(F.col("bucket").alias("__bucket"), F.col("bitmap").alias("__bitmap")))
+    found = rows.withColumn("__at", F.pmod(F.xxhash64(column), F.lit(bits)) + 1).join(one, F.bitmap_bucket_number("__at") == F.col("__bucket"), "inner" if inside else "left")
+    hit = has_bit(F.col("__bitmap"), F.col("__at"))
+    return found.where(hit if inside else ~hit).select(*rows.columns)
+
+
+def without(rows: DataFrame, gone: DataFrame, column: str) -> DataFrame:
+    """The rows whose value is not in `gone` (column). Only rows that a filter of bounded size may have are shuffled."""
+    scratch = Scratch(rows.sparkSession, "without")
+    gone = scratch.table(gone.select(column).distinct(), "gone")
+    bitmap, bits = bitmap_of(gone, column, gone.count())
+    bitmap = scratch.table(bitmap, "bits")
+    maybe = in_bitmap(rows, column, bitmap, bits).join(gone, column, "left_anti").select(*rows.columns)
+    return in_bitmap(rows, column, bitmap, bits, inside=False).unionByName(maybe)
 
 
 def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trim
 from .merges import Merges
 
 LENGTH, END_ID = 4096, 2
@@ -20,7 +21,7 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 #: Tokens that are packed together. It bounds a task's memory and sets over how many sequences cost is balanced.
 GROUP_TOKENS = 1 << 21
 #: Words that a Python worker keeps the ids of (some 200 MB), and characters that it tokenises at once.
-CACHE_WORDS, CHUNK_CHARS = 1_000_000, 4_000_000
+CACHE_WORDS, CHUNK_CHARS = 1_000_000, 2_000_000
 _SEQUENCES = 33  # bits of a sequence's number within its task
 
 
@@ -116,13 +117,14 @@ def assign(lengths: list[int], limit: int = LENGTH) -> list[tuple[int, int, int,
 _OUT = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID, limit: int = LENGTH) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID, limit: int = LENGTH, keep_words: bool = True) -> DataFrame:
     """One row per piece: id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     Each document's ids and end_id lie in exactly one piece each; sequences have `limit` tokens, a power of two, or a
     smaller power of two. A null or empty text is its end_id alone. Rows that share an id are packed each for itself.
     No row is shuffled: a task packs the documents of its own input split, GROUP_TOKENS at a time, so that a repeated
-    task packs alike as long as its input rows come in the same order, as from a table. An empty table gives no rows.
+    task packs alike as long as its input rows come in the same order, as from a table. With keep_words a worker keeps the
+    words it knows from task to task, which is faster; without, other stages have the memory. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,23 +141,32 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             held, tokens = [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _OUT, strict=True)], schema=_OUT)
 
+        ids, texts, chars = [], [], 0
+
+        def encoded() -> Iterator[pa.RecordBatch]:
+            nonlocal ids, texts, chars, tokens
+            for i, coded in zip(ids, coder.encode(texts), strict=True):
+                if coded:
+                    held.append((i, coded))
+                    tokens += len(coded) // 4
+                if tokens >= GROUP_TOKENS:
+                    yield flush()
+            ids, texts, chars = [], [], 0
+
         for b in batches:
-            ids, texts = b.column("id").to_pylist(), b.column("text").to_pylist()
-            k = 0
-            while k < len(texts):
-                j, chars = k, 0
-                while j < len(texts) and (j == k or chars + len(texts[j]) <= CHUNK_CHARS):
-                    chars += len(texts[j])
-                    j += 1
-                for i, coded in zip(ids[k:j], coder.encode(texts[k:j]), strict=True):
-                    if coded:
-                        held.append((i, coded))
-                        tokens += len(coded) // 4
-                    if tokens >= GROUP_TOKENS:
-                        yield flush()
-                k = j
+            for i, text in zip(b.column("id"), b.column("text"), strict=True):
+                ids.append(i.as_py())
+                texts.append(text.as_py())
+                chars += len(texts[-1])
+                if chars >= CHUNK_CHARS:
+                    yield from encoded()
+        if texts:
+            yield from encoded()
         if held:
             yield flush()
+        if not keep_words:
+            coder.known = {}
+        trim()
 
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return base.mapInArrow(run, "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long").withColumnRenamed("id", id_col)
