@@ -36,14 +36,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document with the least id of each group that shares shingles of five words to 0.8 or more; rows without an
     id stay."""
     groups = ngram_join.ngram_components(docs, words=5, percent=80)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return ngram_join.without(docs, groups.where("doc_id <> component_id"), "doc_id")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences; null and empty texts are their end alone, and repeated rows are packed
     each for itself."""
-    out = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    out = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep_words=False)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
