@@ -9,7 +9,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
@@ -65,6 +66,25 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def numbered(rows: DataFrame, group: list[str], order: list[str | Column], scratch: Scratch, name: str = "pos", total: str = "n") -> DataFrame:
+    """The rows with their place (from 0) in the order of their group, and with the rows of that group.
+
+    Rows are dealt to ranges of (group, order) and numbered within them; the rows of a group before a range are a running
+    sum over ranges. So a group of any size is spread over tasks, and no window holds more of it than its ranges. Rows
+    should be a table, since ranges are sampled first. Rows that tie in all of `order` are numbered as they come."""
+    placed = scratch.table(rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).withColumn("__at", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("__at", 33)
+    ranges = placed.groupBy(*group, part.alias("__part")).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__rows"))
+    whole = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("__rows").over(whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select(*[F.col(g).alias(f"__{k}") for k, g in enumerate(group)], "__part", "__first", before.alias("__before"), F.sum("__rows").over(whole).alias("__total"))
+    same = part == F.col("__part")
+    for k, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"__{k}"))
+    place = F.col("__before") + F.col("__at") - F.col("__first")
+    return placed.join(ranges, same).select(*rows.columns, place.alias(name), F.col("__total").alias(total))
+
+
 def trim() -> None:
     """Gives memory that is free back to the system, at the end of a task: a worker goes on to other tasks, and what it
     keeps is lost to the executor it belongs to."""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, fingerprints, line_dedup, ngram_join, packing, token_tree, toxicity, warc
+from . import bpe, chat, divergence, exact_dedup, fingerprints, langid, line_dedup, merkle, ngram_join, packing, token_tree, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -86,6 +86,29 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_read(spark, sf_dir, "documents", "doc_id", "text"), words=4, percent=85)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, each checked against the root with its own path; some are tampered with."""
+    docs = _read(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    leaf = lambda n_chars: merkle.leaf_hash([F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text")])
+    claimed = F.when(tampered, leaf(F.col("n_chars") + 1))
+    made = merkle.manifest(docs.select("doc_id", "lang", leaf(F.col("n_chars")).alias("leaf"), claimed.alias("claimed")))
+    folded = merkle.fold(F.coalesce("claimed", "leaf"), F.col("path"))
+    out = made.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_read(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    known = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
+    out = langid.identify(docs.select("doc_id", "text"), langid.train(docs, known))
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,13 +116,20 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_packing, op4_lz_fingerprints, op5_chat_format, op6_byte_bpe, op7_toxicity, op8_warc, op9_exact_dedup, op10_ngram_join, pipeline)
+    f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_packing, op4_lz_fingerprints, op5_chat_format, op6_byte_bpe, op7_toxicity, op8_warc, op9_exact_dedup, op10_ngram_join, op11_merkle_manifest, op12_source_divergence, op13_language_id, pipeline)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ESCAPED = "regexp_replace({}, '" + chat.ESCAPE[0] + r"', '\1\\\2', 'g')"
 _MARKS = len(chat.TURN) + len(chat.TEXT) + len(chat.END)
 
+_SIZED = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = lambda n: "sha256(" + " || ".join(_SIZED.format(c) for c in ("doc_id", "source", "lang", n, "text")) + ")"
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, c: list_reduce(list_concat([xor(crc, c)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+_SIBLING = "CASE WHEN s.h IS NULL THEN 'N' WHEN (l.pos >> s.level) & 1 = 1 THEN 'B' || s.h ELSE 'A' || s.h END"
+_P = "1 + 1000000000::HUGEINT * ({c} + 1) // ({n} + v)"
+
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": f"""
 WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
@@ -140,4 +170,41 @@ i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM e a JOIN e b ON a.
 links AS MATERIALIZED (SELECT a, b FROM i JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * i >= 85 * (p.n + q.n - i)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT n.doc_id, any_value(n.n) AS n_shingles, min(r.b) AS component_id FROM n JOIN reach r ON r.a = n.doc_id GROUP BY n.doc_id""",
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE docs AS (SELECT doc_id, coalesce('+' || lang, '') AS g, {_LEAF("n_chars")} AS leaf,
+  CASE WHEN ({_CRC32}) % 7 = 0 THEN {_LEAF("(n_chars + 1)")} END AS claimed FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM docs),
+tree AS (SELECT g, 0 AS level, pos, leaf AS h, n FROM leaves
+  UNION ALL SELECT g, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM tree WHERE n > 1 GROUP BY g, level, n, pos // 2),
+subroots AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+upper AS (SELECT 0 AS level, pos, subroot AS h, n FROM subroots
+  UNION ALL SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM upper WHERE n > 1 GROUP BY level, n, pos // 2),
+tops AS (SELECT DISTINCT level, n FROM upper), depths AS (SELECT DISTINCT g, level, n FROM tree),
+steps AS (SELECT l.g, l.pos, s.level, {_SIBLING} AS s FROM leaves l JOIN (SELECT d.g, d.level, t.pos, t.h FROM depths d LEFT JOIN tree t ON t.g = d.g AND t.level = d.level WHERE d.n > 1) s
+    ON s.g = l.g AND s.pos = xor(l.pos >> s.level, 1)
+  UNION ALL SELECT l.g, l.pos, d.level, 'N' FROM leaves l JOIN depths d ON d.g = l.g AND d.n > 1 WHERE xor(l.pos >> d.level, 1) >= d.n),
+above AS (SELECT l.g, s.level, {_SIBLING} AS s FROM subroots l JOIN upper s ON s.n > 1 AND s.pos = xor(l.pos >> s.level, 1)
+  UNION ALL SELECT l.g, t.level, 'N' FROM subroots l JOIN tops t ON t.n > 1 WHERE xor(l.pos >> t.level, 1) >= t.n),
+paths AS (SELECT g, pos, list(s ORDER BY level) AS path FROM steps GROUP BY g, pos), ends AS (SELECT g, list(s ORDER BY level) AS path FROM above GROUP BY g),
+whole AS (SELECT l.*, r.subroot, list_concat(coalesce(p.path, []), coalesce(e.path, [])) AS path, (SELECT h FROM upper WHERE n = 1) AS root
+  FROM leaves l JOIN subroots r ON r.g = l.g LEFT JOIN paths p ON p.g = l.g AND p.pos = l.pos LEFT JOIN ends e ON e.g = l.g),
+folded AS (SELECT *, list_reduce(list_concat([coalesce(claimed, leaf)], path), lambda node, s: CASE s[1] WHEN 'B' THEN sha256(s[2:] || node) WHEN 'A' THEN sha256(node || s[2:]) ELSE sha256(node) END) AS folded_root FROM whole)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded""",
+    "op12_source_divergence": rf"""
+WITH docs AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+words AS (SELECT i, lang, source, unnest(terms) AS term FROM docs),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS c_lang FROM words GROUP BY lang, term HAVING count(DISTINCT i) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(c_lang) AS n_lang FROM kept GROUP BY lang),
+counts AS MATERIALIZED (SELECT lang, source, term, count(*) AS c FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(c) AS n FROM counts GROUP BY ALL),
+sources AS MATERIALIZED (SELECT DISTINCT lang, source, coalesce(n, 0) AS n FROM docs LEFT JOIN totals USING (lang, source)),
+dense AS MATERIALIZED (SELECT s.lang, s.source, k.term, coalesce(c.c, 0) AS c, {_P.format(c="coalesce(c.c, 0)", n="s.n")} AS p, {_P.format(c="k.c_lang", n="l.n_lang")} AS q
+  FROM sources s JOIN kept k ON k.lang = s.lang JOIN langs l ON l.lang = s.lang LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+far AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM dense WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM parts)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200""",
 }
