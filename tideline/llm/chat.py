@@ -1,7 +1,7 @@
 """Chat formatting with typed content parts. DataFrame functions only.
 
 A turn is `<|turn|>role<|text|>content<|end|>`. Content is what a visitor makes of the turn's parts, in order: a text
-part gives its text, escaped; an image, audio or document part gives the placeholder `<|image|>` and so on, and is
+part gives its text, escaped with that of the text parts beside it; an image, audio or document part gives the placeholder `<|image|>` and so on, and is
 recorded in `attachments` with its reference, turn, part and the tokens it expands to.
 
 Control strings inside texts, roles and names are escaped reversibly: a backslash goes behind the first character of
@@ -42,14 +42,28 @@ def text_part(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), none.cast("string").alias("ref"), none.cast("int").alias("tokens")))
 
 
-def _visit(part: Column) -> Column:
-    """What a part becomes in the content; a part of unknown type is written as text."""
-    out = escape(F.coalesce(part["text"], F.lit("")))
+def _mark(part: Column) -> Column:
+    """The placeholder of a part, or null: a text part, and one of unknown type, is text."""
+    out = F.lit(None).cast("string")
     for kind in PART_TOKENS:
         out = F.when(part["type"] == kind, F.lit(f"<|{kind}|>")).otherwise(out)
     return out
 
 
+def _content(parts: Column) -> Column:
+    """What a visitor makes of the parts: texts that no placeholder parts are joined before they are escaped, so that no
+    control string can come of two of them."""
+    found = F.filter(F.sequence(F.lit(-1), F.size(parts)), lambda i: (i < 0) | (i >= F.size(parts)) | _mark(F.get(parts, i)).isNotNull())
+
+    def run(marks: Column, after: Column, k: Column) -> Column:
+        end = F.get(marks, k + 1)
+        texts = F.transform(F.slice(parts, after + 2, F.greatest(end - after - 1, F.lit(0))), lambda p: F.coalesce(p["text"], F.lit("")))
+        return F.when(end.isNull(), "").otherwise(F.concat(escape(F.array_join(texts, "")), F.coalesce(_mark(F.get(parts, end)), F.lit(""))))
+
+    # bound by a lambda, so that the places are found once
+    return F.get(F.transform(F.array(found), lambda marks: F.array_join(F.transform(marks, lambda after, k: run(marks, after, k)), "")), F.lit(0))
+
+
 def _tokens(part: Column) -> Column:
     out = F.lit(None).cast("int")
     for kind, n in PART_TOKENS.items():
@@ -62,26 +76,29 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     points of `formatted`), attachments and part_tokens (the sum of what placeholders expand to).
 
     Turns go by number, then role and content where rows share a number; repeated rows are turns of their own. A null
-    role or text counts as empty, null parts as none, a null turn number comes first, and rows with a null
-    conversation id form one conversation. Turns of the roles in `learn` are under the mask, without their marks.
+    role or text counts as empty, null parts as none, and a null turn number comes first. A row without a conversation
+    id is a conversation of its own, as nothing says which rows belong together. Turns of the roles in `learn` are under
+    the mask, without their marks. Other columns are ignored, whatever their names; an empty table gives no rows. The
+    texts of a conversation are gathered in one row, so it has to fit one.
     """
     parts = F.coalesce(F.col(parts_col), F.array().cast(PART_TYPE))
     role = F.coalesce(F.col(role_col), F.lit(""))
     rows = turns.select(
         F.col(conv_col).alias("conv"),
+        F.when(F.col(conv_col).isNull(), F.monotonically_increasing_id()).alias("alone"),
         F.col(turn_col).alias("turn"),
         role.alias("role"),
-        F.array_join(F.transform(parts, _visit), "").alias("content"),
+        _content(parts).alias("content"),
         F.filter(F.transform(parts, lambda p, i: F.struct(F.col(turn_col).alias("turn"), i.alias("part"), p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("tokens"))), lambda a: a["tokens"].isNotNull()).alias("refs"),
     )
-    marked = rows.select("conv", "turn", "role", "content", "refs", F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT)).alias("head")).withColumn("body", F.concat("head", "content", F.lit(END)))
-    order = Window.partitionBy("conv").orderBy("turn", "role", "content")
+    marked = rows.select("conv", "alone", "turn", "role", "content", "refs", F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT)).alias("head")).withColumn("body", F.concat("head", "content", F.lit(END)))
+    order = Window.partitionBy("conv", "alone").orderBy("turn", "role", "content")
     # running lengths by a window, since a fold over a long conversation would copy its spans each turn
     marked = marked.withColumn("n", F.row_number().over(order)).withColumn("at", F.sum(F.char_length("body")).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     start = F.coalesce(F.col("at"), F.lit(0)) + F.char_length("head")
     span = F.when(F.col("role").isin(*learn), F.struct(start.cast("long").alias("start"), F.char_length("content").cast("long").alias("length")))
-    piece = marked.select("conv", F.struct("n", "body", span.alias("span"), "refs").alias("t"))
-    whole = piece.groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    piece = marked.select("conv", "alone", F.struct("n", "body", span.alias("span"), "refs").alias("t"))
+    whole = piece.groupBy("conv", "alone").agg(F.array_sort(F.collect_list("t")).alias("t"))
     refs = F.flatten(F.col("t.refs"))
     return whole.select(
         F.col("conv").alias(conv_col),

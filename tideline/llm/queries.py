@@ -141,14 +141,14 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
     "op5_chat_format": f"""
-WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT * FROM (VALUES {CONTROL_ROWS.replace("L,", ",")}) t(conv_id, turn, role, text)),
+WITH rows AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT t.conv_id, NULL, t.turn, t.role, t.text FROM (VALUES {CONTROL_ROWS.replace("L,", ",")}) t(conv_id, turn, role, text)),
 told AS (SELECT *, {_MARKS} + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}) AS chars FROM rows)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(chars) AS BIGINT) AS formatted_chars
-FROM told GROUP BY conv_id""",
+FROM told GROUP BY conv_id, alone""",
     "op8_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
