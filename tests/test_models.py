@@ -9,6 +9,7 @@ from tideline.operators import edges as E
 from tideline.operators import kernels as K
 from tideline.operators import matching as M
 from tideline.operators import scoring as S
+from tideline.operators import similar as N
 from tideline.sources import extract, files
 from tideline.streaming import status
 
@@ -18,10 +19,10 @@ def one(spark, value, kind, f):
 
 
 def test_ratios():
-    assert M.ratio("abc", "abc") == 100 and M.ratio("", "") == 100 and M.ratio("abcd", "bd") == pytest.approx(66.667, abs=1e-3)
-    assert M.set_ratio("tata steel", "tata steel long products") == 100
-    assert M.sort_ratio("steel tata", "tata steel") == 100
-    assert M.set_ratio("", "x") == 0
+    assert N.ratio("abc", "abc") == 100 and N.ratio("", "") == 100 and N.ratio("abcd", "bd") == pytest.approx(66.667, abs=1e-3)
+    assert N.set_ratio("tata steel", "tata steel long products") == 100
+    assert N.sort_ratio("steel tata", "tata steel") == 100
+    assert N.set_ratio("", "x") == 0
 
 
 def test_resolution(spark):
@@ -152,7 +153,7 @@ def test_exchange_match_same_as_all_pairs(spark):
     key = lambda df, c: [(r[0], r[1]) for r in df.select(df.columns[0], M.exchange_key(F.col(c))).collect()]
     want = {}
     for k, a in key(asked, "a"):
-        best = min((-M.set_ratio(a, b), s) for s, b in key(listed, "known"))
+        best = min((-N.set_ratio(a, b), s) for s, b in key(listed, "known"))
         want[k] = best[1] if -best[0] >= M.EXCHANGE_RATIO else None
     got = {r.k: r.symbol for r in M.exchange_match(asked, "k", ["a"], listed).collect()}
     assert got == want and got[0] == "s0" and got[1] == "s1" and got[2] == "s2" and got[3] == "s3"

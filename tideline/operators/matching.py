@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import bank_key, company_key, let
+from .shared import cut
+from .similar import ratios, similar
 
 # Thresholds of the fuzzy passes in per cent, and the longest abbreviation.
 SET_RATIO, SORT_RATIO, GENERIC_SHARE, EXCHANGE_RATIO, ABBREVIATION = 88, 72, 60, 80, 6
@@ -60,53 +59,7 @@ def bank_name_join(a: DataFrame, a_name: str, b: DataFrame, b_name: str) -> Data
     return a.withColumn("_k", bank_key(F.col(a_name))).join(b.withColumn("_k", bank_key(F.col(b_name))), "_k").drop("_k")
 
 
-# --- fuzzy ratios -----------------------------------------------------------------------------------------------
-
-
-def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, by bit parallelism."""
-    masks: dict[str, int] = {}
-    for i, c in enumerate(a):
-        masks[c] = masks.get(c, 0) | 1 << i
-    s = full = (1 << len(a)) - 1
-    for c in b:
-        u = s & masks.get(c, 0)
-        s = ((s + u) | (s - u)) & full
-    return len(a) - s.bit_count()
-
-
-def ratio(a: str, b: str) -> float:
-    n = len(a) + len(b)
-    return 100.0 if not n else 200.0 * common_length(a, b) / n
-
-
-def sort_ratio(a: str, b: str) -> float:
-    return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
-
-
-def set_ratio(a: str, b: str) -> float:
-    """The best ratio of the common words, and those with either text's rest; 100 where one text's words are all common."""
-    x, y = set(a.split()), set(b.split())
-    if not x or not y:
-        return 0.0
-    both, dx, dy = sorted(x & y), sorted(x - y), sorted(y - x)
-    if both and (not dx or not dy):
-        return 100.0
-    base, left, right = " ".join(both), " ".join(both + dx), " ".join(both + dy)
-    best = ratio(left, right)
-    return max(best, ratio(base, left), ratio(base, right)) if both else best
-
-
-def ratios(a: Column, b: Column) -> Column:
-    """struct(set_ratio, sort_ratio) of two columns of names, in Arrow batches."""
-
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for x, y in batches:
-            pairs = [(set_ratio(p or "", q or ""), sort_ratio(p or "", q or "")) for p, q in zip(x, y, strict=True)]
-            yield pd.DataFrame(pairs, columns=["set_ratio", "sort_ratio"], dtype="float64")
-
-    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(run, "set_ratio double, sort_ratio double")(a, b)
+# --- resolution ---------------------------------------------------------------------------------------------------
 
 
 def distinctive(word: Column) -> Column:
@@ -131,17 +84,31 @@ def _keyed(known: DataFrame) -> DataFrame:
 
 
 def _scored(asked: DataFrame, known: DataFrame, top: int) -> DataFrame:
-    """For asked (raw, key) the `top` known names (key, entity) with the anchor inside: raw, key, other, entity, r, k."""
-    grams = known.withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("key") - 2, F.lit(1))), lambda i: F.substring(F.col("key"), i, F.lit(3))))))
-    # an anchor of two letters is found by the groups that begin with it
-    short = grams.where(F.length("gram") > 2).select("key", "entity", F.substring("gram", 1, 2).alias("gram")).unionByName(known.select("key", "entity", F.substring("key", -2, 2).alias("gram"))).distinct()
-    index = grams.unionByName(short)
+    """For asked (raw, key) the `top` known names (key, entity) with the anchor inside: raw, key, other, entity, r, k. They
+    meet on that group of three letters of the anchor which fewest known names have."""
     open_ = asked.withColumn("anchor", anchor(F.col("key"))).where("anchor is not null")
-    pairs = open_.withColumn("gram", F.substring("anchor", 1, 3)).join(index.withColumnRenamed("key", "other"), "gram").where("contains(other, anchor)").select("raw", "key", "other", "entity").distinct()
+    # groups of three letters, and of two for anchors that have no more
+    groups = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(n)))
+    index = known.withColumn("gram", F.explode(F.array_distinct(F.concat(groups("key", 3), groups("key", 2)))))
+    of = F.when(F.length("anchor") < 3, F.array("anchor")).otherwise(groups("anchor", 3))
+    rare = open_.select("anchor", F.explode(F.array_distinct(of)).alias("gram")).distinct().join(index.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram", "left")
+    rare = rare.groupBy("anchor").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m")).where("m.n > 0").select("anchor", "m.gram")
+    pairs = open_.join(rare, "anchor").join(index.withColumnRenamed("key", "other"), "gram").where("contains(other, anchor)").select("raw", "key", "other", "entity")
     order = Window.partitionBy("raw").orderBy(F.desc("r.set_ratio"), F.desc("r.sort_ratio"), "entity")
     return pairs.withColumn("r", ratios(F.col("key"), F.col("other"))).withColumn("k", F.row_number().over(order)).where(F.col("k") <= top)
 
 
+def _best(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """For asked (raw, key) the best known name (key, entity) that has the anchor inside and reaches SET_RATIO: raw, key,
+    other, entity, set_ratio, sort_ratio."""
+    open_ = asked.withColumn("anchor", anchor(F.col("key"))).where("anchor is not null")
+    keys = open_.select("key", "anchor").distinct()
+    near = similar(keys.select(F.col("key").alias("asked")), known.select(F.col("key").alias("known")), SET_RATIO).withColumnsRenamed({"asked": "key", "known": "other"})
+    hits = near.join(keys, "key").where("contains(other, anchor)").join(known.withColumnRenamed("key", "other"), "other")
+    best = hits.groupBy("key").agg(F.min(F.struct((-F.col("set_ratio")).alias("x"), (-F.col("sort_ratio")).alias("y"), "entity", "other")).alias("m"))
+    return open_.select("raw", "key").join(best, "key").select("raw", "key", "m.other", "m.entity", (-F.col("m.x")).alias("set_ratio"), (-F.col("m.y")).alias("sort_ratio"))
+
+
 def candidates(resolved: DataFrame, name: str, companies: DataFrame, top: int = 3) -> DataFrame:
     """What unresolved names of resolve() might be: (name, rank, known, entity, score), the `top` companies by set_ratio."""
     asked = resolved.where("kind = 'none'").select(F.col(name).alias("raw")).distinct().withColumn("key", company_key(F.col("raw"))).where("key <> ''")
@@ -153,16 +120,16 @@ def resolve(names: DataFrame, name: str, banks: DataFrame, companies: DataFrame)
 
     banks and companies are (entity, known). Passes: exact bank, exact company, fuzzy company, abbreviation of a bank. A
     fuzzy candidate has the name's anchor inside it; the best by set_ratio (then sort_ratio, then entity) is tested, and
-    fails as a whole if it misses a threshold or shares mostly generic words. Candidates meet on the anchor's first
-    three letters among the three-letter groups of known names, so only names that can be accepted are scored.
+    fails as a whole if it misses a threshold or shares mostly generic words. Candidates are the pairs of `similar`: what
+    does not reach the threshold of set_ratio needn't be scored, since then no candidate of that name does.
     """
     n = names.select(F.col(name).alias("raw")).distinct().withColumn("key", company_key(F.col("raw"))).where("key <> ''")
     known = {"Bank": _keyed(banks), "Company": _keyed(companies)}
     hits = [n.join(known[k], "key").select("raw", "entity", F.lit(k).alias("kind"), F.lit(p).alias("pass"), F.lit(1.0).alias("confidence")) for p, k in ((1, "Bank"), (2, "Company"))]
     exact = hits[0].unionByName(hits[1])
-    best = _scored(n.join(exact.select("raw"), "raw", "left_anti"), known["Company"], 1)
-    fine = (F.col("r.set_ratio") >= SET_RATIO) & (F.col("r.sort_ratio") >= SORT_RATIO) & ~too_generic(F.col("key"), F.col("other"))
-    fuzzy = best.where(fine).select("raw", "entity", F.lit("Company").alias("kind"), F.lit(3).alias("pass"), (F.col("r.set_ratio") / 100).alias("confidence"))
+    best = _best(n.join(exact.select("raw"), "raw", "left_anti"), known["Company"])
+    fine = (F.col("sort_ratio") >= SORT_RATIO) & ~too_generic(F.col("key"), F.col("other"))
+    fuzzy = best.where(fine).select("raw", "entity", F.lit("Company").alias("kind"), F.lit(3).alias("pass"), (F.col("set_ratio") / 100).alias("confidence"))
     short = n.where((F.length("raw") <= ABBREVIATION) & F.col("raw").rlike("^[A-Z&]+$")).join(banks.select("entity", F.upper("known").alias("raw")), "raw").select("raw", "entity", F.lit("Bank").alias("kind"), F.lit(4).alias("pass"), F.lit(0.9).alias("confidence"))
     every = exact.unionByName(fuzzy).unionByName(short)
     one = every.groupBy("raw").agg(F.min(F.struct("pass", "entity", "kind", "confidence")).alias("m"))
@@ -181,15 +148,10 @@ def exchange_match(companies: DataFrame, key: str, names: list[str], listed: Dat
     """companies with symbol, match and confidence from an exchange list (symbol, known).
 
     Passes go over the columns `names` in turn, exact first, then fuzzy by set_ratio of `least` or more; the best of a
-    pass counts, of equals the least symbol. Fuzzy passes compare every name with the whole list, but for pairs that have
-    no word in common and lengths too far apart for any ratio of `least`. A company that no pass matches has the match
-    none and confidence 0.
+    pass counts, of equals the least symbol. Fuzzy passes find all names of the list that reach `least`, by the signatures
+    of `similar`. A company that no pass matches has the match none and confidence 0.
     """
     lists = listed.select("symbol", exchange_key(F.col("known")).alias("_known")).where("_known <> ''").groupBy("_known").agg(F.min("symbol").alias("symbol"))
-    # a name's distinct words, and their length as set_ratio joins them
-    parted = lambda df, c, words, size: df.withColumn(words, F.array_distinct(F.split(c, " "))).withColumn(size, F.length(F.array_join(words, " ")))
-    index = parted(lists, "_known", "_kw", "_kn")
-    near = F.arrays_overlap("_aw", "_kw") | (200 * F.least("_an", "_kn") >= least * (F.col("_an") + F.col("_kn")))
     found = None
     for fuzzy in (False, True):
         for n, name in enumerate(names):
@@ -197,11 +159,13 @@ def exchange_match(companies: DataFrame, key: str, names: list[str], listed: Dat
             if found is not None:
                 asked = asked.join(found.select("_id"), "_id", "left_anti")
             if fuzzy:
-                pairs = parted(asked, "_asked", "_aw", "_an").join(index, near).select("_id", "_asked", "_known", "symbol")
-                hits = pairs.withColumn("_ratio", ratios(F.col("_asked"), F.col("_known"))["set_ratio"]).where(F.col("_ratio") >= least)
+                near = similar(asked.select(F.col("_asked").alias("asked")), lists.select(F.col("_known").alias("known")), least)
+                hits = near.join(lists, F.col("known") == F.col("_known")).select(F.col("asked").alias("_asked"), F.col("set_ratio").alias("_ratio"), "symbol")
             else:
-                hits = asked.join(lists, F.col("_asked") == F.col("_known")).withColumn("_ratio", F.lit(100.0))
-            best = hits.groupBy("_id").agg(F.min(F.struct((-F.col("_ratio")).alias("less"), "symbol")).alias("m"))
+                hits = lists.select(F.col("_known").alias("_asked"), F.lit(100.0).alias("_ratio"), "symbol")
+            # one row for each name, however many companies have it
+            best = cut(hits.groupBy("_asked").agg(F.min(F.struct((-F.col("_ratio")).alias("less"), "symbol")).alias("m")), "best")
+            best = asked.join(best, "_asked").groupBy("_id").agg(F.min("m").alias("m"))
             label = ("fuzzy" if fuzzy else "exact") + (f"_{name}" if n else "")
             some = best.select("_id", "m.symbol", F.lit(label).alias("match"), F.floor(-F.col("m.less")).cast("int").alias("confidence"))
             found = some if found is None else found.unionByName(some)
