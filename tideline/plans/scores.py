@@ -88,7 +88,7 @@ SELECT company, stress, {_BAND} AS label, CASE WHEN NOT rated THEN 'Unrated' WHE
 SELECT l_orderkey, l_linenumber, {_GRADE} AS token, CAST(CASE WHEN flag = 'R' THEN 1.5 ELSE 1.0 END AS DOUBLE) AS mult FROM fac""".replace("'/Negative'", "''"), "fac")),
     "cdr_weighted_median": (lambda t: companies(t).select("company", R.weighted_median(F.col("facilities")).alias("m")).select("company", "m.score", "m.basis", "m.scored", "m.skipped", "m.total", "m.dominant"), sql(f"""
 , i AS (SELECT company, amt, {_RATING.replace("concat(", "concat(")} AS rating, least({_STRESS} * CASE WHEN flag = 'R' THEN 3.0 ELSE 1.0 END, 1.0) AS s,
-  sum(amt) OVER (PARTITION BY company) AS total, sum(amt) OVER (PARTITION BY company ORDER BY amt DESC, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS cum FROM fac)
+  sum(amt) OVER (PARTITION BY company) AS total, sum(amt) OVER (PARTITION BY company ORDER BY amt DESC, l_orderkey, l_linenumber, {_RATING} ROWS UNBOUNDED PRECEDING) AS cum FROM fac)
 SELECT company, round(CAST(arg_min(s, cum) FILTER (WHERE cum / total >= 0.5) AS DOUBLE), 6) AS score, 'weighted_median' AS basis, CAST(count(*) AS INTEGER) AS scored, CAST(0 AS INTEGER) AS skipped, round(any_value(total), 4) AS total,
   arg_min(rating, cum) FILTER (WHERE cum / total >= 0.5) AS dominant FROM i GROUP BY company""", "fac")),
     "company_blend": (lambda t: _parts(t).select("company", F.round(S.company_blend(F.col("fundamental"), F.col("news"), F.col("sector")), 6).alias("stress")), sql(_PARTS + """

@@ -79,8 +79,8 @@ SELECT bank, amount AS value FROM r WHERE r = least(floor(n * 0.85), n - 1)""",
     "status_rollup": (lambda t: t["orders"].rollup("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("long").alias("level")), """
 SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus, o_orderpriority) AS BIGINT) AS level FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)"""),
     "value_counts": (lambda t: panel(t).groupBy("x").agg(F.count(F.lit(1)).alias("n")), _PANEL + " SELECT x, count(*) AS n FROM x GROUP BY x"),
-    "pivot_metric_year": (lambda t: W.long_form(W.pivot_first(t.items.select("bank", F.year("odate").alias("year"), "gross", F.struct("odate", "l_orderkey", "l_linenumber").alias("seq")), "bank", "year", "gross", "seq"), "bank", "year", "gross"), sql("""
-SELECT bank, CAST(year(odate) AS VARCHAR) AS year, arg_min(gross, (odate, l_orderkey, l_linenumber)) AS gross FROM fac GROUP BY ALL""", "fac")),
+    "pivot_metric_year": (lambda t: W.long_form(W.pivot_first(t.items.select("bank", F.year("odate").alias("year"), "gross", F.struct("odate", "l_orderkey", "l_linenumber", "gross").alias("seq")), "bank", "year", "gross", "seq"), "bank", "year", "gross"), sql("""
+SELECT bank, CAST(year(odate) AS VARCHAR) AS year, arg_min(gross, (odate, l_orderkey, l_linenumber, gross)) AS gross FROM fac GROUP BY ALL""", "fac")),
     "top10_pivot": (lambda t: W.long_form(W.top_groups_pivot(t.items.join(t["part"].select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey"), "bank", "p_brand", "amt"), "bank", "brand", "amount"), sql("""
 , b AS (SELECT l_suppkey AS bank, p_brand AS brand, floor(l_extendedprice * (1 - l_discount) + 0.5) AS amt FROM lineitem JOIN part ON p_partkey = l_partkey),
 k AS (SELECT brand FROM b GROUP BY brand ORDER BY sum(amt) DESC, brand LIMIT 10)
