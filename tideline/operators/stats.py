@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import filled, mean_ranks
+from .quantiles import quantiles
+
 
 def latest(df: DataFrame, key: str, *newest_first: Column) -> DataFrame:
     """The newest row of each key; rows whose date is null come last."""
@@ -45,20 +48,23 @@ def log_return_volatility(prices: DataFrame, key: str, at: str, close: str, days
 
 
 def forward_fill(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(f"{value}_filled", F.last(value, ignorenulls=True).over(w))
+    return filled(df, [by], [order], value, f"{value}_filled")
+
+
+def _with_quantiles(df: DataFrame, by: str, value: str, **at: float) -> DataFrame:
+    """The rows with quantiles of their group, which go by one row a group."""
+    q = quantiles(df, [by], value, at).drop("n").withColumnRenamed(by, "_by")
+    return df.join(q, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
 
 
 def impute_median(df: DataFrame, by: str, value: str) -> DataFrame:
-    mid = df.groupBy(by).agg(F.percentile(value, F.lit(0.5)).alias("_mid"))
-    return df.join(mid, by).withColumn(f"{value}_imputed", F.coalesce(value, "_mid")).drop("_mid")
+    return _with_quantiles(df, by, value, _mid=0.5).withColumn(f"{value}_imputed", F.coalesce(value, "_mid")).drop("_mid")
 
 
 def winsorize(df: DataFrame, by: str, value: str, lo: float = 0.05, hi: float = 0.95) -> DataFrame:
-    """Values cut to two quantiles (linear interpolation) of their group; the quantiles are an aggregate, joined back. It
-    counts the distinct values of a group in one task; the rows themselves stay where they are."""
-    q = df.groupBy(by).agg(F.percentile(value, F.lit(lo)).alias("_lo"), F.percentile(value, F.lit(hi)).alias("_hi"))
-    return df.join(q, by).withColumn(f"{value}_cut", F.when(F.col(value).isNotNull(), F.greatest("_lo", F.least("_hi", F.col(value))))).drop("_lo", "_hi")
+    """Values cut to two quantiles (linear interpolation) of their group."""
+    cut = F.when(F.col(value).isNotNull(), F.greatest("_lo", F.least("_hi", F.col(value))))
+    return _with_quantiles(df, by, value, _lo=lo, _hi=hi).withColumn(f"{value}_cut", cut).drop("_lo", "_hi")
 
 
 def zscore(df: DataFrame, by: str, value: str) -> DataFrame:
@@ -78,24 +84,21 @@ def minmax(df: DataFrame, value: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
-    """Rank correlation per group, ties at their mean rank."""
-    w = Window.partitionBy(by)
-    ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    for c in (x, y):
-        ranked = ranked.withColumn(f"_{c}", F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(by, c)) - 1) / 2)
-    return ranked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.corr(f"_{x}", f"_{y}").alias("rho"))
+    """Rank correlation per group, ties at their mean rank, and how it is read."""
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(by, F.col(x).alias("x"), F.col(y).alias("y"))
+    ranked = mean_ranks(mean_ranks(both, [by], "x", "_x"), [by], "y", "_y")
+    return ranked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("rho"))
 
 
 def describe(df: DataFrame, by: str, value: str, at: tuple[float, ...] = (0.95, 0.97, 0.99, 0.999)) -> DataFrame:
-    q = [F.percentile(value, F.lit(p)).alias(f"q{str(p)[2:]}") for p in at]
-    return df.groupBy(by).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"), *q)
+    q = quantiles(df, [by], value, {"median": 0.5} | {f"q{str(p)[2:]}": p for p in at}).drop("n").withColumnRenamed(by, "_by")
+    sums = df.groupBy(by).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+    return sums.join(q, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
 
 
 def floor_percentile(df: DataFrame, by: str, value: str, share: float) -> DataFrame:
     """The value at place floor(n * share), counted from 0, without interpolation."""
-    w = Window.partitionBy(by)
-    p = df.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    return p.where(F.col("_r") == F.least(F.floor(F.col("_n") * share), F.col("_n") - 1)).select(by, F.col(value).alias("value"))
+    return quantiles(df, [by], value, {"value": share}, floor=True).where("n > 0").drop("n")
 
 
 def pivot_first(df: DataFrame, row: str, column: str, value: str, order: str) -> DataFrame:
