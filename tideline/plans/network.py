@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import leaves as L
 from ..operators import propagation as P
 from ..operators import traversal as V
 from .views import Tables, sql
@@ -90,6 +91,31 @@ def _bfs(k: int) -> str:
     return out
 
 
+def _bank_links(t: Tables):
+    """Links between all banks, each with its first company as a leaf; the lower bank by name has one that two would have."""
+    first = t.lends.groupBy(_id("b", "bank").alias("bank")).agg(F.concat(F.lit("c"), F.min("company").cast("string")).alias("leaf"))
+    return L.bank_links(edges(t), first.select(F.col("bank").alias("node")), first.groupBy("leaf").agg(F.min("bank").alias("bank")), "edge_id")
+
+
+def _clusters(t: Tables):
+    """Clusters of nations, a third of which are no group."""
+    of = lambda c: F.when(F.col(c) % 3 > 0, _id("n", c)).alias("grp")
+    kinds = t["supplier"].select(_id("b", "s_suppkey").alias("node"), F.lit("Bank").alias("kind"), of("s_nationkey")).unionByName(t["customer"].select(_id("c", "c_custkey").alias("node"), F.lit("Company").alias("kind"), of("c_nationkey")))
+    return L.risk_clusters(kinds.join(nodes(t), "node").withColumn("risk", F.col("base") >= 0.29), edges(t))
+
+
+def _graph_ids(t: Tables):
+    """The items of each order as an export of its own, after one of all banks; ends beyond the banks are no nodes."""
+    none = F.lit(None).cast("map<string,string>")
+    node = F.struct(_id("k", "s_suppkey").alias("id"), F.array(F.lit("Bank")).alias("labels"), none.alias("props"))
+    rel = F.struct(F.concat(F.lit("l"), F.concat_ws("-", "l_orderkey", "l_linenumber")).alias("id"), F.lit("T").alias("type"), _id("k", "l_suppkey").alias("start_node"), F.concat(F.lit("k"), (F.col("l_suppkey") + F.col("l_partkey") % 3).cast("string")).alias("end_node"), none.alias("props"))
+    alone = t["lineitem"].groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.max("l_suppkey").alias("l_suppkey"), F.max("l_partkey").alias("l_partkey")).where("n = 1")
+    banks = t["supplier"].select(F.col("s_suppkey").alias("seq"), F.array(node).alias("nodes"), F.array().cast("array<struct<id:string,type:string,start_node:string,end_node:string,props:map<string,string>>>").alias("relationships"))
+    orders = alone.groupBy((F.col("l_orderkey") + 1000000000).alias("seq")).agg(F.sort_array(F.collect_list(rel.dropFields("props"))).alias("r"))
+    orders = orders.select("seq", F.array().cast("array<struct<id:string,labels:array<string>,props:map<string,string>>>").alias("nodes"), F.transform("r", lambda x: x.withField("props", none)).alias("relationships"))
+    return L.graph_of(banks.unionByName(orders))[1].select("edge_id", "src", "dst")
+
+
 _VIEWS = ("lends", "rpt", "holds")
 
 Q: dict = {
@@ -131,9 +157,25 @@ s AS (SELECT stress AS cut FROM (SELECT stress, row_number() OVER (ORDER BY stre
 SELECT node, stress, in_degree, in_degree >= (SELECT greatest(2, cut) FROM h) AS hub, stress >= (SELECT greatest(0.22, cut) FROM s) AS stressed FROM d""", *_VIEWS)),
     "bank_network_edges": (lambda t: V.bank_network(t.lends), sql("""
 SELECT x.bank AS a, y.bank AS b, count(*) AS shared, round(sum(least(x.amount, y.amount)), 2) AS overlap FROM lends x JOIN lends y ON x.company = y.company AND x.bank < y.bank GROUP BY ALL""", "lends")),
-    "leaf_view": (lambda t: V.leaf_view(t.lends, 3, 100), sql("""
-, r AS (SELECT bank, company, row_number() OVER (PARTITION BY bank ORDER BY amount DESC, company) AS turn FROM lends), o AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY turn, bank) AS own FROM r),
-u AS (SELECT bank, company, row_number() OVER (PARTITION BY bank ORDER BY turn) AS turn FROM o WHERE own = 1)
-SELECT bank, company, CAST(turn AS INTEGER) AS turn FROM u WHERE turn <= 3 ORDER BY turn, bank LIMIT 100""", "lends")),
+    "leaf_view": (lambda t: L.deal_leaves(t.lends.select("bank", F.col("company").alias("leaf")), 3, 100).withColumnRenamed("leaf", "company"), sql("""
+RECURSIVE , b AS (SELECT list(bank ORDER BY bank) AS bs FROM (SELECT DISTINCT bank FROM lends)),
+s AS (SELECT 0 AS step, []::BIGINT[] AS taken, CAST(NULL AS BIGINT) AS bank, CAST(NULL AS BIGINT) AS company FROM b
+  UNION ALL SELECT * FROM (SELECT s.step + 1 AS step, CASE WHEN min(l.company) IS NULL THEN any_value(s.taken) ELSE list_append(any_value(s.taken), min(l.company)) END AS taken, any_value(bs[s.step % len(bs) + 1]) AS bank, min(l.company) AS company
+    FROM s CROSS JOIN b LEFT JOIN lends l ON l.bank = bs[s.step % len(bs) + 1] AND NOT list_contains(s.taken, l.company) WHERE s.step < 3 * len(bs) AND len(s.taken) < 100 GROUP BY s.step))
+SELECT bank, company, CAST((step - 1) // (SELECT len(bs) FROM b) + 1 AS INTEGER) AS turn FROM s WHERE company IS NOT NULL""", "lends")),
+    "bank_links": (_bank_links, sql(_EDGES + """
+, x AS (SELECT 'b' || bank AS bank, 'c' || min(company) AS leaf FROM lends GROUP BY bank), f AS (SELECT leaf, min(bank) AS bank FROM x GROUP BY leaf),
+o AS (SELECT bank AS node, bank AS owner, true AS own FROM x UNION ALL SELECT leaf, bank, false FROM f),
+m AS (SELECT least(p.owner, q.owner) AS a, greatest(p.owner, q.owner) AS b, arg_min({'type': type, 'direct': p.own AND q.own}, edge_id) AS m FROM e JOIN o p ON p.node = src JOIN o q ON q.node = dst WHERE p.owner <> q.owner GROUP BY ALL)
+SELECT a, b, CASE WHEN m.direct THEN m.type ELSE 'BANK_NETWORK' END AS type, CASE WHEN NOT m.direct THEN m.type END AS via FROM m""", *_VIEWS)),
+    "risk_clusters": (_clusters, sql(_NODES + _EDGES + """
+, g AS (SELECT 'b' || s_suppkey AS node, 'Bank' AS kind, CASE WHEN s_nationkey % 3 > 0 THEN 'n' || s_nationkey END AS grp FROM supplier UNION ALL SELECT 'c' || c_custkey, 'Company', CASE WHEN c_nationkey % 3 > 0 THEN 'n' || c_nationkey END FROM customer),
+r AS MATERIALIZED (SELECT g.*, base >= 0.29 AS risk FROM g JOIN nodes USING (node)), l AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+m AS (SELECT coalesce(grp, 'ungrouped:' || kind) AS cluster, node FROM r WHERE risk UNION SELECT coalesce(x.grp, 'ungrouped:' || x.kind), y.node FROM r x JOIN l ON l.a = x.node JOIN r y ON y.node = l.b WHERE x.risk AND (x.grp IS NOT DISTINCT FROM y.grp OR y.risk))
+SELECT cluster, node, count(*) OVER (PARTITION BY cluster) AS members FROM m QUALIFY members >= 2""", *_VIEWS)),
+    "graph_ids": (_graph_ids, """
+WITH n AS (SELECT 'k' || s_suppkey AS key, s_suppkey AS o FROM supplier), x AS (SELECT n.key, row_number() OVER (ORDER BY o) AS id FROM n),
+e AS (SELECT 'l' || l.l_orderkey || '-' || l_linenumber AS edge_id, 'k' || l_suppkey AS s, 'k' || (l_suppkey + l_partkey % 3) AS d FROM lineitem l)
+SELECT DISTINCT edge_id, s.id AS src, d.id AS dst FROM (SELECT edge_id, max(s) AS s, max(d) AS d FROM e GROUP BY edge_id HAVING count(*) = 1) e JOIN x s ON s.key = e.s JOIN x d ON d.key = e.d"""),
     "propagate_converged": (lambda t: _round(P.converge(nodes(t), channels(t))[0]), None),
 }
