@@ -116,8 +116,34 @@ def test_extraction(spark):
     assert extract.table_rows(html) == [(0, 0, ["A", "B"]), (0, 1, ["1 2", "x & y"]), (1, 0, ["z"])]
     xml = '<x:xbrl xmlns:x="u" xmlns:d="v"><x:context id="c1"><x:segment><d:explicitMember dimension="in:CategoryAxis">in:Promoter</d:explicitMember></x:segment></x:context><x:context id="c0"/><in:NumberOfShares xmlns:in="w" contextRef="c1">10</in:NumberOfShares><in:Name xmlns:in="w" contextRef="c0">Bank</in:Name></x:xbrl>'
     df = spark.createDataFrame([(1, xml), (2, "<broken"), (3, None)], "id int, xml string")
-    got = sorted((r.id, r.name, r.axis, r.member, r.number) for r in extract.xbrl_facts(df, "id", "xml").collect())
-    assert got == [(1, "name", None, None, None), (1, "numberOfShares", "CategoryAxis", "Promoter", 10.0)]
+    got = sorted((r.id, r.name, r.dims, r.number) for r in extract.xbrl_facts(df, "id", "xml").collect())
+    assert got == [(1, "name", {}, None), (1, "numberOfShares", {"CategoryAxis": "Promoter"}, 10.0)]
+
+
+def test_reports_with_dimensions(spark):
+    """Contexts of none, one, two and three axes, typed members, scenarios, repeated facts, and what is no dimension known."""
+    member = lambda axis, value: f'<d:explicitMember dimension="in:{axis}">in:{value}</d:explicitMember>'
+    typed = lambda axis, value: f'<d:typedMember dimension="in:{axis}"><in:x>{value}</in:x></d:typedMember>'
+    ctx = lambda i, inner, kind="segment", end="2024-03-31": f'<x:context id="{i}"><x:entity><x:{kind}>{inner}</x:{kind}></x:entity><x:period><x:instant>{end}</x:instant></x:period></x:context>'
+    fact = lambda ref, name, value: f'<in:{name} contextRef="{ref}">{value}</in:{name}>'
+    cat = "CategoryOfShareholdersAxis"
+    body = [
+        ctx("MainI", ""), ctx("W", member(cat, "ShareholdingPatternMember")), ctx("P", member(cat, "PromoterMember"), "scenario"),
+        ctx("D_E1", member(cat, "PromoterMember") + typed("DetailsOfPromoterAxis", "1")), ctx("E1", member(cat, "PromoterMember") + typed("DetailsOfPromoterAxis", "1")),
+        ctx("E3", member(cat, "PublicMember") + member("DetailsOfPublicAxis", "FundMember") + member("DetailsOfTrustAxis", "TrustMember")), ctx("O", member("OtherAxis", "OtherMember")),
+        fact("MainI", "NameOfTheCompany", "A Bank"), fact("MainI", "NumberOfShares", "7"), fact("W", "NumberOfShares", "100"), fact("W", "NumberOfShareholders", "0"), fact("MainI", "NumberOfShareholders", "12"),
+        fact("P", "NumberOfShares", "60"), fact("P", "NumberOfShares", "61.5"), fact("D_E1", "NameOfTheShareholder", "X"), fact("E1", "NumberOfShares", "40"), fact("E3", "NumberOfShares", "5"), fact("O", "NumberOfShares", "9"), fact("gone", "Odd", "1"),
+    ]
+    xml = f'<x:xbrl xmlns:x="u" xmlns:d="v" xmlns:in="w">{"".join(body)}</x:xbrl>'
+    long = extract.xbrl_facts(spark.createDataFrame([(1, xml), (2, None)], "id int, xml string"), "id", "xml")
+    got = {(r.part, r.axis, r.member, r.name): r.value for r in extract.route_facts(long, "id").collect()}
+    assert got == {
+        ("total", None, None, "nameOfTheCompany"): "A Bank", ("total", None, None, "numberOfShares"): "7", ("total", None, None, "numberOfShareholders"): "12", ("total", None, None, "odd"): "1",
+        ("aggregate", cat, "ShareholdingPatternMember", "numberOfShares"): "100", ("aggregate", cat, "ShareholdingPatternMember", "numberOfShareholders"): "0", ("aggregate", cat, "PromoterMember", "numberOfShares"): "61.5",
+        ("entity", "DetailsOfPromoterAxis", "E1", "nameOfTheShareholder"): "X", ("entity", "DetailsOfPromoterAxis", "E1", "numberOfShares"): "40",
+        ("entity", "DetailsOfPublicAxis", "FundMember", "numberOfShares"): "5", ("entity", "DetailsOfTrustAxis", "TrustMember", "numberOfShares"): "5",
+    }
+    assert [tuple(r) for r in extract.report_figures(long, "id").collect()] == [(1, "2024-03-31", 100.0, 12.0, 2, 3)]
 
 
 def test_streams(spark, tmp_path):

@@ -9,7 +9,9 @@ from ..functions.metrics import metric_name
 from ..operators import kernels as K
 from ..operators import matching as M
 from ..operators import scoring as S
+from ..operators.shared import shared_path
 from ..sources import extract
+from ..sources.versions import Versions
 from ..streaming import status
 from . import scores
 from .views import Tables, sql
@@ -44,7 +46,46 @@ def _names(t: Tables):
     return M.resolve(asked, "name", banks, known)
 
 
+def _reports(t: Tables):
+    """A report of each bank made of its pairs: a total, its segments as categories, and companies as entities of two axes."""
+    row = t.pairs.join(t["customer"].select(F.col("c_custkey").alias("company"), "c_mktsegment"), "company").select("bank", "company", F.col("n"), F.regexp_replace("c_mktsegment", " ", "").alias("segment"))
+    member = lambda axis, value: F.concat(F.lit(f'<d:explicitMember dimension="in:{axis}">in:'), value, F.lit("</d:explicitMember>"))
+    context = lambda i, inner: F.concat(F.lit('<x:context id="'), i, F.lit('"><x:entity><x:segment>'), inner, F.lit("</x:segment></x:entity><x:period><x:instant>2024-03-31</x:instant></x:period></x:context>"))
+    fact = lambda i, value: F.concat(F.lit('<in:NumberOfShares contextRef="'), i, F.lit('">'), value.cast("string"), F.lit("</in:NumberOfShares>"))
+    who = F.concat(F.lit("E"), F.col("company").cast("string"))
+    one = F.concat(context(who, F.concat(member(extract.CATEGORY_AXIS, F.col("segment")), member("DetailsOfHoldersAxis", who), F.when(F.col("company") % 2 == 0, member("DetailsOfTrustsAxis", F.lit("Trust"))).otherwise(""))), fact(who, F.col("n")))
+    parts = row.groupBy("bank", "segment").agg(F.sum("n").alias("n"), F.array_join(F.sort_array(F.collect_list(one)), "").alias("entities"))
+    of = F.concat(F.lit("C"), F.col("segment"))
+    body = F.concat("entities", context(of, member(extract.CATEGORY_AXIS, F.col("segment"))), fact(of, F.col("n")))
+    whole = parts.groupBy("bank").agg(F.sum("n").alias("n"), F.array_join(F.sort_array(F.collect_list(body)), "").alias("body"))
+    xml = F.concat(F.lit('<x:xbrl xmlns:x="u" xmlns:d="v" xmlns:in="w">'), "body", context(F.lit("MainI"), F.lit("")), fact(F.lit("MainI"), F.col("n")), F.lit("</x:xbrl>"))
+    return extract.xbrl_facts(whole.select("bank", xml.alias("xml")), "bank", "xml")
+
+
+def _versions(t: Tables):
+    """Orders by their statuses: half are loaded, the others inserted; then some are updated, unset and deleted."""
+    table = Versions(t.spark, shared_path(t.spark, "orders"), "k long, status string, priority string", "k")
+    rows = t["orders"].select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    table.replace(rows.where("k % 2 = 0"))
+    table.insert(rows, chunk=100000)
+    table.update(rows.where("k % 3 = 0").select("k", F.lit("late").alias("status")))
+    table.unset(rows.where("k % 5 = 0"), "priority")
+    table.delete(rows.where("k % 7 = 0"))
+    return table.read()
+
+
+_ROWS = ", r AS (SELECT bank, company, n, replace(c_mktsegment, ' ', '') AS segment FROM lends JOIN customer ON c_custkey = company)"
+
+
 Q: dict = {
+    "report_facts": (lambda t: extract.route_facts(_reports(t), "bank").where("member is null or member <> 'Trust'").select("bank", "part", "axis", "member", "name", F.col("number").cast("long").alias("number")), sql(_ROWS + """
+SELECT bank, 'total' AS part, CAST(NULL AS VARCHAR) AS axis, CAST(NULL AS VARCHAR) AS member, 'numberOfShares' AS name, CAST(sum(n) AS BIGINT) AS number FROM r GROUP BY bank
+UNION ALL SELECT bank, 'aggregate', 'CategoryOfShareholdersAxis', segment, 'numberOfShares', CAST(sum(n) AS BIGINT) FROM r GROUP BY bank, segment
+UNION ALL SELECT bank, 'entity', 'DetailsOfHoldersAxis', 'E' || company, 'numberOfShares', n FROM r""", "lends")),
+    "report_figures": (lambda t: extract.report_figures(_reports(t), "bank").select("bank", "end", F.col("shares").cast("long").alias("shares"), "holders", "categories", "entities"), sql(_ROWS + """
+SELECT bank, '2024-03-31' AS end, CAST(sum(n) AS BIGINT) AS shares, CAST(NULL AS DOUBLE) AS holders, count(DISTINCT segment) AS categories, count(*) + CAST(bool_or(company % 2 = 0) AS BIGINT) AS entities FROM r GROUP BY bank""", "lends")),
+    "table_versions": (_versions, """
+WITH v AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'late' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS priority FROM orders WHERE o_orderkey % 7 <> 0) SELECT * FROM v"""),
     "scores_full_outer": (_code_scores, """
 WITH a AS (SELECT upper(trim(' ' || lower(c_name))) AS code, c_acctbal AS news FROM customer WHERE c_acctbal > 0), b AS (SELECT upper(c_name) AS code, CAST(c_nationkey AS DOUBLE) AS fundamental FROM customer WHERE c_mktsegment <> 'BUILDING')
 SELECT coalesce(a.code, b.code) AS code, news, fundamental FROM a FULL JOIN b ON a.code = b.code"""),

@@ -72,41 +72,88 @@ def html_tables(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return base.mapInPandas(run, "id long, table_no int, row_no int, cells array<string>").withColumnRenamed("id", id_col)
 
 
-def facts(xml: str | None) -> list[tuple[str, str, str | None, str | None, str]]:
-    """(name, context, axis, member, value) of each fact of a report; the axis of its context's first dimension."""
+def _local(tag: str) -> str:
+    return tag.rsplit("}", 1)[-1].rsplit(":", 1)[-1]
+
+
+def facts(xml: str | None) -> list[tuple[int, str, str, dict[str, str | None], str | None, str]]:
+    """(seq, name, context, dimensions, end, value) of each fact of a report. Dimensions are a map of the axes of its
+    context, in segment and scenario, to their members, or to null where a member is typed; end is the context's last day."""
     if not (xml or "").strip():
         return []
     try:
         root = ET.fromstring(xml)
     except ET.ParseError:
         return []
-    local = lambda tag: tag.rsplit("}", 1)[-1]
-    dims: dict[str, tuple[str, str]] = {}
+    contexts: dict[str, tuple[dict[str, str | None], str | None]] = {}
     for c in root.iter():
-        if local(c.tag) == "context":
+        if _local(c.tag) == "context":
+            dims, end = {}, None
             for m in c.iter():
-                if local(m.tag) in ("explicitMember", "typedMember"):
-                    value = m.text if m.text and m.text.strip() else next((x.text for x in m if x.text), "")
-                    dims.setdefault(c.get("id", ""), (m.get("dimension", "").split(":")[-1], (value or "").strip().split(":")[-1]))
+                kind = _local(m.tag)
+                if kind in ("explicitMember", "typedMember"):
+                    dims[_local(m.get("dimension", ""))] = _local((m.text or "").strip()) if kind == "explicitMember" else None
+                elif kind in ("endDate", "instant"):
+                    end = (m.text or "").strip() or None
+            contexts[c.get("id", "")] = dims, end
     out = []
     for e in root:
         ref = e.get("contextRef")
         if ref is not None:
-            axis, member = dims.get(ref, (None, None))
-            out.append((local(e.tag), ref, axis, member, (e.text or "").strip()))
+            dims, end = contexts.get(ref, ({}, None))
+            out.append((len(out), _local(e.tag), ref, dims, end, (e.text or "").strip()))
     return out
 
 
 def xbrl_facts(files: DataFrame, id_col: str, xml_col: str) -> DataFrame:
-    """The facts of each report as a long table: id, name (first letter small), context, axis, member, value, number. A
-    text that isn't well-formed has none."""
+    """The facts of each report as a long table: id, seq, name (first letter small), context, dims, end, value, number. A text
+    that isn't well-formed has none."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, *f) for i, x in zip(b["id"], b["xml"], strict=True) for f in facts(x)]
-            yield pd.DataFrame(rows, columns=["id", "name", "context", "axis", "member", "value"])
+            for i, x in zip(b["id"], b["xml"], strict=True):
+                yield pd.DataFrame([(i, *f) for f in facts(x)], columns=["id", "seq", "name", "context", "dims", "end", "value"])
 
     kind = dict(files.dtypes)[id_col]
     base = files.select(F.col(id_col).alias("id"), F.col(xml_col).alias("xml"))
-    out = base.mapInPandas(run, f"id {kind}, name string, context string, axis string, member string, value string")
+    out = base.mapInPandas(run, f"id {kind}, seq int, name string, context string, dims map<string,string>, end string, value string")
     camel = F.concat(F.lower(F.substring("name", 1, 1)), F.expr("substring(name, 2)"))
     return out.withColumn("name", camel).withColumn("number", F.col("value").try_cast("double")).withColumnRenamed("id", id_col)
+
+
+# The axis of categories, what the axes of entities have in their names, and the category of the whole.
+CATEGORY_AXIS, DETAILS, WHOLE = "CategoryOfShareholdersAxis", "Details", "ShareholdingPatternMember"
+#: Figures of a whole report by the names that they go by, the first that is there.
+FIGURES = {"shares": ("numberOfShares", "totalNumberOfShares"), "holders": ("numberOfShareholders",)}
+
+
+def route_facts(long: DataFrame, id_col: str) -> DataFrame:
+    """(id, part, axis, member, name, value, number) of facts, routed by the dimensions of their contexts: without any they
+    are `total`; with an axis of details `entity`, under every such axis, by its member or, for typed ones, the context
+    without its `D_`; with a category only `aggregate`, by category. Facts of other dimensions go. Of facts of one place and
+    name the last counts."""
+    entries = F.filter(F.map_entries("dims"), lambda e: F.contains(e["key"], F.lit(DETAILS)))
+    opaque = F.regexp_replace("context", "^D_", "")
+    entity = F.transform(entries, lambda e: F.struct(F.lit("entity").alias("part"), e["key"].alias("axis"), F.coalesce(e["value"], opaque).alias("member")))
+    one = lambda part, axis, member: F.array(F.struct(F.lit(part).alias("part"), F.lit(axis).cast("string").alias("axis"), member.cast("string").alias("member")))
+    category = F.try_element_at("dims", F.lit(CATEGORY_AXIS))
+    places = F.when(F.size("dims") == 0, one("total", None, F.lit(None))).when(F.size(entries) > 0, entity).when(category.isNotNull(), one("aggregate", CATEGORY_AXIS, category))
+    rows = long.withColumn("p", F.explode(places))
+    last = rows.groupBy(id_col, "p", "name").agg(F.max_by(F.struct("value", "number"), "seq").alias("m"))
+    return last.select(id_col, "p.part", "p.axis", "p.member", "name", "m.value", "m.number")
+
+
+def report_figures(long: DataFrame, id_col: str) -> DataFrame:
+    """(id, end, shares, holders, categories, entities) of each report's facts: the first fact's last day that is known, the
+    figures of the whole category, or else of the totals (a figure of 0 counts as missing), and how many categories and
+    entities there are."""
+    routed = route_facts(long, id_col)
+    value = F.when(F.col("number") != 0, F.col("number"))
+    whole = (F.col("part") == "aggregate") & (F.col("member") == WHOLE)
+    figures = []
+    for figure, names in FIGURES.items():
+        found = [F.max(F.when(test & (F.col("name") == n), value)) for test in (whole, F.col("part") == "total") for n in names]
+        figures.append(F.coalesce(*found).alias(figure))
+    distinct = lambda part, *cs: F.count_distinct(F.when(F.col("part") == part, F.struct(*cs)))
+    sums = routed.groupBy(id_col).agg(*figures, distinct("aggregate", "member").alias("categories"), distinct("entity", "axis", "member").alias("entities"))
+    ends = long.where("end is not null").groupBy(id_col).agg(F.min_by("end", "seq").alias("end"))
+    return sums.join(ends, id_col, "left").select(id_col, "end", *FIGURES, "categories", "entities")
