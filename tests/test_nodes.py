@@ -22,11 +22,27 @@ def test_bank_nodes_seed_the_registry(spark):
 
 
 def test_ownership_of_all_six_kinds(spark):
-    held = [(raw, kind, dst, 1.5, 10) for raw in ("Bank A", "Comp C", "Someone") for kind, dst in (("Bank", "bB"), ("Company", "cD"))] + [("Bank A", "Bank", "bA", 9.0, 1), ("", "Bank", "bA", 1.0, 1), ("Someone", "Bank", "bB", 1.0, 5)]
-    holdings = spark.createDataFrame(held, "raw string, dst_kind string, dst string, pct double, shares long")
+    """The last holding of a pair stands; what is held has to be a node; nothing holds itself."""
+    held = [(raw, kind, dst, 1.5, 10, 1) for raw in ("Bank A", "Comp C", "Someone") for kind, dst in (("Bank", "bB"), ("Company", "cD"), ("Company", "cGone"))]
+    held += [("Bank A", "Bank", "bA", 9.0, 1, 1), ("", "Bank", "bA", 1.0, 1, 1), ("Someone", "Bank", "bB", 99.0, 99, 0), ("Someone", "Bank", "bB", 70.0, 5, 2)]
+    holdings = spark.createDataFrame(held, "raw string, dst_kind string, dst string, pct double, shares long, seq int")
     resolved = spark.createDataFrame([("Bank A", "Bank", "bA"), ("Comp C", "Company", "cC"), ("Someone", None, None)], "raw string, kind string, entity string")
-    got = {(r.src_kind, r.src, r.dst_kind, r.dst): (r.pct, r.shares) for r in N.ownership_edges(holdings, resolved).collect()}
-    assert len(got) == 6 and got["Shareholder", "Someone", "Bank", "bB"] == (2.5, 15) and got["Bank", "bA", "Company", "cD"] == (1.5, 10)
+    targets = spark.createDataFrame([("Bank", "bA"), ("Bank", "bB"), ("Company", "cD"), ("Bank", "cGone")], "kind string, node string")
+    got = {(r.src_kind, r.src, r.dst_kind, r.dst): (r.pct, r.shares) for r in N.ownership_edges(holdings, resolved, targets, "seq").collect()}
+    assert len(got) == 6 and got["Shareholder", "Someone", "Bank", "bB"] == (70.0, 5) and got["Bank", "bA", "Company", "cD"] == (1.5, 10)
+
+
+def test_subsidiaries_have_weights(spark):
+    rows = [("c1", "b1", "cash_in", "old", 1e7, 4e7, 1), ("c1", "b1", "cash_in", "new", 0.0, 1e7, 3), ("c1", "b1", "cash_out", "mid", 2e7, 1e7, 2), ("c1", "b1", "unknown", "mid", 9e7, 9e7, 2), ("c1", "b2", "cash_out", "x", 1e7, 5e7, 1), ("c1", "b2", "contingent", "y", 1.0, 3e7, 0)]
+    tier1 = spark.createDataFrame([("b1", 20.0)], "bank string, tier1 double")
+    got = {r.bank: tuple(r)[2:] for r in N.subsidiaries(spark.createDataFrame(rows, "company string, bank string, direction string, relation string, approved double, outstanding double, seq int"), tier1, "seq").collect()}
+    assert got == {"b1": (4, "new", 5.0, 1.0, 0.0, 0.25, 0.5), "b2": (2, "x", 0.0, 5.0, 3.0, None, 1.0)}
+
+
+def test_sector_nodes(spark):
+    rows = spark.createDataFrame([("b1", "msme"), ("b2", "msme"), ("b1", "msme"), ("b1", "odd"), ("b1", None)], "bank string, category string")
+    got = {r.category: (r.name, r.banks) for r in N.priority_sector_nodes(rows).collect()}
+    assert len(got) == 10 and got["msme"] == ("MSME", 2) and got["housing"] == ("Housing", 0)
 
 
 def test_lenders_without_an_entity_get_stand_ins(spark):
@@ -41,6 +57,9 @@ def test_party_stubs_number_within_their_bank(spark):
     rows = spark.createDataFrame([("A", "Zed", 1), ("A", "zed", 2), ("A", "Bob", 3), ("B", "Bob", 4), ("B", "Known", 5)], "bank string, raw string, seq int")
     got = N.party_stubs(rows, spark.createDataFrame([("Known", "Bank", "k")], "raw string, kind string, entity string"), "seq")
     assert sorted(map(tuple, got.collect())) == [("RPT_A_0001", "A", "Zed"), ("RPT_A_0002", "A", "Bob"), ("RPT_B_0001", "B", "Bob")]
+    might = spark.createDataFrame([("Bob", 2, "bob co", "c2", 70.9), ("Bob", 1, "bobs", "c1", 86.0)], "raw string, rank int, known string, entity string, score double")
+    told = N.party_stubs(rows, spark.createDataFrame([("Known", "Bank", "k")], "raw string, kind string, entity string"), "seq", might).collect()
+    assert {r.cin: r.top_candidates for r in told} == {"RPT_A_0001": [], "RPT_A_0002": ["bobs:c1:86", "bob co:c2:70"], "RPT_B_0001": ["bobs:c1:86", "bob co:c2:70"]}
 
 
 @pytest.mark.parametrize(("reply", "score", "reasoning"), [('```json\n{"stress_score": 0.71234, "reasoning": "bad"}\n```', 0.7123, "bad"), ('{"stress_score": 7}', 1.0, ""), ('{"stress_score": "x", "reasoning": "y"}', 0.5, "y"), ("sorry", 0.5, "Parse error"), (None, 0.5, "Parse error")])

@@ -57,8 +57,8 @@ def test_three_layouts_in_one_frame(spark, tmp_path):
 
 
 def test_repeated_names_get_suffixes(spark):
-    df = spark.createDataFrame([(["a", "b", "a", None, " a ", "a_2", " ", "b"],), ([],)], "x array<string>")
-    assert [r.y for r in df.select(sheets.suffixed(F.col("x")).alias("y")).collect()] == [["a", "b", "a_3", None, "a_4", "a_2", None, "b_2"], []]
+    df = spark.createDataFrame([(["a", "b", "a", None, " a ", "a.1", " ", "b"],), ([],)], "x array<string>")
+    assert [r.y for r in df.select(sheets.suffixed(F.col("x")).alias("y")).collect()] == [["a", "b", "a.2", None, "a.3", "a.1", None, "b.1"], []]
 
 
 def test_an_empty_folder(spark, tmp_path):

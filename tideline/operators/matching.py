@@ -41,8 +41,9 @@ def full_outer_scores(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def code_ranges(codes: DataFrame, code: str, sections: DataFrame) -> DataFrame:
-    """Each code with the section whose range (lo, hi) has its first characters; sections is a small fixed table."""
-    prefix = F.substring(F.col(code), 1, 2)
+    """Each code with the section whose range (lo, hi) has its first three characters, compared as texts; sections is a small
+    fixed table, its ranges don't overlap."""
+    prefix = F.substring(F.col(code), 1, 3)
     return codes.join(F.broadcast(sections), prefix.between(F.col("lo"), F.col("hi")), "left").drop("lo", "hi")
 
 

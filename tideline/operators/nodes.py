@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import slug
@@ -23,6 +23,8 @@ PRIORITY_SECTORS = {
 }
 # How ids of stand-ins begin.
 LENDER_STUB, PARTY_STUB = "LSTUB_", "RPT_"
+# The unit in which amounts of related parties are told.
+CRORE = 1e7
 
 
 def bank_nodes(docs: DataFrame, registry: DataFrame, order: str) -> DataFrame:
@@ -47,8 +49,12 @@ def industry_nodes(docs: DataFrame, order: str) -> DataFrame:
     return docs.where("code is not null").groupBy("code").agg(F.min_by("name", order).alias("name"))
 
 
-def priority_sector_nodes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(PRIORITY_SECTORS.items()), "category string, name string")
+def priority_sector_nodes(exposures: DataFrame) -> DataFrame:
+    """(category, name, banks) of all categories of priority lending, with how many banks have an exposure (bank, category)
+    in each."""
+    names = F.explode(F.create_map(*[F.lit(x) for pair in PRIORITY_SECTORS.items() for x in pair]))
+    rows = exposures.where(F.col("category").isin(*PRIORITY_SECTORS)).groupBy("category").agg(F.count_distinct("bank").alias("banks"))
+    return exposures.sparkSession.range(1).select(names.alias("category", "name")).join(rows, "category", "left").select("category", "name", F.coalesce("banks", F.lit(0)).alias("banks"))
 
 
 def shareholder_nodes(holdings: DataFrame, resolved: DataFrame, order: str) -> DataFrame:
@@ -58,13 +64,16 @@ def shareholder_nodes(holdings: DataFrame, resolved: DataFrame, order: str) -> D
     return holdings.where("raw <> ''").join(known, "raw", "left_anti").groupBy(F.col("raw").alias("name")).agg(F.min_by("category", order).alias("category"))
 
 
-def ownership_edges(holdings: DataFrame, resolved: DataFrame) -> DataFrame:
+def ownership_edges(holdings: DataFrame, resolved: DataFrame, targets: DataFrame, order: str) -> DataFrame:
     """SHAREHOLDER_OF edges (src_kind, src, dst_kind, dst, pct, shares) from banks, companies or shareholders to banks or
     companies: holdings (raw, dst_kind, dst, pct, shares) with what their holders resolve to (raw, kind, entity). A holder
-    that resolves to nothing is a shareholder by its name; nothing holds itself. Holdings of one pair are summed."""
+    that resolves to nothing is a shareholder by its name; nothing holds itself. Of holdings of one pair the last by `order`
+    stands, and those in what is no node of `targets` (kind, node) go."""
     known = resolved.where("entity is not null").select("raw", "kind", "entity")
-    rows = holdings.where("raw <> ''").join(known, "raw", "left").select(F.coalesce("kind", F.lit("Shareholder")).alias("src_kind"), F.coalesce("entity", "raw").alias("src"), "dst_kind", "dst", "pct", "shares")
-    return rows.where("src_kind <> dst_kind or src <> dst").groupBy("src_kind", "src", "dst_kind", "dst").agg(F.sum("pct").alias("pct"), F.sum("shares").alias("shares"))
+    rows = holdings.where("raw <> ''").join(known, "raw", "left").select(F.coalesce("kind", F.lit("Shareholder")).alias("src_kind"), F.coalesce("entity", "raw").alias("src"), "dst_kind", "dst", F.struct(order, "pct", "shares").alias("h"))
+    nodes = targets.select(F.col("kind").alias("dst_kind"), F.col("node").alias("dst"))
+    last = rows.where("src_kind <> dst_kind or src <> dst").groupBy("src_kind", "src", "dst_kind", "dst").agg(F.max("h").alias("h"))
+    return last.join(nodes, ["dst_kind", "dst"], "left_semi").select("src_kind", "src", "dst_kind", "dst", "h.pct", "h.shares")
 
 
 def lender_edges(loans: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -81,18 +90,33 @@ def lender_edges(loans: DataFrame, resolved: DataFrame) -> tuple[DataFrame, Data
     return edges.select("lender_kind", "lender", "borrower", "amount", F.round(F.try_divide("amount", "total"), 6).alias("transmittance")), stubs
 
 
-def party_stubs(parties: DataFrame, resolved: DataFrame, order: str) -> DataFrame:
+def party_stubs(parties: DataFrame, resolved: DataFrame, order: str, candidates: DataFrame | None = None) -> DataFrame:
     """(cin, bank, name) for counterparties (bank, raw) that resolve to nothing, numbered within their bank by their first
-    row; names that differ in case only are one."""
+    row; names that differ in case only are one. With candidates (raw, rank, known, entity, score) also top_candidates, what
+    the name might be: known, entity and score, joined by colons, by rank."""
     known = resolved.where("entity is not null").select("raw")
     first = parties.where("raw <> ''").join(known, "raw", "left_anti").groupBy("bank", F.lower("raw").alias("low")).agg(F.min(F.struct(order, "raw")).alias("at"))
     n = F.row_number().over(Window.partitionBy("bank").orderBy(f"at.{order}", "low"))
-    return first.select(F.concat(F.lit(PARTY_STUB), F.col("bank").cast("string"), F.lit("_"), F.lpad(n.cast("string"), 4, "0")).alias("cin"), "bank", F.col("at.raw").alias("name"))
-
-
-def subsidiaries(rows: DataFrame, order: str) -> DataFrame:
-    """One row per parent and company of rows (parent, company, relation): how many there are, and the last relation."""
-    return rows.groupBy("parent", "company").agg(F.count(F.lit(1)).alias("n"), F.max_by("relation", order).alias("relation"))
+    stubs = first.select(F.concat(F.lit(PARTY_STUB), F.col("bank").cast("string"), F.lit("_"), F.lpad(n.cast("string"), 4, "0")).alias("cin"), "bank", F.col("at.raw").alias("name"))
+    if candidates is None:
+        return stubs
+    told = F.concat_ws(":", "known", "entity", F.col("score").cast("int").cast("string"))
+    top = candidates.groupBy(F.col("raw").alias("name")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", told.alias("told")))), lambda x: x["told"]).alias("top_candidates"))
+    return stubs.join(top, "name", "left").select("cin", "bank", "name", F.coalesce("top_candidates", F.array().cast("array<string>")).alias("top_candidates"))
+
+
+def subsidiaries(transactions: DataFrame, tier1: DataFrame, order: str) -> DataFrame:
+    """SUBSIDIARY_OF edges of transactions (company, bank, direction, relation, approved, outstanding): how many, the last
+    relation by `order`, sums by direction in ten millions (transactions of unknown direction add to none), and weights: up,
+    what came in by the bank's tier 1 capital (bank, tier1); down, what went out by what was approved for that, 1 at most. A
+    weight without a base is null."""
+    of = lambda d, c: F.coalesce(F.sum(F.when(F.col("direction") == d, F.col(c))), F.lit(0.0))
+    sums = transactions.groupBy("company", "bank").agg(
+        F.count(F.lit(1)).alias("n"), F.max_by("relation", order).alias("relation"), of("cash_in", "outstanding").alias("cash_in"), of("cash_out", "outstanding").alias("cash_out"), of("cash_out", "approved").alias("approved"), of("contingent", "outstanding").alias("contingent"),
+    )
+    up = F.when(F.col("tier1") > 0, F.round(F.col("cash_in") / CRORE / F.col("tier1"), 8))
+    down = F.when(F.col("approved") > 0, F.round(F.least(F.col("cash_out") / F.col("approved"), F.lit(1.0)), 6))
+    return sums.join(tier1, "bank", "left").select("company", "bank", "n", "relation", *[(F.col(c) / CRORE).alias(c) for c in ("cash_in", "cash_out", "contingent")], up.alias("up"), down.alias("down"))
 
 
 def node_kind(labels: Column) -> Column:

@@ -112,3 +112,8 @@ def news_score(negative: Column, neutral: Column) -> Column:
 
 def confidence(articles: Column) -> Column:
     return F.when(articles >= 5, "high").when(articles >= 2, "medium").otherwise("low")
+
+
+def news_band(score: Column) -> Column:
+    """The band of a news score."""
+    return F.when(score >= 0.8, "Severe").when(score >= 0.6, "High").when(score >= 0.4, "Moderate").when(score >= 0.2, "Low").otherwise("Minimal")

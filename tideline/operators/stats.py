@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .order import filled, mean_ranks
 from .quantiles import quantiles
 
+# Rows that a rank correlation needs.
+LEAST_PAIRS = 5
 
 def latest(df: DataFrame, key: str, *newest_first: Column) -> DataFrame:
     """The newest row of each key; rows whose date is null come last."""
@@ -84,10 +86,14 @@ def minmax(df: DataFrame, value: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
-    """Rank correlation per group, ties at their mean rank, and how it is read."""
+    """Rank correlation per group, ties at their mean rank, and how it is read: by its size, or that there are too few rows,
+    in which case rho is null."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(by, F.col(x).alias("x"), F.col(y).alias("y"))
     ranked = mean_ranks(mean_ranks(both, [by], "x", "_x"), [by], "y", "_y")
-    return ranked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("rho"))
+    found = ranked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("rho"))
+    few, size = F.col("n") < LEAST_PAIRS, F.abs("rho")
+    read = F.when(few, "insufficient data").when(size >= 0.5, "STRONG").when(size >= 0.3, "MODERATE").otherwise("WEAK")
+    return found.select(by, "n", F.when(~few, F.col("rho")).alias("rho"), read.alias("signal"))
 
 
 def describe(df: DataFrame, by: str, value: str, at: tuple[float, ...] = (0.95, 0.97, 0.99, 0.999)) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import predicates as B
@@ -85,6 +86,26 @@ def _facilities(t: Tables):
     return t.items.select("bank", F.when(F.col("status") == "O", "Term Loans").alias("bucket"), F.col("priority").alias("facility"), F.col("amt").alias("amount"))
 
 
+# Order priorities of the test tables stand for categories of lending.
+_SECTOR_OF = {"1-URGENT": "agriculture", "2-HIGH": "msme", "3-MEDIUM": "housing", "4-NOT SPECIFIED": "weakerSections"}
+
+
+def _sector(priority: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in _SECTOR_OF.items() for x in pair])[priority]
+
+
+def _targets(t: Tables):
+    """Banks with a balance, and all companies, as nodes that can be held."""
+    return t["supplier"].where("s_acctbal > 0").select(F.lit("Bank").alias("kind"), F.concat(F.lit("b"), F.col("s_suppkey").cast("string")).alias("node")).unionByName(t["customer"].select(F.lit("Company").alias("kind"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node")))
+
+
+def _owned(t: Tables):
+    """Transactions of banks with their subsidiaries; a transaction's relation is that of its order."""
+    direction = F.when(F.col("flag") == "R", "cash_out").when(F.col("flag") == "A", "cash_in").when(F.col("status") == "F", "contingent").otherwise("unknown")
+    rows = t.items.where(B.is_subsidiary(F.concat("priority", F.when(F.col("company") % 5 == 0, " Subsidiary").otherwise(" other"))))
+    return rows.select("company", "bank", direction.alias("direction"), F.col("priority").alias("relation"), F.col("gross").alias("approved"), F.col("amt").alias("outstanding"), F.col("l_orderkey").alias("seq"))
+
+
 Q: dict = {
     "nodes_bank": (lambda t: N.bank_nodes(_bank_docs(t), t["supplier"].select(F.concat(F.lit("B"), F.col("s_suppkey").cast("string")).alias("symbol"), F.col("s_name").alias("name")), "seq"), """
 SELECT 'B' || s_suppkey AS symbol, CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 10 = 0 THEN s_name ELSE upper(s_name) END AS name, CAST(CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 10 = 0 OR s_suppkey % 4 = 0 THEN 0 ELSE s_suppkey * 100 + 1 END AS BIGINT) AS shares,
@@ -92,20 +113,27 @@ SELECT 'B' || s_suppkey AS symbol, CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 10
     "nodes_company": (lambda t: N.company_nodes(_company_docs(t), "cin", "seq"), """
 SELECT 'C' || o_custkey AS cin, arg_max(o_orderpriority, o_orderkey) FILTER (WHERE o_orderkey % 3 <> 0) AS sector, arg_max(o_orderstatus, o_orderkey) FILTER (WHERE o_orderkey % 2 = 0) AS status FROM orders GROUP BY o_custkey"""),
     "nodes_industry": (lambda t: N.industry_nodes(t["part"].select(F.col("p_type").alias("code"), F.col("p_name").alias("name"), "p_partkey"), "p_partkey"), "SELECT p_type AS code, arg_min(p_name, p_partkey) AS name FROM part GROUP BY p_type"),
-    "nodes_priority_sector": (lambda t: N.priority_sector_nodes(t.spark), "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in N.PRIORITY_SECTORS.items()) + ") t(category, name)"),
+    "nodes_priority_sector": (lambda t: N.priority_sector_nodes(t.items.select("bank", _sector(F.col("priority")).alias("category"))), sql(f"""
+, x AS (SELECT CASE priority {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SECTOR_OF.items())} END AS category, count(DISTINCT bank) AS banks FROM fac GROUP BY 1)
+SELECT c.category, name, coalesce(banks, 0) AS banks FROM (VALUES """ + ", ".join(f"('{k}', '{v}')" for k, v in N.PRIORITY_SECTORS.items()) + ") c(category, name) LEFT JOIN x ON x.category = c.category", "fac")),
     "nodes_shareholder": (lambda t: N.shareholder_nodes(holdings(t), resolved(t), "seq"), sql(_HOLD + """
 SELECT raw AS name, arg_min(category, (owner, bank)) AS category FROM h WHERE raw NOT IN (SELECT raw FROM k) GROUP BY raw""", "holds")),
-    "edge_ownership_typed": (lambda t: N.ownership_edges(holdings(t), resolved(t)).select("src_kind", "src", "dst_kind", "dst", F.round("pct", 4).alias("pct"), "shares"), sql(_HOLD + """
-, o AS (SELECT coalesce(kind, 'Shareholder') AS src_kind, coalesce(entity, h.raw) AS src, dst_kind, dst, pct, shares FROM h LEFT JOIN k ON k.raw = h.raw)
-SELECT src_kind, src, dst_kind, dst, round(sum(pct), 4) AS pct, CAST(sum(shares) AS BIGINT) AS shares FROM o WHERE src_kind <> dst_kind OR src <> dst GROUP BY ALL""", "holds")),
+    "edge_ownership_typed": (lambda t: N.ownership_edges(holdings(t), resolved(t), _targets(t), "seq"), sql(_HOLD + """
+, o AS (SELECT coalesce(kind, 'Shareholder') AS src_kind, coalesce(entity, h.raw) AS src, dst_kind, dst, pct, shares, owner, bank FROM h LEFT JOIN k ON k.raw = h.raw),
+g AS (SELECT 'Bank' AS kind, 'b' || s_suppkey AS node FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT 'Company', 'c' || c_custkey FROM customer)
+SELECT src_kind, src, dst_kind, dst, arg_max(pct, (owner, bank, pct, shares)) AS pct, arg_max(shares, (owner, bank, pct, shares)) AS shares FROM o JOIN g ON g.kind = dst_kind AND g.node = dst WHERE src_kind <> dst_kind OR src <> dst GROUP BY ALL""", "holds")),
     "edge_lends_stubs": (lambda t: N.lender_edges(loans(t), resolved(t))[0], sql(_LOANS + """
 SELECT CASE WHEN old THEN 'Company' ELSE 'Bank' END AS lender_kind, CASE WHEN old THEN stub ELSE own END AS lender, borrower, amount, round(amount / sum(amount) OVER (PARTITION BY borrower), 6) AS transmittance FROM b WHERE raw IS NOT NULL""", "lends")),
     "stubs_lender": (lambda t: N.lender_edges(loans(t), resolved(t))[1], sql(_LOANS + "\nSELECT DISTINCT stub AS cin, raw AS name FROM b WHERE old", "lends")),
     "stubs_party": (lambda t: N.party_stubs(t.rpt.select("bank", F.when(F.col("company") % 3 == 0, F.concat(F.lit("Party "), (F.col("company") % 50).cast("string"))).otherwise(F.concat(F.lit("Customer#"), F.lpad(F.col("company").cast("string"), 9, "0"))).alias("raw"), F.col("company").alias("seq")), resolved(t), "seq"), sql("""
 , p AS (SELECT bank, 'Party ' || (company % 50) AS name, min(company) AS seq FROM rpt WHERE company % 3 = 0 GROUP BY ALL)
 SELECT 'RPT_' || bank || '_' || lpad(CAST(row_number() OVER (PARTITION BY bank ORDER BY seq, lower(name)) AS VARCHAR), 4, '0') AS cin, bank, name FROM p""", "rpt")),
-    "edge_subsidiary": (lambda t: N.subsidiaries(t.items.select(F.col("bank").alias("parent"), "company", F.col("priority").alias("relation"), F.struct("l_orderkey", "l_linenumber").alias("seq")).where(B.is_subsidiary(F.concat("relation", F.when(F.col("company") % 5 == 0, " Subsidiary").otherwise(" other")))), "seq"), sql("""
-SELECT bank AS parent, company, count(*) AS n, arg_max(priority, (l_orderkey, l_linenumber)) AS relation FROM fac WHERE company % 5 = 0 GROUP BY ALL""", "fac")),
+    "edge_subsidiary": (lambda t: N.subsidiaries(_owned(t), t.items.groupBy("bank").agg((F.sum("amt") / 1e8).alias("tier1")).where("bank % 3 <> 0"), "seq").select("company", "bank", "n", "relation", *[F.round(c, 9).alias(c) for c in ("cash_in", "cash_out", "contingent")], "up", "down"), sql("""
+, d AS (SELECT *, CASE WHEN flag = 'R' THEN 'cash_out' WHEN flag = 'A' THEN 'cash_in' WHEN status = 'F' THEN 'contingent' ELSE 'unknown' END AS direction FROM fac WHERE company % 5 = 0),
+s AS (SELECT company, bank, count(*) AS n, arg_max(priority, l_orderkey) AS relation, coalesce(sum(amt) FILTER (WHERE direction = 'cash_in'), 0.0) AS cash_in, coalesce(sum(amt) FILTER (WHERE direction = 'cash_out'), 0.0) AS cash_out,
+  coalesce(sum(gross) FILTER (WHERE direction = 'cash_out'), 0.0) AS approved, coalesce(sum(amt) FILTER (WHERE direction = 'contingent'), 0.0) AS contingent FROM d GROUP BY ALL), b AS (SELECT bank, sum(amt) / 1e8 AS tier1 FROM fac WHERE bank % 3 <> 0 GROUP BY bank)
+SELECT company, s.bank AS bank, n, relation, round(cash_in / 1e7, 9) AS cash_in, round(cash_out / 1e7, 9) AS cash_out, round(contingent / 1e7, 9) AS contingent, round(cash_in / 1e7 / tier1, 8) AS up, CASE WHEN approved > 0 THEN round(least(cash_out / approved, 1.0), 6) END AS down
+FROM s LEFT JOIN b ON b.bank = s.bank""", "fac")),
     "node_kinds": (lambda t: t["customer"].select("c_custkey", N.node_kind(F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("Company"), F.lit("Bank"))).when(F.col("c_custkey") % 3 == 1, F.array(F.lit("Shareholder"), F.lit("Industry"))).otherwise(F.array(F.lit("x")))).alias("kind")), "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Bank' WHEN 1 THEN 'Industry' ELSE 'Other' END AS kind FROM customer"),
     "bank_search": (lambda t: N.bank_list(t["supplier"].select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"), F.col("s_name").alias("name")), "LIER#00000000"), "SELECT 'S' || s_suppkey AS symbol, s_name AS name FROM supplier WHERE contains(lower(s_name), 'lier#00000000')"),
     "score_updates": (lambda t: N.match_updates(t["customer"].select(F.col("c_custkey").alias("k"), F.floor(F.col("c_acctbal") / 1000).alias("v")), t["supplier"].select(F.col("s_suppkey").alias("k"), F.lit(3).cast("bigint").alias("v")), "k", "v"), """
@@ -117,7 +145,7 @@ SELECT count(*) AS asked, count(s_suppkey) AS matched, count(*) FILTER (WHERE s_
 SELECT c_custkey, CAST(CASE WHEN c_custkey % 4 < 2 THEN round(least(c_custkey % 30 / 20, 1.0), 4) ELSE 0.5 END AS DOUBLE) AS score,
   CASE WHEN c_custkey % 4 < 2 THEN 'r' || c_custkey WHEN c_custkey % 4 = 2 THEN 'none' ELSE 'Parse error' END AS reasoning FROM customer"""),
     "dry_scores": (lambda t: t["nation"].select("n_name", S.dry_score(F.col("n_name")).alias("score")), f"SELECT n_name, {_DRY.format('n_name')} AS score FROM nation"),
-    "section_summary": (lambda t: S.by_section(M.code_ranges(t["part"].select(F.format_string("%02d00", "p_size").alias("code"), F.floor("p_retailprice").cast("double").alias("v")), "code", t.spark.createDataFrame([("A", "01", "03"), ("C", "10", "33")], "section string, lo string, hi string")), "section", "v"), """
+    "section_summary": (lambda t: S.by_section(M.code_ranges(t["part"].select(F.format_string("%03d", "p_size").alias("code"), F.floor("p_retailprice").cast("double").alias("v")), "code", t.spark.createDataFrame([("A", "001", "003"), ("C", "010", "033")], "section string, lo string, hi string")), "section", "v"), """
 WITH p AS (SELECT CASE WHEN p_size BETWEEN 1 AND 3 THEN 'A' WHEN p_size BETWEEN 10 AND 33 THEN 'C' ELSE 'Unmapped' END AS section, floor(p_retailprice) AS v FROM part)
 SELECT section, count(*) AS n, sum(v) AS total, round(sum(v) / (SELECT sum(v) FROM p), 6) AS share FROM p GROUP BY section"""),
     "facility_buckets": (lambda t: S.by_bucket(_facilities(t)).select("bank", "bucket", "amount", "n", F.array_join(F.transform(F.map_entries("facilities"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("decimal(20,0)").cast("string"))), ";").alias("facilities")), sql("""

@@ -42,7 +42,7 @@ def _entity(t: Tables):
     return R.entity_stress(companies(t), F.to_date(F.lit(AS_OF)))
 
 
-def _parts(t: Tables):
+def parts(t: Tables):
     """News, sector and ratings scores per company, some of them missing."""
     c = t["customer"]
     return c.select(
@@ -91,12 +91,12 @@ SELECT l_orderkey, l_linenumber, {_GRADE} AS token, CAST(CASE WHEN flag = 'R' TH
   sum(amt) OVER (PARTITION BY company) AS total, sum(amt) OVER (PARTITION BY company ORDER BY amt DESC, l_orderkey, l_linenumber, {_RATING} ROWS UNBOUNDED PRECEDING) AS cum FROM fac)
 SELECT company, round(CAST(arg_min(s, cum) FILTER (WHERE cum / total >= 0.5) AS DOUBLE), 6) AS score, 'weighted_median' AS basis, CAST(count(*) AS INTEGER) AS scored, CAST(0 AS INTEGER) AS skipped, round(any_value(total), 4) AS total,
   arg_min(rating, cum) FILTER (WHERE cum / total >= 0.5) AS dominant FROM i GROUP BY company""", "fac")),
-    "company_blend": (lambda t: _parts(t).select("company", F.round(S.company_blend(F.col("fundamental"), F.col("news"), F.col("sector")), 6).alias("stress")), sql(_PARTS + """
+    "company_blend": (lambda t: parts(t).select("company", F.round(S.company_blend(F.col("fundamental"), F.col("news"), F.col("sector")), 6).alias("stress")), sql(_PARTS + """
 SELECT company, round(CASE WHEN news IS NOT NULL AND sector IS NOT NULL THEN 0.7 * fundamental / 100 + 0.2 * news + 0.1 * sector WHEN news IS NOT NULL THEN 0.8 * fundamental / 100 + 0.2 * news
   WHEN sector IS NOT NULL THEN 0.8 * fundamental / 100 + 0.2 * sector ELSE fundamental / 100 END, 6) AS stress FROM p""", ).replace(", p AS", "WITH p AS", 1)),
-    "bank_blend": (lambda t: _parts(t).select("company", F.round(S.bank_blend(F.col("fundamental") / 100, F.col("sector"), F.col("news"), F.col("news"), F.col("sector")), 6).alias("stress")), sql(_PARTS + """
+    "bank_blend": (lambda t: parts(t).select("company", F.round(S.bank_blend(F.col("fundamental") / 100, F.col("sector"), F.col("news"), F.col("news"), F.col("sector")), 6).alias("stress")), sql(_PARTS + """
 SELECT company, round(coalesce(0.23 * fundamental / 100 + 0.23 * sector + 0.54 * news, 0.73 * sector + 0.27 * news, sector), 6) AS stress FROM p""").replace(", p AS", "WITH p AS", 1)),
-    "sector_blend_tier": (lambda t: _parts(t).withColumn("s", S.sector_blend(F.col("news"), F.col("sector"))).select("company", F.col("s").alias("score"), S.risk_tier(F.col("s")).alias("tier")), sql(_PARTS + """
+    "sector_blend_tier": (lambda t: parts(t).withColumn("s", S.sector_blend(F.col("news"), F.col("sector"))).select("company", F.col("s").alias("score"), S.risk_tier(F.col("s")).alias("tier")), sql(_PARTS + """
 , b AS (SELECT company, round(coalesce((news + sector) / 2, news), 4) AS s FROM p)
 SELECT company, s AS score, CASE WHEN s IS NULL THEN NULL WHEN s < 0.2 THEN 'Minimal' WHEN s < 0.4 THEN 'Low' WHEN s < 0.55 THEN 'Moderate' WHEN s < 0.7 THEN 'Elevated' WHEN s < 0.85 THEN 'High' ELSE 'Severe' END AS tier FROM b""").replace(", p AS", "WITH p AS", 1)),
     "health_transforms": (lambda t: ratios(t).select("bank", *[F.round(S.health(r, F.col(r)), 6).alias(r.lower()) for r in RATIOS]), sql(_RATIOS + """

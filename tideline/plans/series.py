@@ -65,9 +65,9 @@ SELECT year, bank, round((x - avg(x) OVER (PARTITION BY year)) / nullif(stddev_p
 SELECT s_suppkey, round((s_acctbal - min(s_acctbal) OVER ()) / (max(s_acctbal) OVER () - min(s_acctbal) OVER ()), 6) AS scaled FROM supplier"""),
     "rank_stress": (lambda t: t["customer"].select("c_nationkey", "c_custkey", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_acctbal", "c_custkey")).cast("long").alias("most_stressed"), F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")).cast("long").alias("least_stressed")), """
 SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS most_stressed, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS least_stressed FROM customer"""),
-    "spearman": (lambda t: W.spearman(panel(t), "year", "n", "q").select("year", "n", F.round("rho", 6).alias("rho")), _PANEL + """
+    "spearman": (lambda t: W.spearman(panel(t), "year", "n", "q").select("year", "n", F.round("rho", 6).alias("rho"), "signal"), _PANEL + """
 , r AS (SELECT year, rank() OVER (PARTITION BY year ORDER BY n) + (count(*) OVER (PARTITION BY year, n) - 1) / 2 AS a, rank() OVER (PARTITION BY year ORDER BY q) + (count(*) OVER (PARTITION BY year, q) - 1) / 2 AS b FROM p)
-SELECT year, count(*) AS n, round(corr(a, b), 6) AS rho FROM r GROUP BY year"""),
+SELECT year, n, CASE WHEN n >= 5 THEN round(rho, 6) END AS rho, CASE WHEN n < 5 THEN 'insufficient data' WHEN abs(rho) >= 0.5 THEN 'STRONG' WHEN abs(rho) >= 0.3 THEN 'MODERATE' ELSE 'WEAK' END AS signal FROM (SELECT year, count(*) AS n, corr(a, b) AS rho FROM r GROUP BY year)"""),
     "describe_quantiles": (lambda t: W.describe(t.lends, "bank", "amount").select("bank", "n", "total", *[F.round(c, 4).alias(c) for c in ("mean", "median", "least", "most", "q95", "q97", "q99", "q999")]), sql("""
 SELECT bank, count(amount) AS n, sum(amount) AS total, round(avg(amount), 4) AS mean, round(quantile_cont(amount, 0.5), 4) AS median, min(amount) AS least, max(amount) AS most,
   round(quantile_cont(amount, 0.95), 4) AS q95, round(quantile_cont(amount, 0.97), 4) AS q97, round(quantile_cont(amount, 0.99), 4) AS q99, round(quantile_cont(amount, 0.999), 4) AS q999 FROM lends GROUP BY bank""", "lends")),

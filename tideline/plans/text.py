@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
@@ -10,14 +11,38 @@ from ..operators import kernels as K
 from ..operators import matching as M
 from ..operators import scoring as S
 from ..operators.shared import shared_path
-from ..sources import extract
+from ..sources import extract, sheets
 from ..sources.versions import Versions
 from ..streaming import status
-from . import scores
+from . import scores, stages
 from .views import Tables, sql
 
-# Sections of the industry classification by two-digit division.
-SECTIONS = [("A", "01", "03"), ("B", "05", "09"), ("C", "10", "33"), ("D", "35", "35"), ("E", "36", "39"), ("F", "41", "43"), ("G", "45", "47"), ("H", "49", "53")]
+# Sections of the industry classification by the first three characters of a code, and their names.
+SECTIONS = [
+    ("A", "011", "033", "Agriculture, forestry and fishing"),
+    ("B", "051", "099", "Mining and quarrying"),
+    ("C", "101", "332", "Manufacturing"),
+    ("D", "351", "354", "Electricity, gas, steam and air conditioning supply"),
+    ("E", "360", "390", "Water supply; sewerage, waste management and remediation activities"),
+    ("F", "410", "439", "Construction"),
+    ("G", "461", "479", "Wholesale and retail trade"),
+    ("H", "491", "533", "Transportation and storage"),
+    ("I", "551", "564", "Accommodation and food service activities"),
+    ("J", "581", "603", "Publishing, broadcasting, and content distribution activities"),
+    ("K", "611", "639", "Telecommunications, computer programming, consultancy, computing infrastructure, and other information service activities"),
+    ("L", "641", "663", "Financial and insurance activities"),
+    ("M", "681", "682", "Real estate activities"),
+    ("N", "691", "750", "Professional, scientific and technical activities"),
+    ("O", "771", "829", "Administrative and support service activities"),
+    ("P", "841", "843", "Public administration and defence; compulsory social security"),
+    ("Q", "851", "856", "Education"),
+    ("R", "861", "889", "Human health and social work activities"),
+    ("S", "901", "932", "Arts, sports and recreation"),
+    ("T", "941", "969", "Other service activities"),
+    ("U", "970", "982", "Activities of households as employers; undifferentiated goods- and services-producing activities of households for own use"),
+    ("V", "990", "990", "Activities of extraterritorial organizations and bodies"),
+]
+_SECTION = "section string, lo string, hi string, sector string"
 _SECTIONS = ", ".join(str(s) for s in SECTIONS)
 VARIANTS = [("ring", "RNG"), ("small ring", "SRG"), ("bolt", "BLT"), ("blue bolt", "BBT"), ("widget", "WDG"), ("red", "RED")]
 _CASE = " ".join(f"WHEN contains(lower(p_name), '{n}') THEN '{s}'" for n, s in sorted(VARIANTS, key=lambda v: (-len(v[0]), v[0]), reverse=False))
@@ -74,6 +99,34 @@ def _versions(t: Tables):
     return table.read()
 
 
+def _sheets(t: Tables):
+    """Sheets of each nation's banks as cells: a title, the header with metrics over two years each, the years, banks, a total."""
+    s = t["supplier"].select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("file"), "s_suppkey", "s_name", "s_acctbal")
+    texts = lambda *xs: F.array(*[x if isinstance(x, Column) else F.lit(x).cast("string") for x in xs])
+    cell = lambda c: F.format_number(F.floor(c), 0)
+    rows = [(0, texts("Table 4", None)), (1, texts("No.", "Banks", "gross NPA#", None, "Net  Profit", None)), (2, texts(None, None, "FY 2022", "FY 2023", "2022", "31-03-2023")), (1 << 30, texts(None, "Grand Total", "1", "2", "3", "4"))]
+    heads = s.select("file").distinct().select("file", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), r.alias("cells")) for n, r in rows])).alias("r")).select("file", F.lit("").alias("sheet"), "r.n", "r.cells")
+    last = F.when(F.col("s_suppkey") % 4 == 0, "-").otherwise(cell(F.col("s_suppkey") * 2023))
+    return heads.unionByName(s.select("file", F.lit("").alias("sheet"), (F.col("s_suppkey") + 2).cast("int").alias("n"), texts("1", F.concat(F.col("s_name"), F.lit(" ")), cell(F.col("s_acctbal") + 2022), cell(F.col("s_acctbal") + 2023), cell(F.col("s_suppkey") * 2022), last).alias("cells")))
+
+
+def _staged(t: Tables):
+    """Companies' blends by way of stages: what each is made of, then the blend of all three."""
+    customers = f"{t.sf_dir}/customer.parquet"
+    part = lambda c: stages.Stage(c, lambda _: scores.parts(t).select("company", c), sources=(customers,))
+
+    def blend(inputs):
+        f, n, s = (inputs[c] for c in ("fundamental", "news", "sector"))
+        rows = f.join(n, "company").join(s, "company")
+        return rows.select("company", F.round(S.company_blend(F.col("fundamental"), F.col("news"), F.col("sector")), 6).alias("stress"))
+
+    run = stages.Run(t.spark, shared_path(t.spark, "stages"), [part("fundamental"), part("news"), part("sector"), stages.Stage("company_stress", blend, ("fundamental", "news", "sector"))])
+    told = run.run("companies", {"companies": ("company_stress",)})
+    if told["company_stress"] != "done":
+        raise RuntimeError(str(told))
+    return run.read("company_stress")
+
+
 _ROWS = ", r AS (SELECT bank, company, n, replace(c_mktsegment, ' ', '') AS segment FROM lends JOIN customer ON c_custkey = company)"
 
 
@@ -86,13 +139,19 @@ UNION ALL SELECT bank, 'entity', 'DetailsOfHoldersAxis', 'E' || company, 'number
 SELECT bank, '2024-03-31' AS end, CAST(sum(n) AS BIGINT) AS shares, CAST(NULL AS DOUBLE) AS holders, count(DISTINCT segment) AS categories, count(*) + CAST(bool_or(company % 2 = 0) AS BIGINT) AS entities FROM r GROUP BY bank""", "lends")),
     "table_versions": (_versions, """
 WITH v AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'late' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS priority FROM orders WHERE o_orderkey % 7 <> 0) SELECT * FROM v"""),
+    # sheets of each nation, with a line above the header and totals below the banks
+    "sheet_metrics": (lambda t: sheets.bank_metrics(_sheets(t)).select("file", "bank", "metric", "year", "value"), """
+SELECT 'n' || s_nationkey AS file, s_name AS bank, m AS metric, y AS year, floor(CASE m WHEN 'Gross NPA' THEN s_acctbal + y ELSE s_suppkey * y END) AS value
+FROM supplier, (VALUES ('Gross NPA'), ('Net Profit')) a(m), (VALUES (2022), (2023)) b(y) WHERE NOT (m = 'Net Profit' AND y = 2023 AND s_suppkey % 4 = 0)"""),
+    "staged_blend": (_staged, scores.Q["company_blend"][1]),
     "scores_full_outer": (_code_scores, """
 WITH a AS (SELECT upper(trim(' ' || lower(c_name))) AS code, c_acctbal AS news FROM customer WHERE c_acctbal > 0), b AS (SELECT upper(c_name) AS code, CAST(c_nationkey AS DOUBLE) AS fundamental FROM customer WHERE c_mktsegment <> 'BUILDING')
 SELECT coalesce(a.code, b.code) AS code, news, fundamental FROM a FULL JOIN b ON a.code = b.code"""),
     "unmatched_anti": (lambda t: t["customer"].join(t.lends, F.col("c_custkey") == F.col("company"), "left_anti").select("c_custkey", "c_name"), sql("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT company FROM lends)", "lends")),
     "resume_anti": (lambda t: t["orders"].select("o_custkey").distinct().join(t["customer"].where("c_acctbal > 5000"), F.col("o_custkey") == F.col("c_custkey"), "left_anti"), "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)"),
-    "nic_range_join": (lambda t: M.code_ranges(t["part"].select("p_partkey", F.format_string("%02d00", "p_size").alias("code")), "code", t.spark.createDataFrame(SECTIONS, "section string, lo string, hi string")), f"""
-SELECT p_partkey, lpad(CAST(p_size AS VARCHAR), 2, '0') || '00' AS code, section FROM part LEFT JOIN (VALUES {_SECTIONS}) s(section, lo, hi) ON lpad(CAST(p_size AS VARCHAR), 2, '0') BETWEEN lo AND hi"""),
+    "nic_range_join": (lambda t: M.code_ranges(t["part"].select("p_partkey", F.format_string("%05d", F.col("p_partkey") * 37 % 100000).alias("code")), "code", t.spark.createDataFrame(SECTIONS, _SECTION)), f"""
+WITH p AS (SELECT p_partkey, lpad(CAST(p_partkey * 37 % 100000 AS VARCHAR), 5, '0') AS code FROM part)
+SELECT p_partkey, code, section, sector FROM p LEFT JOIN (VALUES {_SECTIONS}) s(section, lo, hi, sector) ON left(code, 3) BETWEEN lo AND hi"""),
     "longest_substring_join": (lambda t: t["part"].select("p_partkey", M.longest_contained(t["part"], "p_name", VARIANTS).alias("symbol")), f"SELECT p_partkey, CASE {_CASE} END AS symbol FROM part"),
     "bank_name_join": (lambda t: M.bank_name_join(t["supplier"].select("s_suppkey", F.concat(F.lower("s_name"), F.lit(" Ltd.")).alias("x")), "x", t["supplier"].select(F.col("s_name").alias("y"), F.col("s_acctbal").alias("tier1")), "y").select("s_suppkey", "tier1"), "SELECT s_suppkey, s_acctbal AS tier1 FROM supplier"),
     "boards_union": (lambda t: t["supplier"].select(F.col("s_name").alias("name")).union(t["customer"].select(F.when(F.col("c_acctbal") > 0, F.col("c_name")))).dropna(), "SELECT s_name AS name FROM supplier UNION ALL SELECT c_name FROM customer WHERE c_acctbal > 0"),
@@ -108,7 +167,7 @@ SELECT doc_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replac
     "date_parse": (lambda t: t["orders"].select("o_orderkey", X.date(F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "MMM d, yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "d MMM yyyy"))).cast("string").alias("d")), "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS d FROM orders"),
     "number_clean": (lambda t: t["orders"].select("o_orderkey", X.number(F.when(F.col("o_orderkey") % 7 == 0, "-").when(F.col("o_orderkey") % 7 == 1, "NA").otherwise(F.format_number(F.floor("o_totalprice"), 0))).alias("x")), "SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 1 THEN floor(o_totalprice) END AS x FROM orders"),
     "json_props": (lambda t: t["events"].select("event_id", F.variant_get(F.parse_json("props"), "$.k", "bigint").alias("k")).where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n")), "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events WHERE json_extract(props, '$.k') IS NOT NULL GROUP BY k"),
-    "confidence_bands": (lambda t: t["events"].groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("n")).select("user_id", S.confidence(F.col("n")).alias("confidence")), "SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_type = 'error') >= 5 THEN 'high' WHEN count(*) FILTER (WHERE event_type = 'error') >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM events GROUP BY user_id"),
+    "confidence_bands": (lambda t: t["events"].groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("n")).select("user_id", S.confidence(F.col("n")).alias("confidence"), S.news_band(F.col("n") / 10).alias("band")), "SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_type = 'error') >= 5 THEN 'high' WHEN count(*) FILTER (WHERE event_type = 'error') >= 2 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN count(*) FILTER (WHERE event_type = 'error') >= 8 THEN 'Severe' WHEN count(*) FILTER (WHERE event_type = 'error') >= 6 THEN 'High' WHEN count(*) FILTER (WHERE event_type = 'error') >= 4 THEN 'Moderate' WHEN count(*) FILTER (WHERE event_type = 'error') >= 2 THEN 'Low' ELSE 'Minimal' END AS band FROM events GROUP BY user_id"),
     "status_queue": (lambda t: status.latest_status(t["events"].select(F.col("user_id").alias("report"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"))), "SELECT user_id AS report, arg_max(event_type, (ts, event_id)) AS status, count(*) AS changes FROM events GROUP BY user_id"),
     "fuzzy_resolve": (_names, None),
     "exchange_match": (lambda t: M.exchange_match(t["supplier"].select("s_suppkey", F.concat("s_name", F.lit(" Limited")).alias("name"), F.concat(F.lit("The "), "s_name").alias("other")), "s_suppkey", ["name", "other"], t["supplier"].where("s_acctbal > 0").select(F.col("s_suppkey").cast("string").alias("symbol"), F.concat("s_name", F.when(F.col("s_suppkey") % 2 == 0, " Ltd.").otherwise("")).alias("known"))).select("s_suppkey", "match", "confidence"), None),

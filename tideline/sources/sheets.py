@@ -83,12 +83,12 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
 
 
 def suffixed(names: Column) -> Column:
-    """An array of column names in which repeated ones get _2, _3 and so on; names that are missing or blank stay null. A
-    suffix that makes a name that is there already is counted on."""
+    """An array of column names in which repeated ones get .1, .2 and so on; names that are missing or blank stay null. A
+    suffix that makes a name that is there already is passed over."""
     clean = F.transform(names, lambda x: F.nullif(F.trim(x), F.lit("")))
 
     def place(done: Column, x: Column) -> Column:
-        tries = F.transform(F.sequence(F.lit(1), F.size(done) + 1), lambda k: F.when(k == 1, x).otherwise(F.concat(x, F.lit("_"), k.cast("string"))))
+        tries = F.transform(F.sequence(F.lit(0), F.size(done) + F.size(clean)), lambda k: F.when(k == 0, x).otherwise(F.concat(x, F.lit("."), k.cast("string"))))
         return F.concat(done, F.array(F.when(x.isNotNull(), F.get(F.filter(tries, lambda t: ~F.coalesce(F.array_contains(done, t), F.lit(False)) & ((t == x) | ~F.coalesce(F.array_contains(clean, t), F.lit(False)))), F.lit(0)))))
 
     return F.aggregate(clean, F.array().cast("array<string>"), place)
