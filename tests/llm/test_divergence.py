@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tideline.llm import divergence
@@ -67,10 +68,22 @@ def test_a_text_is_split_alike_at_any_size(monkeypatch):
     assert [w for ws in divergence.terms_of(text) for w in ws] == whole and b"und" in whole
 
 
-def test_counts_of_small_tasks_are_the_same(spark, monkeypatch):
-    rows = [(f"aa bb cc{k % 3:d} dd dd", "en", f"s{k % 2}") for k in range(60)]
+def test_counts_of_small_tasks_are_the_same(monkeypatch):
+    rows = [("en", f"s{k % 2}", f"aa bb cc{k % 3:c} dd dd") for k in range(60)] + [("fr", "", "")]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("lang", "source", "text"), r, strict=True)) for r in rows])
+
+    def told():
+        out, parts = Counter(), list(divergence._counted(iter([batch, batch])))
+        for p in parts:
+            for r in p.to_pylist():
+                out[r["lang"], r["source"], r["term"], "n"] += r["n"]
+                out[r["lang"], r["source"], r["term"], "docs"] += r["docs"]
+        return out, len(parts)
+
+    whole, once = told()
     monkeypatch.setattr(divergence, "HELD", 1)
-    assert got(spark.createDataFrame(rows, "text string, lang string, source string")) == plain(rows)
+    many, often = told()
+    assert many == whole and often > once == 3 and whole["en", "s0", "dd", "n"] == 120 and whole["fr", "", None, "docs"] == 0
 
 
 def test_top_terms_with_ties(spark):

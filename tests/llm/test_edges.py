@@ -297,6 +297,21 @@ def test_warc(spark, tmp_path):
     assert warc.archive_pages(df.where("false"), str(tmp_path / "none")).count() == 0
 
 
+def test_warc_ids_are_unique_in_archives_of_several_files(spark, tmp_path, monkeypatch):
+    """Repeated page ids, many files from one task, and pages that share a payload or nothing."""
+    from pathlib import Path
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 5000)
+    rows = [(k % 30, f"http://a/{k}", ("same " if k % 5 == 0 else f"own {k} ") * 400) for k in range(60)] + [(7, None, None), (7, None, None)]
+    got = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2), str(tmp_path)).collect()
+    files = list(Path(tmp_path, "warc").glob("*.warc.gz"))
+    ids = [h["WARC-Record-ID"] for f in files for h, _ in warc.split_records(warc._inflated(f.open("rb")))]
+    assert len(files) > 6 and len(ids) == len(set(ids)) == len(rows) == len(got)
+    same = [r for r in got if (r.payload_bytes, r.page_id % 5) == (2000, 0)]
+    assert {(r.page_id, r.record_type, r.refers_to) for r in same} == {(k, "revisit", 25) for k in (0, 5, 10, 15, 20)} | {(25, "response", None)}
+    assert all(r.record_type == "response" for r in got if r not in same)
+
+
 def test_split_records_needs_whole_ones():
     data = warc.record(1, "u", b"abc") + warc.record(2, "u", b"", 1, "00" * 20)
     assert [h["WARC-Type"] for h, _ in warc.split_records(iter([data[:9], data[9:200], data[200:]]))] == ["response", "revisit"]

@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,12 +83,20 @@ def test_a_text_counts_alike_in_any_pieces(monkeypatch):
         assert (langid.buckets(text) == whole).all()
 
 
-def test_languages_are_counted_in_turns(spark, monkeypatch):
-    df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string")
-    want = langid.train(df)
+def test_languages_are_counted_in_turns(monkeypatch):
+    batch = pa.RecordBatch.from_pylist([{"lang": lang, "text": t} for _, t, lang in ROWS if lang is not None and t is not None])
+
+    def told():
+        out, parts = Counter(), list(langid._counted(iter([batch, batch])))
+        for p in parts:
+            for r in p.to_pylist():
+                out[r["lang"], r["bucket"]] += r["n"]
+        return out, len(parts)
+
+    whole, once = told()
     monkeypatch.setattr(langid, "HELD", 1)
-    got = langid.train(df)
-    assert got.langs == want.langs and np.allclose(got.log_p, want.log_p) and np.allclose(got.prior, want.prior)
+    many, often = told()
+    assert many == whole and often > once and whole["en", -1] == 8
 
 
 def test_op13(spark):

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .ngram_join import bitmap_of, in_bitmap
 
 MIN_REVISIT = 1000
 #: Bytes of records after which a new archive begins, compression level, and bytes read at once.
@@ -32,15 +33,16 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, digest: str | None = None) -> bytes:
-    """A response record, or with refers_to a revisit record, which has the HTTP head but no payload."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, digest: str | None = None, place: str = "0") -> bytes:
+    """A response record, or with refers_to a revisit record, which has the HTTP head but no payload. Its id is that of the
+    page and its place, since rows may share a page's id; what it revisits goes by the page, in a header of its own."""
     sha = base64.b32encode(bytes.fromhex(digest) if digest else hashlib.sha1(payload).digest()).decode()
     name = "" if page_id is None else page_id
     block = _HTTP + (b"" if refers_to is not None else payload)
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if refers_to is not None else 'response'}",
-        f"WARC-Record-ID: <urn:page:{name}>",
+        f"WARC-Record-ID: <urn:page:{name}:{place}>",
         f"WARC-Target-URI: {quote(url or f'urn:page:{name}', safe=':/?#[]@!$&()*+,;=%~')}",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{sha}",
@@ -49,7 +51,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         f"Content-Length: {len(block)}",
     ]
     if refers_to is not None:
-        head[4:4] = [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {_REVISIT}"]
+        head[4:4] = [f"X-Refers-To-Page: {refers_to}", f"WARC-Profile: {_REVISIT}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -104,12 +106,13 @@ def _attempt(path: str) -> str:
 
 def write_archives(rows: DataFrame, folder: str) -> DataFrame:
     """Writes rows (page_id, url, payload, refers_to, digest) to archives, each one gzip stream, and returns (file).
-    Lazy: it writes when it is computed, under the same names each time."""
+    Lazy: it writes when it is computed. Names have the attempt of their task, which may see rows in another order than one
+    before; the files of an attempt that was lost are in no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _open(folder)
         out = z = name = None
-        n, size, files = 0, 0, []
+        n, k, size, files = 0, 0, 0, []
 
         def close() -> None:
             nonlocal out
@@ -122,10 +125,10 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to", "digest")), strict=True):
                 if out is None:
-                    name, size = f"{root}/part-{TaskContext.get().partitionId():06d}-{n:04d}.warc.gz", 0
+                    name, size, k = f"{root}/part-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}-{n:04d}.warc.gz", 0, 0
                     system.create_dir(root, recursive=True)
                     out, z, n = system.open_output_stream(_attempt(name), compression=None), zlib.compressobj(LEVEL, zlib.DEFLATED, 31), n + 1
-                data = record(*row)
+                data, k = record(*row, place=f"{TaskContext.get().partitionId()}-{n - 1}-{k}"), k + 1
                 size += len(data)
                 out.write(z.compress(data))
                 if size >= FILE_BYTES:
@@ -174,7 +177,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _open(folder)
         name, stream = None, None
-        page = lambda x: int(m[1]) if (m := re.match(r"<urn:page:(-?\d+)>", x or "")) else None
+        page = lambda x: int(m[1]) if (m := re.match(r"<urn:page:(-?\d+):", x or "")) else None
         for b in batches:
             out = []
             for file, offset, length in zip(*(b.column(c).to_pylist() for c in ("file", "offset", "length")), strict=True):
@@ -186,7 +189,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                     payload = data[data.index(b"\r\n\r\n") + 4 :].split(b"\r\n\r\n", 1)[1][:-4]
                     if len(payload) != size or hashlib.sha1(payload).hexdigest() != digest:
                         raise ValueError(f"{file} at {offset}: the payload doesn't match its digest")
-                out.append((page(h["WARC-Record-ID"]), h["WARC-Target-URI"], h["WARC-Type"], page(h.get("WARC-Refers-To")), size, digest, payload))
+                out.append((page(h["WARC-Record-ID"]), h["WARC-Target-URI"], h["WARC-Type"], int(h["X-Refers-To-Page"]) if "X-Refers-To-Page" in h else None, size, digest, payload))
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 7, kinds, strict=True)], names=[x.split()[0] for x in _READ.split(", ")])
 
@@ -207,10 +210,14 @@ def archive_pages(pages: DataFrame, folder: str | None = None, id_col: str = "pa
     large = base.where(F.length("payload") >= min_revisit)
     # a table of the digests that several pages have, so that adaptive execution can split the pages of a hot one
     groups = scratch.table(large.groupBy("digest").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1 and keep is not null").select("digest", "keep"), "groups")
+    bitmap, bits = bitmap_of(groups, "digest", groups.count())
+    bitmap = scratch.table(bitmap, "bits")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("keep")), F.col("keep")).alias("refers_to")
-    rows = large.join(groups, "digest", "left").select("page_id", "url", "payload", refers, "digest")
-    small = base.where(F.length("payload") < min_revisit).select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to"), "digest")
-    files = scratch.table(write_archives(rows.unionByName(small), f"{folder}/streams"), "files")
+    alone = F.lit(None).cast("long").alias("refers_to")
+    # only pages whose digest may be repeated are shuffled, by a filter of bounded size
+    rows = in_bitmap(large, "digest", bitmap, bits).join(groups, "digest", "left").select("page_id", "url", "payload", refers, "digest")
+    rest = in_bitmap(large, "digest", bitmap, bits, inside=False).unionByName(base.where(F.length("payload") < min_revisit)).select("page_id", "url", "payload", alone, "digest")
+    files = scratch.table(write_archives(rows.unionByName(rest), f"{folder}/streams"), "files")
     tasks = max(1, min(files.count(), pages.sparkSession.sparkContext.defaultParallelism * 4))
     index = scratch.table(normalise(files.repartition(tasks), f"{folder}/streams", f"{folder}/warc"), "index")
     system, path = _open(f"{folder}/streams")
