@@ -116,8 +116,8 @@ def candidates(resolved: DataFrame, name: str, companies: DataFrame, top: int =
     return _scored(asked, _keyed(companies), top).select(F.col("raw").alias(name), F.col("k").alias("rank"), F.col("other").alias("known"), "entity", F.col("r.set_ratio").alias("score"))
 
 
-def resolve(names: DataFrame, name: str, banks: DataFrame, companies: DataFrame) -> DataFrame:
-    """names with entity, kind, passed and confidence.
+def resolve(names: DataFrame, name: str, banks: DataFrame, companies: DataFrame, trace: bool = False) -> DataFrame:
+    """names with entity, kind, passed and confidence; with `trace` also an array of what each pass found, in their order.
 
     banks and companies are (entity, known). Passes: exact bank, exact company, fuzzy company, abbreviation of a bank. A
     fuzzy candidate has the name's anchor inside it; the best by set_ratio (then sort_ratio, then entity) is tested, and
@@ -133,8 +133,10 @@ def resolve(names: DataFrame, name: str, banks: DataFrame, companies: DataFrame)
     fuzzy = best.where(fine).select("raw", "entity", F.lit("Company").alias("kind"), F.lit(3).alias("pass"), (F.col("set_ratio") / 100).alias("confidence"))
     short = n.where((F.length("raw") <= ABBREVIATION) & F.col("raw").rlike("^[A-Z&]+$")).join(banks.select("entity", F.upper("known").alias("raw")), "raw").select("raw", "entity", F.lit("Bank").alias("kind"), F.lit(4).alias("pass"), F.lit(0.9).alias("confidence"))
     every = exact.unionByName(fuzzy).unionByName(short)
-    one = every.groupBy("raw").agg(F.min(F.struct("pass", "entity", "kind", "confidence")).alias("m"))
-    return names.join(one, names[name] == F.col("raw"), "left").select(names["*"], "m.entity", F.coalesce("m.kind", F.lit("none")).alias("kind"), F.col("m.pass").alias("passed"), F.coalesce("m.confidence", F.lit(0.0)).alias("confidence"))
+    hit = F.struct("pass", "entity", "kind", "confidence")
+    one = every.groupBy("raw").agg(F.min(hit).alias("m"), *([F.sort_array(F.collect_set(hit)).alias("_trace")] if trace else []))
+    told = [F.coalesce("_trace", F.array().cast("array<struct<pass:int,entity:string,kind:string,confidence:double>>")).alias("trace")] if trace else []
+    return names.join(one, names[name] == F.col("raw"), "left").select(names["*"], "m.entity", F.coalesce("m.kind", F.lit("none")).alias("kind"), F.col("m.pass").alias("passed"), F.coalesce("m.confidence", F.lit(0.0)).alias("confidence"), *told)
 
 
 def exchange_key(x: Column) -> Column:

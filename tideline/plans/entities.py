@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import predicates as B
+from ..operators import companies as C
 from ..operators import matching as M
 from ..operators import nodes as N
 from ..operators import sectors as S
@@ -106,7 +107,25 @@ def _owned(t: Tables):
     return rows.select("company", "bank", direction.alias("direction"), F.col("priority").alias("relation"), F.col("gross").alias("approved"), F.col("amt").alias("outstanding"), F.col("l_orderkey").alias("seq"))
 
 
+def _consolidated(t: Tables):
+    """Companies by code, a bridge for most of them, a registry of their nations, and holdings by symbol."""
+    c = t["customer"]
+    companies = c.select(F.concat(F.lit(" c"), F.col("c_custkey").cast("string")).alias("code"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("S"), F.col("c_custkey").cast("string"))).otherwise("").alias("symbol"))
+    bridge = c.where("c_custkey % 5 <> 0").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("code"), F.concat(F.lit("U"), F.col("c_custkey").cast("string")).alias("cin"))
+    registry = c.where("c_custkey % 7 <> 0").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("cin"), F.col("c_mktsegment").alias("status"))
+    holdings = t["orders"].select(F.concat(F.lit("s"), F.col("o_custkey").cast("string")).alias("symbol"), F.col("o_orderkey").alias("filing"))
+    return C.consolidate(companies, bridge, registry, holdings)
+
+
 Q: dict = {
+    "companies_consolidated": (_consolidated, """
+SELECT ' c' || c_custkey AS code, CASE WHEN c_custkey % 3 = 0 THEN 'S' || c_custkey ELSE '' END AS symbol, CASE WHEN c_custkey % 5 <> 0 THEN 'U' || c_custkey END AS cin,
+  CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 THEN c_mktsegment END AS status, CASE WHEN c_custkey % 3 = 0 THEN filing END AS filing
+FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS filing FROM orders GROUP BY 1) ON o_custkey = c_custkey"""),
+    "banks_in_both": (lambda t: C.in_all("bank", t["lineitem"].where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("bank")), t["supplier"].where("s_acctbal > 0").select(F.col("s_suppkey").alias("bank"))), "SELECT s_suppkey AS bank FROM supplier WHERE s_acctbal > 0 AND s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R')"),
+    "stress_counters": (lambda t: C.counters(t["customer"], "c_mktsegment", "c_acctbal", F.col("c_acctbal") < 0).select("whole", "c_mktsegment", "n", "least", "most", F.round("mean", 4).alias("mean"), F.round("median", 4).alias("median"), "flagged"), """
+SELECT false AS whole, c_mktsegment, count(*) AS n, min(c_acctbal) AS least, max(c_acctbal) AS most, round(avg(c_acctbal), 4) AS mean, round(quantile_cont(c_acctbal, 0.5), 4) AS median, count(*) FILTER (WHERE c_acctbal < 0) AS flagged FROM customer GROUP BY c_mktsegment
+UNION ALL SELECT true, NULL, count(*), min(c_acctbal), max(c_acctbal), round(avg(c_acctbal), 4), round(quantile_cont(c_acctbal, 0.5), 4), count(*) FILTER (WHERE c_acctbal < 0) FROM customer"""),
     "nodes_bank": (lambda t: N.bank_nodes(_bank_docs(t), t["supplier"].select(F.concat(F.lit("B"), F.col("s_suppkey").cast("string")).alias("symbol"), F.col("s_name").alias("name")), "seq"), """
 SELECT 'B' || s_suppkey AS symbol, CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 10 = 0 THEN s_name ELSE upper(s_name) END AS name, CAST(CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 10 = 0 OR s_suppkey % 4 = 0 THEN 0 ELSE s_suppkey * 100 + 1 END AS BIGINT) AS shares,
   CAST(CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 10 = 0 THEN 0 ELSE s_suppkey * 2 END AS BIGINT) AS holders, CASE WHEN s_suppkey % 3 <> 0 AND s_suppkey % 10 <> 0 THEN round(s_acctbal / 10000, 4) END AS stress FROM supplier"""),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scoring as S
 from ..operators import stats as W
+from ..operators.companies import panel_stress
 from .views import Tables, sql
 
 
@@ -90,4 +91,5 @@ SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PART
     "coverage_filter": (lambda t: panel(t).agg(*[F.round(F.count(c) / F.count(F.lit(1)), 6).alias(c) for c in ("n", "q", "x")]).select(*[(F.col(c) >= 0.6).alias(c) for c in ("n", "q", "x")]), _PANEL + " SELECT count(n) / count(*) >= 0.6 AS n, count(q) / count(*) >= 0.6 AS q, count(x) / count(*) >= 0.6 AS x FROM x"),
     "weighted_mean": (lambda t: t["events"].groupBy("user_id").agg(F.round(F.sum(F.when(F.col("event_type") == "purchase", 2).otherwise(1) * F.col("value")) / F.sum(F.when(F.col("event_type") == "purchase", 2).otherwise(1)), 6).alias("score")), """
 SELECT user_id, round(sum(CASE WHEN event_type = 'purchase' THEN 2 ELSE 1 END * value) / sum(CASE WHEN event_type = 'purchase' THEN 2 ELSE 1 END), 6) AS score FROM events GROUP BY user_id"""),
+    "panel_stress": (lambda t: panel_stress(panel(t), "bank", "year", {"x": 1, "n": -1, "q": -1}, "x").select("bank", F.round("score", 4).alias("score")), None),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -77,3 +79,48 @@ def append_missing(done: DataFrame | None, todo: DataFrame, key: str) -> DataFra
 def write_csv(df: DataFrame, path: str, mode: str = "append") -> None:
     """Null as an empty field; several files, one per task."""
     df.write.mode(mode).option("header", True).option("emptyValue", "").option("nullValue", "").csv(path)
+
+
+def read_by_bank(spark: SparkSession, folder: str, banks: DataFrame, schema: str, stem: str) -> DataFrame:
+    """banks (symbol) with the document (of `schema`) that a folder has for each: from `<stem>_<symbol>.json`, else
+    `<symbol>_<stem>.json`, with the symbol as it is, else in lower case; else the entry of that symbol, or of it in lower
+    case, in `<stem>_all_banks.json`, an object of documents by symbol. `found` is the file's name; null where there is none."""
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder).select("value", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"))
+    combined = files.where(F.col("file") == f"{stem}_all_banks.json").select("file", F.explode(F.from_json("value", "map<string,string>")).alias("symbol", "value"))
+    ask = F.explode(F.array(*[F.struct(F.lit(rank).alias("rank"), name.alias("name")) for rank, name in enumerate([F.concat(F.lit(f"{stem}_"), "symbol", F.lit(".json")), F.concat(F.lit(f"{stem}_"), F.lower("symbol"), F.lit(".json")), F.concat("symbol", F.lit(f"_{stem}.json")), F.concat(F.lower("symbol"), F.lit(f"_{stem}.json"))])]))
+    own = banks.select("symbol", ask.alias("a")).join(files, F.col("a.name") == F.col("file")).select("symbol", F.col("a.rank").alias("rank"), "file", "value")
+    entry = F.explode(F.array(F.struct(F.lit(4).alias("rank"), F.col("symbol").alias("name")), F.struct(F.lit(5).alias("rank"), F.lower("symbol").alias("name"))))
+    shared = banks.select("symbol", entry.alias("a")).join(combined.withColumnRenamed("symbol", "of"), F.col("a.name") == F.col("of")).select("symbol", F.col("a.rank").alias("rank"), "file", "value")
+    best = own.unionByName(shared).groupBy("symbol").agg(F.min(F.struct("rank", "file", "value")).alias("m"))
+    return banks.join(best, "symbol", "left").select(*banks.columns, F.col("m.file").alias("found"), F.from_json("m.value", schema).alias("doc"))
+
+
+def write_json(df: DataFrame, path: str, **meta: object) -> None:
+    """Rows as JSON, one a line, in `path`/rows, and in `path`/_meta one object with the count of rows and what is given."""
+    df.write.mode("overwrite").json(f"{path}/rows")
+    spark = df.sparkSession
+    n = spark.read.schema(df.schema).json(f"{path}/rows").count()
+    spark.createDataFrame([(json.dumps({"rows": n} | meta, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_meta")
+
+
+def read_meta(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/_meta").first().value)
+
+
+def purge(nodes: DataFrame, edges: DataFrame, *labels: str) -> tuple[DataFrame, DataFrame]:
+    """nodes (node, labels) without those that have one of the labels, or without any where none is named, and edges (src,
+    dst) without those that had an end among them."""
+    gone = nodes.where(F.arrays_overlap("labels", F.array(*[F.lit(x) for x in labels]))) if labels else nodes
+    ids = gone.select("node")
+    kept = edges.join(ids.withColumnRenamed("node", "src"), "src", "left_anti").join(ids.withColumnRenamed("node", "dst"), "dst", "left_anti").select(*edges.columns)
+    return nodes.join(ids, "node", "left_anti").select(*nodes.columns), kept
+
+
+def console_table(df: DataFrame, most: int = 20, width: int = 40) -> str:
+    """The first `most` rows by all columns as a table of plain text, cells cut to `width`, and how many rows follow."""
+    rows = df.orderBy(*df.columns).limit(most + 1).collect()
+    cell = lambda x: ("" if x is None else str(x))[:width]
+    lines = [[cell(c) for c in df.columns], *[[cell(x) for x in r] for r in rows[:most]]]
+    wide = [max(len(line[k]) for line in lines) for k in range(len(df.columns))]
+    out = [" | ".join(x.ljust(w) for x, w in zip(line, wide, strict=True)).rstrip() for line in lines]
+    return "\n".join([out[0], "-+-".join("-" * w for w in wide), *out[1:], *(["..."] if len(rows) > most else [])]) + "\n"
