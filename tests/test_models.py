@@ -13,6 +13,8 @@ from tideline.operators import similar as N
 from tideline.sources import extract, files
 from tideline.streaming import status
 
+from . import plain_models as plain
+
 
 def one(spark, value, kind, f):
     return spark.createDataFrame([(value,)], f"x {kind}").select(f(F.col("x")).alias("y")).first().y
@@ -60,7 +62,7 @@ def test_merton_nulls(spark):
 
 def test_kernel_pca_keeps_distances():
     x = np.random.default_rng(0).normal(size=(12, 4))
-    own, extra = K.kernel_pca(x, x[:3], 11)
+    own, extra = plain.kernel_pca(x, x[:3], 11)
     assert np.allclose(own[:3], extra, atol=1e-6)
     k = np.exp(-K.GAMMA * ((x[:, None] - x[None]) ** 2).sum(2))
     assert np.allclose(((own[:, None] - own[None]) ** 2).sum(2), 2 - 2 * k, atol=1e-6)
@@ -189,11 +191,11 @@ def test_component_models_of_many_rows(spark):
     rng = np.random.default_rng(1)
     few = rng.normal(size=(60, 3)) @ rng.normal(size=(3, 3))
     frame = lambda x: spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)], "k int, a double, b double, c double")
-    z = K.standardise(few)
+    z = plain.standardise(few)
     first = np.linalg.svd(z, full_matrices=False)[2][0]
     score = z @ (first * (1 if first[2] >= 0 else -1))
-    y = K.ridge(K.standardise(few[:, :2]), few[:, 2])
-    own, point = K.kernel_pca(z, (np.array([[0.2] * 3]) - few.mean(0)) / few.std(0))
+    y = plain.ridge(plain.standardise(few[:, :2]), few[:, 2])
+    own, point = plain.kernel_pca(z, (np.array([[0.2] * 3]) - few.mean(0)) / few.std(0))
     d = np.sqrt(((own - point) ** 2).sum(1))
     runs = [
         (lambda df: K.pca_stress(df, "k", ["a", "b", "c"], "c"), "score", (score - score.min()) / (score.max() - score.min())),
@@ -208,6 +210,39 @@ def test_component_models_of_many_rows(spark):
             assert run(many).count() == K.MAX_ROWS + 1
 
 
+def test_oriented_kernel_components(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 3))
+    df = spark.createDataFrame([(k, *map(float, r), float(k + 1) if k % 4 else None) for k, r in enumerate(x)], "id int, a double, b double, c double, rank double")
+    pcs = K.kernel_components(df, "id", ["a", "b", "c"], [0.2] * 3, 4)
+    own, point = plain.kernel_pca(plain.standardise(x), (np.array([[0.2] * 3]) - x.mean(0)) / x.std(0), 4)
+    own = own * np.where(point[0] >= 0, 1, -1)
+    got = {r.id: [r.pc1, r.pc2, r.pc3, r.pc4] for r in pcs.collect()}
+    assert np.allclose([got[k] for k in range(40)], own, atol=1e-6)
+    names = ["pc1", "pc2", "pc3", "pc4"]
+    have = [k for k in range(40) if k % 4]
+    z, y = own[have], np.array(have) + 1.0
+    w = np.linalg.solve((z - z.mean(0)).T @ (z - z.mean(0)) + K.ALPHA * np.eye(4), (z - z.mean(0)).T @ (y - y.mean()))
+    raw = 40 - np.array([k + 1.0 if k % 4 else y.mean() + (own[k] - z.mean(0)) @ w for k in range(40)])
+    told = {r.id: r.oriented for r in K.oriented_stress(pcs.join(df.select("id", "rank"), "id"), "id", names, "rank").collect()}
+    assert [told[k] for k in range(40)] == pytest.approx(list((raw - raw.min()) / (raw.max() - raw.min())), abs=1e-6)
+    few = pcs.join(df.select("id", F.when(F.col("id") < 19, F.col("id").cast("double")).alias("rank")), "id")
+    told = {r.id: r.oriented for r in K.oriented_stress(few, "id", names, "rank").collect()}
+    assert [told[k] for k in range(40)] == pytest.approx(list((own[:, 0].max() - own[:, 0]) / (own[:, 0].max() - own[:, 0].min())), abs=1e-6)
+    assert K.oriented_stress(few.where("false"), "id", names, "rank").count() == 0
+
+
+def test_error_of_fewer_landmarks(spark, monkeypatch):
+    """Boundary stress with a fifth of the rows as landmarks against the fit over all: measured, 0.024 apart in the mean and
+    0.126 at most, for rows without any structure."""
+    df = spark.range(1500).select("id", *[(F.randn(s) / 4 + 0.5).alias(c) for s, c in enumerate("abcdefg")])
+    run = lambda: {r.id: r.boundary for r in K.boundary_stress(df, "id", list("abcdefg"), [0.2] * 7).collect()}
+    whole = run()
+    monkeypatch.setattr(K, "MAX_ROWS", 300)
+    gaps = [abs(whole[k] - v) for k, v in run().items()]
+    assert max(gaps) < 0.15 and np.mean(gaps) < 0.03, (max(gaps), np.mean(gaps))
+
+
 def test_kernel_components_beyond_the_landmarks(spark, monkeypatch):
     monkeypatch.setattr(K, "MAX_ROWS", 40)
     df = spark.range(100).select("id", *[F.rand(s).alias(c) for s, c in enumerate("abc")])

@@ -88,3 +88,18 @@ def test_same_as_sql(spark, rows):
     got = {r.g: (r.a, r.b) for r in Q.quantiles(df, ["g"], "v", {"a": 0.05, "b": 0.97}, few=20).collect()}
     for g, a, b in want:
         assert got[g] == pytest.approx((a, b)) if a is not None and a == a else got[g] == (None, None)
+
+
+def test_tables_of_a_query_are_deleted(spark, rows):
+    from pathlib import Path
+
+    from tideline.operators.shared import _made, tidied
+
+    df = spark.createDataFrame(rows, "g string, k int, v double")
+    kept = O.numbered(df, ["g"], ["k"])
+    before = list(_made)
+    with tidied(spark):
+        n = O.numbered(df, ["g"], ["k"]).count()
+        inside = [p for p in _made if p not in before]
+        assert inside and all(Path(p.removeprefix("file:")).exists() for p in inside)
+    assert not any(Path(p.removeprefix("file:")).exists() for p in inside) and _made == before and kept.count() == n == len(rows)

@@ -83,33 +83,6 @@ def merton(equity: Column, vol: Column, debt: Column) -> Column:
     return F.pandas_udf(run, ", ".join(f"{n} double" for n in names[:4]) + ", converged boolean")(equity, vol, debt)
 
 
-def standardise(x: np.ndarray) -> np.ndarray:
-    s = x.std(0)
-    return (x - x.mean(0)) / np.where(s > 0, s, 1)
-
-
-def kernel_pca(x: np.ndarray, extra: np.ndarray, k: int = COMPONENTS, gamma: float = GAMMA) -> tuple[np.ndarray, np.ndarray]:
-    """Components of the rows of x, and of extra rows in their space."""
-    def kernel(a: np.ndarray) -> np.ndarray:
-        return np.exp(-gamma * ((a[:, None, :] - x[None, :, :]) ** 2).sum(2))
-
-    full = kernel(x)
-    mean = full.mean(0)
-    centred = full - mean - mean[:, None] + full.mean()
-    value, vector = np.linalg.eigh(centred)
-    top = np.argsort(-value)[:k]
-    value, vector = np.maximum(value[top], 1e-12), vector[:, top]
-    vector = vector * np.sign(vector[np.abs(vector).argmax(0), range(vector.shape[1])])
-    other = kernel(extra)
-    return vector * np.sqrt(value), (other - other.mean(1)[:, None] - mean + full.mean()) @ (vector / np.sqrt(value))
-
-
-def ridge(x: np.ndarray, y: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
-    """Predictions of a ridge regression with an intercept that isn't shrunk."""
-    xc, yc = x - x.mean(0), y - y.mean()
-    return y.mean() + xc @ np.linalg.solve(xc.T @ xc + alpha * np.eye(x.shape[1]), xc.T @ yc)
-
-
 def _known(c: str, other: Column | None = None) -> Column:
     """A number that is neither null nor NaN, or else `other`."""
     x = F.col(c).cast("double")
@@ -187,6 +160,50 @@ def boundary_stress(df: DataFrame, id_col: str, health: list[str], danger: list[
     return far.select(F.col("_id").alias(id_col), "distance", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("distance") / most)).alias("boundary"))
 
 
+def kernel_components(df: DataFrame, id_col: str, health: list[str], danger: list[float], count: int = COMPONENTS) -> DataFrame:
+    """(id, pc1 to pc<count>): the components of each row in kernel space, fitted as for boundary_stress. Each has the sign
+    with which the danger point is at 0 or more on it; components beyond those that there are, are 0."""
+    rows = df.select(F.col(id_col).alias("_id"), *[_known(c, F.lit(0.5)).alias(c) for c in health])
+    m = rows.agg(*[F.avg(c) for c in health], *[F.stddev_pop(c) for c in health]).first()
+    names = [f"pc{k + 1}" for k in range(count)]
+    if m[0] is None:
+        return rows.select(F.col("_id").alias(id_col), *[F.lit(0.0).alias(n) for n in names]).where("false")
+    centre, scale = np.array(m[: len(health)], float), np.array(m[len(health) :], float)
+    scale = np.where(scale > 0, scale, 1)
+    x, mean, every, parts, point = _fitted(rows.orderBy(F.xxhash64("_id"), "_id").limit(MAX_ROWS), health, centre, scale, danger)
+    parts = parts * np.where(point[0] >= 0, 1.0, -1.0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in range(0, len(pdf), 500):
+                part = pdf.iloc[k : k + 500]
+                own = project((part[health].to_numpy(float) - centre) / scale, x, mean, every, parts)
+                own = np.column_stack([own[:, :count], np.zeros((len(part), max(0, count - own.shape[1])))])
+                yield pd.DataFrame(dict(zip(names, own.T, strict=True))).assign(_id=part["_id"].to_numpy())[["_id", *names]]
+
+    return rows.mapInPandas(run, f"_id {dict(rows.dtypes)['_id']}, " + ", ".join(f"{n} double" for n in names)).withColumnRenamed("_id", id_col)
+
+
+def oriented_stress(df: DataFrame, id_col: str, components: list[str], rank: str) -> DataFrame:
+    """(id, oriented): from 0 to 1, 1 where the rank is least. Rows with a rank have that of their own, the others what a ridge
+    regression on the components, over the rows that have one, predicts. Where fewer than half of the rows have a rank, the
+    first component counts in place of it, its least value as 1."""
+    rows = df.select(F.col(id_col).alias("_id"), *[_known(c, F.lit(0.0)).alias(c) for c in components], _known(rank).alias("_rank"))
+    n, ranked, centre = rows.agg(F.count(F.lit(1)), F.count("_rank"), F.avg("_rank")).first()
+    if not n or 2 * ranked < n:
+        told = rows.select("_id", (-F.col(components[0])).alias("raw"))
+    else:
+        some = rows.where("_rank is not null")
+        means = some.agg(*[F.avg(c) for c in components]).first()
+        z = [F.col(c) - F.lit(m) for c, m in zip(components, means, strict=True)]
+        sums = _products(some, z, [*z, F.col("_rank") - F.lit(centre)])
+        weights = np.linalg.solve(sums[:, :-1] + ALPHA * np.eye(len(z)), sums[:, -1])
+        told = rows.select("_id", (F.lit(float(n)) - F.coalesce("_rank", _weighted(z, weights) + F.lit(centre))).alias("raw"))
+    ends = told.agg(F.min("raw"), F.max("raw")).first()
+    low, high = (0.0, 0.0) if ends[0] is None else ends
+    return told.select(F.col("_id").alias(id_col), ((F.col("raw") - low) / (high - low + 1e-10)).alias("oriented"))
+
+
 def pca_stress(df: DataFrame, id_col: str, columns: list[str], orient: str) -> DataFrame:
     """(id, score): the first principal component of standardised columns, turned so that `orient` adds to it, scaled to
     0 to 1. Missing values are the column's median."""

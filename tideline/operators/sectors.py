@@ -52,6 +52,13 @@ def by_section(rows: DataFrame, section: str, value: str) -> DataFrame:
     return sums.withColumn("share", F.round(F.col("total") / F.sum("total").over(Window.partitionBy()), 6))
 
 
+def categorize(facilities: DataFrame, mapping: DataFrame) -> DataFrame:
+    """facilities (facility, ...) with the bucket that a mapping (category, name, rank) has for just that name, of several
+    the first category's by rank; Uncategorized where it has none."""
+    one = mapping.groupBy(F.col("name").alias("facility")).agg(F.min_by("category", F.struct("rank", "category")).alias("_bucket"))
+    return facilities.join(one, "facility", "left").withColumn("bucket", F.coalesce("_bucket", F.lit("Uncategorized"))).drop("_bucket")
+
+
 def by_bucket(facilities: DataFrame) -> DataFrame:
     """facilities (bank, bucket, facility, amount): sums of each bank and bucket, and a map of those of its facilities.
     A bucket that is null is Uncategorized."""

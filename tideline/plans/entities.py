@@ -6,10 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import predicates as B
+from ..functions.taxonomy import SECTORS
+from ..functions.taxonomy import taxonomy as sector_taxonomy
 from ..operators import companies as C
 from ..operators import matching as M
 from ..operators import nodes as N
 from ..operators import sectors as S
+from ..operators.shared import shared_path
+from ..sources import files
 from .views import Tables, sql
 
 # Holders of the test tables: banks, companies, and names that nothing is known of, by the owner's key.
@@ -83,8 +87,24 @@ def _company_docs(t: Tables):
     return t["orders"].select(F.concat(F.lit("C"), k.cast("string")).alias("cin"), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderpriority")).alias("sector"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).alias("status"), F.col("o_orderkey").alias("seq"))
 
 
+# A mapping in the form of a file: names in several categories belong to the first.
+_MAPPING = '{"Term Loans": ["1-URGENT", "2-HIGH"], "Working Capital": ["2-HIGH", "3-MEDIUM"]}'
+
+
 def _facilities(t: Tables):
-    return t.items.select("bank", F.when(F.col("status") == "O", "Term Loans").alias("bucket"), F.col("priority").alias("facility"), F.col("amt").alias("amount"))
+    at = shared_path(t.spark, "mapping")
+    t.spark.createDataFrame([(_MAPPING,)], "value string").coalesce(1).write.text(at)
+    return S.categorize(t.items.select("bank", F.col("priority").alias("facility"), F.col("amt").alias("amount")), files.read_mapping(t.spark, at))
+
+
+_INDUSTRIES = ", ".join("('" + x.replace("'", "''") + "', '" + macro.replace("'", "''") + f"', {i})" for i, (x, macro) in enumerate((x, macro) for macro, names in SECTORS.items() for x in names))
+
+
+def _by_sector(t: Tables):
+    """Parts as companies of all industries of the taxonomy, and some of none, counted by macro sector."""
+    names = F.array(*[F.lit(x) for xs in SECTORS.values() for x in xs])
+    rows = t["part"].select(F.get(names, (F.col("p_partkey") % 160).cast("int")).alias("industry"))
+    return rows.join(sector_taxonomy(t.spark), "industry", "left").groupBy(F.coalesce("macro", F.lit("Unclassified")).alias("macro")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("industry").alias("industries"))
 
 
 # Order priorities of the test tables stand for categories of lending.
@@ -158,6 +178,9 @@ FROM s LEFT JOIN b ON b.bank = s.bank""", "fac")),
     "score_updates": (lambda t: N.match_updates(t["customer"].select(F.col("c_custkey").alias("k"), F.floor(F.col("c_acctbal") / 1000).alias("v")), t["supplier"].select(F.col("s_suppkey").alias("k"), F.lit(3).cast("bigint").alias("v")), "k", "v"), """
 SELECT count(*) AS asked, count(s_suppkey) AS matched, count(*) FILTER (WHERE s_suppkey IS NOT NULL AND floor(c_acctbal / 1000) <> 3) AS modified FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey"""),
     "sector_taxonomy_spread": (lambda t: S.spread(taxonomy(t), sector_scores(t)), _WITH(_SCORES + " SELECT industry, x.macro AS macro, score FROM x LEFT JOIN s ON s.macro = x.macro UNION ALL SELECT '', 'Unclassified', NULL")),
+    "industries_by_sector": (_by_sector, f"""
+WITH x(industry, macro, i) AS (VALUES {_INDUSTRIES}), p AS (SELECT p_partkey % 160 AS i, p_retailprice FROM part)
+SELECT coalesce(macro, 'Unclassified') AS macro, count(*) AS n, count(DISTINCT industry) AS industries FROM p LEFT JOIN x ON x.i = p.i GROUP BY 1"""),
     "company_sector_score": (lambda t: S.of_industry(t["part"].select("p_partkey", F.concat_ws(" ", "p_type", "p_brand").alias("industry")), taxonomy(t), sector_scores(t), "score").select("p_partkey", "macro", "score"), _WITH(_SCORES + " SELECT p_partkey, x.macro AS macro, score FROM part JOIN x ON x.industry = p_type || ' ' || p_brand LEFT JOIN s ON s.macro = x.macro")),
     "top_sectors": (lambda t: S.top_sectors(taxonomy(t).join(sector_scores(t), "macro"), "score", 10), _WITH(_SCORES + " SELECT x.macro AS macro, min(industry) AS industry, any_value(score) AS score FROM x JOIN s ON s.macro = x.macro GROUP BY x.macro ORDER BY score DESC, macro LIMIT 10")),
     "score_replies": (_replies, """
@@ -168,7 +191,7 @@ SELECT c_custkey, CAST(CASE WHEN c_custkey % 4 < 2 THEN round(least(c_custkey %
 WITH p AS (SELECT CASE WHEN p_size BETWEEN 1 AND 3 THEN 'A' WHEN p_size BETWEEN 10 AND 33 THEN 'C' ELSE 'Unmapped' END AS section, floor(p_retailprice) AS v FROM part)
 SELECT section, count(*) AS n, sum(v) AS total, round(sum(v) / (SELECT sum(v) FROM p), 6) AS share FROM p GROUP BY section"""),
     "facility_buckets": (lambda t: S.by_bucket(_facilities(t)).select("bank", "bucket", "amount", "n", F.array_join(F.transform(F.map_entries("facilities"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("decimal(20,0)").cast("string"))), ";").alias("facilities")), sql("""
-, f AS (SELECT bank, CASE WHEN status = 'O' THEN 'Term Loans' ELSE 'Uncategorized' END AS bucket, priority, sum(amt) AS a, count(*) AS k FROM fac GROUP BY ALL)
+, f AS (SELECT bank, CASE WHEN priority IN ('1-URGENT', '2-HIGH') THEN 'Term Loans' WHEN priority = '3-MEDIUM' THEN 'Working Capital' ELSE 'Uncategorized' END AS bucket, priority, sum(amt) AS a, count(*) AS k FROM fac GROUP BY ALL)
 SELECT bank, bucket, sum(a) AS amount, CAST(sum(k) AS BIGINT) AS n, string_agg(priority || '=' || CAST(CAST(a AS DECIMAL(20,0)) AS VARCHAR), ';' ORDER BY priority) AS facilities FROM f GROUP BY ALL""", "fac")),
     "source_coverage": (lambda t: S.coverage(t["customer"].join(t["orders"].select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("traded", F.lit(True)), "c_custkey", "left"), traded=F.col("traded"), positive=F.col("c_acctbal") > 0), "SELECT count(*) AS rows, count(*) FILTER (WHERE c_custkey IN (SELECT o_custkey FROM orders)) AS traded, count(*) FILTER (WHERE c_acctbal > 0) AS positive FROM customer"),
     "unmatched_sources": (lambda t: S.unmatched(t["customer"].select(F.col("c_custkey").alias("k")), "k", orders=t["orders"].select(F.col("o_custkey").alias("k")), banks=t["supplier"].select(F.col("s_suppkey").alias("k")), positive=t["customer"].where("c_acctbal > 0").select(F.col("c_custkey").alias("k")), events=t["events"].select(F.col("user_id").alias("k"))), """

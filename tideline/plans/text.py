@@ -10,6 +10,7 @@ from ..functions.metrics import metric_name
 from ..operators import kernels as K
 from ..operators import matching as M
 from ..operators import scoring as S
+from ..operators.order import numbered
 from ..operators.shared import shared_path
 from ..sources import extract, sheets
 from ..sources.versions import Versions
@@ -127,6 +128,14 @@ def _staged(t: Tables):
     return run.read("company_stress")
 
 
+def _oriented(t: Tables):
+    """Banks by the components of their ratios' health, and by the rank of their balance, which seven in eight have."""
+    health = scores.ratios(t).select("bank", *[S.health(r, F.col(r)).alias(r) for r in scores.RATIOS])
+    ranks = numbered(t["supplier"].where("s_suppkey % 8 <> 0").select(F.lit(0).alias("all"), F.col("s_suppkey").alias("bank"), "s_acctbal"), ["all"], ["s_acctbal", "bank"], "rank").select("bank", (F.col("rank") + 1).alias("rank"))
+    parts = K.kernel_components(health, "bank", list(scores.RATIOS), [0.2] * len(scores.RATIOS)).join(ranks, "bank", "left")
+    return K.oriented_stress(parts, "bank", [f"pc{k + 1}" for k in range(K.COMPONENTS)], "rank").select("bank", F.round("oriented", 4).alias("oriented"))
+
+
 _ROWS = ", r AS (SELECT bank, company, n, replace(c_mktsegment, ' ', '') AS segment FROM lends JOIN customer ON c_custkey = company)"
 
 
@@ -176,6 +185,7 @@ SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Net NPA as % to Net Advances'
   array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') END AS metric FROM part"""),
     "merton_dtd": (lambda t: t["supplier"].where("s_acctbal > 0").select("s_suppkey", K.merton(F.col("s_acctbal"), F.lit(0.2) + (F.col("s_suppkey") % 10) / 20, F.col("s_acctbal") * 4).alias("m")).select("s_suppkey", *[F.round(f"m.{c}", 4).alias(c) for c in ("asset_value", "asset_vol", "dtd", "default_probability")], "m.converged"), None),
     "kernel_pca": (lambda t: K.boundary_stress(scores.ratios(t).select("bank", *[S.health(r, F.col(r)).alias(r) for r in scores.RATIOS]), "bank", list(scores.RATIOS), [0.2] * len(scores.RATIOS)).select("bank", F.round("boundary", 4).alias("boundary")), None),
+    "oriented_stress": (_oriented, None),
     "ridge_orientation": (lambda t: K.ridge_orientation(scores.ratios(t), "bank", ["totalCAR", "tier1CAR", "returnOnAssets"], "netNPAToNetAdvances").select("bank", F.round("oriented", 4).alias("oriented")), None),
     "pca_stress": (lambda t: K.pca_stress(scores.ratios(t), "bank", list(scores.RATIOS), "netNPAToNetAdvances").select("bank", F.round("score", 4).alias("score")), None),
     "html_links": (lambda t: t["pages"].select("page_id", F.size(F.regexp_extract_all("html", F.lit('<a href="[^"]*"'), 0)).cast("long").alias("links"), F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title")), """

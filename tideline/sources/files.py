@@ -124,3 +124,9 @@ def console_table(df: DataFrame, most: int = 20, width: int = 40) -> str:
     wide = [max(len(line[k]) for line in lines) for k in range(len(df.columns))]
     out = [" | ".join(x.ljust(w) for x, w in zip(line, wide, strict=True)).rstrip() for line in lines]
     return "\n".join([out[0], "-+-".join("-" * w for w in wide), *out[1:], *(["..."] if len(rows) > most else [])]) + "\n"
+
+
+def read_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """(category, name, rank) of a JSON object of lists of names by category; rank is the category's place in the file."""
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.map_entries(F.from_json("value", "map<string,array<string>>"))).alias("rank", "e"))
+    return rows.select(F.col("e.key").alias("category"), F.explode("e.value").alias("name"), "rank")
