@@ -24,6 +24,13 @@ def test_trace_of_resolution(spark):
     assert out == {"Sun Bank": [(1, "b1"), (2, "c1")], "SUN": [(1, "b1"), (4, "b1")], "Moon Powers": [(3, "c2")], "odd": [], None: []}
 
 
+def test_a_bank_by_its_name_as_it_stands(spark):
+    frame = spark.createDataFrame
+    banks = frame([("b1", "Sun Bank"), ("b2", "Sun Bank Ltd"), ("b3", "Ltd")], "entity string, known string")
+    out = M.resolve(frame([("SUN BANK",), (" sun bank ltd",), ("Sun Bank Limited",), ("ltd",)], "n string"), "n", banks, frame([("c1", "x y")], "entity string, known string"))
+    assert {r.n: r.entity for r in out.collect()} == {"SUN BANK": "b1", " sun bank ltd": "b2", "Sun Bank Limited": "b2", "ltd": "b3"}
+
+
 def test_documents_by_bank(spark, tmp_path):
     (tmp_path / "basel_AXIS.json").write_text('{"car": 15.5}')
     (tmp_path / "axis_basel.json").write_text('{"car": 1.0}')

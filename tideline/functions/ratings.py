@@ -124,8 +124,8 @@ def entity_stress(companies: DataFrame, as_of: Column) -> DataFrame:
     rated = primary.isNotNull()
     stress = F.when(rated, F.round(score(c) * 100, 2)).otherwise(F.round(UNRATED_FROM + UNRATED_WIDTH * score({k: c[k] for k in ("c5", "c6", "c7", "c8")}), 2))
     out = pool.withColumn("stress", stress).withColumn("label", stress_label(F.col("stress"))).withColumn("tier", rating_tier(F.coalesce(F.col("_lt.k.token"), F.col("_st.k.token"))))
-    names = F.array(*[F.when(v.isNotNull(), F.lit(k)) for k, v in c.items()])
-    return out.withColumn("active", F.array_join(names, ",")).drop("_r", "_lt", "_st", "_items", "_known", "_paid", "_lt_pd", "_st_pd", "_pds", "_ew")
+    told = lambda test: F.array_join(F.array(*[F.when(test(v), F.lit(k)) for k, v in c.items()]), ",")
+    return out.withColumn("active", told(Column.isNotNull)).withColumn("skipped", told(Column.isNull)).drop("_r", "_lt", "_st", "_items", "_known", "_paid", "_lt_pd", "_st_pd", "_pds", "_ew")
 
 
 def stress_label(s: Column) -> Column:

@@ -126,8 +126,12 @@ def resolve(names: DataFrame, name: str, banks: DataFrame, companies: DataFrame,
     """
     n = names.select(F.col(name).alias("raw")).distinct().withColumn("key", company_key(F.col("raw"))).where("key <> ''")
     known = {"Bank": _keyed(banks), "Company": _keyed(companies)}
-    hits = [n.join(known[k], "key").select("raw", "entity", F.lit(k).alias("kind"), F.lit(p).alias("pass"), F.lit(1.0).alias("confidence")) for p, k in ((1, "Bank"), (2, "Company"))]
-    exact = hits[0].unionByName(hits[1])
+    # a bank's name as it stands, but for case, goes before normalised ones
+    whole = banks.groupBy(F.lower(F.trim("known")).alias("_low")).agg(F.max("entity").alias("entity")).where("_low <> ''")
+    by_name = names.select(F.col(name).alias("raw")).distinct().withColumn("_low", F.lower(F.trim("raw"))).join(whole, "_low").select("raw", "entity")
+    told = lambda df, k, p: df.select("raw", "entity", F.lit(k).alias("kind"), F.lit(p).alias("pass"), F.lit(1.0).alias("confidence"))
+    by_key = {k: n.join(known[k], "key") for k in known}
+    exact = told(by_name, "Bank", 1).unionByName(told(by_key["Bank"].join(by_name.select("raw"), "raw", "left_anti"), "Bank", 1)).unionByName(told(by_key["Company"], "Company", 2))
     best = _best(n.join(exact.select("raw"), "raw", "left_anti"), known["Company"])
     fine = (F.col("sort_ratio") >= SORT_RATIO) & ~too_generic(F.col("key"), F.col("other"))
     fuzzy = best.where(fine).select("raw", "entity", F.lit("Company").alias("kind"), F.lit(3).alias("pass"), (F.col("set_ratio") / 100).alias("confidence"))
@@ -135,8 +139,8 @@ def resolve(names: DataFrame, name: str, banks: DataFrame, companies: DataFrame,
     every = exact.unionByName(fuzzy).unionByName(short)
     hit = F.struct("pass", "entity", "kind", "confidence")
     one = every.groupBy("raw").agg(F.min(hit).alias("m"), *([F.sort_array(F.collect_set(hit)).alias("_trace")] if trace else []))
-    told = [F.coalesce("_trace", F.array().cast("array<struct<pass:int,entity:string,kind:string,confidence:double>>")).alias("trace")] if trace else []
-    return names.join(one, names[name] == F.col("raw"), "left").select(names["*"], "m.entity", F.coalesce("m.kind", F.lit("none")).alias("kind"), F.col("m.pass").alias("passed"), F.coalesce("m.confidence", F.lit(0.0)).alias("confidence"), *told)
+    trail = [F.coalesce("_trace", F.array().cast("array<struct<pass:int,entity:string,kind:string,confidence:double>>")).alias("trace")] if trace else []
+    return names.join(one, names[name] == F.col("raw"), "left").select(names["*"], "m.entity", F.coalesce("m.kind", F.lit("none")).alias("kind"), F.col("m.pass").alias("passed"), F.coalesce("m.confidence", F.lit(0.0)).alias("confidence"), *trail)
 
 
 def exchange_key(x: Column) -> Column:

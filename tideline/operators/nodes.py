@@ -23,6 +23,8 @@ PRIORITY_SECTORS = {
 }
 # How ids of stand-ins begin.
 LENDER_STUB, PARTY_STUB = "LSTUB_", "RPT_"
+# The properties that a node's name is looked for in, first to last.
+NAME_KEYS = ("bankName", "crisilName", "name", "companyName", "shareholderName", "sectorName", "title", "cin", "bankSymbol")
 # The unit in which amounts of related parties are told.
 CRORE = 1e7
 
@@ -127,12 +129,20 @@ def node_kind(labels: Column) -> Column:
     return out
 
 
+def display_name(props: Column, labels: Column, node: Column) -> Column:
+    """What a node is called: the first of its properties (a map) that are names and not blank, else its first label, or
+    Node, and its id."""
+    names = [F.when(F.trim(v) != "", v) for v in (F.try_element_at(props, F.lit(k)) for k in NAME_KEYS)]
+    return F.coalesce(*names, F.concat(F.coalesce(F.get(labels, F.lit(0)), F.lit("Node")), F.lit(" "), node.cast("string")))
+
+
 def bank_list(banks: DataFrame, search: str | None = None) -> DataFrame:
-    """(symbol, name) of banks, by name without regard to case; with `search` those whose name or symbol contains it."""
+    """(symbol, name) of banks, by name in the order of the Unicode collation; with `search` those whose name or symbol
+    contains it, in any case."""
     if search:
         q = search.lower()
         banks = banks.where(F.lower("name").contains(q) | F.lower("symbol").contains(q))
-    return banks.select("symbol", "name").orderBy(F.lower("name"), "symbol")
+    return banks.select("symbol", "name").orderBy(F.collate("name", "UNICODE"), "symbol")
 
 
 def match_updates(scores: DataFrame, nodes: DataFrame, key: str, value: str) -> DataFrame:

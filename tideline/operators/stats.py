@@ -42,6 +42,13 @@ def market_figures(prices: DataFrame, key: str, at: str, close: str, days: int =
     return p.groupBy(key).agg(F.max("_n").alias("n"), ((last - first) / first).alias("ret"), (F.stddev_samp(F.when(F.col("_r") <= days, F.col("_change"))) * 252**0.5).alias("vol"), ((high - last) / high).alias("drawdown")).where("n >= 10").drop("n")
 
 
+def market_cap(prices: DataFrame, shares: DataFrame, key: str, at: str, close: str, days: int = 5) -> DataFrame:
+    """(key, close, cap) of each key: the mean of its last `days` closes, and that times its shares (key, shares) in ten
+    millions; null where its shares aren't known."""
+    last = prices.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at)))).where(F.col("_r") <= days)
+    return last.groupBy(key).agg(F.avg(close).alias(close)).join(shares, key, "left").select(key, close, (F.col(close) * F.col("shares") / 1e7).alias("cap"))
+
+
 def log_return_volatility(prices: DataFrame, key: str, at: str, close: str, days: int = 63) -> DataFrame:
     """Annual volatility of the last `days` log returns; needs two prices more."""
     back = Window.partitionBy(key).orderBy(F.desc(at))

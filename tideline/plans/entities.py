@@ -174,6 +174,8 @@ s AS (SELECT company, bank, count(*) AS n, arg_max(priority, l_orderkey) AS rela
 SELECT company, s.bank AS bank, n, relation, round(cash_in / 1e7, 9) AS cash_in, round(cash_out / 1e7, 9) AS cash_out, round(contingent / 1e7, 9) AS contingent, round(cash_in / 1e7 / tier1, 8) AS up, CASE WHEN approved > 0 THEN round(least(cash_out / approved, 1.0), 6) END AS down
 FROM s LEFT JOIN b ON b.bank = s.bank""", "fac")),
     "node_kinds": (lambda t: t["customer"].select("c_custkey", N.node_kind(F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("Company"), F.lit("Bank"))).when(F.col("c_custkey") % 3 == 1, F.array(F.lit("Shareholder"), F.lit("Industry"))).otherwise(F.array(F.lit("x")))).alias("kind")), "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Bank' WHEN 1 THEN 'Industry' ELSE 'Other' END AS kind FROM customer"),
+    "node_names": (lambda t: t["customer"].select("c_custkey", N.display_name(F.create_map(F.lit("title"), F.when(F.col("c_custkey") % 2 == 0, " ").otherwise("T"), F.lit("name"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_name"))), F.when(F.col("c_custkey") % 5 > 0, F.array(F.lit("Company"))), F.col("c_custkey")).alias("name")), """
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 2 = 1 THEN 'T' ELSE CASE WHEN c_custkey % 5 > 0 THEN 'Company ' ELSE 'Node ' END || c_custkey END AS name FROM customer"""),
     "bank_search": (lambda t: N.bank_list(t["supplier"].select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"), F.col("s_name").alias("name")), "LIER#00000000"), "SELECT 'S' || s_suppkey AS symbol, s_name AS name FROM supplier WHERE contains(lower(s_name), 'lier#00000000')"),
     "score_updates": (lambda t: N.match_updates(t["customer"].select(F.col("c_custkey").alias("k"), F.floor(F.col("c_acctbal") / 1000).alias("v")), t["supplier"].select(F.col("s_suppkey").alias("k"), F.lit(3).cast("bigint").alias("v")), "k", "v"), """
 SELECT count(*) AS asked, count(s_suppkey) AS matched, count(*) FILTER (WHERE s_suppkey IS NOT NULL AND floor(c_acctbal / 1000) <> 3) AS modified FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey"""),

@@ -80,10 +80,11 @@ def _camels(t: Tables):
 _CAMELS = _RATIOS + """, m AS (SELECT bank, 1 - (car + t1) / 2 AS capital, 1 - npa AS assetquality, 1 - wage AS management, 1 - roa AS earnings, 1 - cdr AS liquidity, 1 - cof AS sensitivity FROM h)"""
 
 Q: dict = {
-    "entity_stress": (lambda t: _entity(t).select("company", "stress", "label", "tier", *[F.round(k, 6).alias(k) for k in ("c1", "c2", "c4", "c5", "c8")], "active"), sql(_ENTITY + f"""
+    "entity_stress": (lambda t: _entity(t).select("company", "stress", "label", "tier", *[F.round(k, 6).alias(k) for k in ("c1", "c2", "c4", "c5", "c8")], "active", "skipped"), sql(_ENTITY + f"""
 SELECT company, stress, {_BAND} AS label, CASE WHEN NOT rated THEN 'Unrated' WHEN g IN ('AA', 'A', 'BBB') THEN 'Investment Grade' ELSE 'Sub-Investment Grade' END AS tier,
   round(c1, 6) AS c1, round(c2, 6) AS c2, round(c4, 6) AS c4, round(c5, 6) AS c5, round(c8, 6) AS c8,
-  'c1,c2' || CASE WHEN rated THEN ',c3' ELSE '' END || CASE WHEN c4 IS NULL THEN '' ELSE ',c4' END || ',c5,c6,c7,c8' || CASE WHEN rated THEN ',c9' ELSE '' END AS active FROM s""", "fac")),
+  'c1,c2' || CASE WHEN rated THEN ',c3' ELSE '' END || CASE WHEN c4 IS NULL THEN '' ELSE ',c4' END || ',c5,c6,c7,c8' || CASE WHEN rated THEN ',c9' ELSE '' END AS active,
+  concat_ws(',', CASE WHEN NOT rated THEN 'c3' END, CASE WHEN c4 IS NULL THEN 'c4' END, CASE WHEN NOT rated THEN 'c9' END) AS skipped FROM s""", "fac")),
     "rating_pool": (lambda t: t.items.select("l_orderkey", "l_linenumber", R.resolve(F.expr(_RATING)).alias("r")).select("l_orderkey", "l_linenumber", "r.token", "r.mult"), sql(f"""
 SELECT l_orderkey, l_linenumber, {_GRADE} AS token, CAST(CASE WHEN flag = 'R' THEN 1.5 ELSE 1.0 END AS DOUBLE) AS mult FROM fac""".replace("'/Negative'", "''"), "fac")),
     "cdr_weighted_median": (lambda t: companies(t).select("company", R.weighted_median(F.col("facilities")).alias("m")).select("company", "m.score", "m.basis", "m.scored", "m.skipped", "m.total", "m.dominant"), sql(f"""

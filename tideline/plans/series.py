@@ -53,7 +53,8 @@ SELECT key, round(({_norms("ret", 0.10, -0.25)} + {_norms("vol", 0.08, 0.45)} +
 SELECT key, round(stddev_samp(logr) FILTER (WHERE r <= 63) * sqrt(252), 6) AS vol FROM b GROUP BY key HAVING count(*) >= 65"""),
     "lag_change": (lambda t: prices(t).select("key", "slot", F.round(F.try_divide(F.col("close"), F.lag("close").over(Window.partitionBy("key").orderBy("slot"))) - 1, 6).alias("change")), f"""
 WITH p AS ({_PRICES}) SELECT key, slot, round(close / lag(close) OVER (PARTITION BY key ORDER BY slot) - 1, 6) AS change FROM p"""),
-    "mean_last5": (lambda t: prices(t).withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("slot")))).where("r <= 5").groupBy("key").agg(F.round(F.avg("close"), 6).alias("close5")), _BACK + " SELECT key, round(avg(close), 6) AS close5 FROM b WHERE r <= 5 GROUP BY key"),
+    "mean_last5": (lambda t: W.market_cap(prices(t), t["events"].groupBy(F.col("event_type").alias("key")).agg(F.count(F.lit(1)).alias("shares")), "key", "slot", "close").select("key", F.round("close", 6).alias("close5"), F.round("cap", 9).alias("cap")), _BACK + """
+SELECT key, round(c, 6) AS close5, round(c * shares / 1e7, 9) AS cap FROM (SELECT key, avg(close) AS c FROM b WHERE r <= 5 GROUP BY key) JOIN (SELECT event_type AS key, count(*) AS shares FROM events GROUP BY 1) USING (key)"""),
     "forward_fill": (lambda t: W.forward_fill(panel(t).select("year", "bank", "x"), "year", "bank", "x").select("year", "bank", "x_filled"), _PANEL + """
 SELECT year, bank, last_value(x IGNORE NULLS) OVER (PARTITION BY year ORDER BY bank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS x_filled FROM x"""),
     "impute_median": (lambda t: W.impute_median(panel(t), "year", "x").select("year", "bank", "x_imputed"), _PANEL + " SELECT year, bank, coalesce(x, quantile_cont(x, 0.5) OVER (PARTITION BY year)) AS x_imputed FROM x"),
