@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import bank_key, company_key, let
 from .shared import cut
-from .similar import ratios, similar
+from .similar import candidate_pairs, ratios, scored, similar
 
 # Thresholds of the fuzzy passes in per cent, and the longest abbreviation.
 SET_RATIO, SORT_RATIO, GENERIC_SHARE, EXCHANGE_RATIO, ABBREVIATION = 88, 72, 60, 80, 6
@@ -104,8 +104,9 @@ def _best(asked: DataFrame, known: DataFrame) -> DataFrame:
     other, entity, set_ratio, sort_ratio."""
     open_ = asked.withColumn("anchor", anchor(F.col("key"))).where("anchor is not null")
     keys = open_.select("key", "anchor").distinct()
-    near = similar(keys.select(F.col("key").alias("asked")), known.select(F.col("key").alias("known")), SET_RATIO).withColumnsRenamed({"asked": "key", "known": "other"})
-    hits = near.join(keys, "key").where("contains(other, anchor)").join(known.withColumnRenamed("key", "other"), "other")
+    near = candidate_pairs(keys.select(F.col("key").alias("asked")), known.select(F.col("key").alias("known")), SET_RATIO).withColumnsRenamed({"asked": "key", "known": "other"})
+    met = near.join(keys, "key").where("contains(other, anchor)").select("key", "other")
+    hits = scored(met, "key", "other", SET_RATIO).join(known.withColumnRenamed("key", "other"), "other")
     best = hits.groupBy("key").agg(F.min(F.struct((-F.col("set_ratio")).alias("x"), (-F.col("sort_ratio")).alias("y"), "entity", "other")).alias("m"))
     return open_.select("raw", "key").join(best, "key").select("raw", "key", "m.other", "m.entity", (-F.col("m.x")).alias("set_ratio"), (-F.col("m.y")).alias("sort_ratio"))
 

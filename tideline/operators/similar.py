@@ -15,6 +15,7 @@ Any order of pairs and any choice of words gives all matches; the rarest first g
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
@@ -49,17 +50,28 @@ def sort_ratio(a: str, b: str) -> float:
     return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
 
 
-def set_ratio(a: str, b: str) -> float:
-    """The best ratio of the common words, and those with either text's rest; 100 where one text's words are all common."""
-    x, y = set(a.split()), set(b.split())
+@functools.lru_cache(maxsize=1 << 16)
+def _words(a: str) -> frozenset[str]:
+    return frozenset(a.split())
+
+
+def set_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """The best ratio of the common words, and those with either text's rest; 100 where one text's words are all common.
+    What is below `least` may come back as any smaller number."""
+    x, y = _words(a), _words(b)
     if not x or not y:
         return 0.0
-    both, dx, dy = sorted(x & y), sorted(x - y), sorted(y - x)
-    if both and (not dx or not dy):
+    both = x & y
+    if both and (len(both) == len(x) or len(both) == len(y)):
         return 100.0
-    base, left, right = " ".join(both), " ".join(both + dx), " ".join(both + dy)
-    best = ratio(left, right)
-    return max(best, ratio(base, left), ratio(base, right)) if both else best
+    # the common words begin either text, so only the rests have to be compared
+    base = sum(map(len, both)) + len(both)
+    dx, dy = " ".join(sorted(x - both)), " ".join(sorted(y - both))
+    left, right = base + len(dx), base + len(dy)
+    best = 200.0 * (base - 1) / (base - 1 + min(left, right)) if both else 0.0
+    if 200.0 * (base + min(len(dx), len(dy))) / (left + right) > max(best, least - 1e-9):
+        best = max(best, 200.0 * (base + common_length(dx, dy)) / (left + right))
+    return best
 
 
 def ratios(a: Column, b: Column) -> Column:
@@ -130,13 +142,13 @@ def _signed(names: DataFrame, column: str, least: int, pair_rank: dict[str, int]
                 rows = [(x, len(" ".join(set(x.split()))), s) for x in some for s in signatures(x, least, pair_rank, word_rank, known)]
                 yield pd.DataFrame(rows, columns=[column, f"{column}_size", "key"])
 
-    return names.mapInPandas(run, f"{column} string, {column}_size int, key string")
+    return spread(names, column).mapInPandas(run, f"{column} string, {column}_size int, key string")
 
 
-def similar(asked: DataFrame, known: DataFrame, least: int) -> DataFrame:
-    """(asked, known, set_ratio, sort_ratio) for all pairs of names of asked (asked) and known (known) with a set_ratio of
-    `least` or more, each pair once. Names are compared by their words, split at white space; null and blank ones match
-    nothing. `least` is a whole per cent above 66, since names without any letters in common reach less."""
+def candidate_pairs(asked: DataFrame, known: DataFrame, least: int) -> DataFrame:
+    """(asked, known), each pair once: all pairs of names of asked (asked) and known (known) with a set_ratio of `least` or
+    more, and some others. Names are compared by their words, split at white space; null and blank ones match nothing.
+    `least` is a whole per cent above 66, since names without any letters in common reach less."""
     if 3 * least <= 200:
         raise ValueError("names of a lower ratio may have nothing in common to meet on")
     a = asked.select("asked").where("trim(asked) <> ''").distinct()
@@ -148,5 +160,27 @@ def similar(asked: DataFrame, known: DataFrame, least: int) -> DataFrame:
     right = _signed(k, "known", least, pair_rank, word_rank, True)
     # lengths bound the ratio where names meet on letters
     fit = ~F.col("key").startswith("0") | (200 * F.least("asked_size", "known_size") >= least * (F.col("asked_size") + F.col("known_size")))
-    pairs = left.join(right, "key").where(fit).select("asked", "known").distinct()
-    return pairs.withColumn("r", ratios(F.col("asked"), F.col("known"))).where(F.col("r.set_ratio") >= least).select("asked", "known", "r.set_ratio", "r.sort_ratio")
+    return spread(left.join(right, "key").where(fit).select("asked", "known"), "asked", "known").dropDuplicates()
+
+
+def spread(rows: DataFrame, *columns: str) -> DataFrame:
+    """The rows dealt by columns to as many tasks as there are cores, or shuffle partitions if those are more: what is done
+    with each takes long for its size, by which adaptive execution would gather them in few."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *columns)
+
+
+def scored(pairs: DataFrame, a: str, b: str, least: float) -> DataFrame:
+    """(a, b, set_ratio, sort_ratio) of the pairs that reach `least`."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(p, q, s, sort_ratio(p, q)) for p, q in zip(batch[a], batch[b], strict=True) if (s := set_ratio(p, q, least)) >= least]
+            yield pd.DataFrame(rows, columns=[a, b, "set_ratio", "sort_ratio"])
+
+    return pairs.select(a, b).mapInPandas(run, f"{a} string, {b} string, set_ratio double, sort_ratio double")
+
+
+def similar(asked: DataFrame, known: DataFrame, least: int) -> DataFrame:
+    """(asked, known, set_ratio, sort_ratio) of the candidate pairs that reach `least`."""
+    return scored(candidate_pairs(asked, known, least), "asked", "known", least)
