@@ -167,7 +167,8 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
 
     A null or empty text has no ids (empty binary). Repeated rows come back repeated. The pattern must not match across
     the beginning of a space and a non-space, as patterns of this kind do not. The cost of a single word of n
-    bytes grows with n log n. An empty table gives no rows.
+    bytes grows with n log n. Other columns, whatever their names, are ignored; an
+    empty table gives no rows.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 

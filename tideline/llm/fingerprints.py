@@ -111,7 +111,8 @@ def lz_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     The edited text has the last floor(n/2) code points replaced by the first as many (or all) of the next document
     in descending order of ids; the first document follows the last. Rows that share an id go by text; null ids come
-    last; null texts count as empty. A lone document is its own next one. An empty table gives no rows.
+    last; null texts count as empty. A lone document is its own next one. Other columns, whatever their names, are ignored; an
+    empty table gives no rows.
 
     Texts are shuffled once, by ranges of ids. The first document of each range also goes to the range before it.
     """

@@ -44,7 +44,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     min_chars code points or more and is found in min_docs documents or more is dropped from every document but that
     with the largest id. Rows that share an id are one document; where they share the largest, all of them keep the line.
     Rows without an id are one document too, and never the largest. Columns that clash with n_lines or n_dropped are
-    replaced. The cost of a text is in proportion to its lines.
+    replaced. The cost of a text is in proportion to its lines. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     drops = repeated_lines(docs, id_col, text_col, min_chars, min_docs).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("drops").alias("__drops"))

@@ -352,7 +352,8 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     `words` words, or, with fewer words, the whole sequence. Two documents link when 100 * intersection >= percent *
     union. Null, empty and blank texts have an empty set and link with nothing. Shingles and whole sets count as equal
     when their 64-bit hashes are. Repeated rows come back repeated; a null id is never the least, and is the component
-    of documents only where no other id is. An empty table gives no rows.
+    of documents only where no other id is. Other columns, whatever their names, are ignored; an
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")

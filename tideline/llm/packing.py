@@ -141,7 +141,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     smaller power of two. A null or empty text is its end_id alone. Rows that share an id are packed each for itself.
     No row is shuffled: a task packs the documents of its own input split, GROUP_TOKENS at a time, so that a repeated
     task packs alike as long as its input rows come in the same order, as from a table. With keep_words a worker keeps the
-    words it knows from task to task, which is faster; without, other stages have the memory. An empty table gives no rows.
+    words it knows from task to task, which is faster; without, other stages have the memory. Other columns, whatever their names, are ignored; an
+    empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

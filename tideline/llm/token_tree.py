@@ -174,6 +174,7 @@ def sample_edits(text: Column) -> Column:
 
 def count_edited(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_tokens_edited, edited_sha256 and reencoded_chars of each document under sample_edits. Repeated
-    rows come back repeated; an empty table gives no rows."""
+    rows come back repeated; other columns, whatever their names, are ignored; an empty
+    table gives no rows."""
     out = edit_trees(build_trees(docs, path, pattern, sample_edits(F.col(text_col)), id_col, text_col), path, pattern)
     return out.select(F.col("id").alias(id_col), "n_tokens", "n_tokens_edited", F.sha2("text", 256).alias("edited_sha256"), "reencoded_chars")
