@@ -187,6 +187,25 @@ def test_exchange_match_same_as_all_pairs(spark):
     assert got == want and got[0] == "s0" and got[1] == "s1" and got[2] == "s2" and got[3] == "s3"
 
 
+def test_exchange_match_scores_few_of_like_names(spark, monkeypatch):
+    """Names that are all alike are not all scored with each other, and the best is still that of all pairs."""
+    scored, of = [], M.similar
+
+    def counted(*args):
+        out = of(*args)
+        scored.append(out.count())
+        return out
+
+    monkeypatch.setattr(M, "similar", counted)
+    names = [f"Supplier {k * 37:09d} Limited" for k in range(120)]
+    listed = spark.createDataFrame([(f"s{k:03d}", n) for k, n in enumerate(names) if k % 2], "symbol string, known string")
+    asked = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k int, a string")
+    got = {r.k: r.symbol for r in M.exchange_match(asked, "k", ["a"], listed).collect()}
+    key = lambda n: n.upper().replace("LIMITED", "LTD")
+    assert got == {k: min((-N.set_ratio(key(n), key(names[j])), f"s{j:03d}") for j in range(1, len(names), 2))[1] for k, n in enumerate(names)}
+    assert 0 < sum(scored) < 60 * 60 / 3
+
+
 def test_component_models_of_many_rows(spark):
     rng = np.random.default_rng(1)
     few = rng.normal(size=(60, 3)) @ rng.normal(size=(3, 3))

@@ -11,6 +11,8 @@ from .similar import candidate_pairs, ratios, scored, similar
 
 # Thresholds of the fuzzy passes in per cent, and the longest abbreviation.
 SET_RATIO, SORT_RATIO, GENERIC_SHARE, EXCHANGE_RATIO, ABBREVIATION = 88, 72, 60, 80, 6
+#: Thresholds that a search of the best ratio begins with, and how far apart they are; without effect on results.
+FIRST_RATIO, RATIO_STEP = 95, 5
 # Words that distinguish no company.
 GENERIC = (
     "ltd", "limited", "pvt", "private", "llp", "llc", "inc", "incorporated",
@@ -152,27 +154,48 @@ def exchange_key(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"[^\w\s]", " "), r"\s+", " "))
 
 
+def _least(hits: DataFrame) -> DataFrame:
+    """(_asked, m) of hits (_asked, _ratio, symbol): the best ratio's negative and symbol of each name."""
+    return hits.groupBy("_asked").agg(F.min(F.struct((-F.col("_ratio")).alias("less"), "symbol")).alias("m"))
+
+
+def _best_listed(asked: DataFrame, lists: DataFrame, least: int) -> DataFrame:
+    """(_asked, m) of asked (_asked) against lists (_known, symbol), by thresholds that fall to `least`."""
+    left = cut(asked.select("_asked").distinct(), "asked")
+    known, found = lists.select(F.col("_known").alias("known")), None
+    for at in [*range(max(FIRST_RATIO, least), least, -RATIO_STEP), least]:
+        if left.isEmpty():
+            break
+        near = similar(left.select(F.col("_asked").alias("asked")), known, at)
+        hits = near.join(lists, F.col("known") == F.col("_known")).select(F.col("asked").alias("_asked"), F.col("set_ratio").alias("_ratio"), "symbol")
+        best = cut(_least(hits), "best")
+        left = cut(left.join(best, "_asked", "left_anti"), "asked")
+        found = best if found is None else found.unionByName(best)
+    return _least(lists.select(F.col("_known").alias("_asked"), F.lit(0.0).alias("_ratio"), "symbol").limit(0)) if found is None else found
+
+
 def exchange_match(companies: DataFrame, key: str, names: list[str], listed: DataFrame, least: int = EXCHANGE_RATIO) -> DataFrame:
     """companies with symbol, match and confidence from an exchange list (symbol, known).
 
     Passes go over the columns `names` in turn, exact first, then fuzzy by set_ratio of `least` or more; the best of a
-    pass counts, of equals the least symbol. Fuzzy passes find all names of the list that reach `least`, by the signatures
-    of `similar`. A company that no pass matches has the match none and confidence 0.
+    pass counts, of equals the least symbol. Fuzzy passes look for the names of the list that reach a high threshold, by
+    the signatures of `similar`, and go on to lower ones, down to `least`, with the names that have none yet: what reaches
+    a threshold beats all that doesn't, and a high one leaves few pairs to score. A company that no pass matches has the
+    match none and confidence 0.
     """
-    lists = listed.select("symbol", exchange_key(F.col("known")).alias("_known")).where("_known <> ''").groupBy("_known").agg(F.min("symbol").alias("symbol"))
+    lists = cut(listed.select("symbol", exchange_key(F.col("known")).alias("_known")).where("_known <> ''").groupBy("_known").agg(F.min("symbol").alias("symbol")), "listed")
     found = None
     for fuzzy in (False, True):
         for n, name in enumerate(names):
             asked = companies.select(F.col(key).alias("_id"), exchange_key(F.col(name)).alias("_asked")).where("_asked <> ''")
             if found is not None:
                 asked = asked.join(found.select("_id"), "_id", "left_anti")
+            # one row for each name, however many companies have it
             if fuzzy:
-                near = similar(asked.select(F.col("_asked").alias("asked")), lists.select(F.col("_known").alias("known")), least)
-                hits = near.join(lists, F.col("known") == F.col("_known")).select(F.col("asked").alias("_asked"), F.col("set_ratio").alias("_ratio"), "symbol")
+                best = _best_listed(asked, lists, least)
             else:
                 hits = lists.select(F.col("_known").alias("_asked"), F.lit(100.0).alias("_ratio"), "symbol")
-            # one row for each name, however many companies have it
-            best = cut(hits.groupBy("_asked").agg(F.min(F.struct((-F.col("_ratio")).alias("less"), "symbol")).alias("m")), "best")
+                best = cut(_least(hits), "best")
             best = asked.join(best, "_asked").groupBy("_id").agg(F.min("m").alias("m"))
             label = ("fuzzy" if fuzzy else "exact") + (f"_{name}" if n else "")
             some = best.select("_id", "m.symbol", F.lit(label).alias("match"), F.floor(-F.col("m.less")).cast("int").alias("confidence"))
