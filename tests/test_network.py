@@ -29,6 +29,19 @@ def test_noisy_or_shock(spark, graph):
     assert ("3", "2") in top
 
 
+def test_top_contributors_round_as_sql(spark):
+    """Contributions around a half at the ninth place rank as they do in SQL."""
+    import duckdb
+
+    nodes = spark.createDataFrame([("a", 0.5), ("z", 0.5), ("t", 0.0)], "node string, base double")
+    weights = {"z": 2409.0 / 20000000 * 0.6 * 0.9, "a": 6.5042e-5}
+    channels = spark.createDataFrame([(k, "t", w, "LENDS_TO") for k, w in weights.items()], "src string, dst string, weight double, type string")
+    got = [r.src for r in P.top_contributors(P.start(nodes), channels).orderBy("rank").collect()]
+    values = ", ".join(f"('{k}', CAST({w!r} AS DOUBLE) * CAST(0.5 AS DOUBLE))" for k, w in weights.items())
+    want = [r[0] for r in duckdb.sql(f"SELECT src FROM (VALUES {values}) v(src, c) ORDER BY round(c, 9) DESC, src").fetchall()]
+    assert got == want == ["a", "z"]
+
+
 def test_additive_fixed_point(graph):
     ch = graph[1].withColumn("weight", F.col("weight") * 0.3)
     out, told = P.converge(graph[0], ch)

@@ -50,6 +50,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def sql_round(x: Column, places: int) -> Column:
+    """A double rounded as DuckDB's round() does: the scaled double, halves away from zero. Spark's own rounds the shortest
+    decimal, so that 3.25215E-5, whose scaled double is below the half, comes out one apart at nine places."""
+    return F.round(x * float(10**places)) / float(10**places)
+
+
 def valid_weight(w: Column) -> Column:
     """A transmission weight: finite and above 0, at most 1; else null."""
     return F.when((w > 0) & ~F.isnan(w) & (w < float("inf")), F.least(w, F.lit(1.0)))

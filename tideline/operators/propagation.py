@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import clamp, valid_weight
+from ..functions.expr import clamp, sql_round, valid_weight
 from .shared import cut, shared_path
 
 ROUNDS, EPSILON = 20, 1e-4
@@ -133,10 +133,10 @@ def base_stress(label: Column, stress: Column, bank_score: Column, company_score
 
 
 def top_contributors(state: DataFrame, channels: DataFrame, k: int = 3) -> DataFrame:
-    """The k largest contributions to each node."""
+    """The k largest contributions to each node, compared at nine places as SQL rounds; of equals the first by source."""
     source = state.select(F.col("node").alias("src"), F.col("x").alias("from"))
     c = channels.join(source, "src").withColumn("contribution", F.col("weight") * F.col("from")).where("contribution > 0")
-    r = F.row_number().over(Window.partitionBy("dst").orderBy(F.desc(F.round("contribution", 9)), "src", "type"))
+    r = F.row_number().over(Window.partitionBy("dst").orderBy(F.desc(sql_round(F.col("contribution"), 9)), "src", "type"))
     return c.withColumn("rank", r).where(F.col("rank") <= k).select("dst", "rank", "src", "type", "contribution")
 
 
