@@ -37,3 +37,15 @@ def test_bank_network_same_as_loop(spark):
     assert {(r.a, r.b): (r.shared, r.overlap) for r in df.collect()} == {k: (n[k], least[k]) for k in n}
     plan, _ = shuffles(df)
     assert "rangepartitioning(company" in plan and "Join" not in plan
+
+
+def test_bridge_shuffles_no_pairs(spark):
+    lends, rpt = frames(spark)
+    want = Counter()
+    for b, c, _, _ in LENDS:
+        for c2, b2, _, _, n in RPT:
+            if b is not None and c == c2 and b != b2:
+                want[b, b2, c] += n
+    df = G.related_bridge(lends, rpt, 1000)
+    assert {(r.lending_bank, r.rpt_bank, r.company): r.rpt_count for r in df.collect()} == want
+    assert not [x for x in shuffles(df)[1] if "rpt_bank" in x and "bank#" in x.split("rpt_bank")[0]]

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import parts
+
 
 def joined(values: Column) -> Column:
     """A set of values as a sorted string."""
@@ -71,8 +73,12 @@ def met_pairs(rows: DataFrame, by: str, item: str, *values: str) -> DataFrame:
 
 def related_bridge(lends: DataFrame, rpt: DataFrame, limit: int = 50) -> DataFrame:
     """Pairs of banks linked by a company that borrows from one and is a related party of the other."""
-    other = rpt.select("company", F.col("bank").alias("rpt_bank"), "n")
-    found = lends.select("bank", "company").join(other, "company").where("bank <> rpt_bank").groupBy(F.col("bank").alias("lending_bank"), "rpt_bank", "company").agg(F.sum("n").alias("rpt_count"))
+    # each side has a bank and company once, and so has what they make: nothing of it is left to group; the number of tasks
+    # is given, since adaptive execution would gather sides that are small against what is made of them
+    tasks = parts(lends.sparkSession)
+    loans = lends.select("bank", "company").repartition(tasks, "company").groupBy("bank", "company").agg(F.count(F.lit(1)).alias("k"))
+    other = rpt.select("company", F.col("bank").alias("rpt_bank"), "n").repartition(tasks, "company").groupBy("rpt_bank", "company").agg(F.sum("n").alias("n"))
+    found = loans.join(other, "company").where("bank <> rpt_bank").select(F.col("bank").alias("lending_bank"), "rpt_bank", "company", (F.col("k") * F.col("n")).alias("rpt_count"))
     return found.orderBy(F.desc("rpt_count"), "lending_bank", "rpt_bank", "company").limit(limit)
 
 

@@ -48,3 +48,8 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     at = shared_path(df.sparkSession, name)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def parts(spark: SparkSession) -> int:
+    """As many tasks as there are cores, or shuffle partitions if those are more."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
