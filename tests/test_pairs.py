@@ -39,6 +39,13 @@ def test_bank_network_same_as_loop(spark):
     assert "rangepartitioning(company" in plan and "Join" not in plan
 
 
+def test_bank_cluster_same_as_loop(spark):
+    lends, _ = frames(spark)
+    df = G.bank_cluster(lends.unionByName(lends.limit(3)))  # a company counts once
+    assert {(r.a, r.b): r.shared for r in df.collect()} == Counter((a, b) for (a, _), (b, _) in shared())
+    assert "rangepartitioning(company" in shuffles(df)[0]
+
+
 def test_bridge_shuffles_no_pairs(spark):
     lends, rpt = frames(spark)
     want = Counter()
