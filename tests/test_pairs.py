@@ -56,3 +56,11 @@ def test_bridge_shuffles_no_pairs(spark):
     df = G.related_bridge(lends, rpt, 1000)
     assert {(r.lending_bank, r.rpt_bank, r.company): r.rpt_count for r in df.collect()} == want
     assert not [x for x in shuffles(df)[1] if "rpt_bank" in x and "bank#" in x.split("rpt_bank")[0]]
+
+
+def test_views_pair_by_ranges(spark):
+    from tideline.plans.views import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    for df, key in ((t.bank_rpt, "l_partkey"),):
+        assert f"rangepartitioning({key}" in shuffles(df)[0]
