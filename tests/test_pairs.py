@@ -62,5 +62,5 @@ def test_views_pair_by_ranges(spark):
     from tideline.plans.views import Tables
 
     t = Tables(spark, "/root/testdata/sf0.001")
-    for df, key in ((t.bank_rpt, "l_partkey"),):
+    for df, key in ((t.bank_rpt, "l_partkey"), (t.bank_holds, "l_orderkey")):
         assert f"rangepartitioning({key}" in shuffles(df)[0]
