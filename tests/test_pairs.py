@@ -64,3 +64,26 @@ def test_views_pair_by_ranges(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     for df, key in ((t.bank_rpt, "l_partkey"), (t.bank_holds, "l_orderkey")):
         assert f"rangepartitioning({key}" in shuffles(df)[0]
+
+
+def test_industries_and_lenders_keep_no_sets(spark):
+    """Companies and lenders are counted without distinct sets, also where edges or industries repeat."""
+    lends, _ = frames(spark)
+    lends = lends.where("bank is not null").unionByName(lends.limit(3))
+    industry = spark.createDataFrame([(c, "n", f"i{c % 3}", 1) for c in range(40)] + [(3, "n", "i0", 1), (3, "n", "i1", 1)], "company long, name string, industry string, nation int")
+    rows = [(b, f"i{c % 3}", c, x, c) for b, c, x, _ in LENDS + LENDS[:3] if b is not None and c is not None and c < 40]
+    rows += [(b, i, c, x, c) for b, c, x, _ in LENDS + LENDS[:3] if b is not None and c == 3 for i in ("i0", "i1")]
+    total, kinds = Counter(), {}
+    for b, i, c, x, _ in rows:
+        total[b, i] += x
+        kinds.setdefault((b, i), set()).add(c)
+    df = G.industry_exposure(lends, industry)
+    assert {(r.bank, r.industry): (r.exposure, r.num_companies) for r in df.collect()} == {k: (total[k], len(kinds[k])) for k in total}
+    assert "distinct" not in shuffles(df)[0]
+    df = G.dual_borrowers(lends, industry.where("nation = 1"), 10000)
+    assert "distinct" not in shuffles(df)[0] and "collect_set" not in shuffles(df)[0]
+    lenders = {}
+    for b, c, _, _ in LENDS:
+        if b is not None:
+            lenders.setdefault(c, set()).add(b)
+    assert {r.company for r in df.collect()} == {c for c, bs in lenders.items() if c is not None and c < 40 and len(bs) > 1}

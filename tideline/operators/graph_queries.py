@@ -34,7 +34,8 @@ def shared_borrowers(lends: DataFrame, least: int) -> DataFrame:
 
 def dual_borrowers(lends: DataFrame, industry: DataFrame, limit: int = 100) -> DataFrame:
     """One row per lender of each company with two or more, the largest exposures first."""
-    every = shared_borrowers(lends, 2).select("company", "total_exposure")
+    two = F.min("bank") < F.max("bank")  # two lenders or more, without a set of them
+    every = lends.groupBy("company").agg(F.round(F.sum("amount"), 2).alias("total_exposure"), two.alias("two")).where("two").drop("two")
     rows = lends.select("bank", "company").join(every, "company").join(industry, "company")
     return rows.select("bank", "company", "industry", "total_exposure").orderBy(F.desc("total_exposure"), "company", "bank").limit(limit)
 
@@ -89,7 +90,10 @@ def conflict_triangle(holds: DataFrame, lends: DataFrame, company_holds: DataFra
 
 
 def industry_exposure(lends: DataFrame, industry: DataFrame) -> DataFrame:
-    return lends.join(industry, "company").groupBy("bank", "industry").agg(F.round(F.sum("amount"), 2).alias("exposure"), F.count_distinct("company").alias("num_companies"))
+    # each bank and company once, and each company and industry: companies are counted, and no set of them is kept
+    loans = lends.groupBy("bank", "company").agg(F.sum("amount").alias("amount"))
+    of = industry.groupBy("company", "industry").agg(F.count(F.lit(1)).alias("k"))
+    return loans.join(of, "company").groupBy("bank", "industry").agg(F.round(F.sum(F.col("amount") * F.col("k")), 2).alias("exposure"), F.count(F.lit(1)).alias("num_companies"))
 
 
 def top_industry(lends: DataFrame, industry: DataFrame, limit: int = 60) -> DataFrame:
