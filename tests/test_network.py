@@ -90,3 +90,15 @@ def test_bfs_and_flags(spark):
     flags = {r.node: (r.hub, r.stressed) for r in V.risk_flags(nodes, e).collect()}
     assert flags["b"][0] and not flags["a"][0] and flags["y"][1] and not flags["a"][1]
     assert V.induced(e, seeds).count() == 0
+
+
+def test_rounds_leave_dealt_channels_where_they_are(spark, graph):
+    dealt = P.deal(graph[1])
+    try:
+        with P._in_place(spark):
+            out = P.additive_step(P.start(graph[0]), dealt)
+            plan = out._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+            assert "ShuffledHashJoin" in plan and "hashpartitioning(block" not in plan and "hashpartitioning(src" not in plan
+            assert values(out) == pytest.approx(values(P.additive_step(P.start(graph[0]), graph[1])))
+    finally:
+        dealt.rows.unpersist()

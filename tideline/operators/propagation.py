@@ -5,13 +5,20 @@ channels is (src, dst, weight, type), nodes (node, base). All rounds read the la
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import NamedTuple
+
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import clamp, sql_round, valid_weight
 from .shared import cut, shared_path
 
 ROUNDS, EPSILON = 20, 1e-4
+#: Channels of a task in rounds where they stay in place.
+TASK_CHANNELS = 4_000_000
 #: Noisy-OR weights of links back, and of links of other types.
 HOLDER_BACK, LENDER_BACK, LENDER_BACK_MOST, WEAK, HOLDER_PCT, SUBSIDIARY = 0.6, 0.7, 0.6, 0.15, 5.0, 0.5
 
@@ -36,47 +43,88 @@ def active_channels(channels: DataFrame, nodes: DataFrame) -> DataFrame:
     return channels.join(ids.withColumnRenamed("node", "src"), "src", "left_semi").join(ids.withColumnRenamed("node", "dst"), "dst", "left_semi")
 
 
-def additive_step(state: DataFrame, channels: DataFrame, shocks: DataFrame | None = None, most: float = 1.0) -> DataFrame:
-    """state (node, base, x) after one round: base plus what comes in, cut at `most`. A shocked source passes its shock
-    on in place of its stress."""
+class Dealt(NamedTuple):
+    """Channels in blocks, which stay where they are from round to round: rows (block, src, to) hashed by block, with the
+    list `to` of (dst, weight) of a source in a block, and ends (block, src), the blocks that need a source."""
+
+    rows: DataFrame
+    ends: DataFrame
+
+
+def deal(channels: DataFrame) -> Dealt:
+    """Channels dealt to ranges of (src, dst), so that what one block adds to a node is mostly summed before it is shuffled,
+    and a source with many channels is in several blocks. The rows are kept on the executors' disks, in parts that a join by
+    block and source takes as they are; they are to be unpersisted. A lost part is made anew of the written channels."""
+    # written first, since ranges are made of a sample and the rows are read twice
+    written = cut(channels.select("src", "dst", "weight"), "channels")
+    tasks = max(4 * written.sparkSession.sparkContext.defaultParallelism, written.count() // TASK_CHANNELS)
+    # more blocks than tasks, so that hashes of blocks fill the tasks evenly
+    ranged = written.repartitionByRange(4 * tasks, "src", "dst").withColumn("block", F.spark_partition_id())
+    rows = ranged.repartition(tasks, "block").groupBy("block", "src").agg(F.collect_list(F.struct("dst", "weight")).alias("to")).persist(StorageLevel.DISK_ONLY)
+    return Dealt(rows, cut(rows.select("block", "src"), "ends"))
+
+
+@contextmanager
+def _in_place(spark: SparkSession) -> Iterator[None]:
+    """Joins by block and source take rows that are hashed by block alone as they are; else Spark shuffles both sides by both."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _from(channels: DataFrame | Dealt, source: DataFrame) -> DataFrame:
+    """Channels with the columns of their source (src, ...); of dealt ones only the sources are shuffled."""
+    if isinstance(channels, DataFrame):
+        return channels.join(source, "src")
+    met = channels.rows.join(channels.ends.join(source, "src").hint("shuffle_hash"), ["block", "src"])
+    return met.select("src", "from", F.explode("to").alias("to")).select("src", "from", "to.dst", "to.weight")
+
+
+def additive_step(state: DataFrame, channels: DataFrame | Dealt, shocks: DataFrame | None = None, most: float = 1.0) -> DataFrame:
+    """state (node, base, x) after one round, and what x was: base plus what comes in, cut at `most`. A shocked source passes
+    its shock on in place of its stress."""
     source = state.select(F.col("node").alias("src"), F.col("x").alias("from"))
     if shocks is not None:
         source = source.join(shocks.select(F.col("node").alias("src"), "shock"), "src", "left").select("src", F.coalesce("shock", "from").alias("from"))
-    come = channels.join(source.where("from > 0"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("weight") * F.col("from")).alias("come"))
-    return state.join(come, "node", "left").select("node", "base", clamp(F.col("base") + F.coalesce("come", F.lit(0.0)), 0.0, most).alias("x"))
+    come = _from(channels, source.where("from > 0")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("weight") * F.col("from")).alias("come"))
+    return state.join(come, "node", "left").select("node", "base", clamp(F.col("base") + F.coalesce("come", F.lit(0.0)), 0.0, most).alias("x"), F.col("x").alias("was"))
 
 
-def noisy_or_step(state: DataFrame, channels: DataFrame, shocks: DataFrame | None = None) -> DataFrame:
+def noisy_or_step(state: DataFrame, channels: DataFrame | Dealt, shocks: DataFrame | None = None) -> DataFrame:
     """state after one round: one minus the product of all that fails to spread; shocked nodes stay at their shock."""
     source = state.select(F.col("node").alias("src"), F.col("x").alias("from"))
-    miss = channels.join(source, "src").groupBy(F.col("dst").alias("node")).agg(F.product(1 - F.col("weight") * F.col("from")).alias("miss"))
-    out = state.join(miss, "node", "left").select("node", "base", clamp(1 - (1 - F.col("base")) * F.coalesce("miss", F.lit(1.0))).alias("x"))
+    miss = _from(channels, source).groupBy(F.col("dst").alias("node")).agg(F.product(1 - F.col("weight") * F.col("from")).alias("miss"))
+    out = state.join(miss, "node", "left").select("node", "base", clamp(1 - (1 - F.col("base")) * F.coalesce("miss", F.lit(1.0))).alias("x"), F.col("x").alias("was"))
     return out if shocks is None else pinned(out, shocks)
 
 
 def pinned(state: DataFrame, shocks: DataFrame) -> DataFrame:
-    return state.join(shocks.select("node", "shock"), "node", "left").select("node", "base", F.coalesce("shock", "x").alias("x"))
+    return state.join(shocks.select("node", "shock"), "node", "left").select("node", "base", F.coalesce("shock", "x").alias("x"), "was")
 
 
 def start(nodes: DataFrame) -> DataFrame:
-    return nodes.select("node", F.coalesce("base", F.lit(0.0)).alias("base")).withColumn("x", F.col("base"))
+    return nodes.select("node", F.coalesce("base", F.lit(0.0)).alias("base")).select("node", "base", F.col("base").alias("x"), F.col("base").alias("was"))
 
 
-def rounds(nodes: DataFrame, channels: DataFrame, k: int, step=additive_step, shocks: DataFrame | None = None) -> DataFrame:
-    """k rounds without looking at the result. The channels are made once; the rounds are one plan."""
-    channels, state = cut(channels, "channels"), start(nodes)
+def rounds(nodes: DataFrame, channels: DataFrame, k: int, step=additive_step, shocks: DataFrame | None = None, written: bool = False) -> DataFrame:
+    """k rounds without looking at the result. The channels are made once, or are a table already; the rounds are one plan."""
+    channels, state = channels if written else cut(channels, "channels"), start(nodes)
     if shocks is not None and step is noisy_or_step:
         state = pinned(state, shocks)
     for _ in range(k):
         state = step(state, channels, shocks)
-    return state
+    return state.drop("was")
 
 
 def converge(nodes: DataFrame, channels: DataFrame, step=additive_step, shocks: DataFrame | None = None, most: int = ROUNDS, epsilon: float = EPSILON, trace: bool = False) -> tuple[DataFrame, list[dict]]:
     """Rounds until no node changes by epsilon or more, and what changed in each: round, max_delta, changed, average.
 
-    Each round is written to the shared folder, which cuts the plan and keeps it if an executor is lost. With trace,
-    the frame has all rounds, with their number.
+    Each round is written to the shared folder, which cuts the plan and keeps it if an executor is lost. The channels are
+    dealt once; a round shuffles values of nodes, not channels. With trace, the frame has all rounds, with their number.
     """
     spark = nodes.sparkSession
     at = shared_path(spark, "rounds")
@@ -84,18 +132,18 @@ def converge(nodes: DataFrame, channels: DataFrame, step=additive_step, shocks:
     if shocks is not None and step is noisy_or_step:
         state = pinned(state, shocks)
     state.write.parquet(f"{at}/round=0")
-    channels = cut(channels, "channels")
+    dealt = deal(channels)
     told = []
-    for k in range(1, most + 1):
-        last = spark.read.parquet(f"{at}/round={k - 1}")
-        step(last, channels, shocks).write.parquet(f"{at}/round={k}")
-        now = spark.read.parquet(f"{at}/round={k}")
-        gap = F.abs(F.col("x") - F.col("was"))
-        row = now.join(last.select("node", F.col("x").alias("was")), "node").agg(F.max(gap).alias("max_delta"), F.count_if(gap >= epsilon).alias("changed"), F.avg("x").alias("average")).first()
-        told.append({"round": k, **row.asDict()})
-        if (row["max_delta"] or 0.0) < epsilon:
-            break
-    return (spark.read.parquet(at) if trace else spark.read.parquet(f"{at}/round={told[-1]['round'] if told else 0}")), told
+    with _in_place(spark):
+        for k in range(1, most + 1):
+            step(spark.read.parquet(f"{at}/round={k - 1}"), dealt, shocks).write.parquet(f"{at}/round={k}")
+            gap = F.abs(F.col("x") - F.col("was"))
+            row = spark.read.parquet(f"{at}/round={k}").agg(F.max(gap).alias("max_delta"), F.count_if(gap >= epsilon).alias("changed"), F.avg("x").alias("average")).first()
+            told.append({"round": k, **row.asDict()})
+            if (row["max_delta"] or 0.0) < epsilon:
+                break
+    dealt.rows.unpersist()
+    return (spark.read.parquet(at) if trace else spark.read.parquet(f"{at}/round={told[-1]['round'] if told else 0}")).drop("was"), told
 
 
 def attribution(state: DataFrame, channels: DataFrame) -> DataFrame:
