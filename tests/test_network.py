@@ -102,3 +102,15 @@ def test_rounds_leave_dealt_channels_where_they_are(spark, graph):
             assert values(out) == pytest.approx(values(P.additive_step(P.start(graph[0]), graph[1])))
     finally:
         dealt.rows.unpersist()
+
+
+def test_attribution_makes_channels_once(spark, monkeypatch):
+    from tideline.plans import network
+
+    made = []
+    real = network.channels
+    monkeypatch.setattr(network, "channels", lambda t: made.append(t) or real(t))
+    from tideline.plans.views import Tables
+
+    network.Q["attribution"][0](Tables(spark, "/root/testdata/sf0.001", True))
+    assert len(made) == 1
