@@ -46,11 +46,12 @@ def values_at(rows: DataFrame, group: list[str], value: str, places: DataFrame,
     while True:
         one = F.col("lo").eqNullSafe(F.col("hi"))
         done.append(state.where(one).select(*keys, "place", F.col("lo").alias("at")))
-        small = state.where(~one & (F.col("n") <= few))
-        inside = v.alias("v").join(small.alias("s"), same("v", "s")).where("v.v between s.lo and s.hi").select(*[f"s.{k}" for k in keys], "s.place", "s.left", "v.v")
-        # at most `few` rows of each place
-        sorted_ = inside.withColumn("r", F.row_number().over(Window.partitionBy(*keys, "place").orderBy("v")) - 1)
-        done.append(sorted_.where("r = left").select(*keys, "place", F.col("v").alias("at")))
+        # at most `few` rows of a bucket, which are sorted once for all places in it
+        small = state.where(~one & (F.col("n") <= few)).groupBy(*keys, "lo", "hi").agg(F.collect_list(F.struct("left", "place")).alias("asked"))
+        inside = v.alias("v").join(small.alias("s"), same("v", "s")).where("v.v between s.lo and s.hi").select(*[f"s.{k}" for k in keys], "s.lo", "s.asked", "v.v")
+        sorted_ = inside.withColumn("r", F.row_number().over(Window.partitionBy(*keys, "lo").orderBy("v")) - 1)
+        there = sorted_.select(*keys, F.explode(F.filter("asked", lambda a: a["left"] == F.col("r"))).alias("a"), "v")
+        done.append(there.select(*keys, "a.place", F.col("v").alias("at")))
         open_ = state.where(~one & (F.col("n") > few))
         if open_.isEmpty():
             break

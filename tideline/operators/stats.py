@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .order import filled, mean_ranks
 from .quantiles import quantiles
+from .shared import cut
 
 # Rows that a rank correlation needs.
 LEAST_PAIRS = 5
@@ -104,6 +105,7 @@ def spearman(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
 
 
 def describe(df: DataFrame, by: str, value: str, at: tuple[float, ...] = (0.95, 0.97, 0.99, 0.999)) -> DataFrame:
+    df = cut(df.select(by, value), "described")  # read by the sums, the sizes and the values
     q = quantiles(df, [by], value, {"median": 0.5} | {f"q{str(p)[2:]}": p for p in at}).drop("n").withColumnRenamed(by, "_by")
     sums = df.groupBy(by).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
     return sums.join(q, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
