@@ -85,3 +85,20 @@ def test_counters(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 4.0), (None, 2.0), ("b", None)], "g string, v double")
     got = {(r.whole, r.g): (r.n, r.least, r.most, r["mean"], r.median, r.flagged) for r in C.counters(df, "g", "v", F.col("v") > 1).collect()}
     assert got == {(False, "a"): (2, 1.0, 4.0, 2.5, 2.5, 1), (False, None): (1, 2.0, 2.0, 2.0, 2.0, 1), (False, "b"): (1, None, None, None, None, 0), (True, None): (4, 1.0, 4.0, pytest.approx(7 / 3), 2.0, 2)}
+
+
+def test_panel_is_written_between_metrics(spark, monkeypatch):
+    """The rows of a later metric are a table, not the joins of those before."""
+    plans, real = [], C.impute_median
+
+    def seen(rows, *args):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        if len(plans) == 2:
+            raise StopIteration
+        return real(rows, *args)
+
+    monkeypatch.setattr(C, "impute_median", seen)
+    df = spark.createDataFrame([(b, y, float(b * y), float(b)) for b in range(4) for y in (1, 2)], "bank long, year long, p double, q double")
+    with pytest.raises(StopIteration):
+        C.panel_stress(df, "bank", "year", {"p": 1, "q": 1}, "p")
+    assert all("Relation" in p and "Join" not in p for p in plans)

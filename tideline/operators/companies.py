@@ -61,12 +61,12 @@ def panel_stress(panel: DataFrame, bank: str, year: str, metrics: dict[str, int]
     within it, and turned by the metric's sign (1 where more of it is worse, -1 where less is). Of the last year each bank's
     values count, with the slope of each metric over its years, standardised over banks; 0 where a bank has one year only.
     The component points where `orient` grows. Banks without the last year have no score."""
-    rows = panel.select(bank, year, *[F.col(m).cast("double").alias(m) for m in metrics])
+    # written before the first metric and after each, since every quantile reads the rows several times
+    rows = cut(panel.select(bank, year, *[F.col(m).cast("double").alias(m) for m in metrics]), "panel")
     for m, sign in metrics.items():
         rows = zscore(winsorize(impute_median(rows, year, m).drop(m).withColumnRenamed(f"{m}_imputed", m), year, m).drop(m).withColumnRenamed(f"{m}_cut", m), year, m)
         # a year in which all are the same has no deviation
-        rows = rows.drop(m).withColumn(m, sign * F.coalesce(f"{m}_z", F.lit(0.0))).drop(f"{m}_z")
-    rows = cut(rows, "panel")
+        rows = cut(rows.drop(m).withColumn(m, sign * F.coalesce(f"{m}_z", F.lit(0.0))).drop(f"{m}_z"), "panel")
     last = rows.agg(F.max(year)).first()[0]
     trends = rows.groupBy(bank).agg(*[F.coalesce(F.regr_slope(m, year), F.lit(0.0)).alias(f"{m}_trend") for m in metrics])
     names = [*metrics, *[f"{m}_trend" for m in metrics]]
