@@ -267,3 +267,9 @@ def test_kernel_components_beyond_the_landmarks(spark, monkeypatch):
     df = spark.range(100).select("id", *[F.rand(s).alias(c) for s, c in enumerate("abc")])
     got = [r.boundary for r in K.boundary_stress(df, "id", ["a", "b", "c"], [0.2] * 3).collect()]
     assert len(got) == 100 and min(got) == 0 and max(got) <= 1
+
+
+def test_report_figures_read_the_facts_once(spark):
+    long = extract.xbrl_facts(spark.createDataFrame([(1, "<a/>")], "id long, xml string"), "id", "xml")
+    plan = extract.report_figures(long, "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("MapInPandas") == 1

@@ -78,9 +78,13 @@ def _reports(t: Tables):
     member = lambda axis, value: F.concat(F.lit(f'<d:explicitMember dimension="in:{axis}">in:'), value, F.lit("</d:explicitMember>"))
     context = lambda i, inner: F.concat(F.lit('<x:context id="'), i, F.lit('"><x:entity><x:segment>'), inner, F.lit("</x:segment></x:entity><x:period><x:instant>2024-03-31</x:instant></x:period></x:context>"))
     fact = lambda i, value: F.concat(F.lit('<in:NumberOfShares contextRef="'), i, F.lit('">'), value.cast("string"), F.lit("</in:NumberOfShares>"))
-    who = F.concat(F.lit("E"), F.col("company").cast("string"))
-    one = F.concat(context(who, F.concat(member(extract.CATEGORY_AXIS, F.col("segment")), member("DetailsOfHoldersAxis", who), F.when(F.col("company") % 2 == 0, member("DetailsOfTrustsAxis", F.lit("Trust"))).otherwise(""))), fact(who, F.col("n")))
-    parts = row.groupBy("bank", "segment").agg(F.sum("n").alias("n"), F.array_join(F.sort_array(F.collect_list(one)), "").alias("entities"))
+
+    def one(e: Column) -> Column:
+        who = F.concat(F.lit("E"), e["company"].cast("string"))
+        return F.concat(context(who, F.concat(member(extract.CATEGORY_AXIS, F.col("segment")), member("DetailsOfHoldersAxis", who), F.when(e["company"] % 2 == 0, member("DetailsOfTrustsAxis", F.lit("Trust"))).otherwise(""))), fact(who, e["n"]))
+
+    # numbers are gathered, and texts made of them afterwards
+    parts = row.groupBy("bank", "segment").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("company", "n"))).alias("e")).select("bank", "segment", "n", F.array_join(F.transform("e", one), "").alias("entities"))
     of = F.concat(F.lit("C"), F.col("segment"))
     body = F.concat("entities", context(of, member(extract.CATEGORY_AXIS, F.col("segment"))), fact(of, F.col("n")))
     whole = parts.groupBy("bank").agg(F.sum("n").alias("n"), F.array_join(F.sort_array(F.collect_list(body)), "").alias("body"))
