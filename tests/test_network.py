@@ -114,3 +114,32 @@ def test_attribution_makes_channels_once(spark, monkeypatch):
 
     network.Q["attribution"][0](Tables(spark, "/root/testdata/sf0.001", True))
     assert len(made) == 1
+
+
+def test_rounds_run_on_numbers_of_nodes(spark, monkeypatch):
+    from tideline.plans import network
+    from tideline.plans.views import Tables
+
+    seen = []
+    real = P.rounds
+    monkeypatch.setattr(P, "rounds", lambda nodes, channels, *a: seen.extend([nodes, channels]) or real(nodes, channels, *a))
+    out = network.Q["impact_rank"][0](Tables(spark, "/root/testdata/sf0.001", True))
+    assert [dict(f.dtypes)[c] for f, c in zip([*seen, seen[1]], ["node", "src", "dst"])] == ["bigint"] * 3
+    assert dict(out.dtypes)["node"] == "string" and {r.node[0] for r in out.collect()} <= {"b", "c"}
+
+
+def test_numbers_of_nodes_give_their_names_back(spark):
+    from tideline.plans import network
+
+    keys = spark.createDataFrame([(k,) for k in (0, 1, 2, 7, -1, -2, 2**61, None)], "k long")
+    both = [keys.select(network._code(kind, "k").alias("code"), network._id(kind, "k").alias("name")) for kind in "bc"]
+    rows = both[0].unionByName(both[1]).withColumn("got", network._decoded("code")).collect()
+    assert all(r.got == r.name for r in rows) and len({r.code for r in rows}) == 15
+
+
+def test_amounts_are_made_before_the_join_and_not_rounded(spark):
+    from tideline.plans.views import Tables
+
+    for view in ("lends", "rpt"):
+        plan = getattr(Tables(spark, "/root/testdata/sf0.001"), view)._jdf.queryExecution().optimizedPlan().toString()
+        assert "round(" not in plan and "AS amt" in plan.split("Join")[1]

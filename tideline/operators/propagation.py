@@ -26,7 +26,7 @@ HOLDER_BACK, LENDER_BACK, LENDER_BACK_MOST, WEAK, HOLDER_PCT, SUBSIDIARY = 0.6,
 def additive_channels(lends: DataFrame, rpt: DataFrame, holds: DataFrame) -> DataFrame:
     """From borrowers to lenders (weight absorption or transmittance, times the multipliers), between related parties up
     and down, and from what is held to its owners. lends: bank, company, absorption, transmittance, lgd, t; rpt:
-    company, bank, up_weight, down_weight; holds: owner, bank, pct. Ids are strings. Invalid weights go."""
+    company, bank, up_weight, down_weight; holds: owner, bank, pct. Ids are of one type. Invalid weights go."""
     parts = [
         lends.select(F.col("company").alias("src"), F.col("bank").alias("dst"), (F.coalesce("absorption", "transmittance") * F.col("lgd") * F.col("t")).alias("weight"), F.lit("LENDS_TO").alias("type")),
         rpt.select(F.col("company").alias("src"), F.col("bank").alias("dst"), F.col("up_weight").alias("weight"), F.lit("RELATED_UP").alias("type")),
@@ -112,7 +112,7 @@ def start(nodes: DataFrame) -> DataFrame:
 
 def rounds(nodes: DataFrame, channels: DataFrame, k: int, step=additive_step, shocks: DataFrame | None = None, written: bool = False) -> DataFrame:
     """k rounds without looking at the result. The channels are made once, or are a table already; the rounds are one plan."""
-    channels, state = channels if written else cut(channels, "channels"), start(nodes)
+    channels, state = channels if written else cut(channels.select("src", "dst", "weight"), "channels"), start(nodes)
     if shocks is not None and step is noisy_or_step:
         state = pinned(state, shocks)
     for _ in range(k):

@@ -26,12 +26,15 @@ class Tables:
 
     @cached_property
     def items(self) -> DataFrame:
-        """Facilities: one per line item. Amounts are whole units, so that sums don't depend on their order."""
+        """Facilities: one per line item. Amounts are whole units, so that sums don't depend on their order; they are made
+        before the join, which then shuffles them and not what they are made of."""
         amt = F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) + 0.5).cast("double")
+        gross = F.floor(F.col("l_extendedprice") + 0.5).cast("double")
         return (
             self["lineitem"]
+            .select(F.col("l_suppkey").alias("bank"), amt.alias("amt"), gross.alias("gross"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), "l_orderkey", "l_linenumber", "l_partkey")
             .join(self["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
-            .select(F.col("l_suppkey").alias("bank"), F.col("o_custkey").alias("company"), amt.alias("amt"), F.floor(F.col("l_extendedprice") + 0.5).cast("double").alias("gross"), F.col("o_orderpriority").alias("priority"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("o_orderdate").alias("odate"), "l_orderkey", "l_linenumber", "l_partkey")
+            .select("bank", F.col("o_custkey").alias("company"), "amt", "gross", F.col("o_orderpriority").alias("priority"), "flag", "status", F.col("o_orderdate").alias("odate"), "l_orderkey", "l_linenumber", "l_partkey")
         )
 
     @cached_property
@@ -54,13 +57,13 @@ class Tables:
 
     @cached_property
     def lends(self) -> DataFrame:
-        """LENDS_TO edges."""
-        return self.pairs.select("bank", "company", F.round("amount", 2).alias("amount"), "n")
+        """LENDS_TO edges. Sums of whole units need no rounding, which is slow: Spark rounds a double as a decimal."""
+        return self.pairs.select("bank", "company", "amount", "n")
 
     @cached_property
     def rpt(self) -> DataFrame:
         """RELATED_PARTY edges from company to bank: returned items; `up` is what is still open."""
-        return self.pairs.where("back_n > 0").select("company", "bank", F.round("back", 2).alias("amount"), F.round(F.coalesce("up", F.lit(0.0)), 2).alias("up"), F.col("back_n").alias("n"))
+        return self.pairs.where("back_n > 0").select("company", "bank", F.col("back").alias("amount"), F.coalesce("up", F.lit(0.0)).alias("up"), F.col("back_n").alias("n"))
 
     @cached_property
     def holds(self) -> DataFrame:
