@@ -143,3 +143,27 @@ def test_amounts_are_made_before_the_join_and_not_rounded(spark):
     for view in ("lends", "rpt"):
         plan = getattr(Tables(spark, "/root/testdata/sf0.001"), view)._jdf.queryExecution().optimizedPlan().toString()
         assert "round(" not in plan and "AS amt" in plan.split("Join")[1]
+
+
+def test_noisy_or_query_shuffles_no_channels(spark):
+    from tideline.plans import network
+    from tideline.plans.views import Tables
+
+    for name in ("channels_noisy_or", "channels_classic"):
+        plan = network.Q[name][0](Tables(spark, "/root/testdata/sf0.001", True))._jdf.queryExecution()
+        assert "Aggregate [src" not in plan.optimizedPlan().toString() and "windowspecdefinition(src" not in plan.optimizedPlan().toString()
+        assert "edge_id" not in "".join(x for x in plan.executedPlan().toString().splitlines() if "Exchange" in x)
+
+
+def test_channels_of_repeated_and_odd_edges(spark):
+    """Repeated edges count once where that is asked for; their amounts count as often as they come in a lender's sum."""
+    lends = [("d", "7", "8", "LENDS_TO", None, None, None, 60.0), ("e", "7", "9", "LENDS_TO", None, None, None, 40.0)]
+    odd = [("n", None, "8", "LENDS_TO", None, None, None, 5.0), ("z", "3", "8", "LENDS_TO", None, None, None, None), ("s", "4", "4", "SHAREHOLDER_OF", 10.0, None, None, None), ("t", "4", "5", None, 10.0, None, None, None)]
+    got = lambda rows, **k: sorted((str(r.src), r.dst or "", r.edge_id, round(r.weight, 6)) for r in P.noisy_or_channels(edge_rows(spark, rows), **k).collect())
+    once = [("7", "8", "d", 0.42), ("7", "9", "e", 0.28), ("8", "7", "d", 0.6), ("9", "7", "e", 0.4)]
+    assert got(lends) == got(lends, distinct=False) == once
+    assert [r[:3] for r in got([*lends, lends[0]])] == [r[:3] for r in once]
+    assert ("8", "7", "d", 0.375) in got([*lends, lends[0]])
+    assert len(got([*lends, lends[0]], distinct=False)) == 6
+    assert [r for r in got(odd) if r[2] != "s"] == [("3", "8", "z", 0.0), ("8", "", "n", 1.0), ("8", "3", "z", 0.0), ("None", "8", "n", 0.6)]
+    assert len([r for r in got(odd) if r[2] == "s"]) == 1

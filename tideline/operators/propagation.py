@@ -155,23 +155,31 @@ def attribution(state: DataFrame, channels: DataFrame) -> DataFrame:
     return parts.withColumn("total", total).join(gain, "dst").select("dst", "src", "type", "raw", (F.col("raw") * F.least(F.lit(1.0), F.try_divide(F.col("gain"), F.col("total")))).alias("contribution"))
 
 
-def noisy_or_channels(edges: DataFrame, extended: bool = True) -> DataFrame:
+def noisy_or_channels(edges: DataFrame, extended: bool = True, distinct: bool = True) -> DataFrame:
     """Channels of edges (edge_id, src, dst, type, pct, up, down, amount). Extended ones also lead back, and weak ones
-    stand for edges of other types; the classic set has neither."""
-    share = F.coalesce(F.try_divide(F.coalesce("amount", F.lit(0.0)), F.sum(F.when(F.col("type") == "LENDS_TO", F.coalesce("amount", F.lit(0.0)))).over(Window.partitionBy("src"))), F.lit(0.0))
-    e = edges.withColumn("share", clamp(share)).withColumn("held", clamp(F.coalesce("pct", F.lit(HOLDER_PCT)) / 100))
-
-    def rows(type_: str | None, a: str, b: str, weight: Column) -> DataFrame:
-        some = e.where(F.col("type") == type_) if type_ else e.where(~F.col("type").isin("SHAREHOLDER_OF", "SUBSIDIARY_OF", "LENDS_TO"))
-        return some.select(F.col(a).alias("src"), F.col(b).alias("dst"), "edge_id", F.lit(type_ or "LENDS_TO").alias("type"), clamp(weight).alias("weight"))
-
-    out = [rows("SHAREHOLDER_OF", "dst", "src", F.col("held")), rows("SUBSIDIARY_OF", "src", "dst", F.coalesce("up", F.lit(SUBSIDIARY))), rows("SUBSIDIARY_OF", "dst", "src", F.coalesce("down", F.lit(SUBSIDIARY))), rows("LENDS_TO", "dst", "src", F.col("share"))]
+    stand for edges of other types; the classic set has neither. Each edge is read once for all its channels. Of channels
+    with the same ends and edge_id one stays; edges that are distinct need no `distinct`, which shuffles all channels."""
+    amount = F.coalesce("amount", F.lit(0.0))
+    # written first: a small table is sent to the edges, which are not shuffled for a number of their lender
+    total = cut(edges.where("type = 'LENDS_TO'").groupBy(F.col("src").alias("lender")).agg(F.sum(amount).alias("total")), "totals")
+    share = clamp(F.coalesce(F.try_divide(amount, F.col("total")), F.lit(0.0)))
+    held = clamp(F.coalesce("pct", F.lit(HOLDER_PCT)) / 100)
+
+    def rows(type_: str | None, *links: tuple[bool, Column]) -> DataFrame:
+        """The channels of edges of a type, each with its direction (True leads back) and weight."""
+        some = edges.where(F.col("type") == type_) if type_ else edges.where(~F.col("type").isin("SHAREHOLDER_OF", "SUBSIDIARY_OF", "LENDS_TO"))
+        if type_ == "LENDS_TO":
+            some = some.join(total, F.col("src").eqNullSafe(F.col("lender")))
+        some = some.select("src", "dst", "edge_id", F.inline(F.array(*[F.struct(F.lit(back).alias("back"), clamp(w).alias("weight")) for back, w in links])))
+        return some.select(F.when(F.col("back"), F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(F.col("back"), F.col("src")).otherwise(F.col("dst")).alias("dst"), "edge_id", F.lit(type_ or "LENDS_TO").alias("type"), "weight")
+
+    more = lambda back, w: [(back, w)] if extended else []
+    every = rows("SHAREHOLDER_OF", (True, held), *more(False, held * HOLDER_BACK))
+    every = every.unionByName(rows("SUBSIDIARY_OF", (False, F.coalesce("up", F.lit(SUBSIDIARY))), (True, F.coalesce("down", F.lit(SUBSIDIARY)))))
+    every = every.unionByName(rows("LENDS_TO", (True, share), *more(False, F.least(share * LENDER_BACK, F.lit(LENDER_BACK_MOST)))))
     if extended:
-        out += [rows("SHAREHOLDER_OF", "src", "dst", F.col("held") * HOLDER_BACK), rows("LENDS_TO", "src", "dst", F.least(F.col("share") * LENDER_BACK, F.lit(LENDER_BACK_MOST))), rows(None, "src", "dst", F.lit(WEAK)), rows(None, "dst", "src", F.lit(WEAK))]
-    every = out[0]
-    for x in out[1:]:
-        every = every.unionByName(x)
-    return every.dropDuplicates(["src", "dst", "edge_id"])
+        every = every.unionByName(rows(None, (False, F.lit(WEAK)), (True, F.lit(WEAK))))
+    return every.dropDuplicates(["src", "dst", "edge_id"]) if distinct else every
 
 
 def base_stress(label: Column, stress: Column, bank_score: Column, company_score: Column) -> Column:
