@@ -167,3 +167,19 @@ def test_channels_of_repeated_and_odd_edges(spark):
     assert len(got([*lends, lends[0]], distinct=False)) == 6
     assert [r for r in got(odd) if r[2] != "s"] == [("3", "8", "z", 0.0), ("8", "", "n", 1.0), ("8", "3", "z", 0.0), ("None", "8", "n", 0.6)]
     assert len([r for r in got(odd) if r[2] == "s"]) == 1
+
+
+def test_base_of_a_balance_rounds_as_sql(spark, tmp_path):
+    """Balances whose base is at a half of the fourth place; Spark's own round gives 0.2921 for 265."""
+    import duckdb
+
+    from tideline.plans import network
+    from tideline.plans.views import Tables
+
+    db = duckdb.connect()
+    for name, key in (("supplier", "s"), ("customer", "c")):
+        db.sql(f"COPY (SELECT i AS {key}_{'supp' if key == 's' else 'cust'}key, CAST(5 * i - 50 AS DOUBLE) AS {key}_acctbal FROM range(2100) t(i)) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        db.sql(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet')")
+    want = dict(db.sql(f"WITH x AS (SELECT 1) {network._NODES} SELECT node, base FROM nodes").fetchall())
+    got = {r.node: r.base for r in network.nodes(Tables(spark, str(tmp_path))).collect()}
+    assert got == want and want["b63"] == 0.292

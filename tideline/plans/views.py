@@ -10,6 +10,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import sql_round
 from ..operators.graph_queries import met_pairs
 from ..operators.shared import cut
 
@@ -72,7 +73,7 @@ class Tables:
         banks = self["supplier"].select(F.col("s_suppkey").alias("bank"), "s_nationkey")
         own = self.pairs.select("bank", "company").join(owners, "company").join(banks, "bank").where("c_nationkey = s_nationkey")
         pct = 100 * F.col("c_acctbal") / F.sum("c_acctbal").over(Window.partitionBy("bank"))
-        return own.select(F.col("company").alias("owner"), "bank", F.col("c_mktsegment").alias("category"), F.round(pct, 4).alias("pct"))
+        return own.select(F.col("company").alias("owner"), "bank", F.col("c_mktsegment").alias("category"), sql_round(pct, 4).alias("pct"))
 
     @cached_property
     def bank_holds(self) -> DataFrame:
@@ -82,7 +83,7 @@ class Tables:
         side = lambda c: self["supplier"].select(F.col("s_suppkey").alias(c), F.col("s_nationkey").alias(f"{c}_nation"), F.col("s_acctbal").alias(f"{c}_balance"))
         pairs = met.join(side("owner").where("owner_balance > 0"), "owner").join(side("bank"), "bank").where("owner_nation = bank_nation")
         pct = 100 * F.col("owner_balance") / F.sum("owner_balance").over(Window.partitionBy("bank"))
-        return pairs.select("owner", "bank", F.round(pct, 4).alias("pct"))
+        return pairs.select("owner", "bank", sql_round(pct, 4).alias("pct"))
 
     @cached_property
     def co_lends(self) -> DataFrame:
