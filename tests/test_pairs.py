@@ -87,3 +87,29 @@ def test_industries_and_lenders_keep_no_sets(spark):
         if b is not None:
             lenders.setdefault(c, set()).add(b)
     assert {r.company for r in df.collect()} == {c for c, bs in lenders.items() if c is not None and c < 40 and len(bs) > 1}
+
+
+def test_bank_network_shuffles_no_pairs(spark, monkeypatch):
+    """Lists go to the task of the lower bank, and as many tasks as the pairs need sum them; no sums are made before."""
+    monkeypatch.setattr(G, "TASK_PAIRS", 50)
+    lends, _ = frames(spark)
+    df = V.bank_network(lends)
+    plan, hashed = shuffles(df)
+    assert len(hashed) == 1 and "REPARTITION_BY_NUM" in hashed[0] and "b#" not in hashed[0]
+    pairs = len(shared())
+    assert pairs // 50 <= int(hashed[0].split("), REPARTITION")[0].split(", ")[-1]) <= pairs // 50 + 20
+    assert {(r.a, r.b): r.shared for r in df.collect()} == Counter((a, b) for (a, _), (b, _) in shared())
+
+
+def test_bank_network_of_odd_numbers(spark):
+    """Amounts and banks beyond four bytes, unknown amounts, and a bank that a company has twice."""
+    rows = [(1, 1, 0.1), (2, 1, 1e10 + 0.5), (3, 1, 2.0), (1, 2, 3.0), (2**40, 2, 4.0), (-5, 2, None), (1, 3, 7.0), (1, 3, 9.0), (2, 3, 8.0), (3, 4, None), (4, 4, None), (2, 5, float(2**24 + 1)), (3, 5, 2.0**25)]
+    n, least = Counter(), {}
+    for k, (b, c, x) in enumerate(rows):
+        for b2, c2, y in rows[k + 1 :]:
+            if c == c2 and b != b2:
+                key, known = tuple(sorted((b, b2))), [v for v in (x, y) if v is not None]
+                n[key] += 1
+                least[key] = least.get(key, 0.0) + min(known) if known else None
+    df = V.bank_network(spark.createDataFrame(rows, "bank long, company long, amount double"))
+    assert {(r.a, r.b): (r.shared, r.overlap) for r in df.collect()} == {k: (n[k], None if least[k] is None else round(least[k], 2)) for k in n}
