@@ -113,3 +113,13 @@ def test_bank_network_of_odd_numbers(spark):
                 least[key] = least.get(key, 0.0) + min(known) if known else None
     df = V.bank_network(spark.createDataFrame(rows, "bank long, company long, amount double"))
     assert {(r.a, r.b): (r.shared, r.overlap) for r in df.collect()} == {k: (n[k], None if least[k] is None else round(least[k], 2)) for k in n}
+
+
+def test_bank_cluster_shuffles_no_pairs(spark, monkeypatch):
+    """As bank_network; companies and banks count once."""
+    monkeypatch.setattr(G, "TASK_PAIRS", 50)
+    lends, _ = frames(spark)
+    df = G.bank_cluster(lends.unionByName(lends))
+    hashed = shuffles(df)[1]
+    assert len(hashed) == 1 and "REPARTITION_BY_NUM" in hashed[0] and "b#" not in hashed[0]
+    assert {(r.a, r.b): r.shared for r in df.collect()} == Counter((a, b) for (a, _), (b, _) in shared())
